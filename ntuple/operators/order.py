@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 BINS = 1024
 KEY_LIMIT = 100_000
+FINISH = 20_000
+"""Brackets with this many rows at most are finished by counting their distinct values."""
 MAX_ROUNDS = 400
 
 
@@ -58,84 +60,93 @@ def order_statistics(
     ranks: Callable[[tuple, int], list[int]],
 ) -> dict[tuple, list[OrderStatistic]]:
     """The values at 0-based ``ranks(key, count)`` of every key, exactly."""
-    spark = df.sparkSession
     base = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
-    open_: list[dict] = []
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    key_schema = "".join(f"{k} {types[k]}, " for k in keys)
+    wide: list[dict] = []
     wanted: dict[tuple, list[int]] = {}
-    done: dict[tuple, OrderStatistic] = {}
     for r in key_counts(df, keys, value):
         key = tuple(r[k] for k in keys)
         wanted[key] = list(ranks(key, r["n"]))
         for rank in sorted(set(wanted[key])):
             if not 0 <= rank < r["n"]:
                 raise ValueError(f"rank {rank} is outside a key of {r['n']} values")
-            if r["lo"] == r["hi"]:
-                done[(key, rank)] = OrderStatistic(r["lo"], 0)
+            wide.append(
+                {"key": key, "rank": rank, "lo": r["lo"], "hi": r["hi"], "below": 0, "n": r["n"]}
+            )
+    done: dict[tuple, OrderStatistic] = {}
+    small: list[dict] = []
+
+    def sort_out(targets: list[dict]) -> list[dict]:
+        """Keep the brackets that still hold many rows; single values are finished."""
+        rest = []
+        for t in targets:
+            if t["lo"] == t["hi"]:
+                done[(t["key"], t["rank"])] = OrderStatistic(t["lo"], t["below"])
             else:
-                open_.append({"key": key, "rank": rank, "lo": r["lo"], "hi": r["hi"], "below": 0})
-    key_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(
-        [f"{k} {key_type[k]}" for k in keys] + ["_b int", "_lo double", "_hi double"]
-    )
-    target_schema = ", ".join([f"{k} {key_type[k]}" for k in keys] + ["_b int", "_t bigint"])
+                (small if t["n"] <= FINISH else rest).append(t)
+        return rest
+
+    wide = sort_out(wide)
     for number in range(MAX_ROUNDS):
-        if not open_:
+        if not wide:
             break
-        brackets: dict[tuple, int] = {}
-        for t in open_:
-            brackets.setdefault((t["key"], t["lo"], t["hi"]), len(brackets))
-        bracket_rows = [(*key, b, lo, hi) for (key, lo, hi), b in brackets.items()]
-        target_rows = [
-            (*t["key"], brackets[(t["key"], t["lo"], t["hi"])], t["rank"] - t["below"])
-            for t in open_
-        ]
-        small = F.broadcast(spark.createDataFrame(bracket_rows, schema))
         low, high, v = F.col("_lo"), F.col("_hi"), F.col("_v")
         if number == 0:
             low, high, v = _curve(low), _curve(high), _curve(v)
         share = (v - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
-        counted = (
-            (base.join(small, keys) if keys else base.crossJoin(small))
-            .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-            .groupBy(
-                *keys,
-                "_b",
-                F.least(F.floor(share * F.lit(BINS)), F.lit(BINS - 1)).alias("_bin"),
-            )
-            .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.min("_v").alias("_min"),
-                F.max("_v").alias("_max"),
-            )
-        )
-        upto = W.partitionBy("_b").orderBy("_bin")
-        counted = counted.withColumn("_below", F.sum("_n").over(upto) - F.col("_n"))
-        targets = F.broadcast(spark.createDataFrame(target_rows, target_schema))
-        hits = (
-            counted.join(targets, [*keys, "_b"])
-            .where(
-                (F.col("_t") >= F.col("_below")) & (F.col("_t") < F.col("_below") + F.col("_n"))
-            )
-            .select("_b", "_t", "_below", "_min", "_max")
-            .collect()
-        )
-        found = {(h["_b"], h["_t"]): h for h in hits}
-        still = []
-        for t in open_:
-            h = found[(brackets[(t["key"], t["lo"], t["hi"])], t["rank"] - t["below"])]
-            below = t["below"] + h["_below"]
-            if h["_min"] == h["_max"]:
-                done[(t["key"], t["rank"])] = OrderStatistic(h["_min"], below)
-            else:
-                still.append({**t, "lo": h["_min"], "hi": h["_max"], "below": below})
-        open_ = still
-    if open_:
+        bins = F.least(F.floor(share * F.lit(BINS)), F.lit(BINS - 1))
+        wide = sort_out(_narrow(base, keys, key_schema, wide, bins))
+    if wide:
         raise ArithmeticError("bracket refinement did not converge")
+    for t in _narrow(base, keys, key_schema, small, F.col("_v")) if small else []:
+        done[(t["key"], t["rank"])] = OrderStatistic(t["lo"], t["below"])
     return {key: [done[(key, r)] for r in rs] for key, rs in wanted.items()}
 
 
+def _narrow(
+    base: DataFrame, keys: list[str], key_schema: str, targets: list[dict], bins: Column
+) -> list[dict]:
+    """One counting scan: the bin of every target becomes its new bracket."""
+    spark = base.sparkSession
+    numbers: dict[tuple, int] = {}
+    for t in targets:
+        numbers.setdefault((t["key"], t["lo"], t["hi"]), len(numbers))
+    place = [numbers[(t["key"], t["lo"], t["hi"])] for t in targets]
+    brackets = F.broadcast(
+        spark.createDataFrame(
+            [(*key, b, lo, hi) for (key, lo, hi), b in numbers.items()],
+            f"{key_schema}_b int, _lo double, _hi double",
+        )
+    )
+    counted = (
+        (base.join(brackets, keys) if keys else base.crossJoin(brackets))
+        .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        .groupBy("_b", bins.alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        .withColumn(
+            "_below", F.sum("_n").over(W.partitionBy("_b").orderBy("_bin")) - F.col("_n")
+        )
+    )
+    rows = [(i, b, t["rank"] - t["below"]) for i, (b, t) in enumerate(zip(place, targets, strict=True))]
+    asked = F.broadcast(spark.createDataFrame(rows, "_i int, _b int, _t bigint"))
+    hits = (
+        counted.join(asked, "_b")
+        .where((F.col("_t") >= F.col("_below")) & (F.col("_t") < F.col("_below") + F.col("_n")))
+        .select("_i", "_below", "_min", "_max", "_n")
+        .collect()
+    )
+    out = []
+    for h in hits:
+        t = targets[h["_i"]]
+        out.append(
+            {**t, "lo": h["_min"], "hi": h["_max"], "n": h["_n"], "below": t["below"] + h["_below"]}
+        )
+    return out
+
+
 def rank_bins(
     df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int, name: str = "bin"
 ) -> tuple[DataFrame, dict[tuple, list[tuple[int, int]]]]:
