@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import encoding
+from . import classifying, encoding
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encoding"]
+__all__ = ["ORACLES", "QUERIES", "classifying", "encoding"]
