@@ -37,17 +37,14 @@ def attention_votes(votes: Column, n_labels: int) -> Column:
     """Damp tuples whose vote is far from the mean vote of their label."""
 
     def summary(m: Column) -> Column:
-        def one(c: int) -> Column:
-            return F.aggregate(
-                m,
-                F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x")),
-                lambda a, r: F.struct(
-                    (a["s"] + F.get(r, F.lit(c))).alias("s"),
-                    F.greatest(a["x"], F.get(r, F.lit(c)).cast("double")).alias("x"),
-                ),
+        def step(c: Column) -> Callable:
+            return lambda a, r: F.struct(
+                (a["s"] + F.get(r, c)).alias("s"),
+                F.greatest(a["x"], F.get(r, c).cast("double")).alias("x"),
             )
 
-        return F.array(*[one(c) for c in range(n_labels)])
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("x"))
+        return _per_label(n_labels, m, start, step)
 
     def damp(m: Column, stats: Column) -> Column:
         n = F.size(m)
@@ -97,16 +94,19 @@ def _each(votes: Column, body: Callable[[Column, Column, Column], Column]) -> Co
 # -- scores -----------------------------------------------------------------
 
 
-def _per_label(n_labels: int, m: Column, zero: Column, step: Callable[[int], Callable]) -> Column:
+def _per_label(
+    n_labels: int, m: Column, zero: Column, step: Callable[[Column], Callable]
+) -> Column:
     """Fold the tuples once per label; ``step(c)`` is the fold for label position ``c``."""
-    return F.array(*[F.aggregate(m, zero, step(c)) for c in range(n_labels)])
+    places = constant(list(range(n_labels)), "array<int>")
+    return F.transform(places, lambda c: F.aggregate(m, zero, step(c)))
 
 
 def hits_above(m: Column, t: Column, n_labels: int) -> Column:
     """Per label: tuples whose vote exceeds ``t``."""
 
-    def step(c: int) -> Callable:
-        return lambda s, r: s + bit(F.get(r, F.lit(c)) > t)
+    def step(c: Column) -> Callable:
+        return lambda s, r: s + bit(F.get(r, c) > t)
 
     return _per_label(n_labels, m, F.lit(0), step)
 
@@ -114,8 +114,8 @@ def hits_above(m: Column, t: Column, n_labels: int) -> Column:
 def excess_above(m: Column, t: Column, n_labels: int) -> Column:
     """Per label: sum of what votes exceed ``t`` by."""
 
-    def step(c: int) -> Callable:
-        return lambda s, r: s + F.greatest(F.get(r, F.lit(c)) - t, F.lit(0))
+    def step(c: Column) -> Callable:
+        return lambda s, r: s + F.greatest(F.get(r, c) - t, F.lit(0))
 
     return _per_label(n_labels, m, F.lit(0), step)
 
@@ -127,9 +127,9 @@ def weight_above(weights: list[list[float]]) -> Callable[[Column, Column, int],
     def score(m: Column, t: Column, n_labels: int) -> Column:
         weighted = F.zip_with(m, table, lambda r, w: F.struct(r.alias("r"), w.alias("w")))
 
-        def step(c: int) -> Callable:
+        def step(c: Column) -> Callable:
             return lambda s, e: s + F.when(
-                F.get(e["r"], F.lit(c)) > t, F.get(e["w"], F.lit(c))
+                F.get(e["r"], c) > t, F.get(e["w"], c)
             ).otherwise(F.lit(0.0))
 
         return F.transform(_per_label(n_labels, weighted, F.lit(0.0), step), truncate)
