@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import constant
 from ..functions.scalars import seeded_order
+from ..functions.joins import lookup_join
 from ..session import cut_lineage
 from .address import BitColumn, Mapping, random_mapping, tuple_addresses
 from .count_model import CountModel, Options
@@ -159,7 +160,9 @@ def _addressed(rows: DataFrame, tuples: dict[str, tuple], bits: str, keep: list[
 
 def _looked_up(rows: DataFrame, table: DataFrame, tuples: dict, bits: str, keep: list[str]) -> DataFrame:
     addressed = _addressed(rows, tuples, bits, keep)
-    return addressed.join(table, ["label", "cluster", "ram_id", "address"], "left").select(
+    keys = ["label", "cluster", "ram_id", "address"]
+    joined = lookup_join(addressed, table.select(*keys, "cnt", "sum_y"), keys, [keep[0], "ram_id"])
+    return joined.select(
         *keep,
         "ram_id",
         F.coalesce("cnt", F.lit(0)).alias("cnt"),

@@ -5,44 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import constant, let
+from ..functions.joins import lookup_join
 from . import decide
 from .address import (
     SHARED,
     BitSource,
     Mapping,
+    class_counts,
     slot_count,
-    slot_lookup,
+    slot_numbers,
     slot_offsets,
-    tuple_addresses,
+    slot_votes,
     tuple_rows,
 )
 
-MODEL_SCHEMA = "label string, ram_id int, address bigint, cnt bigint"
-CLASS_LIMIT = 10_000
 DENSE_CELLS = 1 << 18
 """Largest dense vote table (slots x labels) that becomes a constant of the plan."""
-BROADCAST_BYTES = 64 << 20
-"""Largest proven size of a model table that is sent to every executor."""
-SALT = 8
-"""Copies of a shuffled model table; a hot address is spread over this many tasks."""
-
-
-def class_counts(df: DataFrame, label: str = "label") -> dict[str, int]:
-    """Rows per label, in label order; unlabelled rows are left out."""
-    rows = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(F.col(label).cast("string").alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(CLASS_LIMIT + 1)
-        .collect()
-    )
-    if len(rows) > CLASS_LIMIT:
-        raise ValueError(f"more than {CLASS_LIMIT} labels")
-    return {r["label"]: r["n"] for r in sorted(rows, key=lambda r: r["label"].encode())}
 
 
 def check_entry_size(df: DataFrame, bits: str, entry_size: int) -> None:
@@ -194,26 +176,50 @@ class CountModel:
             flat[offsets[(r["label"], r["ram_id"])] + r["address"]] = r["cnt"]
         return constant(flat, "array<int>")
 
+    def _zero_slots(self) -> Column:
+        """Dense positions of the zero addresses."""
+        return constant(sorted(slot_offsets(self.mapping, self.labels).values()), "array<int>")
+
+    def _votes_at(self, slots: Column) -> Column:
+        if not self.options.ignore_zero:
+            return slot_votes(self.mapping, self.labels, self.dense_cells(), slots)
+        silent = self._zero_slots()
+        masked = F.transform(
+            slots, lambda s: F.when(F.array_contains(silent, s), F.lit(-1)).otherwise(s)
+        )
+        votes = slot_votes(self.mapping, self.labels, self.dense_cells(), masked)
+        if self.mapping.is_shared:
+            nothing = F.array_repeat(F.lit(0), len(self.labels))
+            return F.transform(votes, lambda row: F.coalesce(row, nothing))
+        return F.transform(votes, lambda row: F.transform(row, lambda v: F.coalesce(v, F.lit(0))))
+
     def votes_in_row(self, df: DataFrame, bits: BitSource, name: str = "votes") -> DataFrame:
         """Votes from the dense constant: a projection, no shuffle and no row key."""
-        votes = slot_lookup(self.mapping, bits, self.labels, self.dense_cells())
-        if self.options.ignore_zero:
-            votes = self._mask_zero(votes, bits)
-        return df.withColumn(name, votes)
+        slots = slot_numbers(self.mapping, bits, self.labels)
+        return df.withColumn(name, let(slots, self._votes_at))
 
-    def _mask_zero(self, votes: Column, bits: BitSource) -> Column:
-        if self.mapping.is_shared:
-            return decide.without_zero_address(votes, tuple_addresses(self.mapping, bits))
-        per_label = F.array(*[tuple_addresses(self.mapping, bits, lab) for lab in self.labels])
-        return let(
-            per_label,
-            lambda a: F.transform(
-                votes,
-                lambda row, r: F.transform(
-                    row,
-                    lambda v, c: F.when(F.get(F.get(a, c), r) == 0, F.lit(0)).otherwise(v),
-                ),
-            ),
+    def votes_by_pattern(self, df: DataFrame, bits: BitSource, keep: list[str]) -> DataFrame:
+        """``(keep..., n, votes)``: rows with equal ``keep`` and equal addresses counted as one.
+
+        Decisions depend on the addresses only, so summaries over rows (confusion counts,
+        accuracies, tuple weights) need each pattern once; the count is combined map-side.
+        """
+        slots = slot_numbers(self.mapping, bits, self.labels)
+        counted = (
+            df.select(*keep, slots.alias("_slots"))
+            .groupBy(*keep, "_slots")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        return counted.select(*keep, "n", self._votes_at(F.col("_slots")).alias("votes"))
+
+    def confusion(self, df: DataFrame, bits: BitSource, label: str = "label") -> DataFrame:
+        """Rows per label and prediction: ``(label, predicted, n)``."""
+        voted = self.votes_by_pattern(df, bits, [label])
+        won = decide.winner(self.scores(F.col("votes")), self.labels)
+        return (
+            voted.select(F.col(label).alias("label"), won.alias("predicted"), "n")
+            .groupBy("label", "predicted")
+            .agg(F.sum("n").alias("n"))
         )
 
     def votes_by_join(
@@ -223,13 +229,12 @@ class CountModel:
         row_id: str,
         keep: list[str] | None = None,
         name: str = "votes",
-        broadcast: bool | None = None,
+        broadcast: bool = True,
     ) -> DataFrame:
         """Votes by an equi-join of row addresses with the model table, regrouped per row.
 
-        The model is broadcast only when its address space proves it small; otherwise both
-        sides shuffle on the address plus a salt, so an address that a third of the rows
-        share is spread over ``SALT`` tasks.
+        The model is broadcast only when its address space proves it small (and ``broadcast``
+        allows it); otherwise both sides shuffle on the address plus a salt.
         """
         keep = keep or []
         lookups = tuple_rows(df, self.mapping, bits, [row_id, *keep])
@@ -250,17 +255,11 @@ class CountModel:
             model = self.table.select(*keys, F.col("cnt").cast("int").alias("counts"))
             lookups = lookups.withColumnRenamed("label", "_own") if "label" in keep else lookups
             width = 4
-        if broadcast is None:
-            broadcast = not self.mapping.is_wide and slot_count(self.mapping, self.labels) * (
-                48 + width
-            ) <= BROADCAST_BYTES
-        if broadcast:
-            joined = lookups.join(F.broadcast(model), keys, "left")
+        if broadcast is False or self.mapping.is_wide:
+            proven = None
         else:
-            salted = model.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            joined = lookups.withColumn(
-                "_salt", F.pmod(F.xxhash64(row_id, "ram_id"), F.lit(SALT)).cast("int")
-            ).join(salted, [*keys, "_salt"], "left")
+            proven = slot_count(self.mapping, self.labels) * (48 + width)
+        joined = lookup_join(lookups, model, keys, [row_id, "ram_id"], proven)
         missing = F.array_repeat(F.lit(0), n_labels) if self.mapping.is_shared else F.lit(0)
         found = F.coalesce(F.col("counts"), missing)
         if self.options.ignore_zero:
@@ -350,19 +349,10 @@ def background_hits(
 ) -> DataFrame:
     """Tuples of each row that the background model has seen."""
     seen = shared.select("ram_id", "address", F.lit(1).alias("seen"))
-    if not mapping.is_wide and slot_count(mapping, []) * 48 <= BROADCAST_BYTES:
-        seen = F.broadcast(seen)
+    proven = None if mapping.is_wide else slot_count(mapping, []) * 48
+    rows = tuple_rows(df, mapping, bits, [row_id])
     return (
-        tuple_rows(df, mapping, bits, [row_id])
-        .join(seen, ["ram_id", "address"], "left")
+        lookup_join(rows, seen, ["ram_id", "address"], [row_id, "ram_id"], proven)
         .groupBy(row_id)
         .agg(F.count("seen").cast("int").alias("background"))
     )
-
-
-def dense_table_size(mapping: Mapping, labels: list[str]) -> int:
-    return slot_count(mapping, labels)
-
-
-def empty_model(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], MODEL_SCHEMA)

@@ -75,15 +75,6 @@ def cross_class_votes(votes: Column, n_labels: int) -> Column:
     return F.transform(votes, row)
 
 
-def without_zero_address(votes: Column, addresses: Column) -> Column:
-    """Address 0 does not vote (it is still counted in training)."""
-    return F.zip_with(
-        votes,
-        addresses,
-        lambda r, a: F.when(a == 0, F.transform(r, lambda v: F.lit(0))).otherwise(r),
-    )
-
-
 def _each(votes: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
     """Map ``body(vote, label position, tuple position)`` over the vote table."""
     return F.transform(

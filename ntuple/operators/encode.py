@@ -7,15 +7,19 @@ kept on the driver; applying it is a projection.  ``features`` is an array colum
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import bit, constant, let
+from ..functions.joins import lookup_join
 from ..functions.scalars import md5_unit, normal_quantile
-from .address import ThresholdBits
+from .address import ThresholdBits, class_counts
 from .order import global_ranks, order_statistics, rank_bins
 
 
@@ -93,6 +97,16 @@ def feature_statistics(df: DataFrame, features: str) -> list:
     )
 
 
+@contextmanager
+def stored_rows(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep rows that a fit scans many times, for the duration of the fit."""
+    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 # -- encoders without fitting -----------------------------------------------
 
 
@@ -332,16 +346,17 @@ def fit_mi_allocation(
     df: DataFrame, features: str, label: str, row_id: str, bits: int, min_bits: int = 1
 ) -> Thermometer:
     """Percentile thresholds, more of them for features that tell the classes apart."""
-    rows = mutual_information(df, features, label, row_id, bits).orderBy("feature").collect()
-    scores = [round(max(r["mi"], 0.0), 9) for r in rows]
-    sizes = allocate_bits(scores, bits * len(scores), min_bits)
-    found = order_statistics(
-        long_features(df, features),
-        ["feature"],
-        "value",
-        lambda key, n: [percentile_rank(k, sizes[key[0]], n) for k in range(sizes[key[0]])],
-    )
-    return Thermometer.of([[s.value for s in found[(f,)]] for f in range(len(sizes))])
+    with stored_rows(df.select(row_id, label, features)) as rows:
+        found = mutual_information(rows, features, label, row_id, bits).orderBy("feature").collect()
+        scores = [round(max(r["mi"], 0.0), 9) for r in found]
+        sizes = allocate_bits(scores, bits * len(scores), min_bits)
+        stats = order_statistics(
+            long_features(rows, features),
+            ["feature"],
+            "value",
+            lambda key, n: [percentile_rank(k, sizes[key[0]], n) for k in range(sizes[key[0]])],
+        )
+    return Thermometer.of([[s.value for s in stats[(f,)]] for f in range(len(sizes))])
 
 
 def fit_entropy_weighted(
@@ -353,19 +368,35 @@ def fit_entropy_weighted(
     equi-joins on ``(feature, rank)``; running sums are taken inside balanced rank bins and
     shifted by the bins before, so no task sees a whole feature.
     """
-    n = df.count()
-    labels = sorted(r[0] for r in df.select(label).distinct().collect())
-    window = min(max(10, math.isqrt(n)), n // 4)
-    half = window // 2
+    with stored_rows(df.select(row_id, label, features)) as rows:
+        return _entropy_weighted(rows, features, label, row_id, bits, n_bins)
+
+
+def _entropy_weighted(
+    df: DataFrame, features: str, label: str, row_id: str, bits: int, n_bins: int
+) -> Thermometer:
+    sizes = class_counts(df, label)
+    n, labels = sum(sizes.values()), list(sizes)
+    names = [f"c{i}" for i in range(len(labels))]
+    flags = [
+        bit(F.col(label) == lab).cast("bigint").alias(c) for c, lab in zip(names, labels, strict=True)
+    ]
     ranked = global_ranks(
         long_features(df, features, [row_id, label]), ["feature"], "value", row_id, n_bins
-    ).select("feature", "value", "rank", "rank_bin", F.col(label).alias("label"))
-    names = [f"c{i}" for i in range(len(labels))]
-    flags = [bit(F.col("label") == lab).cast("bigint").alias(c) for c, lab in zip(names, labels, strict=True)]
-    flagged = ranked.select("feature", "value", "rank", "rank_bin", *flags)
-    running = running_sums(flagged, ["feature"], "rank_bin", "rank", names)
-    # before[r] = label counts of ranks < r+1, i.e. prefix sums ending at rank r
-    prefix = running.select("feature", F.col("rank").alias("_r"), *names)
+    ).select("feature", "value", "rank", "rank_bin", *flags)
+    with stored_rows(ranked) as ranks:
+        running = running_sums(ranks, ["feature"], "rank_bin", "rank", names)
+        with stored_rows(running) as sums, stored_rows(_window_entropy(sums, names, n)) as weights:
+            return _equal_weight_thresholds(df, features, weights, bits)
+
+
+def _window_entropy(running: DataFrame, names: list[str], n: int) -> DataFrame:
+    """Label entropy of the rank window of each row: ``(feature, value, rank, rank_bin, e)``.
+
+    Counts inside a window are the running counts at its end minus those before it.
+    """
+    window = min(max(10, math.isqrt(n)), n // 4)
+    half = window // 2
     i = F.col("rank")
     lo = F.greatest(i - half, F.lit(0))
     hi = F.least(i + half + 1, F.lit(n))
@@ -378,8 +409,9 @@ def fit_entropy_weighted(
         F.when(cut & (lo != 0), hi - window).otherwise(lo).alias("lo"),
         F.when(cut & (lo == 0), F.lit(window)).otherwise(hi).alias("hi"),
     )
-    upper = prefix.select("feature", (F.col("_r") + 1).alias("hi"), *[F.col(c).alias(f"h{c}") for c in names])
-    lower = prefix.select("feature", (F.col("_r") + 1).alias("lo"), *[F.col(c).alias(f"l{c}") for c in names])
+    after = F.col("rank") + 1
+    upper = running.select("feature", after.alias("hi"), *[F.col(c).alias(f"h{c}") for c in names])
+    lower = running.select("feature", after.alias("lo"), *[F.col(c).alias(f"l{c}") for c in names])
     joined = spans.join(upper, ["feature", "hi"]).join(lower, ["feature", "lo"], "left")
     size = F.col("hi") - F.col("lo")
     entropy = F.lit(0.0)
@@ -387,26 +419,36 @@ def fit_entropy_weighted(
         count = F.col(f"h{c}") - F.coalesce(F.col(f"l{c}"), F.lit(0))
         p = count / size
         entropy = entropy - F.when(count > 0, p * F.log2(p)).otherwise(F.lit(0.0))
-    weighted = joined.select("feature", "value", "rank", "rank_bin", entropy.alias("e"))
-    top = weighted.groupBy("feature").agg(F.max("e").alias("top"))
-    floor = F.when(F.col("top") > 0, F.col("top") * 0.01).otherwise(F.lit(1.0))
-    weighted = weighted.join(F.broadcast(top), "feature").select(
-        "feature", "value", "rank", "rank_bin", (F.col("e") + floor).alias("w")
-    )
+    return joined.select("feature", "value", "rank", "rank_bin", entropy.alias("e"))
+
+
+def _equal_weight_thresholds(
+    df: DataFrame, features: str, entropies: DataFrame, bits: int
+) -> Thermometer:
+    """Values where the running weight (entropy plus a floor) passes equal shares."""
+    tops = entropies.groupBy("feature").agg(F.max("e").alias("top")).collect()
+    floors = {r["feature"]: 0.01 * r["top"] if r["top"] > 0 else 1.0 for r in tops}
+    order = sorted(floors)
+    floor = F.get(constant([floors[f] for f in order], "array<double>"), F.col("feature"))
+    weighted = entropies.select("feature", "value", "rank", "rank_bin", (F.col("e") + floor).alias("w"))
     cumulative = running_sums(weighted, ["feature"], "rank_bin", "rank", ["w"])
-    total = weighted.groupBy("feature").agg(F.sum("w").alias("total"))
-    shares = constant([(k + 1) / (bits + 1) for k in range(bits)], "array<double>")
-    targets = total.select("feature", F.posexplode(shares).alias("k", "share"), "total")
+    totals = {r["feature"]: r["t"] for r in weighted.groupBy("feature").agg(F.sum("w").alias("t")).collect()}
+    goals = constant(
+        [[(k + 1) / (bits + 1) * totals[f] for k in range(bits)] for f in order],
+        "array<array<double>>",
+    )
     picked = (
-        cumulative.join(F.broadcast(targets), "feature")
-        .where(F.col("w") >= F.col("share") * F.col("total"))
+        cumulative.select(
+            "feature", "value", "rank", "w", F.posexplode(F.get(goals, F.col("feature"))).alias("k", "goal")
+        )
+        .where(F.col("w") >= F.col("goal"))
         .groupBy("feature", "k")
         .agg(F.min_by("value", "rank").alias("threshold"))
+        .collect()
     )
-    last = ranked.groupBy("feature").agg(F.max("value").alias("last"))
-    grid = targets.join(picked, ["feature", "k"], "left").join(F.broadcast(last), "feature")
-    rows = grid.select("feature", "k", F.coalesce("threshold", "last").alias("threshold"))
-    return Thermometer.from_table(rows)
+    found = {(r["feature"], r["k"]): r["threshold"] for r in picked}
+    last = {r["feature"]: r["max"] for r in feature_statistics(df, features)}
+    return Thermometer.of([[found.get((f, k), last[f]) for k in range(bits)] for f in order])
 
 
 def running_sums(
@@ -458,7 +500,8 @@ def squashed_points(
         for d in dims
     ]
     extra = [] if bucket is None else [bucket.alias("_bucket")]
-    points = df.select(seq, pos, *dims, *extra).join(stats, seq).select(
+    rows = df.select(seq, pos, *dims, *extra)
+    points = lookup_join(rows, stats, [seq], [pos], how="inner").select(
         seq, pos, *[F.col("_bucket") for _ in extra], F.array(*z).alias("_z")
     )
     if bucket is None:

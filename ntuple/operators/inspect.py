@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import constant
+from ..functions.expr import bit, constant, let
 from .address import SHARED, BitSource, Mapping, reverse_digit
 from .count_model import CountModel
 
@@ -48,24 +50,19 @@ def mental_images(model: CountModel) -> DataFrame:
 def synthesize(image: DataFrame, n_rows: int, seed: int) -> DataFrame:
     """Bit rows drawn from an image ``(bit_index, intensity)``: level < intensity sets the bit.
 
-    The level of row i is md5-uniform in [0, max - 1].  The image is one entry wide, so it
-    is turned into one array and attached to every generated row.
+    The level of row i is md5-uniform in [0, max - 1].  The image is one entry wide and
+    becomes a constant of the plan.
     """
     spark = image.sparkSession
-    packed = image.agg(
-        F.max("intensity").alias("top"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("bit_index", "intensity"))), lambda s: s["intensity"]
-        ).alias("levels"),
-    )
-    draw = F.conv(
-        F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 12), 16, 10
-    ).cast("bigint")
-    rows = spark.range(n_rows).crossJoin(F.broadcast(packed))
-    level = F.when(F.col("top") > 0, F.pmod(draw, F.col("top"))).otherwise(F.lit(0))
-    return rows.select(F.col("id").alias("row_id"), level.alias("_level"), "levels").select(
-        "row_id",
-        F.transform("levels", lambda v: F.when(F.col("_level") < v, 1).otherwise(0).cast("tinyint")).alias("bits"),
+    cells = sorted((r["bit_index"], r["intensity"]) for r in image.select("bit_index", "intensity").collect())
+    levels = constant([v for _, v in cells], "array<bigint>")
+    top = max(v for _, v in cells)
+    text = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))
+    draw = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
+    level = F.pmod(draw, F.lit(top)) if top > 0 else F.lit(0)
+    return spark.range(n_rows).select(
+        F.col("id").alias("row_id"),
+        let(level, lambda d: F.transform(levels, lambda v: bit(d < v).cast("tinyint"))).alias("bits"),
     )
 
 
@@ -94,19 +91,18 @@ def deployed_bytes(model: CountModel) -> DataFrame:
 def fired(model: CountModel, df: DataFrame, bits: BitSource, label: str = "label") -> DataFrame:
     """Per discriminator, tuple and row label: rows whose vote is positive.
 
-    Votes are looked up in the row; the fan-out per row is tuples x labels, reduced by a
-    map-side combine to at most that many counters per row label.
+    Equal address patterns are counted first; the fan-out per pattern is tuples x labels,
+    combined map-side to at most that many counters per row label.
     """
-    votes = model.votes_in_row(df.where(F.col(label).isNotNull()), bits)
+    labelled = df.where(F.col(label).isNotNull()).withColumn("sample", F.col(label).cast("string"))
+    votes = model.votes_by_pattern(labelled, bits, ["sample"])
     names = constant(model.labels, "array<string>")
-    per_ram = votes.select(
-        F.col(label).cast("string").alias("sample"), F.posexplode("votes").alias("ram_id", "row")
-    )
-    cells = per_ram.select("sample", "ram_id", F.posexplode("row").alias("c", "vote"))
+    per_ram = votes.select("sample", "n", F.posexplode("votes").alias("ram_id", "row"))
+    cells = per_ram.select("sample", "n", "ram_id", F.posexplode("row").alias("c", "vote"))
     return (
         cells.where(F.col("vote") > 0)
         .groupBy(F.get(names, F.col("c")).alias("label"), "ram_id", "sample")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -129,8 +125,6 @@ def ram_weights(
     )
     if metric == "entropy":
         parts = counts.select("label", "ram_id", (n / total).alias("p"))
-        import math
-
         top = math.log2(len(model.labels)) if len(model.labels) > 1 else 1.0
         raw = parts.groupBy("label", "ram_id").agg(
             (1.0 + F.sum(F.col("p") * F.log2("p")) / F.lit(top)).alias("w")

@@ -112,11 +112,10 @@ def lut_spectrum(values: DataFrame, tuple_size: int) -> DataFrame:
     coefficient j = sum over i of value_i * (-1)^popcount(i & ~j) / 2^n.
     """
     size = 1 << tuple_size
-    spark = values.sparkSession
-    columns = F.broadcast(spark.range(size).withColumnRenamed("id", "j"))
+    columns = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")))
     sign = F.lit(1.0) - 2.0 * (F.bit_count(F.col("addr").cast("bigint").bitwiseAND(F.bitwise_not("j"))) % 2)
     return (
-        values.join(columns)
+        values.select("layer", "lut", "addr", "value", columns.alias("j"))
         .groupBy("layer", "lut", "j")
         .agg((F.sum(F.col("value") * sign) / size).alias("c"))
         .groupBy("layer", "lut")

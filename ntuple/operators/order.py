@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import attach
+
 BINS = 1024
 KEY_LIMIT = 100_000
 FINISH = 20_000
@@ -115,14 +117,12 @@ def _narrow(
     for t in targets:
         numbers.setdefault((t["key"], t["lo"], t["hi"]), len(numbers))
     place = [numbers[(t["key"], t["lo"], t["hi"])] for t in targets]
-    brackets = F.broadcast(
-        spark.createDataFrame(
-            [(*key, b, lo, hi) for (key, lo, hi), b in numbers.items()],
-            f"{key_schema}_b int, _lo double, _hi double",
-        )
+    brackets = spark.createDataFrame(
+        [(*key, b, lo, hi) for (key, lo, hi), b in numbers.items()],
+        f"{key_schema}_b int, _lo double, _hi double",
     )
     counted = (
-        (base.join(brackets, keys) if keys else base.crossJoin(brackets))
+        attach(base, brackets, keys)
         .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         .groupBy("_b", bins.alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
@@ -206,7 +206,7 @@ def rank_bins(
     edge_schema = ", ".join(
         [*key_schema, "_cuts array<struct<v:double,t:bigint>>", "_bins array<int>"]
     )
-    small = F.broadcast(spark.createDataFrame(rows, edge_schema))
+    small = spark.createDataFrame(rows, edge_schema)
     passed = F.size(
         F.filter(
             "_cuts",
@@ -214,8 +214,7 @@ def rank_bins(
             | ((F.col(value).cast("double") == c["v"]) & (F.col(tie) >= c["t"])),
         )
     )
-    joined = df.join(small, keys) if keys else df.crossJoin(small)
-    out = joined.withColumn(name, F.get("_bins", passed)).drop("_cuts", "_bins")
+    out = attach(df, small, keys).withColumn(name, F.get("_bins", passed)).drop("_cuts", "_bins")
     return out, {key: list(zip(bin_of[key], firsts[key], strict=True)) for key in sizes}
 
 
@@ -262,8 +261,6 @@ def smallest_share(
     key_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = [(*key, stats[0].value if stats else None) for key, stats in cut.items()]
     schema = ", ".join([f"{k} {key_type[k]}" for k in keys] + ["_cut double"])
-    small = F.broadcast(spark.createDataFrame(rows, schema))
-    joined = df.join(small, keys) if keys else df.crossJoin(small)
-    return joined.withColumn(
+    return attach(df, spark.createDataFrame(rows, schema), keys).withColumn(
         name, F.coalesce(F.col(order).cast("double") <= F.col("_cut"), F.lit(False))
     ).drop("_cut")

@@ -8,9 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import lookup_join
 from ..session import cut_lineage
 from .address import BitSource, Mapping, slot_count, tuple_rows
-from .count_model import BROADCAST_BYTES, SALT
 
 Mean = Callable[[Column, Column], Column]
 """Aggregate over the tuples of a row: (count, sum of targets) columns to one value."""
@@ -123,14 +123,8 @@ class RegressionModel:
         address with a salt against hot addresses.
         """
         rows = tuple_rows(df, self.mapping, bits, [row_id, *(keep or [])])
-        keys = ["ram_id", "address"]
-        if not self.mapping.is_wide and slot_count(self.mapping, []) * 64 <= BROADCAST_BYTES:
-            joined = rows.join(F.broadcast(self.table), keys, "left")
-        else:
-            salted = self.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            joined = rows.withColumn(
-                "_salt", F.pmod(F.xxhash64(row_id, "ram_id"), F.lit(SALT)).cast("int")
-            ).join(salted, [*keys, "_salt"], "left").drop("_salt")
+        proven = None if self.mapping.is_wide else slot_count(self.mapping, []) * 64
+        joined = lookup_join(rows, self.table, ["ram_id", "address"], [row_id, "ram_id"], proven)
         live = F.lit(True)
         if self.min_one or self.min_zero:
             sizes = self.mapping.sizes()
@@ -167,16 +161,21 @@ class RegressionModel:
     ) -> RegressionModel:
         """``steps`` rounds of adding the mean residual of each address to its sum.
 
-        Each round is predict, residual, one aggregate by address and a join; lineage is
-        cut after every round.
+        Each round is one regrouping per row that yields the residual next to the row's
+        addresses, one map-side-combined sum by address and a join; lineage is cut after it.
         """
         model = self
         for _ in range(steps):
-            residual = model.predict(df, bits, row_id, [y]).select(
-                row_id, (F.col(y) - F.col("prediction")).alias("_res")
+            hits = model.lookups(df, bits, row_id, [y])
+            residual = hits.groupBy(row_id, y).agg(
+                (F.col(y) - model.mean(F.col("cnt"), F.col("sum_y"))).alias("_res"),
+                F.collect_list(F.struct("ram_id", "address")).alias("_cells"),
+            )
+            pending = (
+                residual.select("_res", F.explode("_cells").alias("_c"))
+                .groupBy(F.col("_c.ram_id").alias("ram_id"), F.col("_c.address").alias("address"))
+                .agg(F.sum("_res").alias("_pending"))
             )
-            rows = tuple_rows(df.select(row_id, *bits.columns()).join(residual, row_id), self.mapping, bits, ["_res"])
-            pending = rows.groupBy("ram_id", "address").agg(F.sum("_res").alias("_pending"))
             table = model.table.join(pending, ["ram_id", "address"], "left").select(
                 "ram_id",
                 "address",

@@ -173,7 +173,7 @@ def classify_wide_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_lineitem_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.line_items(spark, sf_dir)
     model = CountModel.train(rows, LINE_MAPPING, LINE_BITS.on("x"))
-    return model.classify(rows, LINE_BITS.on("x")).groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return model.confusion(rows, LINE_BITS.on("x"))
 
 
 @query(
