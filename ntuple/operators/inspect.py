@@ -186,3 +186,21 @@ def prune_weights(table: DataFrame, threshold: float) -> DataFrame:
 
 def mapping_sizes(mapping: Mapping, spark) -> DataFrame:
     return mapping.table(spark).groupBy("label", "ram_id").agg(F.count(F.lit(1)).alias("tuple_size"))
+
+
+def configuration(model: CountModel) -> DataFrame:
+    """Settings of a model as ``(setting, value)`` rows."""
+    mapping, o = model.mapping, model.options
+    values = {
+        "entry_size": mapping.entry_size,
+        "tuples": mapping.n_rams,
+        "widest_tuple": mapping.widest,
+        "base": mapping.base,
+        "shared_mapping": mapping.is_shared,
+        "labels": len(model.labels),
+        "trained_rows": sum(model.trainings.values()),
+        "ignore_zero": o.ignore_zero,
+        "balanced": o.balanced,
+    }
+    rows = [(k, str(v).lower()) for k, v in values.items()]
+    return model.table.sparkSession.createDataFrame(rows, "setting string, value string")

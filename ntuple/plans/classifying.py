@@ -567,3 +567,29 @@ def synthesized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = vector_model(spark, sf_dir)
     return inspect.deployed_bytes(model).join(inspect.entry_counts(model.table), "label")
+
+
+@query(
+    "model_configuration",
+    """SELECT unnest(['entry_size', 'tuples', 'widest_tuple', 'base', 'shared_mapping', 'labels', 'trained_rows', 'ignore_zero', 'balanced']) AS setting,
+              unnest(['128', '16', '8', '2', 'true', CAST(count(DISTINCT label) AS VARCHAR), CAST(count(label) AS VARCHAR), 'false', 'false']) AS value FROM embeddings""",
+)
+def model_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inspect.configuration(vector_model(spark, sf_dir)[0])
+
+
+@query(
+    "vote_similarity",
+    sql.chain(
+        VECTOR_PREFIX, sql.CLASSIFIER,
+        final="SELECT row_id, label AS candidate, round(CASE WHEN max(v) > 0 THEN sum(v) / CAST(max(v) * count(*) AS DOUBLE) ELSE 0 END, 9) AS similarity FROM votes GROUP BY row_id, label",
+    ),
+)
+def vote_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = vector_model(spark, sf_dir)
+    voted = model.votes(rows, VECTOR_BITS.on("x"))
+    found = voted.select("row_id", decide.similarity(F.col("votes"), len(model.labels)).alias("scores"))
+    names = constant(model.labels, "array<string>")
+    return found.select("row_id", F.posexplode("scores").alias("c", "s")).select(
+        "row_id", F.get(names, F.col("c")).alias("candidate"), F.round("s", 9).alias("similarity")
+    )

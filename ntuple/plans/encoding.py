@@ -462,6 +462,21 @@ def packed_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "feature_statistics",
+    sql.chain(
+        sql.VECTORS,
+        final="SELECT f AS feature, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, max(v) AS max, count(v) AS n FROM xs GROUP BY f",
+    ),
+)
+def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = encode.feature_statistics(tables.vectors(spark, sf_dir), "x")
+    found = spark.createDataFrame(
+        [tuple(s) for s in stats], "feature int, mean double, std double, min double, max double, n bigint"
+    )
+    return found.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
 # -- addresses ---------------------------------------------------------------
 
 ADDRESS_ROWS = "SELECT row_id, ram AS ram_id, a AS address FROM addr"

@@ -99,7 +99,35 @@ def train_bloom_murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_bloom(spark, sf_dir, HashFamily("murmur", 64, 3))[0].table
 
 
-@query("train_bloom_simhash")
+def scrambled(k: str) -> str:
+    """Multiply, rotate by 15, multiply: a whole block before it enters the hash."""
+    m = f"({k} * {C1} % 4294967296)"
+    return f"((({m} * 32768) % 4294967296 | ({m} // 131072)) * {C2} % 4294967296)"
+
+
+def simhash_sql(n: int, n_slots: int, n_hashes: int, seed: int) -> str:
+    """64 sign planes give two blocks; hash i of the signature uses seed i + 1."""
+    parts = [
+        "da AS (SELECT DISTINCT ram, a FROM addr)",
+        f"pl AS (SELECT h, d, CASE WHEN ('0x' || substr(md5('sim:{seed}:' || h || ':' || d), 1, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS g FROM range(64) x(h), range({n}) y(d))",
+        "sg AS (SELECT ram, a, h, CASE WHEN sum(((a >> CAST(d AS INTEGER)) & 1) * g) >= 0 THEN 1 ELSE 0 END AS s FROM da, pl GROUP BY ram, a, h)",
+        "bl AS (SELECT ram, a, CAST(sum(CASE WHEN h < 32 THEN s * (CAST(1 AS BIGINT) << CAST(h AS INTEGER)) ELSE 0 END) AS HUGEINT) AS k0, "
+        "CAST(sum(CASE WHEN h >= 32 THEN s * (CAST(1 AS BIGINT) << CAST(h - 32 AS INTEGER)) ELSE 0 END) AS HUGEINT) AS k1 FROM sg GROUP BY ram, a)",
+        f"b0 AS (SELECT ram, a, i, {scrambled('k0')} AS k0, {scrambled('k1')} AS k1, CAST(i + 1 AS HUGEINT) AS h FROM bl, range({n_hashes}) t(i))",
+        f"b1 AS (SELECT ram, a, i, k1, {murmur_step('h', 'k0')} AS h FROM b0)",
+        f"b2 AS (SELECT ram, a, i, {murmur_step('h', 'k1')} AS h FROM b1)",
+        "b3 AS (SELECT ram, a, i, xor(h, CAST(8 AS HUGEINT)) AS h FROM b2)",
+        f"b4 AS (SELECT ram, a, i, xor(h, h // 65536) * {MIX1} % 4294967296 AS h FROM b3)",
+        f"b5 AS (SELECT ram, a, i, xor(h, h // 8192) * {MIX2} % 4294967296 AS h FROM b4)",
+        f"slots AS (SELECT ram, a, i AS h, xor(h, h // 65536) % {n_slots} AS slot FROM b5)",
+    ]
+    return ",\n".join(parts)
+
+
+@query(
+    "train_bloom_simhash",
+    sql.chain(VECTOR_PREFIX, sql.ADDRESSES, sql.MODEL, simhash_sql(8, 64, 2, 5), BLOOM_TABLE, final=BLOOM_ROWS),
+)
 def train_bloom_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_bloom(spark, sf_dir, HashFamily("simhash", 64, 2, 5))[0].table
 

@@ -12,9 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores although the input has fewer files than there are.
+
+    A file with one row group is read by one task, and everything up to the first shuffle
+    would run in it.  Tables of many files, as any large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_id, label, x)``: 64 features per embedding, 10 labels."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")).select(
         F.col("vec_id").alias("row_id"),
         F.col("label").cast("string").alias("label"),
         F.col("embedding").cast("array<double>").alias("x"),
@@ -23,7 +33,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
     """``(row_id, label, x)``: length, letter share, distinct-word share, words; label = quality."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     joined = docs.join(labels, "doc_id", "inner" if labelled else "left")
     words = F.split("text", " ")
@@ -44,15 +54,17 @@ def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFr
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(label, x)``: quantity, price, discount, tax; label = return flag and line status."""
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("label"),
         F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("x"),
     )
+    return spread(rows)
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_id, ts, user_id, label, value, hour)``; hour of day with minutes as a fraction."""
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return spread(events).select(
         F.col("event_id").alias("row_id"),
         "ts",
         "user_id",
@@ -65,7 +77,10 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_id, y, x)``: regression of the order price on customer, month and priority."""
     priority = F.substring("o_orderpriority", 1, 1).cast("double")
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", "o_custkey", "o_orderdate", "o_orderpriority"
+    )
+    return spread(orders).select(
         F.col("o_orderkey").alias("row_id"),
         F.col("o_totalprice").alias("y"),
         F.array(

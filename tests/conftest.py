@@ -14,6 +14,7 @@ def spark():
 
     session = local_session("tests", 4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
