@@ -42,7 +42,7 @@ def test_training_shuffles_combined_counts_once(spark):
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "partial_count" in plan
-    assert "ReadSchema: struct<label:int,embedding:array<float>>" in plan
+    assert "ReadSchema: struct<embedding:array<float>,label:int>" in plan
 
 
 def test_large_models_split_hot_addresses(spark):
