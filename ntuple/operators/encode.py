@@ -23,6 +23,10 @@ from .address import ThresholdBits, class_counts
 from .order import global_ranks, order_statistics, rank_bins
 
 
+RANK_BIN_ROWS = 1_000_000
+"""Aimed rows of a rank bin, the part of a feature that one task orders."""
+
+
 @dataclass(frozen=True)
 class Thermometer:
     """Per-feature thresholds (possibly of unequal number); bit = value > threshold."""
@@ -293,7 +297,7 @@ def fit_class_conditional(
 ) -> Thermometer:
     """Quantiles of each class; the bits are dealt to the classes in label order."""
     values = long_features(df, features, [label])
-    labels = sorted(r[0] for r in df.select(label).distinct().collect())
+    labels = list(class_counts(df, label))
     share, extra = divmod(bits, len(labels))
     quota = {lab: share + (1 if i < extra else 0) for i, lab in enumerate(labels)}
     found = order_statistics(
@@ -360,23 +364,25 @@ def fit_mi_allocation(
 
 
 def fit_entropy_weighted(
-    df: DataFrame, features: str, label: str, row_id: str, bits: int, n_bins: int = 64
+    df: DataFrame, features: str, label: str, row_id: str, bits: int, n_bins: int | None = None
 ) -> Thermometer:
     """Thresholds where the classes overlap: equal shares of windowed label entropy.
 
     The label counts of a rank window are differences of running counts, fetched by two
     equi-joins on ``(feature, rank)``; running sums are taken inside balanced rank bins and
-    shifted by the bins before, so no task sees a whole feature.
+    shifted by the bins before, so no task sees a whole feature.  The number of bins grows
+    with the rows unless it is given.
     """
     with stored_rows(df.select(row_id, label, features)) as rows:
         return _entropy_weighted(rows, features, label, row_id, bits, n_bins)
 
 
 def _entropy_weighted(
-    df: DataFrame, features: str, label: str, row_id: str, bits: int, n_bins: int
+    df: DataFrame, features: str, label: str, row_id: str, bits: int, n_bins: int | None
 ) -> Thermometer:
     sizes = class_counts(df, label)
     n, labels = sum(sizes.values()), list(sizes)
+    n_bins = n_bins or max(16, min(4096, n // RANK_BIN_ROWS))
     names = [f"c{i}" for i in range(len(labels))]
     flags = [
         bit(F.col(label) == lab).cast("bigint").alias(c) for c, lab in zip(names, labels, strict=True)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..functions.joins import attach
 
 BINS = 1024
@@ -147,6 +148,26 @@ def _narrow(
     return out
 
 
+def count_passed(cuts: Column, passed: Callable[[Column], Column], at_most: int) -> Column:
+    """How many of the ascending ``cuts`` a row has passed, by bisection."""
+
+    def step(s: Column) -> Column:
+        return let(
+            F.shiftright(s["lo"] + s["hi"], 1),
+            lambda mid: F.when(
+                passed(F.get(cuts, mid)),
+                F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")),
+            ).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))),
+        )
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(max(1, at_most.bit_length()))),
+        F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")),
+        lambda s, _: F.when(s["lo"] < s["hi"], step(s)).otherwise(s),
+        lambda s: s["lo"],
+    )
+
+
 def rank_bins(
     df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int, name: str = "bin"
 ) -> tuple[DataFrame, dict[tuple, list[tuple[int, int]]]]:
@@ -207,12 +228,9 @@ def rank_bins(
         [*key_schema, "_cuts array<struct<v:double,t:bigint>>", "_bins array<int>"]
     )
     small = spark.createDataFrame(rows, edge_schema)
-    passed = F.size(
-        F.filter(
-            "_cuts",
-            lambda c: (F.col(value).cast("double") > c["v"])
-            | ((F.col(value).cast("double") == c["v"]) & (F.col(tie) >= c["t"])),
-        )
+    v = F.col(value).cast("double")
+    passed = count_passed(
+        F.col("_cuts"), lambda c: (v > c["v"]) | ((v == c["v"]) & (F.col(tie) >= c["t"])), n_bins
     )
     out = attach(df, small, keys).withColumn(name, F.get("_bins", passed)).drop("_cuts", "_bins")
     return out, {key: list(zip(bin_of[key], firsts[key], strict=True)) for key in sizes}

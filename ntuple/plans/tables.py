@@ -13,13 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores although the input has fewer files than there are.
+    """Use all cores although the input has fewer splits than there are.
 
     A file with one row group is read by one task, and everything up to the first shuffle
-    would run in it.  Tables of many files, as any large one, are left as they are.
+    would run in it.  Tables with many splits, as any large one, are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
