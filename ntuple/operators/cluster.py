@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,14 @@ from ..functions.expr import constant
 from ..functions.scalars import seeded_order
 from ..functions.joins import lookup_join
 from ..session import cut_lineage
-from .address import BitColumn, Mapping, random_mapping, tuple_addresses
+from .address import CLASS_LIMIT, BitColumn, Mapping, random_mapping, tuple_addresses
 from .count_model import CountModel, Options
 from .order import order_statistics
 from .regress import RegressionModel
 
 SEPARATOR = "::"
+ROW_BYTES = 96
+"""Generous size of one row of a cluster table in memory."""
 GROUP_ROWS = 1_000_000
 """Most rows of one group that the row-by-row mode accepts."""
 
@@ -45,14 +48,23 @@ class Rule:
 
 @dataclass(frozen=True)
 class ClusterModel:
-    """``table`` is ``(label, cluster, ram_id, address, cnt, sum_y)``, ``sizes`` the rows per cluster."""
+    """``table`` is ``(label, cluster, ram_id, address, cnt, sum_y)``, ``counts`` is
+    ``(label, cluster, n)``.  Groups may be many (users, devices), so both stay tables."""
 
     table: DataFrame
-    sizes: dict[tuple[str, int], int]
+    counts: DataFrame
     tuples: dict[str, tuple]
     entry_size: int
     rule: Rule
 
+    @cached_property
+    def sizes(self) -> dict[tuple[str, int], int]:
+        """Rows per cluster on the driver, for models whose groups are class labels."""
+        rows = self.counts.limit(CLASS_LIMIT + 1).collect()
+        if len(rows) > CLASS_LIMIT:
+            raise ValueError(f"more than {CLASS_LIMIT} clusters; use the tables")
+        return {(r["label"], r["cluster"]): r["n"] for r in rows}
+
     @property
     def clusters(self) -> list[tuple[str, int]]:
         return sorted(self.sizes)
@@ -104,7 +116,7 @@ class ClusterModel:
         ``group`` names the column with the group of a row; without it there is one group.
         """
         key = F.col(group).cast("string") if group else F.lit("")
-        rows = _own_clusters(df.withColumn("label", key), self.sizes, [row_id], bits)
+        rows = _own_clusters(df.withColumn("label", key), self.counts, [row_id], bits)
         looked = _looked_up(rows, self.table, self.tuples, bits, [row_id, "label", "cluster"])
         per = looked.groupBy(row_id, "cluster").agg(
             _similarity().alias("score"), mean(F.col("cnt"), F.col("sum_y")).alias("value")
@@ -126,16 +138,14 @@ def cluster_tuples(entry_size: int, tuple_size: int, limit: int, seed: int) -> d
     return dict(mapping.tuples)
 
 
-def _own_clusters(df: DataFrame, sizes: dict, keep: list[str], bits: str) -> DataFrame:
-    """Rows fanned out to the clusters of their own label."""
-    per: dict[str, list[int]] = {}
-    for lab, c in sorted(sizes):
-        per.setdefault(lab, []).append(c)
-    numbers = F.element_at(
-        constant(list(per.values()) or [[]], "array<array<int>>"),
-        F.nullif(F.array_position(constant(list(per), "array<string>"), F.col("label")).cast("int"), F.lit(0)),
-    )
-    return df.select(*keep, "label", bits, F.explode(numbers).alias("cluster"))
+def _own_clusters(
+    df: DataFrame, counts: DataFrame, keep: list[str], bits: str, size: int | None = None
+) -> DataFrame:
+    """Rows fanned out to the clusters of their own label; ``size`` is the measured bytes of ``counts``."""
+    per = counts.groupBy("label").agg(F.max("cluster").alias("_last"))
+    rows = lookup_join(df.select(*keep, "label", bits), per, ["label"], keep, size, how="inner")
+    numbers = F.explode(F.sequence(F.lit(0), F.col("_last")))
+    return rows.select(*keep, "label", bits, numbers.alias("cluster"))
 
 
 def _addressed(rows: DataFrame, tuples: dict[str, tuple], bits: str, keep: list[str]) -> DataFrame:
@@ -158,10 +168,12 @@ def _addressed(rows: DataFrame, tuples: dict[str, tuple], bits: str, keep: list[
     return out.select(*keep, F.col("_m.ram").alias("ram_id"), address.alias("address"))
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, tuples: dict, bits: str, keep: list[str]) -> DataFrame:
+def _looked_up(
+    rows: DataFrame, table: DataFrame, tuples: dict, bits: str, keep: list[str], size: int | None = None
+) -> DataFrame:
     addressed = _addressed(rows, tuples, bits, keep)
     keys = ["label", "cluster", "ram_id", "address"]
-    joined = lookup_join(addressed, table.select(*keys, "cnt", "sum_y"), keys, [keep[0], "ram_id"])
+    joined = lookup_join(addressed, table.select(*keys, "cnt", "sum_y"), keys, [keep[0], "ram_id"], size)
     return joined.select(
         *keep,
         "ram_id",
@@ -176,8 +188,10 @@ def _similarity() -> Column:
     return F.when(top > 0, F.sum("cnt") / (top * F.count(F.lit(1)))).otherwise(F.lit(0.0))
 
 
-def _scored(rows: DataFrame, table: DataFrame, tuples: dict, bits: str, keep: list[str]) -> DataFrame:
-    looked = _looked_up(rows, table, tuples, bits, keep)
+def _scored(
+    rows: DataFrame, table: DataFrame, tuples: dict, bits: str, keep: list[str], size: int | None = None
+) -> DataFrame:
+    looked = _looked_up(rows, table, tuples, bits, keep, size)
     return looked.groupBy(*keep).agg(_similarity().alias("score"))
 
 
@@ -198,6 +212,7 @@ def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+COUNT_SCHEMA = "label string, cluster int, n bigint"
 TABLE_SCHEMA = "label string, cluster int, ram_id int, address bigint, cnt bigint, sum_y double"
 
 
@@ -236,7 +251,7 @@ def train_rounds(
     cuts = [int(s.value) for s in order_statistics(rows, [], "_ord", lambda _k, _n: ends)[()]] if total else []
     tuples = start.tuples if start else cluster_tuples(entry_size, tuple_size, rule.limit, seed)
     table = start.table if start else spark.createDataFrame([], TABLE_SCHEMA)
-    sizes = dict(start.sizes) if start else {}
+    counts = start.counts if start else spark.createDataFrame([], COUNT_SCHEMA)
     low = None
     for cut in cuts:
         pending = rows.where(F.col("_ord") <= cut)
@@ -244,35 +259,37 @@ def train_rounds(
             pending = pending.where(F.col("_ord") > low)
         low = cut
         while True:
-            step = cut_lineage(_round(pending, table, sizes, tuples, rule))
+            step = cut_lineage(_round(pending, table, counts, tuples, rule))
             assigned = step.where(F.col("cluster").isNotNull())
-            grown = assigned.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()
-            for r in grown:
-                sizes[(r["label"], r["cluster"])] = sizes.get((r["label"], r["cluster"]), 0) + r["n"]
+            grown = assigned.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+            counts = cut_lineage(
+                counts.unionByName(grown).groupBy("label", "cluster").agg(F.sum("n").alias("n"))
+            )
             table = cut_lineage(_merged(table, _counted(assigned, tuples, "bits")))
             pending = step.where(F.col("cluster").isNull()).select("_ord", "label", "bits", "y")
             if pending.isEmpty():
                 break
-    return ClusterModel(table, sizes, tuples, entry_size, rule)
+    return ClusterModel(table, counts, tuples, entry_size, rule)
 
 
-def _round(pending: DataFrame, table: DataFrame, sizes: dict, tuples: dict, rule: Rule) -> DataFrame:
-    """Assign pending rows to clusters; rows to be scored again keep a null cluster."""
-    spark = pending.sparkSession
-    known = spark.createDataFrame(
-        [(lab, c, n) for (lab, c), n in sizes.items()], "label string, cluster int, n bigint"
-    )
+def _round(pending: DataFrame, table: DataFrame, known: DataFrame, tuples: dict, rule: Rule) -> DataFrame:
+    """Assign pending rows to clusters; rows to be scored again keep a null cluster.
+
+    The model and the cluster counts are checkpointed, so measuring them is cheap; they are
+    broadcast only when they turn out small.
+    """
+    small, large = known.count() * ROW_BYTES, table.count() * ROW_BYTES
     room = known.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("k"))
-    fanned = _own_clusters(pending, sizes, ["_ord"], "bits")
-    scores = _scored(fanned, table, tuples, "bits", ["_ord", "label", "cluster"])
-    judged = scores.join(F.broadcast(known), ["label", "cluster"]).select(
+    fanned = _own_clusters(pending, known, ["_ord"], "bits", small)
+    scores = _scored(fanned, table, tuples, "bits", ["_ord", "label", "cluster"], large)
+    judged = lookup_join(scores, known, ["label", "cluster"], ["_ord"], small, how="inner").select(
         "_ord", "cluster", "score", (F.col("score") >= rule.needed(F.col("n"))).alias("fits")
     )
     per_row = judged.groupBy("_ord").agg(
         F.collect_list(F.when(F.col("fits"), F.col("cluster"))).alias("fits"),
         F.max_by("cluster", F.struct("score", "cluster")).alias("best"),
     )
-    rows = pending.join(per_row, "_ord", "left").join(F.broadcast(room), "label", "left")
+    rows = lookup_join(pending.join(per_row, "_ord", "left"), room, ["label"], ["_ord"], small)
     count = F.coalesce("k", F.lit(0))
     none_fits = F.coalesce(F.size("fits"), F.lit(0)) <= 0
     first = (
@@ -280,7 +297,7 @@ def _round(pending: DataFrame, table: DataFrame, sizes: dict, tuples: dict, rule
         .groupBy("label")
         .agg(F.min("_ord").alias("_first"))
     )
-    placed = rows.join(first, "label", "left").select(
+    placed = lookup_join(rows, first, ["label"], ["_ord"]).select(
         "_ord",
         "label",
         "bits",
@@ -392,11 +409,8 @@ def train_sequential(
 
     ordered = rows.repartition("label").sortWithinPartitions("label", "_ord")
     table = cut_lineage(ordered.groupBy("label").applyInPandas(run, TABLE_SCHEMA + ", size bigint"))
-    sizes = {
-        (r["label"], r["cluster"]): r["size"]
-        for r in table.select("label", "cluster", "size").distinct().collect()
-    }
-    return ClusterModel(table.drop("size"), sizes, tuples, entry_size, rule)
+    counts = table.select("label", "cluster", F.col("size").alias("n")).distinct()
+    return ClusterModel(table.drop("size"), counts, tuples, entry_size, rule)
 
 
 def train_semi_supervised(
@@ -424,6 +438,5 @@ def single_regression(model: ClusterModel, label: str, cluster: int, mean) -> Re
 
 def cluster_counts(model: ClusterModel) -> DataFrame:
     """Clusters and trained rows per label."""
-    rows = [(lab, c, n) for (lab, c), n in sorted(model.sizes.items())]
-    table = model.table.sparkSession.createDataFrame(rows, "label string, cluster int, n bigint")
-    return table.withColumn("clusters", F.count(F.lit(1)).over(W.partitionBy("label")))
+    per_label = F.count(F.lit(1)).over(W.partitionBy("label"))
+    return model.counts.withColumn("clusters", per_label)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,4 +39,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    # Writing a checkpoint evaluates the plan a second time unless the rows are kept.
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()

@@ -144,6 +144,7 @@ def load_regression_model(spark: SparkSession, path: str, mean) -> RegressionMod
 def save_cluster_model(model: ClusterModel, path: str) -> None:
     spark = model.table.sparkSession
     model.table.write.mode("overwrite").parquet(f"{path}/ram")
+    model.counts.write.mode("overwrite").parquet(f"{path}/counts")
     Mapping(model.entry_size, model.tuples).table(spark).coalesce(1).write.mode("overwrite").parquet(
         f"{path}/mapping"
     )
@@ -154,7 +155,6 @@ def save_cluster_model(model: ClusterModel, path: str) -> None:
             "entry_size": model.entry_size,
             "base": 2,
             "multi_resolution": False,
-            "sizes": [[lab, c, n] for (lab, c), n in model.sizes.items()],
             "rule": [model.rule.min_score, model.rule.threshold, model.rule.limit],
         },
     )
@@ -164,7 +164,7 @@ def load_cluster_model(spark: SparkSession, path: str) -> ClusterModel:
     meta = read_meta(spark, path)
     return ClusterModel(
         spark.read.parquet(f"{path}/ram"),
-        {(lab, c): n for lab, c, n in meta["sizes"]},
+        spark.read.parquet(f"{path}/counts"),
         dict(_load_mapping(spark, path, meta).tuples),
         meta["entry_size"],
         Rule(*meta["rule"]),
