@@ -43,20 +43,25 @@ def node_cuts(rows: DataFrame, keys: list[str], leaves: dict[int, int], shard_we
     """The widest dimension of each node and the key at which its weight splits.
 
     ``rows``: ``node``, ``weight`` and the keys (0 <= key < 2^62).  A cut is narrowed by
-    histograms until the bin that holds it has little weight or is one key.
+    histograms until the bin that holds it has little weight or a single key.
     """
     split = [n for n, m in leaves.items() if m > 1]
     spans = (
         rows.where(F.col("node").isin(split))
         .groupBy("node")
-        .agg(F.sum("weight").alias("weight"), *[(F.max(k) - F.min(k)).alias(k) for k in keys])
+        .agg(
+            F.sum("weight").alias("weight"),
+            *[(F.max(k) - F.min(k)).alias(k) for k in keys],
+            *[F.min(k).alias(f"least{k}") for k in keys],
+        )
         .collect()
     )
     dims = {n: 0 for n in leaves} | {r["node"]: max(range(len(keys)), key=lambda i: (r[keys[i]], -i)) for r in spans}
     # Rows below the cut go left: none has a key of 2^62 or more, so a leaf passes all to its left child.
     top = 1 << (VALUE_BITS + TIE_BITS)
-    low = {n: 0 for n in leaves}
-    bits = VALUE_BITS + TIE_BITS
+    low = {r["node"]: r[f"least{keys[dims[r['node']]]}"] for r in spans}
+    width = {r["node"]: (r[keys[dims[r["node"]]]] + 1).bit_length() for r in spans}
+    bits = max(width.values(), default=0)
     want = {r["node"]: r["weight"] * (leaves[r["node"]] // 2) / leaves[r["node"]] for r in spans}
     cuts = {n: top for n in leaves}
     open_nodes = set(want)
@@ -69,28 +74,29 @@ def node_cuts(rows: DataFrame, keys: list[str], leaves: dict[int, int], shard_we
             .select("node", "goal", "weight", offset.alias("_offset"))
             .where((F.col("_offset") >= 0) & (F.col("_offset") < F.lit(1 << bits)))
             .groupBy("node", "goal", F.shiftright("_offset", shift).alias("bin"))
-            .agg(F.sum("weight").alias("w"))
+            .agg(F.sum("weight").alias("w"), F.min("_offset").alias("least"), F.max("_offset").alias("most"))
         )
         upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
         found = (
             held.withColumn("upto", upto)
             .where("upto >= goal")
             .groupBy("node")
-            .agg(F.min(F.struct("bin", "upto", "w")).alias("x"))
+            .agg(F.min(F.struct("bin", "upto", "w", "least", "most")).alias("x"))
             .collect()
         )
         for r in found:
-            node, (place, total, weight) = r["node"], r["x"]
-            if shift == 0 or weight <= TOLERANCE * shard_weight:
+            node, (_, total, weight, least, most) = r["node"], r["x"]
+            if least == most or weight <= TOLERANCE * shard_weight:
                 # Cut at the nearer edge of the bin.
-                nearer = place + (want[node] - (total - weight) > weight / 2)
-                cuts[node] = low[node] + (int(nearer) << shift)
+                nearer = want[node] - (total - weight) > weight / 2
+                cuts[node] = low[node] + (most + 1 if nearer else least)
                 open_nodes.discard(node)
             else:
-                low[node] += place << shift
+                low[node] += least
                 want[node] -= total - weight
+                width[node] = (most - least + 1).bit_length()
         open_nodes -= set(want) - {r["node"] for r in found}
-        bits = shift
+        bits = max((width[n] for n in open_nodes), default=0)
     return dims, cuts
 
 
