@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, mixing, secrets, sharding, urlfilter
 from .common import count_words, table
 from .oracles import ORACLES
 
@@ -16,6 +16,32 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
+#: The rules of the page filter.
+URL_RULES = [
+    urlfilter.Rule("net", "/", "block"),
+    urlfilter.Rule("example.net", "/en/", "allow"),
+    urlfilter.Rule("example.com", "/de/", "block"),
+    urlfilter.Rule("org", "/fr/", "allow"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urlfilter.fit(urlfilter.labelled_urls(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES, model).drop("score")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, r.kind)) for r in secrets.BASE]
+    counts = [(F.size("spans") - n).cast("long").alias(f"n_{r.kind}") for n, r in zip(counts, secrets.BASE, strict=True)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of equal bytes.  The dimensions come from the text alone: equal texts stay together."""
     text = F.coalesce("text", F.lit(""))
@@ -66,6 +92,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_url_filter": op4_url_filter,
+    "op6_secret_scan": op6_secret_scan,
     "op8_kd_shards": op8_kd_shards,
     "op9_chat_turns": op9_chat_turns,
     "op10_mix_sources": op10_mix_sources,
