@@ -18,6 +18,53 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+# Windows of at least 50 words forwards and backwards; lists of lines stand for their hashes.
+LINES = """
+WITH split AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), numbered AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split
+), counted AS (
+  SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
+  FROM numbered
+), summed AS (
+  SELECT doc_id, pos, line, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, n FROM counted WHERE n > 0
+), lines AS (
+  SELECT doc_id, pos, line, CAST(upto AS BIGINT) AS upto, CAST(upto - n AS BIGINT) AS before FROM summed
+), windows AS (
+  SELECT doc_id, 0 AS kind, pos AS start, max(pos) OVER w AS fin, list(line) OVER w AS k, max(upto) OVER w - before AS size
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, 1, min(pos) OVER w, pos, list(line) OVER w, upto - min(before) OVER w
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), long AS (
+  SELECT doc_id, kind, start, fin, k FROM windows WHERE size >= 50
+), ranked AS (
+  SELECT *, first_value(doc_id) OVER o AS d1, first_value(fin) OVER o AS f1
+  FROM long WINDOW o AS (PARTITION BY kind, k ORDER BY doc_id, start, fin)
+), later AS (
+  SELECT DISTINCT doc_id, start, fin FROM ranked WHERE doc_id <> d1 OR start > f1
+), reach AS (
+  SELECT *, max(fin) OVER (PARTITION BY doc_id ORDER BY start, fin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM later
+), opened AS (
+  SELECT *, sum(CASE WHEN r IS NULL OR start > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, fin) AS run FROM reach
+), runs AS (
+  SELECT doc_id, run, min(start) AS s, max(fin) AS e FROM opened GROUP BY doc_id, run
+), listed AS (
+  SELECT doc_id, string_agg(s || '-' || e, ',' ORDER BY s) AS runs, sum(e - s + 1) AS gone FROM runs GROUP BY doc_id
+), left_over AS (
+  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.pos) AS text
+  FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = n.doc_id AND n.pos BETWEEN r.s AND r.e)
+  GROUP BY n.doc_id
+)
+SELECT s.doc_id, CASE WHEN l.runs IS NULL THEN s.text ELSE coalesce(o.text, '') END AS text,
+  CAST(coalesce(len(s.ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(l.gone, 0) AS INTEGER) AS deleted_lines,
+  coalesce(l.runs, '') AS runs
+FROM split s LEFT JOIN listed l ON s.doc_id = l.doc_id LEFT JOIN left_over o ON s.doc_id = o.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": LINES,
     "op9_chat_turns": CHAT,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, sharding, urlfilter
+from . import chat, linededup, mixing, secrets, sharding, urlfilter
 from .common import count_words, table
 from .oracles import ORACLES
 
@@ -42,6 +42,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs; runs are written ``start-end``, comma-joined."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
+    return out.select("doc_id", "text", "n_lines", "deleted_lines", runs.alias("runs"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of equal bytes.  The dimensions come from the text alone: equal texts stay together."""
     text = F.coalesce("text", F.lit(""))
@@ -94,6 +101,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op4_url_filter": op4_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op7_line_dedup": op7_line_dedup,
     "op8_kd_shards": op8_kd_shards,
     "op9_chat_turns": op9_chat_turns,
     "op10_mix_sources": op10_mix_sources,

@@ -63,6 +63,10 @@ https://hot-dates.example.com/adult/4
 http://payday-loan.example.net/cash/8
 https://quick-loans.example.org/en/25
 http://free-gift.example.com/claim/6
+https://m.free-bet.example.net/en/44
+http://blog.bets.example.org/de/12.html
+https://m.cheap-loans.example.com/fr/9#top
+http://blog.casino.example.net/en/70?page=2
 """.split()
 ALLOW_URLS = """
 https://www.theriver.example.com/en/12
@@ -174,7 +178,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.explode(urls).alias("x")).select("x.url", "x.label")
 
 
-def fit(labelled: DataFrame, reg: float = 0.02) -> LogisticRegressionModel:
+def fit(labelled: DataFrame, reg: float = 0.005) -> LogisticRegressionModel:
     """Fit the regression on ``url``, ``label``; rows without either are left out."""
     host, path = parts(F.col("url"))
     rows = labelled.dropna(subset=["url", "label"]).select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label"))
