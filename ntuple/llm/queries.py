@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, secrets, sharding, urlfilter
+from . import chat, linededup, mixing, quality, secrets, sharding, urlfilter
 from .common import count_words, table
 from .oracles import ORACLES
 
@@ -16,6 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).drop("text")
+
+
 #: The rules of the page filter.
 URL_RULES = [
     urlfilter.Rule("net", "/", "block"),
@@ -99,6 +105,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
