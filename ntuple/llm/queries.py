@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, quality, secrets, sharding, urlfilter
+from . import chat, linededup, mixing, packing, quality, secrets, sharding, urlfilter
 from .common import count_words, table
 from .oracles import ORACLES
 
@@ -16,6 +16,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -105,6 +116,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_curve_packing": op1_curve_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op6_secret_scan": op6_secret_scan,
