@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, mixing, packing, quality, secrets, sharding, urlfilter
-from .common import count_words, table
+from . import chat, fingerprints, linededup, mixing, packing, quality, secrets, sharding, urlfilter
+from .common import count_words, running, stored, table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,45 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts.
+
+    Documents are numbered by ``doc_id``; each sends the head of its text to the one before it.
+    The texts are shuffled once, by the row of the file they come from, and once their heads.
+    """
+    docs = linededup.with_row_id(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    row = ["_file", "_row"]
+    texts = docs.select(*row, F.coalesce("text", F.lit("")).alias("text"))
+    sizes = docs.select("doc_id", *row, F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    numbered = stored(running(sizes, ["doc_id", *row], None, "place"))
+    n = numbered.count()
+    before = numbered.select(
+        ((F.col("place") + 1) % F.lit(max(n, 1))).alias("place"),
+        F.col("_file").alias("p_file"), F.col("_row").alias("p_row"), F.floor(F.col("n_chars") / 2).alias("need"),
+    )
+    links = stored(numbered.select("place", *row).join(before, "place").drop("place"))
+    heads = texts.join(links, row).select(
+        F.col("p_file").alias("_file"), F.col("p_row").alias("_row"), "need",
+        F.substr("text", F.lit(1), F.col("need").cast("int")).alias("head"),
+    )
+    edited = F.concat(F.substr("text", F.lit(1), (F.length("text") - F.col("need")).cast("int")), F.col("head"))
+    pairs = texts.join(heads, row).select(*row, "text", edited.alias("edited"))
+    both = pairs.select(*row, F.posexplode(F.array("text", "edited")).alias("which", "text"))
+    signed = fingerprints.fingerprints(both, [*row, "which"])
+    digests = pairs.select(*row, F.sha2("edited", 256).alias("edited_sha256"))
+    own = signed.groupBy(*row).agg(
+        F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
+        F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
+    )
+    rows = stored(numbered.join(own, row).join(digests, row).drop(*row))
+    following = rows.select(((F.col("place") + n - 1) % F.lit(max(n, 1))).alias("place"), F.col("fingerprint").alias("next"))
+    return rows.join(following, "place").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        fingerprints.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        fingerprints.likeness("fingerprint", "next").alias("near_next"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -117,6 +156,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_curve_packing": op1_curve_packing,
+    "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op6_secret_scan": op6_secret_scan,
