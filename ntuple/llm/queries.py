@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, linededup, mixing, packing, quality, secrets, sharding, urlfilter
+from . import chat, fingerprints, linededup, mixing, nearjoin, packing, quality, secrets, sharding, urlfilter
 from .common import count_words, running, stored, table
 from .oracles import ORACLES
 
@@ -87,6 +87,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, URL_RULES, model).drop("score")
 
 
+def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.with_row_id(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return nearjoin.near_classes(docs).select("doc_id", "class_id", "n_links")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
@@ -159,6 +164,7 @@ QUERIES: dict[str, Query] = {
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
+    "op5_near_join": op5_near_join,
     "op6_secret_scan": op6_secret_scan,
     "op7_line_dedup": op7_line_dedup,
     "op8_kd_shards": op8_kd_shards,
