@@ -91,19 +91,21 @@ def mix(
     weight: Column | None = None,
     max_repeats: int = 3,
     seed: int = 10,
+    draw_by: list[str] | None = None,
 ) -> DataFrame:
     """What a mixture takes of each document.
 
     Returns the ``keep`` columns and ``size``, ``source_size``, ``target`` (of the source),
     ``taken``, ``whole`` (times the whole document is taken) and ``parts`` (ranges of tokens
     ``first``, ``length`` that are taken once more).  ``weight`` is an expression over one row
-    for each source (default: :func:`cyclic_weights`).
+    for each source (default: :func:`cyclic_weights`).  The draw depends on the seed
+    and on the ``draw_by`` columns (default: ``keep``), so reruns agree.
 
     Null sources form one source, the last.  Null sizes count 0; documents of size 0 take
     nothing.  Rows that repeat, ids included, are documents of their own.  No rows give no
     rows.  Other columns, whatever their names, are not read.
     """
-    order = seeded(seed, *keep)
+    order = seeded(seed, *(draw_by or keep))
     base = stored(
         docs.select(
             *[F.col(c).alias(f"k_{c}") for c in keep],
