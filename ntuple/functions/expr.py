@@ -30,7 +30,7 @@ def bit(condition: Column) -> Column:
 
 def truncate(value: Column) -> Column:
     """Drop the fraction, towards zero."""
-    return value.cast("int")
+    return value.cast("bigint")
 
 
 def pack_bits(bits: Column) -> Column:

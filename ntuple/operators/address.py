@@ -169,16 +169,17 @@ def multi_resolution_sizes(entry_size: int, tuple_size: int, complete: bool = Tr
     low = max(2, tuple_size // 2)
     high = max(low, tuple_size * 3 // 2)
     sizes = [int(low + i / (count - 1) * (high - low) + 0.5) for i in range(count)]
-    surplus = entry_size - sum(sizes)
-    if surplus > 0:
-        share, extra = divmod(surplus, count)
-        return [s + share + (1 if i >= count - extra else 0) for i, s in enumerate(sizes)]
-    while surplus < 0 and max(sizes) > 2:
-        for i in range(count):
-            if surplus < 0 and sizes[i] > 2:
-                sizes[i] -= 1
-                surplus += 1
-    return sizes
+    missing = entry_size - sum(sizes)
+    if missing >= 0:
+        # Equal shares; what is left over goes to the last tuples.
+        return [size + (missing + i) // count for i, size in enumerate(sizes)]
+    # No tuple is cut below two bits.  All are cut down by the same number of bits, as far as
+    # their room allows; what then still has to go is taken from the first tuples with room.
+    room = [max(size - 2, 0) for size in sizes]
+    level = max(k for k in range(max(room) + 1) if sum(min(k, r) for r in room) <= -missing)
+    rest = -missing - sum(min(level, r) for r in room)
+    one_more = [i for i, r in enumerate(room) if r > level][:rest]
+    return [size - min(level, r) - (i in one_more) for i, (size, r) in enumerate(zip(sizes, room, strict=True))]
 
 
 def multi_resolution_mapping(
@@ -275,20 +276,19 @@ def padded_permutation(n_inputs: int, tuple_size: int, seed: int) -> Mapping:
     )
 
 
-CLASS_LIMIT = 10_000
-
-
-def class_counts(df: DataFrame, label: str = "label") -> dict[str, int]:
-    """Rows per label, in label order; unlabelled rows are left out."""
-    rows = (
+def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
+    """``(label, n)``; unlabelled rows are left out."""
+    return (
         df.where(F.col(label).isNotNull())
         .groupBy(F.col(label).cast("string").alias("label"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .limit(CLASS_LIMIT + 1)
-        .collect()
     )
-    if len(rows) > CLASS_LIMIT:
-        raise ValueError(f"more than {CLASS_LIMIT} labels")
+
+
+def class_counts(df: DataFrame, label: str = "label") -> dict[str, int]:
+    """Rows per label, in label order.  A row for each label comes to the driver: scores are arrays over
+    the labels anyway, so a model has as many as a row can hold."""
+    rows = label_counts(df, label).collect()
     return {r["label"]: r["n"] for r in sorted(rows, key=lambda r: r["label"].encode())}
 
 
@@ -313,7 +313,12 @@ class BitColumn:
 
     def digit(self, p: Column | dict, row: Column | None = None) -> Column:
         source = F.col(self.name) if row is None else row
-        return F.coalesce(F.get(source, p["i"]).cast("bigint"), F.lit(0).cast("bigint"))
+        index = p["i"] if isinstance(p["i"], Column) else F.lit(p["i"])
+        short = F.raise_error(F.lit("a row has fewer bits than the mapping refers to")).cast("bigint")
+        # Tuples shorter than the widest one have no index in their last places.
+        return F.when(index.isNull(), F.lit(0).cast("bigint")).otherwise(
+            F.coalesce(F.get(source, index).cast("bigint"), short)
+        )
 
 
 @dataclass(frozen=True)
@@ -476,6 +481,27 @@ def slot_numbers(mapping: Mapping, bits: BitSource, labels: list[str]) -> Column
     )
 
 
+def address_pattern(mapping: Mapping, bits: BitSource, labels: list[str]) -> Column:
+    """All addresses of one row in an array: one per tuple of a shared mapping, else one per
+    tuple and label (tuple-major).  Wide addresses are strings."""
+    keys = [SHARED] if mapping.is_shared else labels
+    plan = constant(
+        [
+            [{**bits.plan(i), "w": 0 if mapping.is_wide else mapping.base**j} for j, i in enumerate(mapping.of(key)[ram])]
+            for ram in range(mapping.n_rams)
+            for key in keys
+        ],
+        f"array<array<struct<{bits.plan_fields},w:bigint>>>",
+    )
+
+    def one(tup: Column, row: Column) -> Column:
+        if mapping.is_wide:
+            return F.array_join(F.transform(tup, lambda p: bits.digit(p, row).cast("string")), "")
+        return _address(tup, bits, row)
+
+    return let(F.col(bits.columns()[0]), lambda row: F.transform(plan, lambda tup: one(tup, row)))
+
+
 def slot_votes(mapping: Mapping, labels: list[str], cells: Column, slots: Column) -> Column:
     """Votes ``array<array<int>>`` (tuple, then label) at the given dense positions.
 

@@ -24,7 +24,7 @@ from ..functions.expr import constant
 from ..functions.scalars import seeded_order
 from ..functions.joins import lookup_join
 from ..session import cut_lineage
-from .address import CLASS_LIMIT, BitColumn, Mapping, random_mapping, tuple_addresses
+from .address import BitColumn, Mapping, random_mapping, tuple_addresses
 from .count_model import CountModel, Options
 from .order import order_statistics
 from .regress import RegressionModel
@@ -59,10 +59,9 @@ class ClusterModel:
 
     @cached_property
     def sizes(self) -> dict[tuple[str, int], int]:
-        """Rows per cluster on the driver, for models whose groups are class labels."""
-        rows = self.counts.limit(CLASS_LIMIT + 1).collect()
-        if len(rows) > CLASS_LIMIT:
-            raise ValueError(f"more than {CLASS_LIMIT} clusters; use the tables")
+        """Rows per cluster on the driver, a row for each cluster, for models whose groups are class
+        labels; ``counts`` is the same as a table."""
+        rows = self.counts.collect()
         return {(r["label"], r["cluster"]): r["n"] for r in rows}
 
     @property
@@ -91,10 +90,10 @@ class ClusterModel:
         )
         return CountModel(table, mapping, trainings, options)
 
-    def classify(self, df: DataFrame, bits: str, row_id: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    def classify(self, df: DataFrame, bits: str) -> DataFrame:
         """Add ``predicted`` and ``predicted_cluster``."""
         model = self.as_count_model()
-        out = model.classify(df, BitColumn(bits), row_id, keep)
+        out = model.classify(df, BitColumn(bits))
         parts = F.split("predicted", SEPARATOR)
         return out.withColumn("predicted_cluster", F.element_at(parts, -1).cast("int")).withColumn(
             "predicted", F.array_join(F.slice(parts, 1, F.size(parts) - 1), SEPARATOR)
@@ -423,7 +422,7 @@ def train_semi_supervised(
         first_slice=first_slice,
     )
     rest = df.where(F.col(label).isNull()).select(order, bits)
-    guessed = model.classify(rest, bits, order).select(order, F.col("predicted").alias(label))
+    guessed = model.classify(rest, bits).select(order, F.col("predicted").alias(label))
     return train_rounds(
         rest.join(guessed, order), bits, entry_size, tuple_size, seed, order, label, rule=rule,
         first_slice=first_slice, start=model,

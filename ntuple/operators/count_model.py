@@ -15,6 +15,7 @@ from .address import (
     SHARED,
     BitSource,
     Mapping,
+    address_pattern,
     class_counts,
     slot_count,
     slot_numbers,
@@ -37,6 +38,10 @@ def check_entry_size(df: DataFrame, bits: str, entry_size: int) -> None:
 def count_addresses(df: DataFrame, mapping: Mapping, bits: BitSource, label: str = "label") -> DataFrame:
     """Training: one map-side-combined count per (label, tuple, address)."""
     labelled = df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("string"))
+    if not mapping.is_shared:
+        unmapped = F.concat(F.lit("no mapping for the label "), F.col(label))
+        known = F.col(label).isin(sorted(mapping.tuples))
+        labelled = labelled.withColumn(label, F.when(known, F.col(label)).otherwise(F.raise_error(unmapped).cast("string")))
     rows = tuple_rows(labelled, mapping, bits, [label], label=label)
     return (
         rows.groupBy(F.col(label).alias("label"), "ram_id", "address")
@@ -88,6 +93,10 @@ class CountModel:
     options: Options = field(default_factory=Options)
     background: DataFrame | None = None
     """Counts over all rows regardless of label: ``(ram_id, address, cnt)``."""
+    background_mapping: Mapping | None = None
+    """The shared mapping of the background."""
+    new_mapping: Callable[[list[str]], Mapping] | None = None
+    """Makes the tuples of labels that are trained later."""
 
     @staticmethod
     def train(
@@ -100,13 +109,12 @@ class CountModel:
     ) -> CountModel:
         """Count addresses.  ``mapping`` may be a function of the labels found in ``df``."""
         trainings = class_counts(df, label)
-        chosen = mapping if isinstance(mapping, Mapping) else mapping(list(trainings))
-        shared = None
-        if background is not None:
-            rows = tuple_rows(df.where(F.col(label).isNotNull()), background, bits, [])
-            shared = rows.groupBy("ram_id", "address").agg(F.count(F.lit(1)).alias("cnt"))
+        maker = None if isinstance(mapping, Mapping) else mapping
+        chosen = mapping if maker is None else maker(list(trainings))
+        _check_labels(chosen, trainings)
+        shared = None if background is None else count_background(df, background, bits, label)
         return CountModel(
-            count_addresses(df, chosen, bits, label), chosen, trainings, options, shared
+            count_addresses(df, chosen, bits, label), chosen, trainings, options, shared, background, maker
         )
 
     @property
@@ -117,28 +125,51 @@ class CountModel:
         return replace(self, options=replace(self.options, **changes))
 
     def add(self, df: DataFrame, bits: BitSource, label: str = "label") -> CountModel:
-        """Train more rows; new labels need a mapping that covers them."""
+        """Train more rows, in the background as well.
+
+        A label that the model does not know yet gets tuples from ``new_mapping``; a shared
+        mapping covers every label.
+        """
         counts = dict(self.trainings)
         for lab, n in class_counts(df, label).items():
             counts[lab] = counts.get(lab, 0) + n
+        mapping = self.mapping
+        fresh = [] if mapping.is_shared else sorted(set(counts) - set(mapping.tuples))
+        if fresh and self.new_mapping is not None:
+            made = self.new_mapping(fresh)
+            for lab in fresh:
+                mapping = mapping.replaced(lab, made.of(lab))
+        _check_labels(mapping, counts)
+        background = self.background
+        if background is not None:
+            more = count_background(df, self.background_mapping, bits, label)
+            background = _merged(background.unionByName(more))
         return replace(
             self,
-            table=merge_counts(self.table, count_addresses(df, self.mapping, bits, label)),
+            table=merge_counts(self.table, count_addresses(df, mapping, bits, label)),
+            mapping=mapping,
             trainings=dict(sorted(counts.items(), key=lambda kv: kv[0].encode())),
+            background=background,
         )
 
     def remove(self, df: DataFrame, bits: BitSource, label: str = "label", keep_zero: bool = False) -> CountModel:
-        """Forget rows; labels the model does not know are ignored."""
+        """Forget rows, in the background as well; labels the model does not know are ignored."""
         known = df.where(F.col(label).cast("string").isin(self.labels))
         counts = dict(self.trainings)
         for lab, n in class_counts(known, label).items():
             counts[lab] -= n
+        background = self.background
+        if background is not None:
+            less = count_background(known, self.background_mapping, bits, label)
+            left = _merged(background.unionByName(less.withColumn("cnt", -F.col("cnt"))))
+            background = left if keep_zero else left.where(F.col("cnt") > 0)
         return replace(
             self,
             table=subtract_counts(
                 self.table, count_addresses(known, self.mapping, bits, label), keep_zero
             ),
             trainings=counts,
+            background=background,
         )
 
     def reset(self) -> CountModel:
@@ -170,11 +201,11 @@ class CountModel:
             cells = [[0] * len(self.labels) for _ in range(n)]
             for r in rows:
                 cells[offsets[(SHARED, r["ram_id"])] + r["address"]][place[r["label"]]] = r["cnt"]
-            return constant(cells, "array<array<int>>")
+            return constant(cells, "array<array<bigint>>")
         flat = [0] * n
         for r in rows:
             flat[offsets[(r["label"], r["ram_id"])] + r["address"]] = r["cnt"]
-        return constant(flat, "array<int>")
+        return constant(flat, "array<bigint>")
 
     def _zero_slots(self) -> Column:
         """Dense positions of the zero addresses."""
@@ -189,9 +220,9 @@ class CountModel:
         )
         votes = slot_votes(self.mapping, self.labels, self.dense_cells(), masked)
         if self.mapping.is_shared:
-            nothing = F.array_repeat(F.lit(0), len(self.labels))
+            nothing = F.array_repeat(F.lit(0).cast("bigint"), len(self.labels))
             return F.transform(votes, lambda row: F.coalesce(row, nothing))
-        return F.transform(votes, lambda row: F.transform(row, lambda v: F.coalesce(v, F.lit(0))))
+        return F.transform(votes, lambda row: F.transform(row, lambda v: F.coalesce(v, F.lit(0).cast("bigint"))))
 
     def votes_in_row(self, df: DataFrame, bits: BitSource, name: str = "votes") -> DataFrame:
         """Votes from the dense constant: a projection, no shuffle and no row key."""
@@ -214,82 +245,86 @@ class CountModel:
 
     def confusion(self, df: DataFrame, bits: BitSource, label: str = "label") -> DataFrame:
         """Rows per label and prediction: ``(label, predicted, n)``."""
-        voted = self.votes_by_pattern(df, bits, [label])
-        won = decide.winner(self.scores(F.col("votes")), self.labels)
-        return (
-            voted.select(F.col(label).alias("label"), won.alias("predicted"), "n")
-            .groupBy("label", "predicted")
-            .agg(F.sum("n").alias("n"))
-        )
+        if self.is_dense() and not self.uses_background:
+            voted = self.votes_by_pattern(df, bits, [label])
+            won = decide.winner(self.scores(F.col("votes")), self.labels)
+            voted = voted.select(F.col(label).alias("label"), won.alias("predicted"), "n")
+        else:
+            voted = self.classify(df, bits).select(F.col(label).alias("label"), "predicted", F.lit(1).alias("n"))
+        return voted.groupBy("label", "predicted").agg(F.sum("n").alias("n"))
 
     def votes_by_join(
-        self,
-        df: DataFrame,
-        bits: BitSource,
-        row_id: str,
-        keep: list[str] | None = None,
-        name: str = "votes",
-        broadcast: bool = True,
+        self, df: DataFrame, bits: BitSource, name: str = "votes", broadcast: bool = True
     ) -> DataFrame:
-        """Votes by an equi-join of row addresses with the model table, regrouped per row.
+        """Votes by an equi-join of addresses with the model table.
 
-        The model is broadcast only when its address space proves it small (and ``broadcast``
-        allows it); otherwise both sides shuffle on the address plus a salt.
+        Rows with the same addresses get the same votes, so each distinct pattern of addresses is
+        looked up once and joined back: every input row, repeated ones included, comes out once
+        with all its columns, and no row key is needed.  The model is broadcast only when its
+        address space proves it small (and ``broadcast`` allows it); otherwise both sides shuffle
+        on the address plus a salt.
         """
-        keep = keep or []
-        lookups = tuple_rows(df, self.mapping, bits, [row_id, *keep])
+        shared, n_labels = self.mapping.is_shared, len(self.labels)
+        per_tuple = 1 if shared else n_labels
+        pattern = address_pattern(self.mapping, bits, self.labels)
+        # Two hashes name a pattern; the addresses themselves may be long.
+        marked = df.withColumn("_pattern", pattern).withColumns(
+            {"_p1": F.xxhash64("_pattern"), "_p2": F.hash("_pattern")}
+        )
+        patterns = marked.select("_p1", "_p2", "_pattern").dropDuplicates(["_p1", "_p2"])
+        place = ["_p1", "_p2"]
+        lookups = patterns.select(*place, F.posexplode("_pattern").alias("_at", "address")).withColumn(
+            "ram_id", F.floor(F.col("_at") / per_tuple).cast("int")
+        )
         keys = ["ram_id", "address"]
-        n_labels = len(self.labels)
-        if self.mapping.is_shared:
-            model = self.table.groupBy(*keys).agg(
-                F.array(
-                    *[
-                        F.coalesce(F.sum(F.when(F.col("label") == lab, F.col("cnt"))), F.lit(0)).cast("int")
-                        for lab in self.labels
-                    ]
-                ).alias("counts")
-            )
-            width = 4 * n_labels
+        if shared:
+            own = [F.coalesce(F.sum(F.when(F.col("label") == lab, F.col("cnt"))), F.lit(0)) for lab in self.labels]
+            model = self.table.groupBy(*keys).agg(F.array(*own).alias("counts"))
         else:
+            names = constant(self.labels, "array<string>")
+            lookups = lookups.withColumn("label", F.get(names, (F.col("_at") % per_tuple).cast("int")))
             keys = ["label", *keys]
-            model = self.table.select(*keys, F.col("cnt").cast("int").alias("counts"))
-            lookups = lookups.withColumnRenamed("label", "_own") if "label" in keep else lookups
-            width = 4
+            model = self.table.select(*keys, F.array(F.col("cnt")).alias("counts"))
         if broadcast is False or self.mapping.is_wide:
             proven = None
         else:
-            proven = slot_count(self.mapping, self.labels) * (48 + width)
-        joined = lookup_join(lookups, model, keys, [row_id, "ram_id"], proven)
-        missing = F.array_repeat(F.lit(0), n_labels) if self.mapping.is_shared else F.lit(0)
+            proven = slot_count(self.mapping, self.labels) * (48 + 8 * n_labels)
+        joined = lookup_join(lookups, model, keys, ["_p1", "_at"], proven)
+        missing = F.array_repeat(F.lit(0).cast("bigint"), n_labels if shared else 1)
         found = F.coalesce(F.col("counts"), missing)
         if self.options.ignore_zero:
-            zero = F.col("address") == (F.lit("0" * self.mapping.widest) if self.mapping.is_wide else F.lit(0))
-            found = F.when(zero, missing).otherwise(found)
-        if self.mapping.is_shared:
-            entries = F.array_sort(F.collect_list(F.struct("ram_id", found.alias("v"))))
-            votes = F.transform(entries, lambda e: e["v"])
+            zero = F.lit("0" * self.mapping.widest) if self.mapping.is_wide else F.lit(0)
+            found = F.when(F.col("address") == zero, missing).otherwise(found)
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("_at", found.alias("v")))), lambda e: e["v"])
+        if shared:
+            votes = entries
         else:
-            entries = F.array_sort(F.collect_list(F.struct("ram_id", "label", found.alias("v"))))
+            rams = constant(list(range(self.mapping.n_rams)), "array<int>")
             votes = let(
-                entries,
-                lambda es: F.transform(
-                    F.sequence(F.lit(0), F.lit(self.mapping.n_rams - 1)),
-                    lambda r: F.transform(
-                        F.slice(es, r * n_labels + 1, n_labels), lambda e: e["v"]
-                    ),
-                ),
+                F.flatten(entries),
+                lambda flat: F.transform(rams, lambda r: F.slice(flat, r * n_labels + 1, n_labels)),
             )
-        return joined.groupBy(row_id, *keep).agg(votes.alias(name))
+        voted = joined.groupBy(*place).agg(votes.alias(name))
+        return marked.join(voted, place).select(*[c for c in df.columns if c != name], name)
 
-    def votes(
-        self, df: DataFrame, bits: BitSource, row_id: str | None = None, keep: list[str] | None = None
-    ) -> DataFrame:
-        """Votes by whichever way the size of the address space allows."""
-        if self.is_dense():
-            return self.votes_in_row(df, bits)
-        if row_id is None:
-            raise ValueError("a model this large is joined by row key: give row_id")
-        return self.votes_by_join(df, bits, row_id, keep)
+    def votes(self, df: DataFrame, bits: BitSource, name: str = "votes") -> DataFrame:
+        """Add votes, by whichever way the size of the address space allows; the result is the same."""
+        return self.votes_in_row(df, bits, name) if self.is_dense() else self.votes_by_join(df, bits, name)
+
+    @property
+    def uses_background(self) -> bool:
+        return self.background is not None and self.options.background_beta is not None
+
+    def with_background(self, df: DataFrame, bits: BitSource) -> DataFrame:
+        """Add ``background``: how many tuples of a row the background model has seen."""
+        everything = CountModel(
+            self.background.select(F.lit("").alias("label"), "ram_id", "address", "cnt"),
+            self.background_mapping or self.mapping,
+            {"": 1},
+        )
+        voted = everything.votes(df, bits, "_seen")
+        hits = F.size(F.filter("_seen", lambda row: F.get(row, F.lit(0)) > 0))
+        return voted.withColumn("background", hits).drop("_seen")
 
     # -- decisions ----------------------------------------------------------
 
@@ -323,36 +358,40 @@ class CountModel:
             out = decide.negative_evidence(out, o.negative_alpha, o.negative_mode)
         return out
 
-    def rank(
-        self, df: DataFrame, bits: BitSource, row_id: str | None = None, keep: list[str] | None = None
-    ) -> DataFrame:
-        """Add ``scores``, an array in label order."""
-        return self.votes(df, bits, row_id, keep).withColumn("scores", self.scores(F.col("votes")))
+    def _scored(self, df: DataFrame, bits: BitSource) -> tuple[DataFrame, Column]:
+        voted = self.votes(df, bits)
+        if not self.uses_background:
+            return voted, self.scores(F.col("votes"))
+        return self.with_background(voted, bits), self.scores(F.col("votes"), F.col("background"))
 
-    def classify(
-        self, df: DataFrame, bits: BitSource, row_id: str | None = None, keep: list[str] | None = None
-    ) -> DataFrame:
-        """Add ``predicted``."""
-        voted = self.votes(df, bits, row_id, keep)
-        return voted.withColumn(
-            "predicted", decide.winner(self.scores(F.col("votes")), self.labels)
-        )
+    def rank(self, df: DataFrame, bits: BitSource) -> DataFrame:
+        """Add ``votes`` and ``scores``, an array in label order."""
+        voted, scores = self._scored(df, bits)
+        return voted.withColumn("scores", scores)
+
+    def classify(self, df: DataFrame, bits: BitSource) -> DataFrame:
+        """Add ``votes`` and ``predicted``."""
+        voted, scores = self._scored(df, bits)
+        return voted.withColumn("predicted", decide.winner(scores, self.labels))
+
+
+def _check_labels(mapping: Mapping, trainings: dict[str, int]) -> None:
+    missing = [] if mapping.is_shared else sorted(set(trainings) - set(mapping.tuples))
+    if missing:
+        raise ValueError(f"no mapping for the labels {missing[:5]}")
+
+
+def _merged(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("ram_id", "address").agg(F.sum("cnt").alias("cnt"))
+
+
+def count_background(df: DataFrame, mapping: Mapping, bits: BitSource, label: str = "label") -> DataFrame:
+    """Counts of all labelled rows regardless of label: ``(ram_id, address, cnt)``."""
+    rows = tuple_rows(df.where(F.col(label).isNotNull()), mapping, bits, [])
+    return rows.groupBy("ram_id", "address").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def accuracy(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     hit = F.when(F.col(predicted) == F.col(label), F.lit(1.0)).otherwise(F.lit(0.0))
     return df.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
-
-def background_hits(
-    shared: DataFrame, mapping: Mapping, df: DataFrame, bits: BitSource, row_id: str
-) -> DataFrame:
-    """Tuples of each row that the background model has seen."""
-    seen = shared.select("ram_id", "address", F.lit(1).alias("seen"))
-    proven = None if mapping.is_wide else slot_count(mapping, []) * 48
-    rows = tuple_rows(df, mapping, bits, [row_id])
-    return (
-        lookup_join(rows, seen, ["ram_id", "address"], [row_id, "ram_id"], proven)
-        .groupBy(row_id)
-        .agg(F.count("seen").cast("int").alias("background"))
-    )

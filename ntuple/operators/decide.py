@@ -1,6 +1,6 @@
 """Decision rules over the votes of one row.
 
-``votes`` is ``array<array<int>>``: tuple first, then label in byte-wise label order.  All
+``votes`` is ``array<array<bigint>>``: tuple first, then label in byte-wise label order.  All
 rules are array expressions on that column: no shuffle, no Python.
 """
 
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.expr import bit, constant, let, truncate
 
 Rule = Callable[[Column, int], Column]
-"""Votes and number of labels in, ``array<int>`` of scores out (the pluggable part)."""
+"""Votes and number of labels in, ``array<bigint>`` of scores out (the pluggable part)."""
+
+
+def _zero() -> Column:
+    return F.lit(0).cast("bigint")
 
 
 # -- vote re-weighting (applied in this order) -------------------------------
@@ -23,7 +27,7 @@ Rule = Callable[[Column, int], Column]
 def balanced_votes(votes: Column, trainings: list[int]) -> Column:
     """Scale a label's votes by its share of the training rows."""
     total = sum(trainings)
-    share = constant([t / total for t in trainings], "array<double>")
+    share = constant([t / total if total else 0.0 for t in trainings], "array<double>")
     return _each(votes, lambda v, c, _r: truncate(v * F.get(share, c)))
 
 
@@ -65,7 +69,7 @@ def cross_class_votes(votes: Column, n_labels: int) -> Column:
 
     def row(r: Column) -> Column:
         return let(
-            F.aggregate(r, F.lit(0), lambda s, v: s + v),
+            F.aggregate(r, _zero(), lambda s, v: s + v),
             lambda total: F.transform(
                 r,
                 lambda v: F.when(total > 0, truncate(v * n_labels / (total + 1))).otherwise(v),
@@ -78,7 +82,7 @@ def cross_class_votes(votes: Column, n_labels: int) -> Column:
 def _each(votes: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
     """Map ``body(vote, label position, tuple position)`` over the vote table."""
     return F.transform(
-        votes, lambda row, r: F.transform(row, lambda v, c: body(v, c, r).cast("int"))
+        votes, lambda row, r: F.transform(row, lambda v, c: body(v, c, r).cast("bigint"))
     )
 
 
@@ -99,7 +103,7 @@ def hits_above(m: Column, t: Column, n_labels: int) -> Column:
     def step(c: Column) -> Callable:
         return lambda s, r: s + bit(F.get(r, c) > t)
 
-    return _per_label(n_labels, m, F.lit(0), step)
+    return _per_label(n_labels, m, _zero(), step)
 
 
 def excess_above(m: Column, t: Column, n_labels: int) -> Column:
@@ -108,7 +112,7 @@ def excess_above(m: Column, t: Column, n_labels: int) -> Column:
     def step(c: Column) -> Callable:
         return lambda s, r: s + F.greatest(F.get(r, c) - t, F.lit(0))
 
-    return _per_label(n_labels, m, F.lit(0), step)
+    return _per_label(n_labels, m, _zero(), step)
 
 
 def weight_above(weights: list[list[float]]) -> Callable[[Column, Column, int], Column]:
@@ -131,7 +135,7 @@ def weight_above(weights: list[list[float]]) -> Callable[[Column, Column, int],
 def _thresholds(m: Column) -> Column:
     """Distinct positive votes of the row, ascending."""
     distinct = F.array_distinct(F.flatten(m))
-    return F.sort_array(F.array_except(distinct, F.array(F.lit(0))))
+    return F.sort_array(F.array_except(distinct, F.array(_zero())))
 
 
 def is_ambiguous(scores: Column, confidence: int = 1) -> Column:
@@ -145,7 +149,7 @@ def is_ambiguous(scores: Column, confidence: int = 1) -> Column:
         )
     state = F.aggregate(
         scores,
-        F.struct(F.lit(0).alias("best"), F.lit(False).alias("close")),
+        F.struct(_zero().alias("best"), F.lit(False).alias("close")),
         lambda a, s: F.when(
             s > a["best"], F.struct(s.alias("best"), F.lit(False).alias("close"))
         ).otherwise(
@@ -198,57 +202,34 @@ def best_margin(votes: Column, n_labels: int, mode: str = "scan") -> Column:
     label before it, so a winner that sorts first gets none.  ``margin`` uses best minus
     second best.  Scores are all zero when no threshold qualifies.
     """
-    zero = F.array_repeat(F.lit(0), n_labels)
-
-    def scan(s: Column, seen: Column) -> Column:
-        start = F.struct(
-            F.lit(0).alias("best"),
-            F.lit(False).alias("tie"),
-            F.lit(False).alias("new"),
-            seen.alias("lead"),
-        )
+    zero = F.array_repeat(_zero(), n_labels)
 
-        def step(a: Column, v: Column) -> Column:
-            gain = (a["best"] > 0) & ((v - a["best"]) > a["lead"])
-            return F.when(
-                v > a["best"],
-                F.struct(
-                    v.alias("best"),
-                    F.lit(False).alias("tie"),
-                    (a["new"] | gain).alias("new"),
-                    F.when(gain, v - a["best"]).otherwise(a["lead"]).alias("lead"),
-                ),
-            ).otherwise(
-                F.struct(
-                    a["best"].alias("best"),
-                    (a["tie"] | ((a["best"] > 0) & (a["best"] == v))).alias("tie"),
-                    a["new"].alias("new"),
-                    a["lead"].alias("lead"),
-                )
-            )
-
-        return F.aggregate(s, start, step)
+    def scan(s: Column) -> Column:
+        """The largest gain over the best label before, none where the top is reached twice."""
+        before = F.transform(s, lambda _, j: F.coalesce(F.array_max(F.slice(s, F.lit(1), j)), _zero()))
+        gains = F.zip_with(s, before, lambda v, b: F.when(b > 0, F.greatest(v - b, _zero())).otherwise(_zero()))
+        top = F.array_max(s)
+        return F.struct(
+            F.array_max(gains).alias("lead"),
+            ((top > 0) & (F.size(F.array_remove(s, top)) < n_labels - 1)).alias("tie"),
+        )
 
-    def margin(s: Column, seen: Column) -> Column:
+    def margin(s: Column) -> Column:
         ordered = F.sort_array(s, asc=False)
         lead = F.get(ordered, F.lit(0)) - F.coalesce(F.get(ordered, F.lit(1)), F.lit(0))
-        return F.struct(
-            F.get(ordered, F.lit(0)).alias("best"),
-            F.lit(False).alias("tie"),
-            (lead > seen).alias("new"),
-            F.greatest(lead, seen).alias("lead"),
-        )
+        return F.struct(lead.alias("lead"), F.lit(False).alias("tie"))
 
     measure = scan if mode == "scan" else margin
 
     def step(m: Column, a: Column, t: Column) -> Column:
+        """A threshold counts if it leads by more than all before it."""
         return let(
             hits_above(m, t, n_labels),
             lambda s: let(
-                measure(s, a["lead"]),
+                measure(s),
                 lambda q: F.struct(
-                    q["lead"].alias("lead"),
-                    F.when(q["new"] & ~q["tie"], s).otherwise(a["s"]).alias("s"),
+                    F.greatest(q["lead"], a["lead"]).alias("lead"),
+                    F.when((q["lead"] > a["lead"]) & ~q["tie"], s).otherwise(a["s"]).alias("s"),
                 ),
             ),
         )
@@ -256,8 +237,8 @@ def best_margin(votes: Column, n_labels: int, mode: str = "scan") -> Column:
     return let(
         votes,
         lambda m: F.aggregate(
-            F.concat(F.array(F.lit(0)), _thresholds(m)),
-            F.struct(F.lit(0).alias("lead"), zero.alias("s")),
+            F.concat(F.array(_zero()), _thresholds(m)),
+            F.struct(_zero().alias("lead"), zero.alias("s")),
             lambda a, t: step(m, a, t),
             lambda a: a["s"],
         ),
@@ -277,7 +258,7 @@ def similarity(votes: Column, n_labels: int) -> Column:
             (a["s"] + F.get(r, c)).alias("s"), F.greatest(a["x"], F.get(r, c)).alias("x")
         )
 
-    start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("x"))
+    start = F.struct(_zero().alias("s"), _zero().alias("x"))
     return let(
         votes,
         lambda m: F.transform(
@@ -299,7 +280,7 @@ def negative_evidence(scores: Column, alpha: float, mode: str = "uniform") -> Co
     """Penalise a label by the scores of the others."""
 
     def adjust(all_: Column) -> Column:
-        total = F.aggregate(all_, F.lit(0), lambda s, v: s + v)
+        total = F.aggregate(all_, _zero(), lambda s, v: s + v)
 
         def uniform(v: Column, _i: Column) -> Column:
             return truncate(v - F.lit(alpha) * (total - v))

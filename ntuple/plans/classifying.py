@@ -136,7 +136,7 @@ def classify_bleaching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_bleaching_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through the salted shuffle join that large models use."""
     model, rows = vector_model(spark, sf_dir)
-    voted = model.votes_by_join(rows, VECTOR_BITS.on("x"), "row_id", ["label"], broadcast=False)
+    voted = model.votes_by_join(rows, VECTOR_BITS.on("x"), broadcast=False)
     return voted.select(
         "row_id", "label", decide.winner(model.scores(F.col("votes")), model.labels).alias("predicted")
     )
@@ -151,7 +151,7 @@ def classify_per_label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classify_per_label_join", sql.chain(LABEL_PREFIX, sql.LABEL_CLASSIFIER, sql.bleaching(), sql.winner(), final="SELECT row_id, predicted FROM won"))
 def classify_per_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rows = vector_model(spark, sf_dir, per_label())
-    voted = model.votes_by_join(rows, VECTOR_BITS.on("x"), "row_id")
+    voted = model.votes_by_join(rows, VECTOR_BITS.on("x"))
     return voted.select("row_id", decide.winner(model.scores(F.col("votes")), model.labels).alias("predicted"))
 
 
@@ -165,7 +165,7 @@ def classify_per_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def classify_wide_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rows = vector_model(spark, sf_dir, address.random_mapping(128, 64, SEED))
-    voted = model.classify(rows, VECTOR_BITS.on("x"), "row_id", ["label"])
+    voted = model.classify(rows, VECTOR_BITS.on("x"))
     return voted.select("row_id", "label", "predicted")
 
 
@@ -229,13 +229,13 @@ def rank_soft_bleaching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MARGINS = """
-cand AS (SELECT DISTINCT row_id, v AS t FROM votes WHERE v > 0 UNION SELECT DISTINCT row_id, 0 FROM votes),
-sc AS (SELECT row_id, t, label, count(*) FILTER (v > t) AS s FROM votes JOIN cand USING (row_id) GROUP BY row_id, t, label),
-pv AS (SELECT *, coalesce(max(s) OVER (PARTITION BY row_id, t ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc),
-gain AS (SELECT row_id, t, max(s) AS top, max(CASE WHEN before > 0 AND s > before THEN s - before ELSE 0 END) AS lead FROM pv GROUP BY row_id, t),
-tie AS (SELECT row_id, t, count(*) FILTER (s = top) > 1 AND top > 0 AS tied FROM sc JOIN gain USING (row_id, t) GROUP BY row_id, t, top),
-run AS (SELECT row_id, t, lead, coalesce(max(lead) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM gain),
-ok AS (SELECT row_id, max(t) AS t FROM run JOIN tie USING (row_id, t) WHERE lead > seen AND NOT tied GROUP BY row_id)"""
+cand AS MATERIALIZED (SELECT DISTINCT row_id, v AS t FROM votes WHERE v > 0 UNION SELECT DISTINCT row_id, 0 FROM votes),
+sc AS MATERIALIZED (SELECT row_id, t, label, count(*) FILTER (v > t) AS s FROM votes JOIN cand USING (row_id) GROUP BY row_id, t, label),
+pv AS MATERIALIZED (SELECT *, coalesce(max(s) OVER (PARTITION BY row_id, t ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc),
+gain AS MATERIALIZED (SELECT row_id, t, max(s) AS top, max(CASE WHEN before > 0 AND s > before THEN s - before ELSE 0 END) AS lead FROM pv GROUP BY row_id, t),
+tie AS MATERIALIZED (SELECT row_id, t, count(*) FILTER (s = top) > 1 AND top > 0 AS tied FROM sc JOIN gain USING (row_id, t) GROUP BY row_id, t, top),
+run AS MATERIALIZED (SELECT row_id, t, lead, coalesce(max(lead) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM gain),
+ok AS MATERIALIZED (SELECT row_id, max(t) AS t FROM run JOIN tie USING (row_id, t) WHERE lead > seen AND NOT tied GROUP BY row_id)"""
 
 
 @query(
@@ -366,22 +366,16 @@ def rank_ignore_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rank_minus_background",
     sql.chain(
         VECTOR_PREFIX, sql.CLASSIFIER, sql.bleaching(),
-        "half AS (SELECT DISTINCT ram, a FROM addr WHERE label < '5')",
-        "bg AS (SELECT row_id, count(h.ram) AS hit FROM addr LEFT JOIN half h USING (ram, a) GROUP BY row_id)",
+        "seen AS (SELECT DISTINCT ram, a FROM addr)",
+        "bg AS (SELECT row_id, count(h.ram) AS hit FROM addr LEFT JOIN seen h USING (ram, a) GROUP BY row_id)",
         final="SELECT row_id, label AS candidate, CAST(trunc(s - 0.3::DOUBLE * hit) AS BIGINT) AS score FROM scores JOIN bg USING (row_id)",
     ),
 )
 def rank_minus_background(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The background here is trained on half of the labels only, so that it tells rows apart."""
-    model, rows = vector_model(spark, sf_dir, background_beta=0.3)
+    rows = tables.vectors(spark, sf_dir)
     bits = VECTOR_BITS.on("x")
-    shared = CountModel.train(
-        rows.where(F.col("label") < "5"), VECTOR_MAPPING, bits, background=VECTOR_MAPPING
-    ).background
-    hits = count_model.background_hits(shared, VECTOR_MAPPING, rows, bits, "row_id")
-    voted = model.votes(rows, bits).join(hits, "row_id")
-    ranked = voted.withColumn("scores", model.scores(F.col("votes"), F.col("background")))
-    return candidate_scores(ranked, model.labels)
+    model = CountModel.train(rows, VECTOR_MAPPING, bits, options=Options(background_beta=0.3), background=VECTOR_MAPPING)
+    return candidate_scores(model.rank(rows, bits), model.labels)
 
 
 NEGATIVE = {

@@ -214,7 +214,7 @@ def search_fixed_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def classify_tuned_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, docs = tuned_documents(spark, sf_dir)
-    return found.predict(docs, "row_id", ["label"]).select("row_id", "label", "predicted")
+    return found.predict(docs).select("row_id", "label", "predicted")
 
 
 @query("search_thermometer")
@@ -349,7 +349,7 @@ def train_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classify_clusters")
 def classify_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rows = clustered_vectors(spark, sf_dir)
-    return model.classify(rows, "bits", "row_id", ["label"]).select(
+    return model.classify(rows, "bits").select(
         "row_id", "label", "predicted", "predicted_cluster"
     )
 

@@ -151,15 +151,15 @@ EXCESS = "CASE WHEN v > t THEN v - t ELSE 0 END"
 def bleaching(part: str = HITS, source: str = "votes", confidence: int = 1) -> str:
     """Smallest threshold of the row at which no later label comes close to the first best one."""
     return f"""
-cand AS (SELECT DISTINCT row_id, v AS t FROM {source} WHERE v > 0 UNION SELECT DISTINCT row_id, 0 FROM {source}),
-sc AS (SELECT row_id, truth, t, label, CAST(trunc(sum({part})) AS BIGINT) AS s
+cand AS MATERIALIZED (SELECT DISTINCT row_id, v AS t FROM {source} WHERE v > 0 UNION SELECT DISTINCT row_id, 0 FROM {source}),
+sc AS MATERIALIZED (SELECT row_id, truth, t, label, CAST(trunc(sum({part})) AS BIGINT) AS s
        FROM {source} JOIN cand USING (row_id) GROUP BY row_id, truth, t, label),
-top AS (SELECT row_id, t, max(s) AS m FROM sc GROUP BY row_id, t),
-lead_ AS (SELECT row_id, t, m, min(label) AS first FROM sc JOIN top USING (row_id, t) WHERE s = m GROUP BY row_id, t, m),
-open_ AS (SELECT row_id, t, m > 1 AND bool_or(label > first AND m - s < {confidence}) AS open
+top AS MATERIALIZED (SELECT row_id, t, max(s) AS m FROM sc GROUP BY row_id, t),
+lead_ AS MATERIALIZED (SELECT row_id, t, m, min(label) AS first FROM sc JOIN top USING (row_id, t) WHERE s = m GROUP BY row_id, t, m),
+open_ AS MATERIALIZED (SELECT row_id, t, m > 1 AND bool_or(label > first AND m - s < {confidence}) AS open
           FROM sc JOIN lead_ USING (row_id, t) GROUP BY row_id, t, m),
-pick AS (SELECT row_id, min(t) AS t FROM open_ WHERE NOT open GROUP BY row_id),
-scores AS (SELECT row_id, truth, label, s FROM sc JOIN pick USING (row_id, t))"""
+pick AS MATERIALIZED (SELECT row_id, min(t) AS t FROM open_ WHERE NOT open GROUP BY row_id),
+scores AS MATERIALIZED (SELECT row_id, truth, label, s FROM sc JOIN pick USING (row_id, t))"""
 
 
 def winner(source: str = "scores", direction: str = "DESC") -> str:

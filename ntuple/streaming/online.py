@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -83,10 +83,29 @@ def train_micro_batches(
 
 
 def classify_stream(rows: DataFrame, model: CountModel, bits: BitSource) -> DataFrame:
-    """Score a stream with a fixed model: the dense projection, stateless."""
+    """Score a stream with a fixed model that fits a constant: a projection, stateless."""
     return model.classify(rows, bits)
 
 
+def classify_micro_batches(
+    rows: DataFrame, model: CountModel, bits: BitSource, sink: Callable[[DataFrame, int], None], checkpoint: str
+):
+    """Score a stream with a model of any size: each micro-batch is joined with the model table.
+
+    ``sink`` gets the classified batch and its id; returns the streaming query.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        sink(model.classify(batch, bits), batch_id)
+
+    return (
+        rows.writeStream.foreachBatch(one)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 class LeaderProcessor(StatefulProcessor):
     """Keeps the clusters of a group as state and emits the clusters each row trained."""
 

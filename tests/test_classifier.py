@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from ntuple.operators import address, decide, inspect
+from ntuple.operators import address, count_model, decide, inspect
 from ntuple.operators.address import BitColumn
 from ntuple.operators.count_model import CountModel, Options, accuracy, check_entry_size
 
@@ -59,7 +61,7 @@ def test_rules_against_row_by_row(noisy, shared, rule):
         }[rule](vs)
     dense = {r["row_id"]: dict(zip("abc", r["scores"], strict=True)) for r in model.rank(df, BITS).collect()}
     assert dense == expected
-    joined = model.votes_by_join(df, BITS, "row_id", broadcast=False).withColumn(
+    joined = model.votes_by_join(df, BITS, broadcast=False).withColumn(
         "scores", model.scores(F.col("votes"))
     )
     assert {r["row_id"]: dict(zip("abc", r["scores"], strict=True)) for r in joined.collect()} == expected
@@ -74,7 +76,7 @@ def test_dense_and_join_agree_with_hooks(noisy):
         options = Options(ignore_zero=True, balanced=True, attention=True, cross_class=True, negative_alpha=0.3)
         model = CountModel.train(df, mapping, BITS, options=options)
         a = {r["row_id"]: r["scores"] for r in model.rank(df, BITS).collect()}
-        joined = model.votes_by_join(df, BITS, "row_id", broadcast=False)
+        joined = model.votes_by_join(df, BITS, broadcast=False)
         b = {r["row_id"]: r["s"] for r in joined.select("row_id", model.scores(F.col("votes")).alias("s")).collect()}
         assert a == b
 
@@ -107,8 +109,85 @@ def test_neutral_hooks_change_nothing(toy):
         model = CountModel.train(toy, mapping, BITS, options=options)
         assert {r["row_id"]: r["scores"] for r in model.rank(toy, BITS).collect()} == plain
     quiet = base.with_options(background_beta=0.0)
-    scored = quiet.votes(toy, BITS).select("row_id", quiet.scores(F.col("votes"), F.lit(2)).alias("s"))
-    assert {r["row_id"]: r["s"] for r in scored.collect()} == plain
+    assert {r["row_id"]: r["scores"] for r in quiet.rank(toy, BITS).collect()} == plain
+
+
+def cells(df):
+    return {tuple(r[c] for c in df.columns if c != "cnt"): r["cnt"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_background_takes_part_in_the_normal_calls(toy, monkeypatch, dense):
+    if not dense:
+        monkeypatch.setattr(count_model, "DENSE_CELLS", 0)
+    mapping = address.random_mapping(9, 3, 1)
+    some, rest = toy.where("row_id < 6"), toy.where("row_id >= 6")
+    model = CountModel.train(some, mapping, BITS, options=Options(background_beta=2.0), background=mapping)
+    seen = {k[:2] for k in cells(model.background)}
+    plain = {r["row_id"]: r["scores"] for r in model.with_options(background_beta=None).rank(toy, BITS).collect()}
+    for r in model.rank(toy, BITS).collect():
+        hits = sum((i, brute.address(r["bits"], t)) in seen for i, t in enumerate(mapping.of("")))
+        assert r["scores"] == [int(s - 2.0 * hits) for s in plain[r["row_id"]]] and r["background"] == hits
+    whole = CountModel.train(toy, mapping, BITS, background=mapping)
+    added = model.add(rest, BITS)
+    assert cells(added.background) == cells(whole.background) and cells(added.table) == cells(whole.table)
+    assert cells(added.remove(rest, BITS).background) == cells(model.background)
+
+
+def test_both_scoring_paths_give_the_same_rows(toy, monkeypatch):
+    """All columns, one row for each input row, ids that repeat included."""
+    mapping = address.random_mapping(9, 3, 1)
+    doubled = toy.union(toy).withColumn("row_id", F.lit(7)).withColumn("extra", F.lit("x"))
+    for chosen in (mapping, address.random_mapping(9, 3, 1, ["cold", "hot"])):
+        model = CountModel.train(toy, chosen, BITS)
+        frames = []
+        for cells_ in (count_model.DENSE_CELLS, 0):
+            monkeypatch.setattr(count_model, "DENSE_CELLS", cells_)
+            frames.append(model.classify(doubled, BITS))
+        monkeypatch.undo()
+        assert frames[0].columns == frames[1].columns
+        assert sorted(map(str, frames[0].collect())) == sorted(map(str, frames[1].collect())) and frames[1].count() == 18
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_counts_beyond_32_bits(toy, monkeypatch, dense):
+    if not dense:
+        monkeypatch.setattr(count_model, "DENSE_CELLS", 0)
+    model = CountModel.train(toy, address.random_mapping(9, 3, 1), BITS)
+    large = replace(model, table=model.table.withColumn("cnt", F.col("cnt") * F.lit(1 << 33)))
+    small = {r["row_id"]: (r["predicted"], r["votes"]) for r in model.classify(toy, BITS).collect()}
+    for r in large.classify(toy, BITS).collect():
+        assert r["votes"] == [[v << 33 for v in row] for row in small[r["row_id"]][1]]
+        assert r["predicted"] == r["label"]
+
+
+def test_new_labels_are_trained_or_refused(toy):
+    maker = lambda labels: address.random_mapping(9, 3, 1, labels)
+    cold = toy.where("label = 'cold'")
+    grown = CountModel.train(cold, maker, BITS).add(toy.where("label = 'hot'"), BITS)
+    assert grown.labels == ["cold", "hot"]
+    assert accuracy(grown.classify(toy, BITS)).first()["accuracy"] == 1.0
+    assert cells(grown.table) == cells(CountModel.train(toy, maker, BITS).table)
+    with pytest.raises(ValueError):
+        CountModel.train(cold, maker(["cold"]), BITS).add(toy, BITS)
+    assert accuracy(CountModel.train(cold, address.random_mapping(9, 3, 1), BITS).add(toy, BITS).classify(toy, BITS)).first()["n"] == 9
+
+
+def test_short_rows_are_refused(spark, toy):
+    model = CountModel.train(toy, address.random_mapping(9, 3, 1), BITS)
+    short = spark.createDataFrame([(0, [1], "cold")], "row_id bigint, bits array<tinyint>, label string")
+    with pytest.raises(Exception, match="fewer bits"):
+        model.classify(short, BITS).collect()
+
+
+def test_a_reset_model_learns_anew(toy):
+    mapping = address.random_mapping(9, 3, 1)
+    model = CountModel.train(toy, mapping, BITS, options=Options(balanced=True), background=mapping)
+    empty = model.reset()
+    assert {tuple(r["scores"]) for r in empty.rank(toy, BITS).collect()} == {(0, 0)}
+    again = empty.add(toy, BITS)
+    assert cells(again.table) == cells(model.table) and cells(again.background) == cells(model.background)
+    assert again.trainings == model.trainings
 
 
 def test_winner_rules(spark):
@@ -157,7 +236,7 @@ def test_wide_tuples(spark):
     df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>, label string")
     model = CountModel.train(df, address.random_mapping(720, 72, 1), BITS)
     assert model.mapping.is_wide and not model.is_dense()
-    out = model.classify(df, BITS, "row_id", ["label"])
+    out = model.classify(df, BITS)
     assert accuracy(out).first()["accuracy"] == 1.0
 
 

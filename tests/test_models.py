@@ -99,7 +99,7 @@ def test_threshold_search_matches_a_full_scan_of_its_steps(toy):
     mapping = address.random_mapping(9, 3, 2)
     model = count_model.CountModel.train(toy, mapping, BITS)
     votes = model.votes(toy, BITS)
-    curve = tune.threshold_curve(votes, model.labels, [0, 1, 2, 3, 4, 5])
+    curve = tune.correct_at(tune.right_changes(votes, model.labels), [0, 1, 2, 3, 4, 5])
     rows = [(r["label"], r["votes"]) for r in votes.collect()]
     for b in range(1, 6):
         hit = 0
@@ -118,9 +118,9 @@ def test_tuned_pipeline_splits_large_data(spark):
         lab = "ab"[i % 2]
         rows.append((i, lab, [rng.gauss(1.5 * (i % 2), 1) for _ in range(6)]))
     df = spark.createDataFrame(rows, "row_id bigint, label string, x array<double>").cache()
-    model = tune.TunedBloom.fit(df, "x", "label", "row_id", 6, HashFamily("h3", 256, 2, 1), 4, 5)
+    model = tune.TunedBloom.fit(df, "x", "label", "row_id", 6, HashFamily("h3", 256, 2, 1), 4, 5, validation=0.1)
     assert sum(model.model.trainings.values()) == 10_400 - 1_040
-    acc = count_model.accuracy(model.predict(df, "row_id", ["label"])).first()["accuracy"]
+    acc = count_model.accuracy(model.predict(df)).first()["accuracy"]
     assert acc >= 0.85
 
 
@@ -269,7 +269,7 @@ def test_rounds_train_every_row_and_respect_the_limit(grouped):
         per_label.setdefault(lab, []).append(n)
     assert all(len(ns) <= RULE.limit for ns in per_label.values())
     assert sum(model.sizes.values()) >= len(rows)
-    out = model.classify(df, "bits", "row_id", ["label"])
+    out = model.classify(df, "bits")
     assert count_model.accuracy(out).first()["accuracy"] >= 0.8
     assert out.where("predicted_cluster is null").count() == 0
     scores = model.similarities(df, "bits", "row_id").collect()
@@ -282,7 +282,7 @@ def test_semi_supervised_and_unsupervised(spark, grouped):
     model = cluster.train_semi_supervised(partly, "bits", 18, 5, 4, "row_id", rule=RULE, first_slice=40)
     assert {lab for lab, _ in model.sizes} == {"a", "b"} and sum(model.sizes.values()) >= len(rows)
     free = cluster.train_rounds(df, "bits", 18, 5, 4, "row_id", rule=RULE, first_slice=40)
-    found = {r["predicted_cluster"] for r in free.classify(df, "bits", "row_id").collect()}
+    found = {r["predicted_cluster"] for r in free.classify(df, "bits").collect()}
     assert found <= {0, 1, 2}
     assert free.with_rule(limit=7).rule.limit == 7
 
