@@ -382,7 +382,7 @@ def _entropy_weighted(
 ) -> Thermometer:
     sizes = class_counts(df, label)
     n, labels = sum(sizes.values()), list(sizes)
-    n_bins = n_bins or max(16, min(4096, n // RANK_BIN_ROWS))
+    n_bins = n_bins or max(16, n // RANK_BIN_ROWS)
     names = [f"c{i}" for i in range(len(labels))]
     flags = [
         bit(F.col(label) == lab).cast("bigint").alias(c) for c, lab in zip(names, labels, strict=True)

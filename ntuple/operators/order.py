@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ KEY_LIMIT = 100_000
 FINISH = 20_000
 """Brackets with this many rows at most are finished by counting their distinct values."""
 MAX_ROUNDS = 400
+BIN_ROWS = 1_000_000
+"""Rows that one task puts in order."""
 
 
 @dataclass(frozen=True)
@@ -63,14 +66,26 @@ def order_statistics(
     ranks: Callable[[tuple, int], list[int]],
 ) -> dict[tuple, list[OrderStatistic]]:
     """The values at 0-based ``ranks(key, count)`` of every key, exactly."""
-    base = df.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v")
+    # Every round scans these rows; they are read and computed once.
+    base = (
+        df.where(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_v"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    try:
+        return _order_statistics(base, df, keys, ranks)
+    finally:
+        base.unpersist()
+
+
+def _order_statistics(
+    base: DataFrame, df: DataFrame, keys: list[str], ranks: Callable[[tuple, int], list[int]]
+) -> dict[tuple, list[OrderStatistic]]:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     key_schema = "".join(f"{k} {types[k]}, " for k in keys)
     wide: list[dict] = []
     wanted: dict[tuple, list[int]] = {}
-    for r in key_counts(df, keys, value):
+    for r in key_counts(base, keys, "_v"):
         key = tuple(r[k] for k in keys)
         wanted[key] = list(ranks(key, r["n"]))
         for rank in sorted(set(wanted[key])):
@@ -118,13 +133,22 @@ def _narrow(
     for t in targets:
         numbers.setdefault((t["key"], t["lo"], t["hi"]), len(numbers))
     place = [numbers[(t["key"], t["lo"], t["hi"])] for t in targets]
+    # Brackets of a key never overlap, so a row finds its own by bisection: the join gives as many
+    # rows as there are, however many brackets a key has.
+    of_key: dict[tuple, list[tuple]] = {}
+    for (key, lo, hi), b in numbers.items():
+        of_key.setdefault(key, []).append((lo, hi, b))
     brackets = spark.createDataFrame(
-        [(*key, b, lo, hi) for (key, lo, hi), b in numbers.items()],
-        f"{key_schema}_b int, _lo double, _hi double",
+        [(*key, sorted(found)) for key, found in of_key.items()],
+        f"{key_schema}_all array<struct<lo:double,hi:double,b:int>>",
     )
+    most = max(map(len, of_key.values()))
+    place_of = count_passed(F.col("_all"), lambda c: F.col("_v") >= c["lo"], most) - 1
     counted = (
         attach(base, brackets, keys)
-        .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        .withColumn("_own", F.get("_all", place_of))
+        .select("_v", F.col("_own.b").alias("_b"), F.col("_own.lo").alias("_lo"), F.col("_own.hi").alias("_hi"))
+        .where(F.col("_v") <= F.col("_hi"))
         .groupBy("_b", bins.alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
         .withColumn(
@@ -237,13 +261,15 @@ def rank_bins(
 
 
 def global_ranks(
-    df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int = 64, name: str = "rank"
+    df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int | None = None, name: str = "rank"
 ) -> DataFrame:
     """0-based rank of each row by ``(value, tie)`` in its key.
 
-    Bins of equal size are ranked in parallel and shifted by their known first rank.
+    Bins of equal size are ranked in parallel and shifted by their known first rank.  Without
+    ``n_bins`` a bin has about ``BIN_ROWS`` rows, whatever the size of the table.
     """
     spark = df.sparkSession
+    n_bins = n_bins or 1 + df.count() // BIN_ROWS
     binned, firsts = rank_bins(df, keys, value, tie, n_bins, "_bin")
     key_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = [(*key, b, first) for key, bins in firsts.items() for b, first in bins]

@@ -124,3 +124,24 @@ def test_direction_does_not_depend_on_the_buckets(spark):
     assert results[0] == results[1]
     last, before = results[0][(1, 39)], results[0][(1, 38)]
     assert last[2:] == before[2:]
+
+
+def test_many_brackets_do_not_multiply_rows(spark, monkeypatch):
+    """Each row meets the one bracket it lies in, however many a key has."""
+    from ntuple.operators import order
+
+    joined = []
+
+    def watched(df, small, keys):
+        out = attach(df, small, keys)
+        joined.append((small.selectExpr("max(size(_all))").first()[0], out.count()))
+        return out
+
+    attach = order.attach
+    monkeypatch.setattr(order, "attach", watched)
+    monkeypatch.setattr(order, "FINISH", 10)
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 20_000).cast("double").alias("v"))
+    ranks = list(range(0, 10_000, 5))
+    found = order.order_statistics(rows, ["k"], "v", lambda _k, _n: ranks)
+    assert [s.value for s in found[(0,)]] == [2.0 * r for r in ranks]
+    assert max(n for n, _ in joined) > 200 and {n for _, n in joined} == {20_000}
