@@ -64,7 +64,95 @@ SELECT s.doc_id, CASE WHEN l.runs IS NULL THEN s.text ELSE coalesce(o.text, '')
 FROM split s LEFT JOIN listed l ON s.doc_id = l.doc_id LEFT JOIN left_over o ON s.doc_id = o.doc_id
 """
 
+# Every pair that shares a shingle, compared exactly; classes are what pairs connect.
+NEAR = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), parts AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), shared AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) + any_value(b.n) AS total, count(*) AS k
+  FROM parts a JOIN parts b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+  SELECT x, y FROM shared WHERE 9 * k >= 4 * total
+  UNION ALL SELECT a.doc_id, b.doc_id FROM sets a JOIN sets b ON a.doc_id <> b.doc_id WHERE len(a.s) = 0 AND len(b.s) = 0
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), classes AS (
+  SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id
+), counted AS (
+  SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT c.doc_id, c.class_id, coalesce(n.n_links, 0) AS n_links FROM classes c LEFT JOIN counted n ON n.doc_id = c.doc_id
+"""
+
+# All quotients of every source (and shard) are ranked; the library compares the few that matter.
+MIX = """
+WITH base AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5('10:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS draw
+  FROM documents
+), total AS (
+  SELECT CAST(sum(size) AS BIGINT) AS a, CAST(64 + sum(size) // 262144 AS BIGINT) AS b, 1 + count(*) // 50000 AS h FROM base
+), weighed AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS size, sum(size) * CAST(3 AS DOUBLE) AS cap,
+    row_number() OVER (ORDER BY source NULLS LAST) AS sid,
+    CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
+  FROM base GROUP BY source
+), levels AS (
+  SELECT sid, cap / weight AS f,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+    sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM weighed
+), level AS (
+  SELECT min_by((a - given) / rest, f) AS l FROM levels, total WHERE f >= (a - given) / rest
+), aimed AS (
+  SELECT source, sid, size AS source_size, least(cap, l * weight) AS target FROM weighed, level
+), seats AS (
+  SELECT CAST(floor(a / b + 0.5) AS BIGINT) AS s FROM total
+), quotients AS (
+  SELECT sid, s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, sid, k) AS r
+  FROM (SELECT sid, target, s, unnest(range(s)) AS k FROM aimed, seats WHERE target > 0)
+), won AS (
+  SELECT sid, count(*) AS blocks FROM quotients WHERE r <= s GROUP BY sid
+), placed AS (
+  SELECT d.doc_id, d.size, d.draw, t.sid, t.target, t.source_size, CAST('0x' || substr(d.draw, 1, 7) AS BIGINT) % h AS shard
+  FROM base d JOIN aimed t ON d.source IS NOT DISTINCT FROM t.source, total
+), held AS (
+  SELECT sid, shard, CAST(sum(size) AS BIGINT) AS held FROM placed GROUP BY sid, shard
+), shares AS (
+  SELECT *, row_number() OVER (PARTITION BY sid ORDER BY held / (2 * k + 1) DESC, shard, k) AS r
+  FROM (SELECT sid, shard, held, blocks, unnest(range(blocks)) AS k FROM held JOIN won USING (sid) WHERE held > 0)
+), dealt AS (
+  SELECT sid, shard, CAST(ceil(any_value(held) / any_value(b)) AS BIGINT) AS n,
+    least(count(*) FILTER (WHERE r <= blocks), 3 * CAST(ceil(any_value(held) / any_value(b)) AS BIGINT)) AS quota
+  FROM shares, total GROUP BY sid, shard
+), drawn AS (
+  SELECT sid, shard, block FROM (
+    SELECT sid, shard, n, quota, block,
+      row_number() OVER (PARTITION BY sid, shard ORDER BY md5('10:' || sid || ':' || shard || ':' || block), block) AS place
+    FROM (SELECT sid, shard, n, quota, unnest(range(n)) AS block FROM dealt))
+  WHERE place <= quota % n
+), lined AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM placed
+), extra AS (
+  SELECT doc_id, sum(least((block + 1) * b, start + size) - greatest(block * b, start)) AS more
+  FROM (SELECT doc_id, sid, shard, start, size, b, unnest(range(CAST(start // b AS BIGINT), CAST((start + size - 1) // b + 1 AS BIGINT))) AS block FROM lined, total WHERE size > 0)
+  JOIN drawn USING (sid, shard, block) GROUP BY doc_id
+)
+SELECT l.doc_id, l.size, l.source_size, l.target,
+  CAST(CASE WHEN l.size > 0 THEN coalesce(d.quota // d.n, 0) * l.size ELSE 0 END + coalesce(e.more, 0) AS BIGINT) AS taken
+FROM lined l LEFT JOIN dealt d ON d.sid = l.sid AND d.shard = l.shard LEFT JOIN extra e ON e.doc_id = l.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_near_join": NEAR,
     "op7_line_dedup": LINES,
     "op9_chat_turns": CHAT,
+    "op10_mix_sources": MIX,
 }
