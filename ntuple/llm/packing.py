@@ -8,8 +8,11 @@ the curve share sequences and only the last sequence of all has padding.
 
 from __future__ import annotations
 
+import gc
 import math
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,53 +29,113 @@ HASH_BITS = 12
 SEED = 1
 #: Scale of a projected mean that spreads most documents over the cells.
 SPREAD = 0.35
-#: Words whose ids a Python worker remembers, and characters that it handles at a time.
-CACHE_WORDS = 400_000
+#: Words and pieces whose ids a Python worker remembers, and characters that it handles at a time.
+CACHE_WORDS = 800_000
 SLICE = 4_000_000
+#: Words that are encoded as one text.
+TOGETHER = 500
+
+#: Words of plain Latin letters, with full stops and commas behind: the tokenizer takes the letters
+#: (lower-cased one by one) and the signs as two pieces.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+END = b"\xff"
 
 _loaded: dict[str, tuple] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones stand for
+    themselves, the others for the code points from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 def tokenizer(path: str):
-    """The tokenizer of this worker and its remembered words."""
+    """The tokenizer of this worker, its remembered words and its remembered pieces of words."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = (Tokenizer.from_file(path), {}, {})
     return _loaded[path]
 
 
+def encoded(words: list[bytes], model) -> list[bytes]:
+    """The ids of each word as bytes; many words are one text, whose tokens are told apart by where they start."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    groups = [texts[a : a + TOGETHER] for a in range(0, len(texts), TOGETHER)]
+    out: list[bytes] = []
+    for group, found in zip(groups, model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        starts = np.cumsum([0] + [len(w) + 1 for w in group])
+        of_word = np.searchsorted(starts, [o[0] for o in found.offsets], side="right") - 1
+        ends = np.cumsum(np.bincount(of_word, minlength=len(group))) * 4
+        raw = np.array(found.ids, dtype="<u4").tobytes()
+        out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return out
+
+
+def plain_parts(word: bytes) -> tuple[bytes, bytes] | None:
+    """Letters, lower-cased, and signs of a plain word."""
+    letters = word.rstrip(b".,")
+    if letters.isalpha():
+        return letters.lower(), word[len(letters) :]
+    if letters.isascii():
+        return None
+    found = PLAIN.fullmatch(letters.decode("utf-8", "replace"))
+    return (found[0].lower().encode(), word[len(letters) :]) if found else None
+
+
+def ids_of(words: list[bytes], model, pieces: dict[bytes, bytes]) -> list[bytes]:
+    """The ids of each word as bytes.
+
+    Plain words are looked up piece by piece, and new pieces go to the merges of the vocabulary
+    directly; all other words, and signs, go through the whole tokenizer.
+    """
+    parts = [plain_parts(w) for w in words]
+    odd = [w for w, p in zip(words, parts, strict=True) if p is None]
+    signs = sorted({p[1] for p in parts if p and p[1]} - pieces.keys())
+    found = encoded([*odd, *signs], model)
+    pieces.update(zip(signs, found[len(odd) :], strict=True))
+    pieces[b""] = b""
+    merge, letters = model.model.tokenize, byte_letters()
+    for base in {p[0] for p in parts if p} - pieces.keys():
+        spelt = base.decode() if base.isascii() else "".join(letters[b] for b in base)
+        pieces[base] = array("I", [t.id for t in merge(spelt)]).tobytes()
+    rest = iter(found)
+    return [pieces[p[0]] + pieces[p[1]] if p else next(rest) for p in parts]
+
+
 def token_ids(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each text's followed by ``end_id``, and their numbers.
 
     The tokenizer drops white space and never joins across it, so each distinct word between
-    ASCII white space is encoded once and its ids are copied wherever it stands.
+    ASCII white space is encoded once and its ids are copied wherever it stands.  A byte that no text
+    holds stands for the end of a text.
     """
-    model, known = tokenizer(path)
-    split = [t.split() for t in texts]
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    codes, unique = pd.factorize(np.fromiter((w for ws in split for w in ws), dtype=object, count=int(counts.sum())))
-    missing = [w for w in unique if w not in known]
-    if len(known) + len(missing) > CACHE_WORDS:
+    model, known, pieces = tokenizer(path)
+    if len(known) + len(pieces) > CACHE_WORDS:
         known.clear()
-        missing = list(unique)
-    for a in range(0, len(missing), 20_000):
-        part = missing[a : a + 20_000]
-        found = model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        known.update(zip(part, (e.ids for e in found), strict=True))
-    own = [known[w] for w in unique]
-    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-    store = np.fromiter((i for ids in own for i in ids), dtype=np.int64, count=int(sizes.sum()))
+        pieces.clear()
+    known[END] = array("I", [end_id]).tobytes()
+    between = b" " + END + b" "
+    words = (between.join(texts) + between).split()
+    codes, unique = pd.factorize(np.array(words, dtype=object))
+    del words
+    own = list(map(known.get, unique))
+    missing = [i for i, x in enumerate(own) if x is None]
+    new = [unique[i] for i in missing]
+    for i, word, ids in zip(missing, new, ids_of(new, model, pieces), strict=True):
+        own[i] = known[word] = ids
+    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+    store = np.frombuffer(b"".join(own), dtype="<u4")
     first = np.cumsum(sizes) - sizes
-    # Every text ends with one more word, the end id.
-    store, first, sizes = np.append(store, end_id), np.append(first, len(store)), np.append(sizes, 1)
-    codes = np.insert(codes, np.cumsum(counts), len(sizes) - 1)
     n = sizes[codes]
     ends = np.cumsum(n)
-    ids = store[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first[codes], n)]
-    last = np.cumsum(counts + 1) - 1
-    return ids, np.diff(np.concatenate(([0], ends[last])))
+    ids = store[np.arange(int(ends[-1])) + np.repeat(first[codes] - (ends - n), n)]
+    last = ends[codes == np.flatnonzero(unique == END)[0]]
+    return ids, np.diff(last, prepend=0)
 
 
 def projection() -> np.ndarray:
@@ -122,6 +185,8 @@ def tokenised(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = projection()
+        # Millions of small objects live here and none in cycles: the collector would only walk over them.
+        gc.disable()
         for batch in batches:
             at = batch.schema.get_field_index(text)
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
@@ -129,7 +194,7 @@ def tokenised(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
             for a, b in slices(texts, SLICE):
                 ids, lengths = token_ids(texts[a:b], path, end_id)
                 curve = hilbert(points(ids, lengths, matrix), CELL_BITS)
-                raw = ids.astype("<u4").tobytes()
+                raw = ids.tobytes()
                 ends = np.cumsum(lengths) * 4
                 blobs = [raw[e - 4 * n : e] for e, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays(
