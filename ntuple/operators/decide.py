@@ -7,6 +7,7 @@ rules are array expressions on that column: no shuffle, no Python.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -250,6 +251,39 @@ def fixed_threshold(votes: Column, n_labels: int, b: int) -> Column:
     return let(votes, lambda m: hits_above(m, F.lit(b - 1), n_labels))
 
 
+@dataclass(frozen=True)
+class NamedRule:
+    """A rule by name and parameters: it can be stored with a model and compared."""
+
+    name: str
+    parameters: tuple[tuple[str, object], ...] = ()
+
+    def __call__(self, votes: Column, n_labels: int) -> Column:
+        if self.name not in RULES:
+            raise ValueError(f"unknown decision rule {self.name}")
+        return RULES[self.name](votes, n_labels, **dict(self.parameters))
+
+
+RULES: dict[str, Callable] = {
+    "bleaching": bleaching,
+    "best_margin": best_margin,
+    "fixed_threshold": fixed_threshold,
+}
+
+
+def rule_named(name: str, **parameters) -> NamedRule:
+    if name not in RULES:
+        raise ValueError(f"unknown decision rule {name}")
+    return NamedRule(name, tuple(sorted(parameters.items())))
+
+
+def name_of(rule: Rule) -> tuple[str, dict] | None:
+    """Name and parameters of a rule; None for one that is code of its own."""
+    if isinstance(rule, NamedRule):
+        return rule.name, dict(rule.parameters)
+    return next(((name, {}) for name, known in RULES.items() if known is rule), None)
+
+
 def similarity(votes: Column, n_labels: int) -> Column:
     """Per label: sum of votes over (largest vote x tuples), 0 when nothing was hit."""
 

@@ -109,9 +109,11 @@ def train_incrementally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CountModel.train(rows.where(positive), VECTOR_MAPPING, bits).add(rows.where(~positive), bits).table
 
 
-@query("reset_model", sql.chain(VECTOR_PREFIX, sql.ADDRESSES, sql.MODEL, final=MODEL_ROWS + " WHERE false"))
+@query("reset_model", sql.chain(VECTOR_PREFIX, sql.ADDRESSES, sql.MODEL, final=MODEL_ROWS))
 def reset_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_model(spark, sf_dir)[0].reset().table
+    """A model that forgot everything and is trained again equals a fresh one."""
+    model, rows = vector_model(spark, sf_dir)
+    return model.reset().add(rows, VECTOR_BITS.on("x")).table
 
 
 @query(

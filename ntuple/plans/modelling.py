@@ -217,6 +217,31 @@ def classify_tuned_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.predict(docs).select("row_id", "label", "predicted")
 
 
+# A tenth of the rows, first in md5 order, is held out of the model and chooses the threshold.
+HELD_OUT_SQL = SEARCH_SQL.replace(
+    "model AS (SELECT label, ram, a, count(*) AS c FROM addr GROUP BY label, ram, a)",
+    "val AS (SELECT row_id, row_number() OVER (ORDER BY u) <= greatest(1, CAST(floor(0.1::DOUBLE * count(*) OVER ()) AS BIGINT)) AS held FROM (SELECT DISTINCT "
+    f"row_id, ('0x' || substr(md5('{SEED}:' || row_id), 1, 12))::BIGINT AS u FROM addr)),\n"
+    "model AS (SELECT label, ram, a, count(*) AS c FROM addr JOIN val USING (row_id) WHERE NOT held GROUP BY label, ram, a)",
+).replace(
+    "acc AS (SELECT b, count(*) FILTER (truth = predicted) AS hit FROM wb GROUP BY b",
+    "acc AS (SELECT b, count(*) FILTER (truth = predicted AND held) AS hit FROM wb JOIN val USING (row_id) GROUP BY b",
+).replace(
+    "mx AS (SELECT CAST(max(v) AS BIGINT) AS top FROM votes)",
+    "mx AS (SELECT CAST(max(v) AS BIGINT) AS top FROM votes JOIN val USING (row_id) WHERE held)",
+)
+
+
+@query(
+    "classify_tuned_bloom_held_out",
+    HELD_OUT_SQL + "SELECT row_id, truth AS label, predicted FROM wb JOIN best ON wb.b = best.threshold",
+)
+def classify_tuned_bloom_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.documents(spark, sf_dir)
+    found = tune.TunedBloom.fit(docs, "x", "label", "row_id", 6, DOC_HASHES, 6, SEED, validation=0.1, digits=9)
+    return found.predict(docs).select("row_id", "label", "predicted")
+
+
 @query("search_thermometer")
 def search_thermometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinate search over two thresholds per document feature, six candidates each."""
@@ -354,6 +379,33 @@ def classify_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("train_clusters_unsupervised")
+def train_clusters_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors together, in rounds."""
+    rows = tables.vectors(spark, sf_dir).select("row_id", VECTOR_BITS.bits("x").alias("bits"))
+    model = cluster.train_rounds(rows, "bits", 128, 8, SEED, "row_id", rule=cluster.Rule(0.3, 200.0, 5), first_slice=250)
+    return cluster.cluster_counts(model)
+
+
+@query("classify_clusters_semi_supervised")
+def classify_clusters_semi_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the labelled ones train first, the others under the label they are given."""
+    docs = tables.documents(spark, sf_dir, labelled=False)
+    encoder = encode.fit_linear(docs, "x", 8)
+    rows = docs.select("row_id", "label", encoder.bits("x").alias("bits"))
+    model = cluster.train_semi_supervised(rows, "bits", 32, 4, SEED, "row_id", rule=cluster.Rule(0.3, 200.0, 4), first_slice=250)
+    return model.classify(rows, "bits").select("row_id", "predicted", "predicted_cluster")
+
+
+@query("predict_order_clusters")
+def predict_order_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices from the most similar cluster of all orders, trained in rounds."""
+    rows = tables.order_rows(spark, sf_dir).select("row_id", "y", ORDER_BITS.bits("x").alias("bits"))
+    model = cluster.train_rounds(rows, "bits", 24, 6, SEED, "row_id", y="y", rule=cluster.Rule(0.5, 2000.0, 4), first_slice=1000)
+    found = model.predict(rows, "bits", "row_id", regress.ratio_mean)
+    return found.withColumn("prediction", F.round("prediction", 6))
+
+
 def user_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.event_points(spark, sf_dir)
     bits = encode.ragged_thermometer([8, 8], [0.0, 0.0], [200.0, 24.0])

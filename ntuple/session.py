@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,23 +25,18 @@ def local_session(app: str = "ntuple", cores: str | int = 8) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` through the reliable checkpoint folder of the session.
+    """Write ``df`` once into the shared folder of the session and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session, which has no
-    shared folder, gets a fresh temporary one.
+    The folder comes from ``spark.checkpoint.dir``.  Only a local session, whose tasks all run on
+    this machine, gets a fresh temporary one.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(shared)
-    # Writing a checkpoint evaluates the plan a second time unless the rows are kept.
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return kept.checkpoint(eager=True)
-    finally:
-        kept.unpersist()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared.rstrip('/')}/ntuple/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

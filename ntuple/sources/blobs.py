@@ -6,7 +6,6 @@ fixed-width little-endian numbers are decoded by vectorised Arrow batches.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,13 +59,14 @@ def _doubles(rows: DataFrame) -> DataFrame:
 
 
 def _decode(blobs: DataFrame, blob: str, keep: list[str], layout: np.dtype, columns: str) -> DataFrame:
-    parts = blobs.select(*keep, F.posexplode(F.split(F.col(blob), r"\.")).alias("ram_id", "_b"))
+    split = blobs.select(*keep, F.posexplode(F.split(F.col(blob), r"\.")).alias("ram_id", "_b"))
+    parts = split.withColumn("_b", F.unbase64("_b"))
     kept = parts.schema
     names = list(layout.names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            data = [np.frombuffer(base64.b64decode(b), layout) for b in pdf["_b"]]
+            data = [np.frombuffer(b, layout) for b in pdf["_b"]]
             sizes = [len(d) for d in data]
             out = pdf.drop(columns="_b").loc[pdf.index.repeat(sizes)].reset_index(drop=True)
             entries = np.concatenate(data) if data else np.empty(0, layout)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decide
 from ..operators.address import Mapping
 from ..operators.bloom import BloomModel, HashFamily
 from ..operators.cluster import ClusterModel, Rule
@@ -51,43 +52,65 @@ def save_count_model(model: CountModel, path: str) -> None:
     spark = model.table.sparkSession
     model.table.write.mode("overwrite").partitionBy("label").parquet(f"{path}/ram")
     model.mapping.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/mapping")
+    shared = model.background_mapping
     if model.background is not None:
         model.background.write.mode("overwrite").parquet(f"{path}/background")
-    o = model.options
+        shared = shared or model.mapping
+        shared.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/background_mapping")
     _meta(
         spark,
         path,
         {
             **_mapping_meta(model.mapping),
             "trainings": model.trainings,
-            "options": {
-                "ignore_zero": o.ignore_zero,
-                "balanced": o.balanced,
-                "weights": o.weights,
-                "attention": o.attention,
-                "cross_class": o.cross_class,
-                "soft": o.soft,
-                "background_beta": o.background_beta,
-                "negative_alpha": o.negative_alpha,
-                "negative_mode": o.negative_mode,
-            },
-            "background": model.background is not None,
+            "options": _options_meta(model.options),
+            "background": None if model.background is None else _mapping_meta(shared),
         },
     )
 
 
+def _options_meta(o: Options) -> dict:
+    """Everything between votes and scores; a rule that is code of its own has no name."""
+    return {
+        "ignore_zero": o.ignore_zero,
+        "balanced": o.balanced,
+        "weights": o.weights,
+        "attention": o.attention,
+        "cross_class": o.cross_class,
+        "rule": decide.name_of(o.rule),
+        "soft": o.soft,
+        "background_beta": o.background_beta,
+        "negative_alpha": o.negative_alpha,
+        "negative_mode": o.negative_mode,
+    }
+
+
+def _load_options(meta: dict, rule) -> Options:
+    if rule is None and meta["rule"] is None:
+        raise ValueError("the model was saved with a decision rule of its own code: pass rule=")
+    if rule is None:
+        name, parameters = meta["rule"]
+        plain = decide.RULES.get(name)
+        rule = plain if plain is not None and not parameters else decide.rule_named(name, **parameters)
+    return Options(**{**meta, "rule": rule})
+
+
 def load_count_model(spark: SparkSession, path: str, rule=None) -> CountModel:
-    """A pluggable decision rule is code and is passed again on load."""
+    """A decision rule that is code of its own is passed again; named ones come from the folder."""
     meta = read_meta(spark, path)
-    options = Options(**meta["options"])
-    if rule is not None:
-        options = Options(**{**meta["options"], "rule": rule})
+    options = _load_options(meta["options"], rule)
     table = spark.read.schema("ram_id int, address bigint, cnt bigint, label string").parquet(f"{path}/ram")
     mapping = _load_mapping(spark, path, meta)
     if mapping.is_wide:
         table = spark.read.schema("ram_id int, address string, cnt bigint, label string").parquet(f"{path}/ram")
-    background = spark.read.parquet(f"{path}/background") if meta["background"] else None
-    return CountModel(table, mapping, meta["trainings"], options, background)
+    if meta["background"] is None:
+        return CountModel(table, mapping, meta["trainings"], options)
+    m = meta["background"]
+    shared = Mapping.from_table(
+        spark.read.parquet(f"{path}/background_mapping"), m["entry_size"], m["base"], m["multi_resolution"]
+    )
+    background = spark.read.parquet(f"{path}/background")
+    return CountModel(table, mapping, meta["trainings"], options, background, shared)
 
 
 def save_bloom_model(model: BloomModel, path: str) -> None:
@@ -102,12 +125,13 @@ def save_bloom_model(model: BloomModel, path: str) -> None:
             **_mapping_meta(model.mapping),
             "trainings": model.trainings,
             "ignore_zero": model.ignore_zero,
+            "options": _options_meta(model.options),
             "hashes": {"mode": h.mode, "n_slots": h.n_slots, "n_hashes": h.n_hashes, "seed": h.seed},
         },
     )
 
 
-def load_bloom_model(spark: SparkSession, path: str) -> BloomModel:
+def load_bloom_model(spark: SparkSession, path: str, rule=None) -> BloomModel:
     meta = read_meta(spark, path)
     table = spark.read.schema("ram_id int, slot int, cnt bigint, label string").parquet(f"{path}/ram")
     return BloomModel(
@@ -116,6 +140,7 @@ def load_bloom_model(spark: SparkSession, path: str) -> BloomModel:
         meta["trainings"],
         HashFamily(**meta["hashes"]),
         meta["ignore_zero"],
+        _load_options(meta["options"], rule),
     )
 
 

@@ -9,6 +9,9 @@ WITHOUT_SQL = {
     "classify_clusters",
     "train_clusters_sequential",
     "predict_clustered_regression",
+    "train_clusters_unsupervised",
+    "classify_clusters_semi_supervised",
+    "predict_order_clusters",
 }
 
 

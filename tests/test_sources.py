@@ -7,7 +7,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from ntuple.operators import address, cluster, count_model, encode, prep, regress
+from ntuple.operators import address, cluster, count_model, decide, encode, prep, regress
 from ntuple.operators.address import BitColumn
 from ntuple.operators.bloom import BloomModel, HashFamily
 from ntuple.operators.count_model import CountModel, Options
@@ -82,6 +82,27 @@ def test_count_model_round_trip(toy, tmp_path, spark):
     assert {r["row_id"]: r["scores"] for r in back.rank(toy, BITS).collect()} == a
 
 
+def test_decision_rules_are_saved_by_name(toy, tmp_path, spark):
+    mapping = address.random_mapping(9, 3, 2)
+    named = decide.rule_named("fixed_threshold", b=2)
+    for i, rule in enumerate((decide.best_margin, named, decide.rule_named("bleaching", confidence=2))):
+        model = CountModel.train(toy, mapping, BITS, options=Options(rule=rule))
+        store.save_count_model(model, str(tmp_path / f"m{i}"))
+        back = store.load_count_model(spark, str(tmp_path / f"m{i}"))
+        want = {r["row_id"]: r["scores"] for r in model.rank(toy, BITS).collect()}
+        assert {r["row_id"]: r["scores"] for r in back.rank(toy, BITS).collect()} == want
+    own = CountModel.train(toy, mapping, BITS, options=Options(rule=lambda v, n: decide.fixed_threshold(v, n, 1)))
+    store.save_count_model(own, str(tmp_path / "own"))
+    with pytest.raises(ValueError):
+        store.load_count_model(spark, str(tmp_path / "own"))
+    assert store.load_count_model(spark, str(tmp_path / "own"), named).options.rule == named
+    with pytest.raises(ValueError):
+        decide.rule_named("unheard of")
+    bloom = BloomModel.train(toy, mapping, BITS, hashes=HashFamily("h3", 64, 2, 3), options=Options(balanced=True, rule=named))
+    store.save_bloom_model(bloom, str(tmp_path / "bloom"))
+    assert store.load_bloom_model(spark, str(tmp_path / "bloom")).options == bloom.options
+
+
 def test_other_models_round_trip(toy, tmp_path, spark):
     bloom = BloomModel.train(toy, address.random_mapping(9, 3, 2), BITS, hashes=HashFamily("h3", 64, 2, 3))
     store.save_bloom_model(bloom, str(tmp_path / "b"))
