@@ -22,6 +22,7 @@ def spark():
 @pytest.fixture(scope="session")
 def toy(spark):
     """Nine labelled bit rows of nine bits."""
+    # The toy rows that results are known for.
     rows = {
         "cold": ["111000000", "111100100", "111000100", "111100000", "101010101"],
         "hot": ["000011111", "001001111", "001011111", "000001111"],

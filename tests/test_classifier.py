@@ -206,6 +206,7 @@ def test_winner_rules(spark):
 
 
 def test_mental_image_golden(spark):
+    # Rows and the counts they must give.
     data = [("111110000", "cold"), ("111100000", "cold"), ("000011111", "hot"), ("000001111", "hot")]
     df = spark.createDataFrame(
         [(i, [int(b) for b in t], lab) for i, (t, lab) in enumerate(data)],
@@ -221,6 +222,7 @@ def test_mental_image_golden(spark):
 
 
 def test_explicit_mapping_round_trip(spark):
+    # A mapping given tuple by tuple.
     tuples = {
         "cold": [[0, 8], [1, 8], [2, 7], [3, 6], [4, 5]],
         "hot": [[8, 7], [6, 5], [4, 3], [2, 1], [0, 3]],

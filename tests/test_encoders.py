@@ -145,3 +145,25 @@ def test_many_brackets_do_not_multiply_rows(spark, monkeypatch):
     found = order.order_statistics(rows, ["k"], "v", lambda _k, _n: ranks)
     assert [s.value for s in found[(0,)]] == [2.0 * r for r in ranks]
     assert max(n for n, _ in joined) > 200 and {n for _, n in joined} == {20_000}
+
+
+@pytest.mark.parametrize(("entry", "size"), [(12, 8), (20, 16), (9, 5), (33, 32), (100, 6), (37, 5), (128, 8)])
+def test_multi_resolution_cuts(entry, size):
+    """A deficit is taken one bit at a time from the first tuples with room, round by round."""
+    from ntuple.operators import address
+
+    found = address.multi_resolution_sizes(entry, size)
+    count = max(1, entry // size) + (entry % size > 0)
+    if count == 1:
+        assert found == [entry]
+        return
+    low, high = max(2, size // 2), max(max(2, size // 2), size * 3 // 2)
+    wanted = [int(low + i / (count - 1) * (high - low) + 0.5) for i in range(count)]
+    missing = sum(wanted) - entry
+    while missing > 0 and max(wanted) > 2:
+        for i in [i for i, w in enumerate(wanted) if w > 2][:missing]:
+            wanted[i] -= 1
+            missing -= 1
+    for i in range(max(-missing, 0)):
+        wanted[-1 - i % count] += 1
+    assert found == wanted
