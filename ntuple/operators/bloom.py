@@ -14,13 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h3_constants, h3_slots, murmur_slots, simhash_slots
-from .address import SHARED, BitSource, Mapping, slot_count, tuple_rows
+from .address import BitSource, Mapping, tuple_rows
 from .count_model import CountModel, Options, class_counts, count_addresses
 
-GRID_ADDRESSES = 1 << 20
-"""Largest address space that is resolved as a whole."""
-
-
 @dataclass(frozen=True)
 class HashFamily:
     """``n_hashes`` slots in ``[0, n_slots)``; mode murmur, h3 or simhash."""
@@ -82,14 +78,6 @@ class BloomModel:
     def labels(self) -> list[str]:
         return list(self.trainings)
 
-    def all_addresses(self, spark) -> DataFrame:
-        """Every ``(ram_id, address)`` of a shared mapping with equal tuple sizes."""
-        size = 1 << self.mapping.widest
-        return spark.range(self.mapping.n_rams * size).select(
-            F.floor(F.col("id") / size).cast("int").alias("ram_id"),
-            (F.col("id") % size).alias("address"),
-        )
-
     def slot_hits(self, addresses: DataFrame) -> DataFrame:
         """Per address, label and hash: the counter, 0 where never counted.
 
@@ -138,12 +126,11 @@ class BloomModel:
         return tuple_rows(df, self.mapping, bits, []).distinct()
 
     def as_count_model(self, df: DataFrame, bits: BitSource) -> CountModel:
-        """A counting classifier that answers with this filter's counters for ``df``."""
-        small = self.mapping.is_shared and slot_count(self.mapping, self.labels) <= GRID_ADDRESSES
-        same = len(set(self.mapping.sizes(SHARED))) == 1 if self.mapping.is_shared else False
-        addresses = (
-            self.all_addresses(df.sparkSession) if small and same else self.needed_addresses(df, bits)
-        )
+        """A counting classifier that answers with this filter's counters for the rows of ``df``.
+
+        Other rows may have addresses that were not resolved: call it for the rows to be scored.
+        """
+        addresses = self.needed_addresses(df, bits)
         return CountModel(self.resolve(addresses), self.mapping, self.trainings, self.options)
 
     def size_bytes(self, per_class: bool = True) -> int:

@@ -1,7 +1,7 @@
 """Scoring imported lookup-table networks and continuous-Bloom ensembles over whole tables.
 
-Parameters arrive as model tables; their sizes are fixed by the architecture and checked
-before they become constants of the plan, so scoring is a projection without a shuffle.
+Parameters arrive as model tables.  Those of small networks become constants of the plan, and
+scoring is a projection without a shuffle; :class:`LutTables` scores larger ones by joins.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import constant, let
+from ..functions.expr import bit, constant, let
+from ..functions.joins import lookup_join
 from .address import Mapping
 from .decide import first_winner
 
@@ -22,7 +23,7 @@ PARAMETER_LIMIT = 1 << 20
 def _bounded(table: DataFrame, columns: list[str]) -> list:
     rows = table.select(*columns).limit(PARAMETER_LIMIT + 1).collect()
     if len(rows) > PARAMETER_LIMIT:
-        raise ValueError("the network is too large to be a constant of the plan")
+        raise ValueError("the network is too large to be a constant of the plan; use the join form")
     return rows
 
 
@@ -71,17 +72,53 @@ class LutNetwork:
         return df.withColumn("predicted", first_winner(self.scores(F.col(bits)), self.labels))
 
 
+@dataclass(frozen=True)
+class LutTables:
+    """The network of any size: its parameters stay in the table ``(layer, lut, addr, value)``.
+
+    Rows with equal bits are scored once.  Each layer joins the addresses of its tables with the
+    parameters, split by salt, and regroups the answers.
+    """
+
+    values: DataFrame
+    mappings: tuple[Mapping, ...]
+    labels: list[str]
+    tau: float = 1.0
+
+    def predict(self, df: DataFrame, bits: str) -> DataFrame:
+        """Add ``scores`` and ``predicted``; every row comes out once with all its columns."""
+        place = ["_p1", "_p2"]
+        marked = df.withColumns({"_p1": F.xxhash64(bits), "_p2": F.hash(bits)})
+        state = marked.select(*place, F.col(bits).alias("_b")).dropDuplicates(place)
+        for layer, mapping in enumerate(self.mappings):
+            plan = constant([list(reversed(tup)) for tup in mapping.of("")], "array<array<int>>")
+            addresses = let(F.col("_b"), _lut_addresses(plan))
+            asked = state.select(*place, F.posexplode(addresses).alias("lut", "addr"))
+            own = self.values.where(F.col("layer") == layer).select(
+                F.col("lut").cast("int").alias("lut"), F.col("addr").cast("int").alias("addr"), bit(F.col("value") > 0).alias("v")
+            )
+            answers = lookup_join(asked, own, ["lut", "addr"], ["_p1", "lut"]).groupBy(*place)
+            ordered = F.array_sort(F.collect_list(F.struct("lut", F.coalesce("v", F.lit(0)).alias("v"))))
+            state = answers.agg(F.transform(ordered, lambda e: e["v"]).alias("_b"))
+        scores = group_sum(F.col("_b"), self.mappings[-1].n_rams, len(self.labels), self.tau)
+        scored = state.select(*place, scores.alias("scores"))
+        return marked.join(scored, place).drop(*place).withColumn("predicted", first_winner(F.col("scores"), self.labels))
+
+
+def _lut_addresses(plan: Column):
+    return lambda bits: F.transform(plan, lambda tup: _lut_address(bits, tup))
+
+
+def _lut_address(bits: Column, tup: Column) -> Column:
+    return F.aggregate(tup, F.lit(0), lambda acc, i: acc * 2 + F.coalesce(F.get(bits, i).cast("int"), F.lit(0)))
+
+
 def _layer(bits: Column, plan: Column) -> Column:
     return let(
         bits,
         lambda b: F.transform(
             plan,
-            lambda lut: F.get(
-                lut["v"],
-                F.aggregate(
-                    lut["i"], F.lit(0), lambda acc, i: acc * 2 + F.coalesce(F.get(b, i).cast("int"), F.lit(0))
-                ),
-            ),
+            lambda lut: F.get(lut["v"], _lut_address(b, lut["i"])),
         ),
     )
 

@@ -456,7 +456,8 @@ def parameters_sql(name: str, first: int, second: int, third: int, prefix: str)
     )
 
 
-def lut_network(spark: SparkSession) -> network.LutNetwork:
+def lut_parts(spark: SparkSession) -> tuple[DataFrame, list[address.Mapping], list[str], float]:
+    """Parameter table, mappings, labels and temperature of a network of two layers."""
     values = md5_values(spark, 2, 46, 64, "lut").select(
         F.col("a").alias("layer"), F.col("b").alias("lut"), F.col("c").alias("addr"), "value"
     )
@@ -464,7 +465,11 @@ def lut_network(spark: SparkSession) -> network.LutNetwork:
         address.stacked_permutations(128, 6, 46, 21),
         address.stacked_permutations(46, 6, 46, 22),
     ]
-    return network.LutNetwork.of(values, mappings, [str(i) for i in range(10)], 2.0)
+    return values, mappings, [str(i) for i in range(10)], 2.0
+
+
+def lut_network(spark: SparkSession) -> network.LutNetwork:
+    return network.LutNetwork.of(*lut_parts(spark))
 
 
 def stacked_sql(name: str, inputs: int, need: int, seed: int, size: int) -> str:
@@ -502,6 +507,14 @@ def classify_lut_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lut_network(spark).predict(rows, "bits").select("row_id", "predicted")
 
 
+@query("classify_lut_network_join", sql.chain(LUT_PREFIX, sql.winner(direction="ASC"), final="SELECT row_id, predicted FROM won"))
+def classify_lut_network_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the parameters left in their table, as for networks of any size."""
+    rows = tables.vectors(spark, sf_dir).select("row_id", VECTOR_BITS.bits("x").alias("bits"))
+    values, mappings, labels, tau = lut_parts(spark)
+    return network.LutTables(values, tuple(mappings), labels, tau).predict(rows, "bits").select("row_id", "predicted")
+
+
 @query(
     "lut_spectrum",
     sql.chain(

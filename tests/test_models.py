@@ -319,6 +319,12 @@ def test_lut_network_against_plain_python(spark):
         padded = [0] + out  # five outputs, two groups: padded on the left
         assert got[i] == [sum(padded[:3]) / 2.0, sum(padded[3:]) / 2.0]
     assert network.lut_bytes(net) == -(-(48 + 20) // 8) + 4 * (18 + 10)
+    # The form that leaves the parameters in their table gives the same, for rows that repeat too.
+    doubled = df.union(df).withColumn("extra", F.lit(1))
+    joined = network.LutTables(values, tuple(mappings), ["x", "y"], 2.0).predict(doubled, "bits")
+    assert joined.columns == [*doubled.columns, "scores", "predicted"]
+    found = joined.collect()
+    assert len(found) == 40 and all(r["scores"] == got[r["row_id"]] for r in found)
 
 
 def test_spectrum_energy_is_parseval(spark):
