@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -141,27 +142,22 @@ def sketched(docs: DataFrame, text: str, runs: int) -> DataFrame:
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
-def deeper(rows: DataFrame) -> DataFrame:
-    """Further splits of ``nodes`` (too large ones) for sets ``cid``, ``n``, ``tokens``: ``cid``, ``level``, ``parent``, ``key``."""
+def parted(rows: DataFrame) -> DataFrame:
+    """One more split of ``nodes`` (too large ones) for sets ``cid``, ``n``, ``tokens``: ``cid``, ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
+            cids, keys = [], []
             for cid, n, blob, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = np.frombuffer(blob, dtype=np.uint32)
-                limits = limits_of(np.array([n]))
-                level = [np.int64(k) for k in nodes]
-                for depth in range(2, DEPTH + 1):
-                    below = []
-                    for node in level:
-                        _, keys = children(tokens, limits, node.view(np.uint64))
-                        out += [(cid, depth, int(node), int(k)) for k in keys]
-                        below += list(keys)
-                    level = below
-            arrays = [pa.array([r[i] for r in out], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["cid", "level", "parent", "key"])
-
-    return rows.select("cid", "n", "tokens", "nodes").mapInArrow(run, "cid long, level long, parent long, key long")
+                tokens, limits = np.frombuffer(blob, dtype=np.uint32), limits_of(np.array([n]))
+                for node in nodes:
+                    found = children(tokens, limits, np.int64(node).view(np.uint64))[1]
+                    cids.append(np.full(len(found), cid, dtype=np.int64))
+                    keys.append(found)
+            none = [np.zeros(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (cids, keys)], names=["cid", "key"])
+
+    return rows.select("cid", "n", "tokens", "nodes").mapInArrow(run, "cid long, key long")
 
 
 def node_sizes(rows: DataFrame) -> DataFrame:
@@ -174,20 +170,19 @@ def node_sizes(rows: DataFrame) -> DataFrame:
 
 def leaves_of(first: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``cid``, ``key``, ``size`` for each set and leaf; of leaves with the same sets, one."""
-    sizes = stored(node_sizes(first))
-    large = sizes.where(F.col("size") > LEAF)
-    leaves = first.join(sizes.where(F.col("size").between(2, LEAF)), "key")
-    if large.limit(1).count():
-        members = first.join(large.select("key"), "key").groupBy("cid").agg(F.collect_list("key").alias("nodes"))
+    reached, leaves = first, []
+    for depth in range(1, DEPTH + 1):
+        sizes = stored(node_sizes(reached))
+        most = F.col("size") <= LEAF if depth < DEPTH else F.lit(True)
+        leaves.append(reached.join(sizes.where((F.col("size") > 1) & most), "key").select("cid", "key", "size", "m1", "m2"))
+        large = sizes.where(~most).select("key")
+        if not large.limit(1).count():
+            break
+        members = reached.join(large, "key").groupBy("cid").agg(F.collect_list("key").alias("nodes"))
         members = members.join(classes.select("cid", "_file", "_row"), "cid")
-        split = deeper(sets.select("_file", "_row", "n", "tokens").join(small(members, BROADCAST_ROWS), ["_file", "_row"]))
-        below = stored(split.distinct())
-        below_sizes = stored(node_sizes(below))
-        too_large = below_sizes.where(F.col("size") > LEAF).select(F.col("key").alias("parent"))
-        # A child counts if its parent had to be split; all parents of the second level had.
-        valid = below.where("level = 2").union(below.where("level > 2").join(too_large, "parent", "left_semi").select(*below.columns))
-        ends = valid.join(below_sizes.where("size > 1"), "key").where((F.col("size") <= LEAF) | (F.col("level") == DEPTH))
-        leaves = leaves.unionByName(ends.select(*leaves.columns))
+        held = sets.select("_file", "_row", "n", "tokens").join(small(members, BROADCAST_ROWS), ["_file", "_row"])
+        reached = stored(parted(held).distinct())
+    leaves = reduce(DataFrame.unionByName, leaves)
     leaves = stored(leaves.select("cid", "key", "size", "m1", "m2"))
     same = leaves.groupBy("size", "m1", "m2").agg(F.min("key").alias("kept"))
     one = same.select(F.col("kept").alias("key"))
