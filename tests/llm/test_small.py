@@ -269,6 +269,34 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     multiset(got, brute_links(rows))
 
 
+def test_leaves_and_pairs_of_blocks_agree():
+    """Links and roots of one leaf equal those summed over its two blocks and the pair of them."""
+    rng = random.Random(11)
+    base = np.array(sorted(rng.sample(range(10**6), 60)), dtype=np.uint32)
+    rows = []
+    for i in range(40):
+        keep = np.array([x for x in base if rng.random() < 0.97], dtype=np.uint32)
+        rows.append((i, len(keep), 1 + i % 3, keep, [5, 9] if i % 4 else [3, 5, 9], 0))
+    whole = {c: (r, n) for c, r, n in nearjoin.compared(9, rows, False)}
+    a, b = rows[:20], [(*r[:5], 1) for r in rows[20:]]
+    parts = [*nearjoin.compared(9, a, False), *nearjoin.compared(9, b, False), *nearjoin.compared(9, a + b, True)]
+    sums = Counter()
+    for c, _, n in parts:
+        sums[c] += n
+    # All pairs share the lesser leaf 5, where they count.
+    assert not any(n for _, n in whole.values()) and not any(sums.values())
+    five = {c: n for c, _, n in nearjoin.compared(5, rows, False)}
+    parts = [*nearjoin.compared(5, a, False), *nearjoin.compared(5, b, False), *nearjoin.compared(5, a + b, True)]
+    sums = Counter()
+    for c, _, n in parts:
+        sums[c] += n
+    near = lambda x, y: 9 * len(np.intersect1d(x[3], y[3])) >= 4 * (x[1] + y[1])
+    for x in rows:
+        want = sum(y[2] for y in rows if y[0] != x[0] and near(x, y) and not (3 in x[4] and 3 in y[4]))
+        assert five.get(x[0], 0) == sums[x[0]] == want
+    assert {r for _, r, _ in nearjoin.compared(5, rows, False)} == {0}
+
+
 # Secrets
 
 
