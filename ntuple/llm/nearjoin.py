@@ -35,9 +35,11 @@ RUN_MISS = 0.42
 #: Sets that one task compares with each other.
 LEAF = 2048
 DEPTH = 4
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Columns of a dense block of the overlap matrix.
-BLOCK = 4096
+BLOCK = 1024
+#: Rows of a strip of the overlap matrix.
+STRIP = 256
 #: Rows of looked-up tables that may be broadcast (at most some 400 bytes each).
 BROADCAST_ROWS = 250_000
 
@@ -223,38 +225,38 @@ def compared(key: int, rows: list[tuple], cross: bool) -> list[tuple[int, int, i
     if not left or not right:
         return []
     shared = overlaps([r[3] for r in left], [r[3] for r in right])
-    na = np.array([r[1] for r in left], dtype=np.float64)[:, None]
-    nb = np.array([r[1] for r in right], dtype=np.float64)[None, :]
-    # shared / union >= threshold, in whole numbers of fifths so that the border is exact.
-    near = shared.astype(np.float64) * (1 + THRESHOLD) >= THRESHOLD * (na + nb) - 1e-6
+    na, nb = (np.array([r[1] for r in side], dtype=np.float64) for side in (left, right))
+    strips = [slice(i, i + STRIP) for i in range(0, len(left), STRIP)]
+    near = np.zeros(shared.shape, dtype=bool)
+    for k in strips:
+        # shared / (na + nb - shared) >= 4 / 5 in whole numbers, so that the border is exact.
+        near[k] = 9.0 * shared[k] >= 4.0 * (na[k, None] + nb[None, :])
+    del shared
     if not cross:
         np.fill_diagonal(near, False)
     if not near.any():
         return []
     lower = [np.array([k for k in r[4] if k < key], dtype=np.int64) for r in left]
     upper = lower if not cross else [np.array([k for k in r[4] if k < key], dtype=np.int64) for r in right]
-    earlier = overlaps(lower, upper) > 0 if any(map(len, lower)) else np.zeros(near.shape, dtype=bool)
-    counted = (near & ~earlier).astype(np.float64)
-    links: dict[int, float] = {}
-    mult_a, mult_b = np.array([r[2] for r in left], float), np.array([r[2] for r in right], float)
-    for r, x in zip(left, counted @ mult_b, strict=True):
-        links[r[0]] = links.get(r[0], 0) + x
+    counted = near & ~(overlaps(lower, upper) > 0) if any(map(len, lower)) else near
+    mult_a, mult_b = (np.array([r[2] for r in side], dtype=np.float64) for side in (left, right))
+    links_a = np.concatenate([counted[k] @ mult_b for k in strips])
+    links_b = sum(mult_a[k] @ counted[k] for k in strips)
+    # Everyone takes the least label next to it until nothing changes.
+    roots_a, roots_b = (np.array([r[0] for r in side], dtype=np.int64) for side in (left, right))
+    none = np.iinfo(np.int64).max
+    while True:
+        before = roots_a.copy(), roots_b.copy()
+        for k in strips:
+            roots_a[k] = np.minimum(roots_a[k], np.where(near[k], roots_b[None, :], none).min(axis=1))
+        for k in strips:
+            roots_b = np.minimum(roots_b, np.where(near[k], roots_a[k, None], none).min(axis=0))
+        if np.array_equal(before[0], roots_a) and np.array_equal(before[1], roots_b):
+            break
+    out = [(r[0], int(x), int(round(n))) for r, x, n in zip(left, roots_a, links_a, strict=True)]
     if cross:
-        for r, x in zip(right, mult_a @ counted, strict=True):
-            links[r[0]] = links.get(r[0], 0) + x
-    roots = {r[0]: r[0] for r in rows}
-
-    def root(x: int) -> int:
-        while roots[x] != x:
-            roots[x] = roots[roots[x]]
-            x = roots[x]
-        return x
-
-    for i, j in zip(*np.nonzero(near), strict=True):
-        a, b = root(left[i][0]), root(right[j][0])
-        if a != b:
-            roots[max(a, b)] = min(a, b)
-    return [(c, root(c), int(round(x))) for c, x in links.items() if x or root(c) != c]
+        out += [(r[0], int(x), int(round(n))) for r, x, n in zip(right, roots_b, links_b, strict=True)]
+    return [x for x in out if x[2] or x[1] != x[0]]
 
 
 def linked(rows: DataFrame) -> DataFrame:

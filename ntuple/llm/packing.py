@@ -30,8 +30,8 @@ SEED = 1
 #: Scale of a projected mean that spreads most documents over the cells.
 SPREAD = 0.35
 #: Words and pieces whose ids a Python worker remembers, and characters that it handles at a time.
-CACHE_WORDS = 800_000
-SLICE = 4_000_000
+CACHE_WORDS = 600_000
+SLICE = 2_000_000
 #: Words that are encoded as one text.
 TOGETHER = 500
 
@@ -187,20 +187,23 @@ def tokenised(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
         matrix = projection()
         # Millions of small objects live here and none in cycles: the collector would only walk over them.
         gc.disable()
-        for batch in batches:
-            at = batch.schema.get_field_index(text)
-            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            others = [c for i, c in enumerate(batch.columns) if i != at]
-            for a, b in slices(texts, SLICE):
-                ids, lengths = token_ids(texts[a:b], path, end_id)
-                curve = hilbert(points(ids, lengths, matrix), CELL_BITS)
-                raw = ids.tobytes()
-                ends = np.cumsum(lengths) * 4
-                blobs = [raw[e - 4 * n : e] for e, n in zip(ends, lengths, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in others), pa.array(lengths), pa.array(curve), pa.array(blobs, pa.binary())],
-                    names=[*rest, "_n", "_curve", "_ids"],
-                )
+        try:
+            for batch in batches:
+                at = batch.schema.get_field_index(text)
+                texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+                others = [c for i, c in enumerate(batch.columns) if i != at]
+                for a, b in slices(texts, SLICE):
+                    ids, lengths = token_ids(texts[a:b], path, end_id)
+                    curve = hilbert(points(ids, lengths, matrix), CELL_BITS)
+                    raw = ids.tobytes()
+                    ends = np.cumsum(lengths) * 4
+                    blobs = [raw[e - 4 * n : e] for e, n in zip(ends, lengths, strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.slice(a, b - a) for c in others), pa.array(lengths), pa.array(curve), pa.array(blobs, pa.binary())],
+                        names=[*rest, "_n", "_curve", "_ids"],
+                    )
+        finally:
+            gc.enable()
 
     schema = docs.select(*rest, F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_curve"), F.lit(b"").alias("_ids")).schema
     return docs.select(*rest, text).mapInArrow(run, schema)

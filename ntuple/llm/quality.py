@@ -26,7 +26,7 @@ BUCKET_BITS = 16
 #: Added to every bucket of both multinomials.
 SMOOTH = 1.0
 #: Characters that Python handles at a time.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Labelled good documents whose ids are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Scores are counted in steps of this size for the threshold.
