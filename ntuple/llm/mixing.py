@@ -5,6 +5,11 @@ seeded order and cut into blocks of equal size.  Blocks are the seats: sources g
 highest quotients of their targets, the shards of a source by the highest quotients of what
 they hold.  A shard takes every block as often as its quota holds all of them, and the rest by
 a seeded draw.
+
+The last block of a shard is shorter than a seat.  Where that, or the size of a seat, could keep
+a source from its target (small sources, shards of few blocks), the source is dealt out in tokens:
+its target is parted by what its shards hold, its blocks have a size of its own, and the last
+block drawn is taken as far as the quota goes.
 """
 
 from __future__ import annotations
@@ -19,6 +24,10 @@ LEAST_BLOCK = 64
 BLOCKS = 1 << 18
 #: Documents of a shard, about; shards bound the rows that one ordered pass sees.
 SHARD_DOCS = 50_000
+#: Part of its target that a source may miss by whole blocks; else it is dealt out in tokens.
+TOLERANCE = 0.01
+#: Blocks of a shard that is dealt out in tokens, about, at most.
+TOKEN_BLOCKS = 512
 
 
 def cyclic_weights(source: str = "source") -> Column:
@@ -82,6 +91,35 @@ def sainte_lague(df: DataFrame, by: list[str], weight: str, seats: str, tie: lis
     )
 
 
+def dealt_out(shards: DataFrame, seat: int, max_repeats: int) -> DataFrame:
+    """How each shard is taken: ``whole`` times, and ``more`` of its blocks or ``rest`` tokens of them.
+
+    ``shards``: ``sid``, ``shard``, ``held``, ``quota`` (seats), and ``target``, ``source_size`` and
+    ``shards`` of the source.  ``cut`` is the size of the blocks of the shard.
+    """
+    source = Window.partitionBy("sid")
+    n = F.ceil(F.col("held") / seat)
+    seats = shards.withColumn("quota", F.least("quota", max_repeats * n)).withColumns(
+        {"_whole": F.floor(F.col("quota") / n), "_more": F.col("quota") % n}
+    )
+    # At most what the short last blocks lack, and what the seats are off the target.
+    lack = (F.col("_whole") + (F.col("_more") > 0).cast("int")) * (n * seat - F.col("held"))
+    off = F.sum(lack).over(source) + F.abs(F.sum("quota").over(source) * seat - F.col("target"))
+    upto = F.sum("held").over(source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    share = lambda held: F.floor(F.col("target") * (held / F.col("source_size")) + 0.5)
+    tokens = F.least(share(upto) - share(upto - F.col("held")), max_repeats * F.col("held"))
+    told = seats.withColumns({"_tokens": tokens, "_fine": off > TOLERANCE * F.col("target")})
+    own = LEAST_BLOCK + F.floor(F.col("source_size") / (TOKEN_BLOCKS * F.col("shards")))
+    none = F.lit(0).cast("long")
+    return told.select(
+        "sid", "shard", "held",
+        F.when(F.col("_fine"), own).otherwise(seat).cast("long").alias("cut"),
+        F.when(F.col("_fine"), F.floor(F.col("_tokens") / F.col("held"))).otherwise(F.col("_whole")).cast("int").alias("whole"),
+        F.when(F.col("_fine"), none).otherwise(F.col("_more")).cast("long").alias("more"),
+        F.when(F.col("_fine"), F.col("_tokens") % F.col("held")).otherwise(none).cast("long").alias("rest"),
+    )
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -105,52 +143,58 @@ def mix(
     nothing.  Rows that repeat, ids included, are documents of their own.  No rows give no
     rows.  Other columns, whatever their names, are not read.
     """
-    order = seeded(seed, *(draw_by or keep))
+    draw = seeded(seed, *(draw_by or keep))
     base = stored(
         docs.select(
             *[F.col(c).alias(f"k_{c}") for c in keep],
             F.col(source).alias("source"),
             F.coalesce(size, F.lit(0)).cast("long").alias("size"),
-            order.alias("draw"),
+            draw.alias("draw"),
         )
     )
-    counted = base.agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("rows")).first()
-    block = LEAST_BLOCK + (counted["all"] or 0) // BLOCKS
-    shards = 1 + counted["rows"] // SHARD_DOCS
+    counted = base.agg(F.sum("size").alias("all")).first()
+    seat = LEAST_BLOCK + (counted["all"] or 0) // BLOCKS
 
-    sources = base.groupBy("source").agg(F.sum("size").alias("size")).withColumns(
+    sources = base.groupBy("source").agg(
+        F.sum("size").alias("size"), (1 + F.floor(F.count(F.lit(1)) / SHARD_DOCS)).alias("shards")
+    ).withColumns(
         {
             "sid": F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())),
             "weight": cyclic_weights() if weight is None else weight.cast("double"),
         }
     )
     aimed = targets(sources, max_repeats)
-    seats = F.floor(F.sum("size").over(Window.partitionBy()) / block + 0.5).cast("long")
+    seats = F.floor(F.sum("size").over(Window.partitionBy()) / seat + 0.5).cast("long")
     quotas = stored(
         sainte_lague(aimed.withColumn("seats", seats), [], "target", "seats", ["sid"], "blocks")
         .select("sid", "blocks")
-        .join(aimed.select("sid", "source", "target", F.col("size").alias("source_size")), "sid", "right")
+        .join(aimed.select("sid", "source", "shards", "target", F.col("size").alias("source_size")), "sid", "right")
         .fillna(0, ["blocks"])
     )
 
-    placed = base.join(quotas.select("sid", "source", "target", "source_size"), base["source"].eqNullSafe(quotas["source"])).select(
+    placed = base.join(quotas.select("sid", "source", "shards", "target", "source_size"), base["source"].eqNullSafe(quotas["source"])).select(
         *[f"k_{c}" for c in keep], "sid", "target", "source_size", "size", "draw",
-        (hex_number("draw") % shards).alias("shard"),
+        (hex_number("draw") % F.col("shards")).alias("shard"),
     )
-    held = placed.groupBy("sid", "shard").agg(F.sum("size").alias("held"))
-    dealt = sainte_lague(
-        held.join(quotas.select("sid", "blocks"), "sid"), ["sid"], "held", "blocks", ["shard"], "quota"
-    ).withColumn("n", F.ceil(F.col("held") / block))
-    dealt = dealt.withColumn("quota", F.least("quota", max_repeats * F.col("n"))).select(
-        "sid", "shard", F.floor(F.col("quota") / F.col("n")).cast("int").alias("whole"), (F.col("quota") % F.col("n")).alias("more"), "n"
-    )
-    dealt = stored(dealt)
+    held = stored(placed.groupBy("sid", "shard").agg(F.sum("size").alias("held")).where("held > 0"))
+    seated = sainte_lague(held.join(quotas.select("sid", "blocks"), "sid"), ["sid"], "held", "blocks", ["shard"], "quota")
+    dealt = stored(
+        dealt_out(held.join(seated.select("sid", "shard", "quota"), ["sid", "shard"], "left").fillna(0, ["quota"]).join(quotas, "sid"), seat, max_repeats)
+    )
+    order = Window.partitionBy("sid", "shard").orderBy(seeded(seed, "sid", "shard", "block"), "block")
+    real = F.least("cut", F.col("held") - F.col("block") * F.col("cut"))
     drawn = (
-        dealt.where("more > 0")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("_place", F.row_number().over(Window.partitionBy("sid", "shard").orderBy(seeded(seed, "sid", "shard", "block"), "block")))
-        .where("_place <= more")
-        .select("sid", "shard", "block")
+        dealt.where("more > 0 OR rest > 0")
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / F.col("cut")) - 1)))
+        .withColumns(
+            {
+                "_real": real,
+                "_place": F.row_number().over(order),
+                "_before": F.coalesce(F.sum(real).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            }
+        )
+        .where("_place <= more OR _before < rest")
+        .select("sid", "shard", "block", F.when(F.col("rest") > 0, F.least("_real", F.col("rest") - F.col("_before"))).otherwise(F.col("_real")).alias("upto"))
     )
 
     laid = (
@@ -159,14 +203,15 @@ def mix(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     lined = stored(placed.withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0))))
-    spans = lined.where("size > 0").select(
-        "sid", "shard", "start", "size",
-        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"),
+    spans = lined.where("size > 0").join(dealt.select("sid", "shard", "cut"), ["sid", "shard"]).select(
+        "sid", "shard", "start", "size", "cut",
+        F.explode(F.sequence(F.floor(F.col("start") / F.col("cut")), F.floor((F.col("start") + F.col("size") - 1) / F.col("cut")))).alias("block"),
     )
-    first = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    last = F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))
+    first = F.greatest(F.col("block") * F.col("cut") - F.col("start"), F.lit(0))
+    last = F.least(F.col("block") * F.col("cut") + F.col("upto") - F.col("start"), F.col("size"))
     parts = (
         spans.join(drawn, ["sid", "shard", "block"])
+        .where(last > first)
         .groupBy("sid", "shard", "start")
         .agg(
             F.sort_array(F.collect_list(F.struct(first.cast("long").alias("first"), (last - first).cast("long").alias("length")))).alias("parts"),

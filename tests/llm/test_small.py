@@ -486,3 +486,20 @@ def test_mixture_comes_near_its_targets(spark, docs, rows, none):
     assert total == sum(taken.values())
     assert mixing.mix(docs, count_words(F.col("text"))).count() == len(rows)
     assert mixing.mix(none, count_words(F.col("text"))).count() == 0
+
+
+def test_small_sources_reach_their_targets(spark, monkeypatch):
+    """Sources of a few words up to some seats, beside a large one, over several shards."""
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 100)
+    data = [(i, "large", 300) for i in range(1500)] + [(5000 + i, "short", 3) for i in range(900)]
+    data += [(10_000 + i, f"s{k}", k) for k in (1, 7, 40) for i in range(12)] + [(20_000 + i, "some", 500) for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, source string, n long").repartition(4)
+    got = mixing.mix(df, F.col("n"), keep=["doc_id", "source"]).collect()
+    assert len(got) == len(data)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] == r["whole"] * r["size"] + sum(p["length"] for p in r["parts"]) <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 1 for s in target), (taken, target)
