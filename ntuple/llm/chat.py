@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 OPEN, SHUT, END = "<turn:", ">", "</turn>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Bytes that Spark lets a variant have, and characters that its JSON reader lets a string have.
+VARIANT_BYTES = 128 << 20
+STRING_CHARS = 20_000_000
+#: Takes the place of :data:`STRING_CHARS` where options can be given.
+LONG = {"maxStringLen": str((1 << 31) - 1)}
 
 
 @dataclass(frozen=True)
@@ -64,13 +69,32 @@ LAYOUTS = (
 )
 
 
+def parsed(record: Column) -> Column:
+    """The variant of a JSON record, null for other text; an error for what Spark cannot hold.
+
+    ``try_parse_json`` also gives null for strings over :data:`STRING_CHARS`, so long records
+    are read again without that limit.  A variant is at most eight times as long as its text.
+    """
+    quick = F.try_parse_json(record)
+    again = F.from_json(record, "variant", LONG)
+    too_long = F.raise_error(
+        F.lit(f"a record of over {VARIANT_BYTES // 8} bytes is not JSON or its variant has over {VARIANT_BYTES} bytes")
+    )
+    size = F.octet_length(record)
+    return F.coalesce(
+        quick,
+        F.when(size > STRING_CHARS, again),
+        F.when(size > VARIANT_BYTES // 8, F.try_parse_json(too_long.cast("string"))),
+    )
+
+
 def fingerprint(record: Column) -> Column:
     """Hash of the nested field paths of a JSON record, whatever the types of its leaves.
 
     The schema of a variant lists the fields of an object by name, so the order in which a
     record writes them does not matter.  Null for text that is not JSON.
     """
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(parsed(record))
     shape = F.regexp_replace(schema, r": (?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\d+\))", "")
     return F.xxhash64(F.when(shape.isNotNull(), shape))
 
@@ -85,9 +109,9 @@ def shapes_of(mapping: Mapping) -> list[str]:
 
 def mapped(record: Column, mapping: Mapping) -> Column:
     """The turns of a record under one mapping; missing and null texts are empty."""
-    variant = F.try_parse_json(record)
     blank = F.lit("")
     if mapping.turns is None:
+        variant = parsed(record)
         turns = F.array(
             *[
                 F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(variant, path, "string"), blank).alias("text"))
@@ -105,7 +129,12 @@ def mapped(record: Column, mapping: Mapping) -> Column:
         return turns
     fields = f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"
     name = mapping.turns.removeprefix("$.")
-    read = F.from_json(record, f"`{name}` {fields}")[name]
+    return said(F.from_json(record, f"`{name}` {fields}", LONG)[name], mapping)
+
+
+def said(messages: Column, mapping: Mapping) -> Column:
+    """The turns of the messages of a mapping that lists them; no messages give no turns."""
+    blank = F.lit("")
 
     def turn(m: Column) -> Column:
         role = F.coalesce(m[mapping.role], blank)
@@ -113,14 +142,15 @@ def mapped(record: Column, mapping: Mapping) -> Column:
             role = F.when(m[mapping.role] == old, new).otherwise(role)
         return F.struct(role.alias("role"), F.coalesce(m[mapping.text], blank).alias("text"))
 
-    return F.coalesce(F.transform(read, turn), F.array().cast(TURNS)).cast(TURNS)
+    return F.coalesce(F.transform(messages, turn), F.array().cast(TURNS)).cast(TURNS)
 
 
 def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """Add ``layout`` and ``turns`` (array of ``role``, ``text``) to records.
 
     A record that is null, is not JSON or has an unknown layout keeps its row, with null in both.
-    Null roles and texts are empty.  The columns ``layout`` and ``turns`` are replaced.
+    Null roles and texts are empty.  The columns ``layout`` and ``turns`` are replaced.  A record
+    whose variant has over :data:`VARIANT_BYTES` is an error (see :func:`parsed`).
     """
     shapes = [(m, s) for m in mappings for s in shapes_of(m)]
     df = df.withColumn("_shape", fingerprint(F.col(record)))
@@ -206,8 +236,8 @@ def learned(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
     return F.array_join(cut, "")
 
 
-def conversation_records(rows: DataFrame) -> DataFrame:
-    """One ``messages`` record for each ``conv_id`` from rows by turn.
+def conversation_messages(rows: DataFrame) -> DataFrame:
+    """``conv_id`` and ``messages`` (``role``, ``content``) from rows by turn.
 
     Turns are in order of ``turn``, then ``role`` and ``text``; nulls come first.  A row without
     ``conv_id`` is a conversation of its own.  Rows that repeat are turns that repeat.
@@ -216,6 +246,25 @@ def conversation_records(rows: DataFrame) -> DataFrame:
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
     grouped = rows.select("conv_id", alone.alias("_alone"), "turn", message.alias("message")).groupBy("conv_id", "_alone")
     ordered = F.sort_array(F.collect_list(F.struct("turn", "message")))
-    return grouped.agg(ordered.alias("ordered")).select(
-        "conv_id", F.to_json(F.struct(F.transform("ordered", lambda x: x["message"]).alias("messages"))).alias("record")
-    )
+    return grouped.agg(ordered.alias("ordered")).select("conv_id", F.transform("ordered", lambda x: x["message"]).alias("messages"))
+
+
+def conversation_records(rows: DataFrame) -> DataFrame:
+    """One ``messages`` record for each ``conv_id``, as :func:`conversation_messages` has them."""
+    return conversation_messages(rows).select("conv_id", F.to_json(F.struct("messages")).alias("record"))
+
+
+def conversation_turns(rows: DataFrame, mappings: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
+    """``conv_id``, ``layout`` and ``turns`` of rows by turn, whatever their size.
+
+    Texts stay out of JSON: messages of a table all have the same fields, so the fingerprint is
+    that of one message without its texts, and the mapping it selects reads the messages.
+    """
+    empty = F.transform(F.slice("messages", 1, 1), lambda m: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
+    df = conversation_messages(rows).withColumn("_shape", fingerprint(F.to_json(F.struct(empty.alias("messages")))))
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for mapping in reversed([m for m in mappings if (m.turns, m.role, m.text) == ("$.messages", "role", "content")]):
+        same = F.col("_shape").isin([fingerprint(F.lit(s)) for s in shapes_of(mapping)])
+        layout = F.when(same, mapping.name).otherwise(layout)
+        turns = F.when(same, said(F.col("messages"), mapping)).otherwise(turns)
+    return df.select("conv_id", layout.alias("layout"), turns.alias("turns"))

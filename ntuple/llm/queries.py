@@ -141,7 +141,7 @@ def op9_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(hard).alias("text"),
     )
     rows = rows.unionByName(more)
-    shown = chat.render(chat.canonical_turns(chat.conversation_records(rows)))
+    shown = chat.render(chat.conversation_turns(rows))
     back = shown.withColumns({"back": chat.read_back(F.col("formatted")), "learned": chat.learned()})
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

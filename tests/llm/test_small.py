@@ -434,6 +434,24 @@ def test_formatting_is_reversible(spark):
     assert chat.conversation_records(df.limit(0)).count() == 0
 
 
+def test_long_texts_keep_their_turns(spark):
+    """Texts over the 20,000,000 characters that Spark's JSON reader takes by default."""
+    n = 20_000_100
+    long = F.when(F.col("id") % 2 == 0, "hi").otherwise(F.repeat(F.lit("y"), n))
+    role = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    rows = spark.range(4).select(F.floor(F.col("id") / 2).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), long.alias("text"))
+    sizes = F.transform("turns", lambda t: F.length(t["text"]))
+    whole = chat.conversation_turns(rows).select("layout", sizes.alias("n")).collect()
+    assert [tuple(r) for r in whole] == [("messages", [2, n])] * 2
+    raw = chat.canonical_turns(chat.conversation_records(rows.where("conv_id = 0"))).select("layout", sizes.alias("n")).collect()
+    assert [tuple(r) for r in raw] == [("messages", [2, n])]
+    pair = F.concat(F.lit('{"prompt":"hi","completion":"'), F.repeat(F.lit("y"), n), F.lit('"}')).alias("record")
+    said = chat.canonical_turns(spark.range(1).select(pair)).select("layout", sizes.alias("n")).collect()
+    assert [tuple(r) for r in said] == [("prompt", [2, n])]
+    with pytest.raises(Exception, match="over 134217728 bytes"):
+        chat.canonical_turns(spark.range(1).select(F.repeat(F.lit("{"), n).alias("record"))).select("layout").collect()
+
+
 # Mixing
 
 
