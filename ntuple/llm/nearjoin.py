@@ -30,7 +30,7 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Pairs at the threshold are missed at most this often.
 MISS = 1e-5
-#: Chance that a run misses a pair at the threshold: it may share no child, or none that parts again.
+#: Chance that a run misses a pair at the threshold where nodes are split once: it may share no child.
 RUN_MISS = 0.42
 #: Sets that one task compares with each other.
 LEAF = 2048
@@ -46,8 +46,21 @@ BROADCAST_ROWS = 250_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs_for(miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log(RUN_MISS))
+def runs_for(miss: float = MISS, depth: int = 1) -> int:
+    """Runs that miss a pair at the threshold at most so often if its nodes are split ``depth`` times.
+
+    A pair is expected to share one child or more of a node.  It is missed below a node if every
+    child that it shares (a Poisson number) misses it.
+    """
+    q = 0.0
+    for _ in range(depth):
+        q = math.exp(q - 1)
+    return math.ceil(math.log(miss) / math.log(max(q, RUN_MISS)))
+
+
+def roots_of(first: int, last: int) -> np.ndarray:
+    """The roots of runs ``first`` + 1 to ``last``."""
+    return mixed(np.arange(first + 1, last + 1, dtype=np.uint64) * GOLDEN)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -109,7 +122,7 @@ def limits_of(n: np.ndarray) -> np.ndarray:
 def sketched(docs: DataFrame, text: str, runs: int) -> DataFrame:
     """``n``, ``s1`` and ``s2`` (which set it is), ``keys`` (nodes after the first split) and ``tokens``."""
     rest = [c for c in docs.columns if c != text]
-    roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * GOLDEN)
+    roots = roots_of(0, runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,20 +183,39 @@ def node_sizes(rows: DataFrame) -> DataFrame:
     )
 
 
-def leaves_of(first: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cid``, ``key``, ``size`` for each set and leaf; of leaves with the same sets, one."""
-    reached, leaves = first, []
-    for depth in range(1, DEPTH + 1):
-        sizes = stored(node_sizes(reached))
-        most = F.col("size") <= LEAF if depth < DEPTH else F.lit(True)
-        leaves.append(reached.join(sizes.where((F.col("size") > 1) & most), "key").select("cid", "key", "size", "m1", "m2"))
-        large = sizes.where(~most).select("key")
-        if not large.limit(1).count():
-            break
-        members = reached.join(large, "key").groupBy("cid").agg(F.collect_list("key").alias("nodes"))
+def leaves_of(first: DataFrame, sets: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
+    """``cid``, ``key``, ``size`` for each set and leaf; of leaves with the same sets, one.
+
+    A pair is missed more often the more often its nodes are split, so the sets of nodes that
+    were split take part in further runs, as many as the deepest split calls for.
+    """
+    reached, leaves, split = first, [], None
+    runs, deepest = runs_for(miss), 1
+
+    def parted_below(members: DataFrame) -> DataFrame:
         members = members.join(classes.select("cid", "_file", "_row"), "cid")
         held = sets.select("_file", "_row", "n", "tokens").join(small(members, BROADCAST_ROWS), ["_file", "_row"])
-        reached = stored(parted(held).distinct())
+        return stored(parted(held).distinct())
+
+    while True:
+        for depth in range(1, DEPTH + 1):
+            deepest = max(deepest, depth)
+            sizes = stored(node_sizes(reached))
+            most = F.col("size") <= LEAF if depth < DEPTH else F.lit(True)
+            leaves.append(reached.join(sizes.where((F.col("size") > 1) & most), "key").select("cid", "key", "size", "m1", "m2"))
+            large = sizes.where(~most).select("key")
+            if not large.limit(1).count():
+                break
+            members = reached.join(large, "key").groupBy("cid").agg(F.collect_list("key").alias("nodes"))
+            if split is None:
+                split = members = stored(members)
+            reached = parted_below(members)
+        more = runs_for(miss, deepest)
+        # A set that no run has split so far meets its partners in nodes that were split once.
+        if split is None or more <= runs:
+            break
+        roots = F.array(*[F.lit(int(r)) for r in roots_of(runs, more).view(np.int64)])
+        reached, runs = parted_below(split.select("cid", roots.alias("nodes"))), more
     leaves = reduce(DataFrame.unionByName, leaves)
     leaves = stored(leaves.select("cid", "key", "size", "m1", "m2"))
     same = leaves.groupBy("size", "m1", "m2").agg(F.min("key").alias("kept"))
@@ -326,7 +358,7 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     first = stored(
         classes.where("n > 0").select("cid", "_file", "_row").join(sets.select("_file", "_row", "keys"), ["_file", "_row"]).select("cid", F.explode("keys").alias("key")).distinct()
     )
-    leaves = leaves_of(first, sets, classes)
+    leaves = leaves_of(first, sets, classes, miss)
     listed = leaves.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("leaves"))
     wanted = listed.join(classes.select("cid", "_file", "_row", "mult"), "cid")
     held = sets.select("_file", "_row", "n", "tokens").join(small(wanted, BROADCAST_ROWS), ["_file", "_row"])

@@ -269,6 +269,20 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     multiset(got, brute_links(rows))
 
 
+def test_split_nodes_miss_no_more_than_allowed(spark, monkeypatch):
+    """Groups at the threshold whose nodes are split as often as can be."""
+    monkeypatch.setattr(nearjoin, "LEAF", 2)
+    rows, groups = [], 200
+    for g in range(groups):
+        # 160 shingles in common and 20 of each text alone: 160 / 200.
+        common = [f"c{g}w{k}" for k in range(164)]
+        rows += [(6 * g + i, " ".join(common + [f"o{g}t{i}w{k}" for k in range(20)])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nearjoin.near_classes(linededup.with_row_id(docs), miss=0.05).select("n_links").collect()
+    assert len(got) == len(rows) and max(r["n_links"] for r in got) == 5
+    assert sum(5 - r["n_links"] for r in got) <= 0.05 * 5 * len(rows)
+
+
 def test_leaves_and_pairs_of_blocks_agree():
     """Links and roots of one leaf equal those summed over its two blocks and the pair of them."""
     rng = random.Random(11)
