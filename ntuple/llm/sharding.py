@@ -19,18 +19,36 @@ BIN_BITS = 12
 TOLERANCE = 1 / 4096
 
 
-def shape(shards: int) -> list[dict[int, int]]:
-    """Leaves below each node, level by level; the children of node i are 2i and 2i + 1."""
-    levels = [{0: shards}]
-    while max(levels[-1].values()) > 1:
-        below = {}
-        for node, leaves in levels[-1].items():
-            if leaves == 1:
-                below[2 * node] = 1
-            else:
-                below[2 * node], below[2 * node + 1] = leaves // 2, leaves - leaves // 2
-        levels.append(below)
-    return levels
+def heavy_groups(weights: list[int], total: int, shards: int) -> int:
+    """How many of the heaviest groups (in falling order) have more than an even part of what is left."""
+    n = 0
+    while n < min(len(weights), shards - 1) and weights[n] * (shards - n) > total:
+        total -= weights[n]
+        n += 1
+    return n
+
+
+def children_of(rows: DataFrame, keys: list[str], leaves: dict[int, int]) -> dict[int, int]:
+    """Leaves of the nodes 2i and 2i + 1 below each node i, by the weight that they got; one for a single group."""
+    found = rows.groupBy("node").agg(
+        F.sum("weight").alias("weight"), F.greatest(*[F.max(k) - F.min(k) for k in keys], F.lit(0)).alias("span")
+    ).collect()
+    weight, span = {r["node"]: r["weight"] for r in found}, {r["node"]: r["span"] for r in found}
+    below = {}
+    for node, m in leaves.items():
+        left, right = 2 * node, 2 * node + 1
+        if m == 1:
+            below[left] = 1
+            continue
+        both = weight.get(left, 0) + weight.get(right, 0)
+        part = round(m * weight.get(left, 0) / both) if both else m // 2
+        if not span.get(left, 0):
+            part = 1
+        elif not span.get(right, 0):
+            part = m - 1
+        below[left] = min(max(part, 1), m - 1)
+        below[right] = m - below[left]
+    return below
 
 
 def with_nodes(rows: DataFrame, values: dict[int, tuple], fields: str) -> DataFrame:
@@ -53,6 +71,7 @@ def node_cuts(rows: DataFrame, keys: list[str], leaves: dict[int, int], shard_we
             F.sum("weight").alias("weight"),
             *[(F.max(k) - F.min(k)).alias(k) for k in keys],
             *[F.min(k).alias(f"least{k}") for k in keys],
+            *[F.max(k).alias(f"most{k}") for k in keys],
         )
         .collect()
     )
@@ -60,6 +79,8 @@ def node_cuts(rows: DataFrame, keys: list[str], leaves: dict[int, int], shard_we
     # Rows below the cut go left: none has a key of 2^62 or more, so a leaf passes all to its left child.
     top = 1 << (VALUE_BITS + TIE_BITS)
     low = {r["node"]: r[f"least{keys[dims[r['node']]]}"] for r in spans}
+    # The least and the greatest key of a node go to different sides.
+    first, last = dict(low), {r["node"]: r[f"most{keys[dims[r['node']]]}"] for r in spans}
     width = {r["node"]: (r[keys[dims[r["node"]]]] + 1).bit_length() for r in spans}
     bits = max(width.values(), default=0)
     want = {r["node"]: r["weight"] * (leaves[r["node"]] // 2) / leaves[r["node"]] for r in spans}
@@ -90,6 +111,9 @@ def node_cuts(rows: DataFrame, keys: list[str], leaves: dict[int, int], shard_we
                 # Cut at the nearer edge of the bin.
                 nearer = want[node] - (total - weight) > weight / 2
                 cuts[node] = low[node] + (most + 1 if nearer else least)
+                if cuts[node] <= first[node]:
+                    cuts[node] = low[node] + most + 1
+                cuts[node] = min(cuts[node], max(last[node], first[node] + 1))
                 open_nodes.discard(node)
             else:
                 low[node] += least
@@ -107,8 +131,9 @@ def kd_shards(
 
     Returns the ``keep`` columns, ``weight``, ``shard`` (0 up to ``shards`` - 1) and ``slot``, the gapless place
     of the row in its shard.  ``dims`` are numeric; rows that agree in all dimensions and in
-    ``tie`` (a non-negative number) stay together, so a shard is as even as its largest group
-    allows.  Fewer groups than shards leave shards empty.  Null dimensions count as 0, null
+    ``tie`` (a non-negative number) stay together.  A group heavier than an even part of what
+    the heavier groups leave has a shard of its own, the last ones, and the others share the rest evenly.
+    Fewer groups than shards leave shards empty.  Null dimensions count as 0, null
     weights as 0; rows that repeat all get slots; no rows give no rows.
     """
     names = [f"_d{i}" for i in range(len(dims))]
@@ -132,14 +157,29 @@ def kd_shards(
         keys.append(F.shiftleft(value, TIE_BITS).bitwiseOR(F.col("_tie").bitwiseAND(F.lit((1 << TIE_BITS) - 1))).alias(f"_k{i}"))
     key_names = [f"_k{i}" for i in range(len(keys))]
     rows = base.select(*keep, "weight", "_tie", *keys, F.lit(0).alias("node"))
-    levels = shape(shards)
-    for leaves in levels[:-1]:
-        way, cuts = node_cuts(rows, key_names, leaves, ends["total"] / shards)
+    # At most as many groups as there are shards.
+    largest = rows.groupBy(*key_names).agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), *key_names).limit(shards).collect()
+    alone = largest[: heavy_groups([r["weight"] for r in largest], ends["total"], shards)]
+    own = F.lit(None).cast("int")
+    for i, r in enumerate(alone):
+        same = F.lit(True)
+        for k in key_names:
+            same = same & (F.col(k) == F.lit(r[k]))
+        own = F.when(same, shards - 1 - i).otherwise(own)
+    marked = rows.withColumn("_own", own)
+    rows = marked.where("_own IS NULL").drop("_own")
+    leaves = {0: shards - len(alone)}
+    share = (ends["total"] - sum(r["weight"] for r in alone)) / leaves[0]
+    while max(leaves.values()) > 1:
+        way, cuts = node_cuts(rows, key_names, leaves, share)
         known = with_nodes(rows, {n: (way[n], cuts[n]) for n in leaves}, "dim int, cut long")
         right = (F.element_at(F.array(*key_names), F.col("dim") + 1) >= F.col("cut")).cast("int")
         rows = known.withColumn("node", 2 * F.col("node") + right).drop("dim", "cut")
-    number = {node: i for i, node in enumerate(sorted(levels[-1]))}
+        leaves = children_of(rows, key_names, leaves)
+    number = {node: i for i, node in enumerate(sorted(leaves))}
     placed = with_nodes(rows, {n: (i,) for n, i in number.items()}, "shard int").select(*keep, "weight", "_tie", "shard")
+    if alone:
+        placed = placed.unionByName(marked.where("_own IS NOT NULL").select(*keep, "weight", "_tie", F.col("_own").alias("shard")))
     placed = placed.withColumn("_mix", F.xxhash64(*keep))
     numbered = running(placed, ["shard", *keep, "_tie", "_mix"], None, "_place")
     first = numbered.groupBy("shard").agg(F.min("_place").alias("_first"))

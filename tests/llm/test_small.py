@@ -406,6 +406,20 @@ def test_shards_are_even_and_gapless(spark, docs, rows, none):
     assert sharding.kd_shards(none, [F.length("text")], F.lit(0), F.lit(1), 5, keep=["doc_id"]).count() == 0
 
 
+def test_a_text_with_a_third_of_the_bytes_leaves_no_shard_empty(spark):
+    df = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, 40.0).otherwise(F.rand(1) * 100).alias("a"),
+        F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(2)).alias("b"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.abs(F.xxhash64("id") % 10**9)).alias("tie"),
+    )
+    sizes = defaultdict(int)
+    for r in sharding.kd_shards(df, [F.col("a"), F.col("b")], F.col("tie"), F.lit(10), 24, keep=["id"]).collect():
+        sizes[r["shard"]] += r["weight"]
+    assert sorted(sizes) == list(range(24))
+    *others, largest = sorted(sizes.values())
+    assert largest == 10_000 and max(others) - min(others) <= 0.05 * 20_000 / 23
+
+
 # Chat
 
 
