@@ -35,6 +35,8 @@ STEP = 0.002
 PIECE = re.compile(r"\w+|[^\w\s]+")
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
+#: Bits of a word's code of which three fit one number.
+CODE_BITS = 21
 
 STATS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -79,8 +81,12 @@ def repeated_words(codes: np.ndarray) -> int:
     if len(codes) < 4:
         return 0
     c = codes.astype(np.int64)
-    # A slice has fewer than 2^21 different words, so three codes fit one number.
-    windows = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    if c.max() < 1 << CODE_BITS:
+        windows = (c[:-2] << 2 * CODE_BITS) | (c[1:-1] << CODE_BITS) | c[2:]
+    else:
+        # Three codes do not fit one number, but the number of a pair and a code do.
+        _, pairs = np.unique((c[:-1] << 32) | c[1:], return_inverse=True)
+        windows = (pairs[:-1] << 32) | c[2:]
     _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
     twice = counts[inverse] > 1
     marks = np.zeros(len(c), dtype=bool)

@@ -164,6 +164,15 @@ def test_quality_statistics(docs, rows, none):
     assert quality.judge(none, model).count() == 0
 
 
+def test_repeated_words_of_texts_with_many_words():
+    """A text may have more different words than the bits of a code tell apart."""
+    codes = np.append(np.arange((1 << 21) + 4), [5, 6, 7])
+    assert quality.repeated_words(codes) == 6
+    # These two windows overlap to the same number when they are packed with 21 bits.
+    clash = np.array([1, 0, 9, 0, 1 << 21, 9])
+    assert quality.repeated_words(clash) == 0
+
+
 def test_quality_tells_junk_from_prose(spark):
     rng = random.Random(2)
     texts, labels = [], []
