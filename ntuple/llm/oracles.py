@@ -150,9 +150,72 @@ SELECT l.doc_id, l.size, l.source_size, l.target,
 FROM lined l LEFT JOIN dealt d ON d.sid = l.sid AND d.shard = l.shard LEFT JOIN extra e ON e.doc_id = l.doc_id
 """
 
+# Every pair of sources over every kept term, one by one.
+AUDIT = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM base
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+), groups AS (
+  SELECT DISTINCT lang, source FROM base
+), counts AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) c
+    ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), totals AS (
+  SELECT lang, source, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM counts GROUP BY lang, source
+), priced AS MATERIALIZED (
+  SELECT c.lang, c.source, c.term, c.n, 1 + 1000000000::HUGEINT * (c.n + 2) // (t.total + 2 * t.v) AS p
+  FROM counts c JOIN totals t ON t.lang = c.lang AND t.source = c.source
+), of_lang AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM kept
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM priced a JOIN priced b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), every_term AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p.p - l.q) * (p.p - l.q) // (p.p + l.q))::BIGINT AS value
+  FROM priced p JOIN of_lang l ON l.lang = p.lang AND l.term = p.term WHERE p.n > 0 AND p.p > l.q
+)
+SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (FROM every_pair UNION ALL FROM every_term)
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+# All scores of all anchors.
+NEGATIVES = """
+WITH base AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS MATERIALIZED (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.label AS al, b.r AS br, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM base a JOIN base b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, br) AS no FROM scored WHERE label = al QUALIFY no <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.ar, p.no ORDER BY n.score DESC, n.vec_id, n.br)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.ar = p.ar AND n.label <> p.label AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op5_near_join": NEAR,
     "op7_line_dedup": LINES,
     "op9_chat_turns": CHAT,
     "op10_mix_sources": MIX,
+    "op11_source_audit": AUDIT,
+    "op12_hard_negatives": NEGATIVES,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, linededup, mixing, nearjoin, packing, quality, secrets, sharding, urlfilter
+from . import (
+    chat,
+    divergence,
+    fingerprints,
+    linededup,
+    mixing,
+    nearjoin,
+    negatives,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    urlfilter,
+)
 from .common import count_words, running, stored, table
 from .oracles import ORACLES
 
@@ -159,6 +173,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("size")).drop("whole", "parts")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th vector is an anchor; every 7th changes its label first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, id="vec_id", vector="embedding", label=label, anchors=F.col("vec_id") % 50 == 0)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_weighted_fingerprints": op2_weighted_fingerprints,
@@ -170,4 +201,7 @@ QUERIES: dict[str, Query] = {
     "op8_kd_shards": op8_kd_shards,
     "op9_chat_turns": op9_chat_turns,
     "op10_mix_sources": op10_mix_sources,
+    "op11_source_audit": op11_source_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_simhash": op13_simhash,
 }
