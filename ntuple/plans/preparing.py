@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import address, count_model, encode, prep
 from ..operators.address import tuple_rows
-from ..streaming import online
+from ..session import scratch_folder
+from ..streaming import durable, online
 from . import sql, tables
 from .classifying import SEED, VECTOR_MAPPING, vector_model
 from .encoding import VECTOR_BITS
@@ -315,3 +316,25 @@ def window_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.window_model(
         event_rows(spark, sf_dir), EVENT_MAPPING, EVENT_BITS.on("x"), "ts", "6 days", "3 days", "1 day"
     )
+
+
+@query(
+    "durable_model",
+    sql.chain(
+        EVENT_PREFIX,
+        final="""SELECT label, ram AS ram_id, a AS address, count(*) AS cnt FROM addr WHERE label <> 'view' GROUP BY label, ram, a
+        UNION ALL SELECT label, -1, 0, count(*) FROM ev WHERE label <> 'view' GROUP BY label""",
+    ),
+)
+def durable_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that began with half of the events, was continued by a stream's batches in two
+    queries, compacted between them, and then had to forget one event type; read back merged."""
+    rows, bits = event_rows(spark, sf_dir), EVENT_BITS.on("x")
+    kept = durable.DurableModel(spark, scratch_folder(spark))
+    part = F.pmod(F.xxhash64("row_id"), F.lit(4))
+    kept.start_from(count_model.CountModel.train(rows.where(part < 2), EVENT_MAPPING, bits))
+    kept.append("morning", 0, durable.changes(rows.where(part == 2), EVENT_MAPPING, bits))
+    kept.compact()
+    kept.append("evening", 0, durable.changes(rows.where(part == 3), EVENT_MAPPING, bits))
+    kept.append("evening", 1, durable.negated(durable.changes(rows.where(F.col("label") == "view"), EVENT_MAPPING, bits)))
+    return kept.contents()

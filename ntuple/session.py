@@ -24,19 +24,22 @@ def local_session(app: str = "ntuple", cores: str | int = 8) -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder of the session and read it back.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new place in the shared folder of the session, which ``spark.checkpoint.dir`` names.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session, whose tasks all run on
-    this machine, gets a fresh temporary one.
+    Only a local session, whose tasks all run on this machine, gets a fresh temporary one.
     """
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/ntuple/{uuid.uuid4().hex}"
+    return f"{shared.rstrip('/')}/ntuple/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once into the shared folder of the session and read it back."""
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

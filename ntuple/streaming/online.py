@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.address import BitSource, Mapping, tuple_rows
 from ..operators.cluster import Leaders, Rule, all_addresses, cluster_tuples
-from ..operators.count_model import CountModel, count_addresses, merge_counts
+from ..operators.count_model import CountModel, count_addresses
 
 
 def train_stream(rows: DataFrame, mapping: Mapping, bits: BitSource, label: str = "label") -> DataFrame:
@@ -46,44 +46,10 @@ def window_model(
     )
 
 
-def merge_into(spark: SparkSession, path: str):
-    """A ``foreachBatch`` sink that adds the counts of a micro-batch to a model folder.
-
-    Each batch writes a new version next to the old one, named by its batch id, so a batch
-    that is run again replaces its own version only.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        current = batch.select("label", "ram_id", "address", "cnt")
-        if batch_id > 0:
-            current = merge_counts(spark.read.parquet(f"{path}/v={batch_id - 1}"), current)
-        else:
-            current = merge_counts(current)
-        current.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return write
-
-
-def train_micro_batches(
-    rows: DataFrame, mapping: Mapping, bits: BitSource, path: str, checkpoint: str, label: str = "label"
-):
-    """Start a query that keeps a model folder up to date; returns the streaming query."""
-    spark = rows.sparkSession
-    sink = merge_into(spark, path)
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        sink(count_addresses(batch, mapping, bits, label), batch_id)
-
-    return (
-        rows.writeStream.foreachBatch(one)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def classify_stream(rows: DataFrame, model: CountModel, bits: BitSource) -> DataFrame:
     """Score a stream with a fixed model that fits a constant: a projection, stateless."""
+    if not model.is_dense():
+        raise ValueError("a model of this size is joined batch by batch: use classify_micro_batches")
     return model.classify(rows, bits)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ntuple.operators import address, cluster
 from ntuple.operators.address import BitColumn
 from ntuple.operators.count_model import CountModel
-from ntuple.streaming import online
+from ntuple.streaming import durable, online
 
 from . import brute
 from .conftest import make_rows
@@ -51,22 +51,66 @@ def test_continuous_training_equals_batch(spark, folder):
     assert contents(live) == contents(batch.table)
 
 
-def test_micro_batches_keep_a_model_folder(spark, folder, tmp_path):
-    path, _ = folder
-    mapping = address.random_mapping(18, 4, 3)
-    batch = CountModel.train(spark.read.parquet(path), mapping, BITS)
-    out = str(tmp_path / "model")
-    query = online.train_micro_batches(stream(spark, path), mapping, BITS, out, str(tmp_path / "ck"))
+def ended(query):
     query.awaitTermination(300)
     assert query.exception() is None
-    assert contents(spark.read.parquet(f"{out}/v=2")) == contents(batch.table)
-    sink = online.merge_into(spark, out)  # a batch that runs again changes nothing
-    last = spark.read.parquet(path).where("row_id < 0")
-    from ntuple.operators.count_model import count_addresses
-
-    sink(count_addresses(last, mapping, BITS), 3)
-    sink(count_addresses(last, mapping, BITS), 3)
-    assert contents(spark.read.parquet(f"{out}/v=3")) == contents(batch.table)
+
+
+def test_a_durable_model_goes_on_from_any_state(spark, folder, tmp_path):
+    """An existing model, a stream, a new checkpoint, a repeated batch and compactions between them."""
+    path, _ = folder
+    mapping = address.random_mapping(18, 4, 3)
+    rows = spark.read.parquet(path)
+    first = CountModel.train(rows.where("row_id < 30"), mapping, BITS)
+    kept = durable.DurableModel(spark, str(tmp_path / "model"))
+    assert kept.contents().count() == 0 and kept.compact() == -1
+    kept.start_from(first)
+    assert contents(kept.model(mapping).table) == contents(first.table)
+    ended(durable.train_durably(stream(spark, path), mapping, BITS, kept.path, str(tmp_path / "ck1"), compact_every=2))
+    ended(durable.train_durably(stream(spark, path), mapping, BITS, kept.path, str(tmp_path / "ck2")))
+    want = first.add(rows, BITS).add(rows, BITS)
+    got = kept.model(mapping)
+    assert contents(got.table) == contents(want.table) and got.trainings == want.trainings
+    # A batch that runs again replaces itself, before and after it is part of the base.
+    more = durable.changes(rows.where("row_id >= 40"), mapping, BITS)
+    kept.append("again", 0, more)
+    kept.append("again", 0, more)
+    want = want.add(rows.where("row_id >= 40"), BITS)
+    assert contents(kept.model(mapping).table) == contents(want.table)
+    version = kept.compact()
+    kept.append("again", 0, more)
+    assert contents(kept.model(mapping).table) == contents(want.table)
+    # Forgetting is a delta like any other.
+    kept.append("again", 1, durable.negated(durable.changes(rows.where("row_id < 30"), mapping, BITS)))
+    want = want.remove(rows.where("row_id < 30"), BITS)
+    assert kept.compact() == version + 1
+    got = kept.model(mapping)
+    assert contents(got.table) == contents(want.table) and got.trainings == want.trainings
+    assert {tuple(r) for r in got.classify(rows, BITS).select("row_id", "predicted").collect()} == {
+        tuple(r) for r in want.classify(rows, BITS).select("row_id", "predicted").collect()
+    }
+
+
+def test_a_forgetting_model_equals_train_minus_untrain(spark, folder, tmp_path):
+    path, rows = folder
+    mapping = address.random_mapping(18, 4, 3)
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    try:
+        window = 4 * 3600 * 1000
+        ended(durable.train_forgetting(
+            stream(spark, path), mapping, BITS, "ts", window, "10 minutes", str(tmp_path / "model"), str(tmp_path / "ck")
+        ))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    everything = spark.read.parquet(path)
+    # The newest row is 59 x 600 s after the first; the watermark is 600 s behind it.
+    gone = everything.where(F.unix_millis("ts") + window <= F.lit((58 * 600 + 1_700_000_000) * 1000))
+    assert 0 < gone.count() < 60
+    want = CountModel.train(everything, mapping, BITS).remove(gone, BITS)
+    assert contents(durable.DurableModel(spark, str(tmp_path / "model")).contents()) == contents(want.table)
 
 
 def test_window_models_equal_batch(spark, folder):
