@@ -33,6 +33,15 @@ def lookup_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+SMALL_ROWS = 250_000
+"""Rows of a table that may be broadcast after they were counted."""
+
+
+def broadcast_if_small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Send ``table`` to every executor if it was counted to be small; else leave the join to Spark."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Broadcast a driver-made table (one row per fitted key, a checked number) onto rows."""
     if keys:

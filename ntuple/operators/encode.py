@@ -25,6 +25,7 @@ from .order import global_ranks, order_statistics, rank_bins
 
 RANK_BIN_ROWS = 1_000_000
 """Aimed rows of a rank bin, the part of a feature that one task orders."""
+GOAL_SLACK = 1e-6
 
 
 @dataclass(frozen=True)
@@ -317,7 +318,7 @@ def mutual_information(
 ) -> DataFrame:
     """Mutual information (bits) of each feature's equal-frequency bin with the label."""
     values = long_features(df, features, [row_id, label])
-    binned, _ = rank_bins(values, ["feature"], "value", row_id, bins)
+    binned = rank_bins(values, ["feature"], "value", row_id, bins)
     cells = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("c"))
     by_feature = W.partitionBy("feature")
     p = F.col("c") / F.sum("c").over(by_feature)
@@ -436,18 +437,24 @@ def _equal_weight_thresholds(
     floors = {r["feature"]: 0.01 * r["top"] if r["top"] > 0 else 1.0 for r in tops}
     order = sorted(floors)
     floor = F.get(constant([floors[f] for f in order], "array<double>"), F.col("feature"))
-    weighted = entropies.select("feature", "value", "rank", "rank_bin", (F.col("e") + floor).alias("w"))
+    own = F.col("e") + floor
+    weighted = entropies.select("feature", "value", "rank", "rank_bin", own.alias("own"), own.alias("w"))
     cumulative = running_sums(weighted, ["feature"], "rank_bin", "rank", ["w"])
     totals = {r["feature"]: r["t"] for r in weighted.groupBy("feature").agg(F.sum("w").alias("t")).collect()}
     goals = constant(
         [[(k + 1) / (bits + 1) * totals[f] for k in range(bits)] for f in order],
         "array<array<double>>",
     )
+    # Goals that a row passes lie between the sums before and after it; the slack, in goals, covers the
+    # rounding of sums.  The first row at or above a goal is always among those that name it.
+    unit = F.get(constant([(bits + 1) / totals[f] for f in order], "array<double>"), F.col("feature"))
+    low = F.greatest(F.floor((F.col("w") - F.col("own")) * unit - GOAL_SLACK), F.lit(0))
+    high = F.least(F.floor(F.col("w") * unit + GOAL_SLACK), F.lit(bits))
     picked = (
-        cumulative.select(
-            "feature", "value", "rank", "w", F.posexplode(F.get(goals, F.col("feature"))).alias("k", "goal")
-        )
-        .where(F.col("w") >= F.col("goal"))
+        cumulative.select("feature", "value", "rank", "w", low.cast("int").alias("low"), high.cast("int").alias("high"))
+        .where("high > low")
+        .select("feature", "value", "rank", "w", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
+        .where(F.col("w") >= F.get(F.get(goals, F.col("feature")), F.col("k")))
         .groupBy("feature", "k")
         .agg(F.min_by("value", "rank").alias("threshold"))
         .collect()

@@ -1,32 +1,31 @@
-"""Exact order statistics, rank bins and global ranks without sorting a whole key in one task.
+"""Exact order statistics, rank bins and global ranks by range partitioning.
 
-``order_statistics`` narrows value brackets by counting: each round is one scan with a
-map-side-combined ``groupBy(key, bracket, bin)`` whose output is bounded by
-``targets x BINS``.  Hot values collapse into one counter, so skew does not matter.
-``rank_bins`` cuts each key into equal-frequency bins, splitting runs of equal values by a
-unique tie-break, and ``global_ranks`` turns those balanced bins into row numbers.
+Rows are range-partitioned by ``(key, value, tie)`` on a sample of the table, sorted inside their
+partition and written once.  The place of a row in its partition, less the place of the first row
+of its key there, plus the rows of the key in the partitions before, is its rank: the only other
+tables are the counts for each partition and key.  No key or value has to fit one task: a unique
+tie-break cuts runs of equal values, and where there is none equal values are counted first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
-from ..functions.joins import attach
+from ..functions.joins import attach, broadcast_if_small
+from ..session import cut_lineage
 
-BINS = 1024
-KEY_LIMIT = 100_000
-FINISH = 20_000
-"""Brackets with this many rows at most are finished by counting their distinct values."""
-MAX_ROUNDS = 400
 BIN_ROWS = 1_000_000
 """Rows that one task puts in order."""
+PLACE_BITS = 33
+"""Low bits of a generated row number: the place in the partition."""
 
 
 @dataclass(frozen=True)
@@ -36,27 +35,73 @@ class OrderStatistic:
     """How many values of the key are smaller than ``value``."""
 
 
-def key_counts(df: DataFrame, keys: list[str], value: str) -> list:
-    """Per key: count, minimum and maximum. The number of keys is checked."""
-    rows = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(value).cast("double").alias("lo"),
-            F.max(value).cast("double").alias("hi"),
-        )
-        .limit(KEY_LIMIT + 1)
-        .collect()
+def _offsets(placed: DataFrame, keys: list[str], first, size) -> DataFrame:
+    """``keys``, ``_part``, ``_first``, ``_size``, ``_before``, ``_all``: a row for each partition and key."""
+    own = placed.groupBy(*keys, "_part").agg(F.min(first).alias("_first"), F.sum(size).alias("_size"))
+    ahead = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    return own.withColumns(
+        {"_before": F.coalesce(F.sum("_size").over(ahead), F.lit(0)), "_all": F.sum("_size").over(W.partitionBy(*keys))}
     )
-    if len(rows) > KEY_LIMIT:
-        raise ValueError(f"more than {KEY_LIMIT} keys; fitted tables are meant to be small")
-    return rows
 
 
-def _curve(v: Column) -> Column:
-    """Monotone compression so that a far outlier does not swallow all bins of round one."""
-    return F.asinh(v * F.lit(float(1 << 20)))
+def ranked(df: DataFrame, keys: list[str], value: str, tie: str, name: str, total: str | None = None) -> DataFrame:
+    """Add the 0-based rank of each row by ``(value, tie)`` in its key, and the rows of the key.
+
+    ``tie`` must be unique in its key.  The rows are shuffled once.
+    """
+    order = [*keys, value, tie]
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    rows = cut_lineage(rows).withColumn("_part", F.shiftright("_place", PLACE_BITS))
+    placed = cut_lineage(_offsets(rows, keys, F.col("_place"), F.lit(1)))
+    # Null keys are keys as well.
+    named = placed.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_first", "_before", "_all"
+    )
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= rows[k].eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(broadcast_if_small(named), same & (rows["_part"] == F.col("_p")))
+    more = [] if total is None else [F.col("_all").alias(total)]
+    return joined.withColumn(name, F.col("_place") - F.col("_first") + F.col("_before")).select(*df.columns, name, *more)
+
+
+def _cumulated(rows: DataFrame) -> DataFrame:
+    """Add ``_upto``, the running sum of ``_n`` in the partition, in the order of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            upto = total + np.cumsum(batch.column("_n").to_numpy())
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto, pa.int64())], names=[*batch.schema.names, "_upto"])
+
+    return rows.mapInArrow(run, rows.withColumn("_upto", F.lit(0).cast("bigint")).schema)
+
+
+def _found(rows: DataFrame, wanted: dict[int, tuple[np.ndarray, np.ndarray]]) -> list:
+    """``(i, _v, _from)`` of the asked places; ``wanted``: partition -> sorted places, their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, value, n, upto = (c.to_numpy() for c in batch.columns)
+            out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+            for p in np.unique(part):
+                places, numbers = wanted.get(int(p), (None, None))
+                if places is None:
+                    continue
+                own = np.flatnonzero(part == p)
+                own = own[np.argsort(upto[own], kind="stable")]
+                at = np.searchsorted(upto[own], places, side="right")
+                inside = at < len(own)
+                row = own[at[inside]]
+                hit = upto[row] - n[row] <= places[inside]
+                row = row[hit]
+                out.append((numbers[inside][hit], value[row], upto[row] - n[row]))
+            arrays = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "value", "start"])
+
+    some = rows.where(F.col("_part").isin([int(p) for p in wanted])) if len(wanted) < 100 else rows
+    return some.select("_part", "_v", "_n", "_upto").mapInArrow(run, "i bigint, value double, start bigint").collect()
 
 
 def order_statistics(
@@ -65,225 +110,66 @@ def order_statistics(
     value: str,
     ranks: Callable[[tuple, int], list[int]],
 ) -> dict[tuple, list[OrderStatistic]]:
-    """The values at 0-based ``ranks(key, count)`` of every key, exactly."""
-    # Every round scans these rows; they are read and computed once.
-    base = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        return _order_statistics(base, df, keys, ranks)
-    finally:
-        base.unpersist()
+    """The values at 0-based ``ranks(key, count)`` of every key, exactly.
 
-
-def _order_statistics(
-    base: DataFrame, df: DataFrame, keys: list[str], ranks: Callable[[tuple, int], list[int]]
-) -> dict[tuple, list[OrderStatistic]]:
+    The result, and with it the number of keys and of ranks, is for the driver.  Equal values of a
+    key are counted before they are put in order.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    order = [*keys, "_v"]
+    sorted_ = counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(_cumulated(sorted_))
+    offsets = cut_lineage(_offsets(placed, keys, F.col("_upto") - F.col("_n"), F.col("_n")))
+    totals = offsets.where("_before = 0").select(*keys, "_all").collect()
+    sizes = {tuple(r[k] for k in keys): r["_all"] for r in totals}
+    wanted = {key: list(ranks(key, n)) for key, n in sizes.items()}
+    for key, rs in wanted.items():
+        if any(not 0 <= r < sizes[key] for r in rs):
+            raise ValueError(f"a rank is outside a key of {sizes[key]} values")
+    asked = [(*key, r) for key, rs in wanted.items() for r in sorted(set(rs))]
+    if not asked:
+        return {key: [] for key in wanted}
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    key_schema = "".join(f"{k} {types[k]}, " for k in keys)
-    wide: list[dict] = []
-    wanted: dict[tuple, list[int]] = {}
-    for r in key_counts(base, keys, "_v"):
-        key = tuple(r[k] for k in keys)
-        wanted[key] = list(ranks(key, r["n"]))
-        for rank in sorted(set(wanted[key])):
-            if not 0 <= rank < r["n"]:
-                raise ValueError(f"rank {rank} is outside a key of {r['n']} values")
-            wide.append(
-                {"key": key, "rank": rank, "lo": r["lo"], "hi": r["hi"], "below": 0, "n": r["n"]}
-            )
-    done: dict[tuple, OrderStatistic] = {}
-    small: list[dict] = []
-
-    def sort_out(targets: list[dict]) -> list[dict]:
-        """Keep the brackets that still hold many rows; single values are finished."""
-        rest = []
-        for t in targets:
-            if t["lo"] == t["hi"]:
-                done[(t["key"], t["rank"])] = OrderStatistic(t["lo"], t["below"])
-            else:
-                (small if t["n"] <= FINISH else rest).append(t)
-        return rest
-
-    wide = sort_out(wide)
-    for number in range(MAX_ROUNDS):
-        if not wide:
-            break
-        low, high, v = F.col("_lo"), F.col("_hi"), F.col("_v")
-        if number == 0:
-            low, high, v = _curve(low), _curve(high), _curve(v)
-        share = (v - low) / F.when(high > low, high - low).otherwise(F.lit(1.0))
-        bins = F.least(F.floor(share * F.lit(BINS)), F.lit(BINS - 1))
-        wide = sort_out(_narrow(base, keys, key_schema, wide, bins))
-    if wide:
-        raise ArithmeticError("bracket refinement did not converge")
-    for t in _narrow(base, keys, key_schema, small, F.col("_v")) if small else []:
-        done[(t["key"], t["rank"])] = OrderStatistic(t["lo"], t["below"])
-    return {key: [done[(key, r)] for r in rs] for key, rs in wanted.items()}
-
-
-def _narrow(
-    base: DataFrame, keys: list[str], key_schema: str, targets: list[dict], bins: Column
-) -> list[dict]:
-    """One counting scan: the bin of every target becomes its new bracket."""
-    spark = base.sparkSession
-    numbers: dict[tuple, int] = {}
-    for t in targets:
-        numbers.setdefault((t["key"], t["lo"], t["hi"]), len(numbers))
-    place = [numbers[(t["key"], t["lo"], t["hi"])] for t in targets]
-    # Brackets of a key never overlap, so a row finds its own by bisection: the join gives as many
-    # rows as there are, however many brackets a key has.
-    of_key: dict[tuple, list[tuple]] = {}
-    for (key, lo, hi), b in numbers.items():
-        of_key.setdefault(key, []).append((lo, hi, b))
-    brackets = spark.createDataFrame(
-        [(*key, sorted(found)) for key, found in of_key.items()],
-        f"{key_schema}_all array<struct<lo:double,hi:double,b:int>>",
-    )
-    most = max(map(len, of_key.values()))
-    place_of = count_passed(F.col("_all"), lambda c: F.col("_v") >= c["lo"], most) - 1
-    counted = (
-        attach(base, brackets, keys)
-        .withColumn("_own", F.get("_all", place_of))
-        .select("_v", F.col("_own.b").alias("_b"), F.col("_own.lo").alias("_lo"), F.col("_own.hi").alias("_hi"))
-        .where(F.col("_v") <= F.col("_hi"))
-        .groupBy("_b", bins.alias("_bin"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-        .withColumn(
-            "_below", F.sum("_n").over(W.partitionBy("_b").orderBy("_bin")) - F.col("_n")
-        )
-    )
-    rows = [(i, b, t["rank"] - t["below"]) for i, (b, t) in enumerate(zip(place, targets, strict=True))]
-    asked = F.broadcast(spark.createDataFrame(rows, "_i int, _b int, _t bigint"))
-    hits = (
-        counted.join(asked, "_b")
-        .where((F.col("_t") >= F.col("_below")) & (F.col("_t") < F.col("_below") + F.col("_n")))
-        .select("_i", "_below", "_min", "_max", "_n")
-        .collect()
+    targets = spark.createDataFrame(
+        [(i, *t) for i, t in enumerate(asked)],
+        ", ".join(["_i bigint", *[f"_k{i} {types[k]}" for i, k in enumerate(keys)], "_rank bigint"]),
     )
-    out = []
-    for h in hits:
-        t = targets[h["_i"]]
-        out.append(
-            {**t, "lo": h["_min"], "hi": h["_max"], "n": h["_n"], "below": t["below"] + h["_below"]}
-        )
-    return out
-
-
-def count_passed(cuts: Column, passed: Callable[[Column], Column], at_most: int) -> Column:
-    """How many of the ascending ``cuts`` a row has passed, by bisection."""
-
-    def step(s: Column) -> Column:
-        return let(
-            F.shiftright(s["lo"] + s["hi"], 1),
-            lambda mid: F.when(
-                passed(F.get(cuts, mid)),
-                F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")),
-            ).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))),
-        )
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(max(1, at_most.bit_length()))),
-        F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")),
-        lambda s, _: F.when(s["lo"] < s["hi"], step(s)).otherwise(s),
-        lambda s: s["lo"],
-    )
-
-
-def rank_bins(
-    df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int, name: str = "bin"
-) -> tuple[DataFrame, dict[tuple, list[tuple[int, int]]]]:
+    same = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_size"))
+    for i, k in enumerate(keys):
+        same &= offsets[k].eqNullSafe(F.col(f"_k{i}"))
+    at = offsets.join(F.broadcast(targets), same).select(
+        "_i", "_part", (F.col("_rank") - F.col("_before") + F.col("_first")).alias("place"), (F.col("_before") - F.col("_first")).alias("shift")
+    ).collect()
+    of_part = defaultdict(list)
+    for r in at:
+        of_part[r["_part"]].append((r["place"], r["_i"]))
+    places = {p: tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(found), strict=True)) for p, found in of_part.items()}
+    shift = {r["_i"]: r["shift"] for r in at}
+    done = {asked[r["i"]]: OrderStatistic(r["value"], r["start"] + shift[r["i"]]) for r in _found(placed, places)}
+    return {key: [done[(*key, r)] for r in rs] for key, rs in wanted.items()}
+
+
+def rank_bins(df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int, name: str = "bin") -> DataFrame:
     """Add the equal-frequency bin ``(rank * n_bins) div count`` of each row.
 
-    Rows are ranked by ``(value, tie)`` within their key; ``tie`` must be a unique integer
-    below 2**53.  Also returns ``(bin, first rank)`` pairs per key.
+    Rows are ranked by ``(value, tie)`` within their key, so a run of equal values is cut where a bin ends.
     """
-    spark = df.sparkSession
-
-    def starts(_key: tuple, n: int) -> list[int]:
-        return sorted({-(-b * n // n_bins) for b in range(1, n_bins)} - {n} - {0})
-
-    sizes: dict[tuple, int] = {}
-
-    def remember(key: tuple, n: int) -> list[int]:
-        sizes[key] = n
-        return starts(key, n)
-
-    edges = order_statistics(df, keys, value, remember)
-    key_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    key_schema = [f"{k} {key_type[k]}" for k in keys]
-    # Ties at an edge are cut by the tie-break: the edge row is the (rank - below)-th of them.
-    flat = [
-        (key, j, stat.value, rank - stat.below)
-        for key, stats in edges.items()
-        for j, (rank, stat) in enumerate(zip(starts(key, sizes[key]), stats, strict=True))
-    ]
-    if not flat:
-        return df.withColumn(name, F.lit(0)), {key: [(0, 0)] for key in sizes}
-    values = {(key, v) for key, _, v, _ in flat}
-    tied_schema = ", ".join([*key_schema, "_edge double"])
-    tied = (
-        df.select(*keys, F.col(value).cast("double").alias("_edge"), F.col(tie).alias("_tie"))
-        .join(
-            F.broadcast(spark.createDataFrame([(*k, v) for k, v in values], tied_schema)),
-            [*keys, "_edge"],
-        )
-    )
-    offsets: dict[tuple, list[int]] = {}
-    for key, _, v, k in flat:
-        offsets.setdefault((*key, v), []).append(k)
-    ties = order_statistics(tied, [*keys, "_edge"], "_tie", lambda key, _n: offsets[key])
-    cursor = {key: iter(stats) for key, stats in ties.items()}
-    cuts: dict[tuple, list] = {}
-    for key, _, v, _k in flat:
-        cuts.setdefault(key, []).append({"v": v, "t": int(next(cursor[(*key, v)]).value)})
-    firsts = {}
-    for key, n in sizes.items():
-        firsts[key] = [0, *starts(key, n)]
-    bin_of = {
-        key: [r * n_bins // sizes[key] for r in ranks] for key, ranks in firsts.items()
-    }
-    rows = [
-        (*key, [(c["v"], c["t"]) for c in cuts.get(key, [])], bin_of[key]) for key in sizes
-    ]
-    edge_schema = ", ".join(
-        [*key_schema, "_cuts array<struct<v:double,t:bigint>>", "_bins array<int>"]
-    )
-    small = spark.createDataFrame(rows, edge_schema)
-    v = F.col(value).cast("double")
-    passed = count_passed(
-        F.col("_cuts"), lambda c: (v > c["v"]) | ((v == c["v"]) & (F.col(tie) >= c["t"])), n_bins
-    )
-    out = attach(df, small, keys).withColumn(name, F.get("_bins", passed)).drop("_cuts", "_bins")
-    return out, {key: list(zip(bin_of[key], firsts[key], strict=True)) for key in sizes}
+    found = ranked(df, keys, value, tie, "_rank", "_total")
+    return found.withColumn(name, F.expr(f"cast(_rank * {n_bins} div _total as int)")).drop("_rank", "_total")
 
 
 def global_ranks(
     df: DataFrame, keys: list[str], value: str, tie: str, n_bins: int | None = None, name: str = "rank"
 ) -> DataFrame:
-    """0-based rank of each row by ``(value, tie)`` in its key.
+    """0-based rank of each row by ``(value, tie)`` in its key, and its bin of equal size.
 
-    Bins of equal size are ranked in parallel and shifted by their known first rank.  Without
-    ``n_bins`` a bin has about ``BIN_ROWS`` rows, whatever the size of the table.
+    Without ``n_bins`` a bin has about ``BIN_ROWS`` rows, whatever the size of the table.
     """
-    spark = df.sparkSession
     n_bins = n_bins or 1 + df.count() // BIN_ROWS
-    binned, firsts = rank_bins(df, keys, value, tie, n_bins, "_bin")
-    key_type = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    rows = [(*key, b, first) for key, bins in firsts.items() for b, first in bins]
-    shift = spark.createDataFrame(
-        rows,
-        ", ".join([f"{k} {key_type[k]}" for k in keys] + ["_bin int", "_first bigint"]),
-    )
-    within = W.partitionBy(*keys, "_bin").orderBy(value, tie)
-    return (
-        binned.join(F.broadcast(shift), [*keys, "_bin"])
-        .withColumn(name, F.row_number().over(within) - 1 + F.col("_first"))
-        .withColumnRenamed("_bin", f"{name}_bin")
-        .drop("_first")
-    )
+    found = ranked(df, keys, value, tie, name, "_total")
+    return found.withColumn(f"{name}_bin", F.expr(f"cast({name} * {n_bins} div _total as int)")).drop("_total")
 
 
 def smallest_share(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ntuple.functions.expr import pack_bits, unpack_bits
@@ -61,8 +62,7 @@ def test_fitted_thermometers(spark, fit):
     assert encode.Thermometer.from_table(encoder.table(spark)) == encoder
 
 
-def test_order_statistics_with_a_hot_value(spark, monkeypatch):
-    monkeypatch.setattr(order, "FINISH", 5)
+def test_order_statistics_with_a_hot_value(spark):
     rng = random.Random(3)
     values = [7.25] * 400 + [rng.gauss(0, 1) * 10 ** rng.randrange(-8, 12) for _ in range(800)]
     df = spark.createDataFrame([("k", v) for v in values], "k string, v double").repartition(7)
@@ -126,25 +126,42 @@ def test_direction_does_not_depend_on_the_buckets(spark):
     assert last[2:] == before[2:]
 
 
-def test_many_brackets_do_not_multiply_rows(spark, monkeypatch):
-    """Each row meets the one bracket it lies in, however many a key has."""
-    from ntuple.operators import order
-
-    joined = []
-
-    def watched(df, small, keys):
-        out = attach(df, small, keys)
-        joined.append((small.selectExpr("max(size(_all))").first()[0], out.count()))
-        return out
-
-    attach = order.attach
-    monkeypatch.setattr(order, "attach", watched)
-    monkeypatch.setattr(order, "FINISH", 10)
-    rows = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 20_000).cast("double").alias("v"))
-    ranks = list(range(0, 10_000, 5))
-    found = order.order_statistics(rows, ["k"], "v", lambda _k, _n: ranks)
-    assert [s.value for s in found[(0,)]] == [2.0 * r for r in ranks]
-    assert max(n for n, _ in joined) > 200 and {n for _, n in joined} == {20_000}
+def test_many_keys_and_ranks(spark):
+    """A key for every few rows, a rank for every value; null and negative values, a null key."""
+    rows = [(i % 500 if i % 97 else None, None if i % 11 == 0 else float((i * 7919) % 601 - 300)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    found = order.order_statistics(df, ["k"], "v", lambda _k, n: list(range(n)))
+    values = {}
+    for k, v in rows:
+        if v is not None:
+            values.setdefault((k,), []).append(v)
+    assert {k: [s.value for s in stats] for k, stats in found.items()} == {k: sorted(v) for k, v in values.items()}
+    for k, stats in found.items():
+        assert [s.below for s in stats] == [sum(x < s.value for x in values[k]) for s in stats]
+    assert order.order_statistics(df.where("v > 1000"), ["k"], "v", lambda _k, n: [0]) == {}
+
+
+def test_ranks_shuffle_rows_once_and_split_hot_values(spark, monkeypatch):
+    """A value that two thirds of the rows share is cut by the tie-break over many partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 60_000, 1, 8).select(
+            "id", (F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id") % 1000).cast("double").alias("v"), F.lit("x").alias("bin")
+        )
+        written, real = [], order.cut_lineage
+        monkeypatch.setattr(order, "cut_lineage", lambda df: written.append(real(df)) or written[-1])
+        out = order.ranked(rows, ["k"], "v", "id", "r", "n")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(k" not in plan and "SortMergeJoin" not in plan
+        per_part = written[0].groupBy(F.shiftright("_place", order.PLACE_BITS)).count().collect()
+        assert len(per_part) >= 4 and max(r["count"] for r in per_part) < 30_000
+        window = Window.partitionBy("k").orderBy("v", "id")
+        want = rows.withColumn("r", F.row_number().over(window) - 1).withColumn("n", F.lit(30_000))
+        assert out.select("id", "k", "v", "bin", "r", "n").exceptAll(want.select("id", "k", "v", "bin", "r", "n")).count() == 0
+        binned = order.rank_bins(rows.select("id", "k", "v"), ["k"], "v", "id", 150_000)
+        assert binned.count() == 60_000 and binned.select("k", "bin").distinct().count() == 60_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.mark.parametrize(("entry", "size"), [(12, 8), (20, 16), (9, 5), (33, 32), (100, 6), (37, 5), (128, 8)])
