@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import h3_constants, h3_slots, murmur_slots, simhash_slots
+from ..functions.joins import lookup_join
 from .address import BitSource, Mapping, tuple_rows
 from .count_model import CountModel, Options, class_counts, count_addresses
 
@@ -96,9 +97,8 @@ class BloomModel:
             hashed = hashed.select(
                 F.explode(F.array(*[F.lit(lab) for lab in self.labels])).alias("label"), "*"
             )
-        return hashed.join(self.table, ["label", "ram_id", "slot"], "left").withColumn(
-            "cnt", F.coalesce("cnt", F.lit(0))
-        )
+        hits = lookup_join(hashed, self.table, ["label", "ram_id", "slot"], ["address", "hash"])
+        return hits.withColumn("cnt", F.coalesce("cnt", F.lit(0)))
 
     def resolve(self, addresses: DataFrame) -> DataFrame:
         """Smallest counter over the hashes for each address: ``(label, ram_id, address, cnt)``."""

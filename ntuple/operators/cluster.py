@@ -296,7 +296,7 @@ def _round(pending: DataFrame, table: DataFrame, known: DataFrame, tuples: dict,
         .groupBy("label")
         .agg(F.min("_ord").alias("_first"))
     )
-    placed = lookup_join(rows, first, ["label"], ["_ord"]).select(
+    placed = lookup_join(rows, first, ["label"], ["_ord"], measure=False).select(
         "_ord",
         "label",
         "bits",

@@ -305,7 +305,8 @@ class CountModel:
                 lambda flat: F.transform(rams, lambda r: F.slice(flat, r * n_labels + 1, n_labels)),
             )
         voted = joined.groupBy(*place).agg(votes.alias(name))
-        return marked.join(voted, place).select(*[c for c in df.columns if c != name], name)
+        # Many rows may share a pattern; its votes are one row.
+        return lookup_join(marked, voted, place, how="inner").select(*[c for c in df.columns if c != name], name)
 
     def votes(self, df: DataFrame, bits: BitSource, name: str = "votes") -> DataFrame:
         """Add votes, by whichever way the size of the address space allows; the result is the same."""

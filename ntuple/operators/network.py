@@ -9,13 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import bit, constant, let
 from ..functions.joins import lookup_join
+from ..session import cut_lineage
 from .address import Mapping
 from .decide import first_winner
+from .order import ranked
 
 PARAMETER_LIMIT = 1 << 20
 
@@ -23,7 +24,7 @@ PARAMETER_LIMIT = 1 << 20
 def _bounded(table: DataFrame, columns: list[str]) -> list:
     rows = table.select(*columns).limit(PARAMETER_LIMIT + 1).collect()
     if len(rows) > PARAMETER_LIMIT:
-        raise ValueError("the network is too large to be a constant of the plan; use the join form")
+        raise ValueError("the network is too large to be a constant of the plan; use LutTables or BloomTables")
     return rows
 
 
@@ -102,7 +103,8 @@ class LutTables:
             state = answers.agg(F.transform(ordered, lambda e: e["v"]).alias("_b"))
         scores = group_sum(F.col("_b"), self.mappings[-1].n_rams, len(self.labels), self.tau)
         scored = state.select(*place, scores.alias("scores"))
-        return marked.join(scored, place).drop(*place).withColumn("predicted", first_winner(F.col("scores"), self.labels))
+        joined = lookup_join(marked, scored, place, how="inner").drop(*place)
+        return joined.withColumn("predicted", first_winner(F.col("scores"), self.labels))
 
 
 def _lut_addresses(plan: Column):
@@ -160,6 +162,118 @@ def lut_spectrum(values: DataFrame, tuple_size: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class BloomTables:
+    """A submodel of any size: its slots, mask and bias stay in tables.
+
+    ``values``: ``(label, filter, slot, value)``; a slot that is missing counts as not negative.
+    ``mask``: ``(label, filter, weight)``, 1 where missing.  ``bias``: ``(label, bias)``, 0 where missing.
+
+    A filter answers with the smallest sign over its hashed slots, so it answers -1 if one of them is
+    negative and 1 otherwise.  Only the negative slots are therefore joined: once for each different
+    row of bits, then grouped by filter and label, then summed over the filters.
+    """
+
+    values: DataFrame
+    mapping: Mapping
+    constants: list[list[int]]
+    n_slots: int
+    labels: list[str]
+    mask: DataFrame | None = None
+    bias: DataFrame | None = None
+
+    def _slots(self, bits: Column) -> Column:
+        """For each filter the different slots of its tuple."""
+        plan = constant([list(tup) for tup in self.mapping.of("")], "array<array<int>>")
+        hashes = constant(self.constants, "array<array<bigint>>")
+
+        def slot(b: Column, tup: Column, consts: Column) -> Column:
+            hashed = F.zip_with(tup, consts, lambda i, h: F.coalesce(F.get(b, i).cast("bigint"), F.lit(0)) * h)
+            return (F.aggregate(hashed, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(h)) % F.lit(self.n_slots)).cast("int")
+
+        def of_filter(b: Column, tup: Column) -> Column:
+            return F.array_distinct(F.transform(hashes, lambda consts: slot(b, tup, consts)))
+
+        return let(bits, lambda b: F.transform(plan, lambda tup: of_filter(b, tup)))
+
+    def silent(self, patterns: DataFrame, place: list[str], bits: str) -> DataFrame:
+        """``(place..., label, filter)`` of the answers -1; ``patterns`` is unique on ``place``."""
+        asked = patterns.select(*place, F.posexplode(self._slots(F.col(bits))).alias("filter", "_s"))
+        asked = asked.select(*place, "filter", F.explode("_s").alias("slot"))
+        known = F.col("label").isin(self.labels)
+        negative = self.values.where(known & (F.col("value") < 0)).groupBy("filter", "slot").agg(F.collect_set("label").alias("_labels"))
+        negative = negative.select(F.col("filter").cast("int").alias("filter"), F.col("slot").cast("int").alias("slot"), "_labels")
+        met = lookup_join(asked, negative, ["filter", "slot"], place, how="inner")
+        return met.select(*place, "filter", F.explode("_labels").alias("label")).distinct()
+
+    def _weights(self) -> DataFrame:
+        """``(label, filter, weight)`` for every label and filter."""
+        spark = self.values.sparkSession
+        cells = spark.range(self.mapping.n_rams).select(
+            F.col("id").cast("int").alias("filter"), F.explode(constant(self.labels, "array<string>")).alias("label")
+        )
+        if self.mask is None:
+            return cells.withColumn("weight", F.lit(1).cast("bigint"))
+        given = self.mask.select("label", F.col("filter").cast("int").alias("filter"), F.col("weight").cast("bigint").alias("weight"))
+        return cells.join(given, ["label", "filter"], "left").withColumn("weight", F.coalesce("weight", F.lit(1).cast("bigint")))
+
+    def logits(self, patterns: DataFrame, place: list[str], bits: str) -> DataFrame:
+        """``(place..., logits)``, an array in label order, for each pattern."""
+        weights = self._weights()
+        bias = {} if self.bias is None else {r["label"]: r["bias"] for r in self.bias.where(F.col("label").isin(self.labels)).collect()}
+        full = {r["label"]: r["w"] for r in weights.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+        lost = self.silent(patterns, place, bits)
+        if self.mask is not None:
+            lost = lookup_join(lost, weights, ["label", "filter"], place, how="inner")
+        else:
+            lost = lost.withColumn("weight", F.lit(1).cast("bigint"))
+        sums = [F.coalesce(F.sum(F.when(F.col("label") == lab, F.col("weight"))), F.lit(0)).alias(f"_l{i}") for i, lab in enumerate(self.labels)]
+        per_pattern = patterns.select(*place).join(lost.groupBy(*place).agg(*sums), place, "left")
+        out = [
+            (F.lit(full[lab]) - 2 * F.coalesce(F.col(f"_l{i}"), F.lit(0))).cast("double") + F.lit(float(bias.get(lab, 0.0)))
+            for i, lab in enumerate(self.labels)
+        ]
+        return per_pattern.select(*place, F.array(*out).alias("logits"))
+
+    def filter_scores(self, df: DataFrame, bits: str, label: str) -> DataFrame:
+        """As :func:`filter_scores`, from the counts of rows and of silent rows by label."""
+        n = len(self.labels)
+        place = ["_p1", "_p2"]
+        marked = df.select(F.col(label).cast("string").alias("_own"), F.col(bits).alias("_b"))
+        marked = marked.withColumns({"_p1": F.xxhash64("_b"), "_p2": F.hash("_b")})
+        counts = marked.groupBy(*place, "_own").agg(F.count(F.lit(1)).alias("_n"))
+        patterns = marked.select(*place, "_b").dropDuplicates(place)
+        silent = self.silent(patterns, place, "_b").join(counts, place)
+        weight = F.when(F.col("_own") == F.col("label"), -F.lit(n - 1)).otherwise(F.lit(1)) * F.col("_n")
+        below = silent.groupBy("label", "filter").agg(F.sum(weight).alias("_below"))
+        # Every row answers 1 unless it is silent: the sum is that of all rows less twice the silent ones.
+        totals = {r["_own"]: r["n"] for r in marked.where(F.col("_own").isin(self.labels)).groupBy("_own").agg(F.count(F.lit(1)).alias("n")).collect()}
+        rows = marked.count()
+        whole = self.values.sparkSession.createDataFrame(
+            [(lab, rows - n * totals.get(lab, 0)) for lab in self.labels], "label string, _all bigint"
+        )
+        cells = self._weights().select("label", "filter").join(F.broadcast(whole), "label").join(below, ["label", "filter"], "left")
+        per_label = cells.withColumn("score", 2 * F.coalesce("_below", F.lit(0)) - F.col("_all"))
+        return per_label.groupBy("filter").agg(F.max("score").alias("score"))
+
+
+def ensemble_tables_predict(layers: list[BloomTables], df: DataFrame, bits: str) -> DataFrame:
+    """Add ``predicted``; every row comes out once with all its columns.  Equal bits are scored once."""
+    place = ["_p1", "_p2"]
+    marked = df.withColumns({"_p1": F.xxhash64(bits), "_p2": F.hash(bits)})
+    patterns = cut_lineage(marked.select(*place, F.col(bits).alias("_b")).dropDuplicates(place))
+    total = None
+    for layer in layers:
+        own = layer.logits(patterns, place, "_b")
+        if total is None:
+            total = own
+            continue
+        both = total.join(own.withColumnRenamed("logits", "_more"), place)
+        total = both.select(*place, F.zip_with("logits", "_more", lambda a, b: a + b).alias("logits"))
+    won = total.select(*place, first_winner(F.col("logits"), layers[0].labels).alias("predicted"))
+    return lookup_join(marked, won, place, how="inner").drop(*place)
+
+
 @dataclass(frozen=True)
 class BloomLayer:
     """One submodel: ``table`` is ``(label, filter, slot, value)``, plus hash constants."""
@@ -314,10 +428,7 @@ def filters_to_keep(scores: DataFrame, n_filters: int, ratio: float) -> DataFram
     drop = int(ratio * n_filters)
     if drop <= 0 or drop >= n_filters:
         return scores
-    ranked = scores.withColumn(
-        "_r", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("score", "filter"))
-    )
-    return ranked.where(F.col("_r") > drop).drop("_r")
+    return ranked(scores, [], "score", "filter", "_r").where(F.col("_r") >= drop).drop("_r")
 
 
 def lut_bytes(network: LutNetwork) -> int:

@@ -535,9 +535,9 @@ def lut_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.lut_spectrum(values, 3).withColumn("energy", F.round("energy", 6))
 
 
-def bloom_layers(spark: SparkSession) -> list[network.BloomLayer]:
+def bloom_parts(spark: SparkSession):
+    """Values, mapping, hash constants, slots, labels and bias of each submodel."""
     labels = [str(i) for i in range(10)]
-    layers = []
     for number, (size, slots) in enumerate([(12, 32), (9, 16)]):
         mapping = address.padded_permutation(128, size, 31 + number)
         values = md5_values(spark, 10, mapping.n_rams, slots, f"cb{number}").select(
@@ -548,7 +548,18 @@ def bloom_layers(spark: SparkSession) -> list[network.BloomLayer]:
         )
         constants = h3_constants(size, 2, 41 + number)
         bias = [0.5 if number == 0 else 0.0] * 10
-        layers.append(network.BloomLayer.of(values, mapping, constants, slots, labels, bias=bias))
+        yield values, mapping, constants, slots, labels, bias
+
+
+def bloom_layers(spark: SparkSession) -> list[network.BloomLayer]:
+    return [network.BloomLayer.of(*parts, bias=bias) for *parts, bias in bloom_parts(spark)]
+
+
+def bloom_tables(spark: SparkSession) -> list[network.BloomTables]:
+    layers = []
+    for *parts, bias in bloom_parts(spark):
+        table = spark.createDataFrame(list(zip(parts[-1], bias, strict=True)), "label string, bias double")
+        layers.append(network.BloomTables(*parts, bias=table))
     return layers
 
 
@@ -582,15 +593,33 @@ def classify_bloom_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.ensemble_predict(bloom_layers(spark), rows, "bits").select("row_id", "predicted")
 
 
-@query(
-    "prune_filters",
-    sql.chain(
-        sql.VECTORS, sql.VECTOR_BITS, layer_sql(0, 12, 32),
-        "pl AS (SELECT a, ram, -sum(CASE WHEN CAST(a AS VARCHAR) = truth THEN -9 * r ELSE r END) AS score FROM rs0 GROUP BY a, ram)",
-        "pf AS (SELECT ram, max(score) AS score FROM pl GROUP BY ram)",
-        final='SELECT ram AS "filter", CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (ORDER BY score, ram) AS r FROM pf) WHERE r > CAST(trunc(0.27::DOUBLE * 11) AS BIGINT)',
-    ),
+@query("classify_bloom_ensemble_join", sql.chain(ENSEMBLE, sql.winner(direction="ASC"), final="SELECT row_id, predicted FROM won").replace("CASE WHEN s < 0 THEN '' ELSE label END", "label"))
+def classify_bloom_ensemble_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all parameters left in their tables, as for ensembles of any size."""
+    rows = tables.vectors(spark, sf_dir).select("row_id", VECTOR_BITS.bits("x").alias("bits"))
+    return network.ensemble_tables_predict(bloom_tables(spark), rows, "bits").select("row_id", "predicted")
+
+
+PRUNED = sql.chain(
+    sql.VECTORS, sql.VECTOR_BITS, layer_sql(0, 12, 32),
+    "pl AS (SELECT a, ram, -sum(CASE WHEN CAST(a AS VARCHAR) = truth THEN -9 * r ELSE r END) AS score FROM rs0 GROUP BY a, ram)",
+    "pf AS (SELECT ram, max(score) AS score FROM pl GROUP BY ram)",
+    final='SELECT ram AS "filter", CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (ORDER BY score, ram) AS r FROM pf) WHERE r > CAST(trunc(0.27::DOUBLE * 11) AS BIGINT)',
 )
+
+
+@query("prune_filters_join", PRUNED)
+def prune_filters_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pruning scores from the tables of a submodel of any size."""
+    layer = bloom_tables(spark)[0]
+    rows = tables.vectors(spark, sf_dir).select("label", VECTOR_BITS.bits("x").alias("bits"))
+    scores = layer.filter_scores(rows, "bits", "label")
+    return network.filters_to_keep(scores, layer.mapping.n_rams, 0.27).select(
+        "filter", F.col("score").cast("bigint").alias("score")
+    )
+
+
+@query("prune_filters", PRUNED)
 def prune_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = bloom_layers(spark)[0]
     rows = tables.vectors(spark, sf_dir).select("label", VECTOR_BITS.bits("x").alias("bits"))
