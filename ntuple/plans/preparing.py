@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import address, count_model, encode, prep
+from ..operators import address, count_model, encode, prep, sweep
 from ..operators.address import tuple_rows
 from ..session import scratch_folder
 from ..streaming import durable, online
@@ -194,6 +194,58 @@ def sweep_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SWEEP_PREFIX = sql.chain(
+    sql.VECTORS, sql.VECTOR_BITS,
+    "grid AS (SELECT s AS seed, n AS size FROM (VALUES (1), (2), (3)) a(s), (VALUES (4), (8), (16)) b(n))",
+    "map AS (SELECT seed, size, CAST((rn - 1) // size AS INTEGER) AS ram, CAST((rn - 1) % size AS INTEGER) AS pos, i FROM "
+    "(SELECT seed, size, CAST(i AS INTEGER) AS i, row_number() OVER (PARTITION BY seed, size ORDER BY md5(seed || ':' || i)) AS rn FROM grid, range(128) t(i)))",
+    "addr AS (SELECT 'n' || size || '-s' || seed AS model_id, row_id, label, ram, sum(b << pos) AS a FROM bits JOIN map USING (i) GROUP BY ALL)",
+    "model AS (SELECT model_id, label, ram, a, count(*) AS c FROM addr WHERE row_id % 4 <> 0 GROUP BY ALL)",
+    "labs AS (SELECT DISTINCT label FROM addr WHERE row_id % 4 <> 0)",
+    "votes AS (SELECT x.model_id || ':' || x.row_id AS row_id, x.label AS truth, x.ram, l.label, coalesce(m.c, 0) AS v FROM addr x CROSS JOIN labs l "
+    "LEFT JOIN model m ON m.model_id = x.model_id AND m.label = l.label AND m.ram = x.ram AND m.a = x.a WHERE x.row_id % 4 = 0)",
+    sql.bleaching(), sql.winner(),
+    "cells AS (SELECT split_part(row_id, ':', 1) AS model_id, count(*) AS rows, CAST(sum(CASE WHEN predicted = truth THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM won GROUP BY 1)",
+    final="SELECT model_id, entries, rows, hits, hits / rows AS test_acc FROM cells JOIN (SELECT model_id, count(*) AS entries FROM model GROUP BY model_id) USING (model_id)",
+)
+
+
+def sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tuple sizes by three seeds, trained on three quarters of the vectors, tested on the rest."""
+    rows = tables.vectors(spark, sf_dir)
+    grid = {f"n{size}-s{seed}": address.random_mapping(128, size, seed) for seed in (1, 2, 3) for size in (4, 8, 16)}
+    held = F.col("row_id") % 4 == 0
+    return sweep.sweep(rows.where(~held), rows.where(held), grid, VECTOR_BITS.on("x"), "row_id")
+
+
+@query("sweep_scores", SWEEP_PREFIX)
+def sweep_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy of every cell of the grid, all trained and scored in one job."""
+    return sweep_cells(spark, sf_dir)
+
+
+def sweep_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.split("model_id", "-s")
+    return sweep_cells(spark, sf_dir).select(
+        F.lit("embeddings").alias("dataset"), parts[0].alias("hp_id"), parts[1].cast("int").alias("seed"), "test_acc"
+    )
+
+
+@query(
+    "sweep_summary",
+    f"""WITH res AS ({SWEEP_PREFIX}), su AS (SELECT split_part(model_id, '-s', 1) AS hp_id, avg(test_acc) AS m, stddev_samp(test_acc) AS d, count(*) AS seeds FROM res GROUP BY 1)
+        SELECT 'embeddings' AS dataset, hp_id, round(m, 9) AS mean_acc, round(d, 9) AS std_acc, seeds, row_number() OVER (ORDER BY round(m, 9) DESC, hp_id) = 1 AS best FROM su""",
+)
+def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of each configuration over its seeds, and which one is best."""
+    found = prep.run_summary(sweep_runs(spark, sf_dir)).withColumns(
+        {"mean_acc": F.round("mean_acc", 9), "std_acc": F.round("std_acc", 9)}
+    )
+    best = prep.best_configuration(found.select("dataset", "hp_id", F.col("mean_acc").alias("test_acc")))
+    marked = best.select("dataset", "hp_id", F.lit(True).alias("best"))
+    return found.join(marked, ["dataset", "hp_id"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
+
+
 RESULTS = """
 res AS (SELECT l_returnflag AS dataset, CAST(l_linenumber AS VARCHAR) AS hp_id, l_suppkey AS seed, round(avg(l_discount * 10), 9) AS test_acc
         FROM lineitem GROUP BY 1, 2, 3)"""
