@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, stored
+from .common import released, slices, small, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -149,6 +149,7 @@ def sketched(docs: DataFrame, text: str, runs: int) -> DataFrame:
                     [*(c.slice(a, b - a) for c in others), pa.array(n), *(pa.array(m.view(np.int64)) for m in marks), keys, pa.array(blobs, pa.binary())],
                     names=[*rest, "n", "s1", "s2", "keys", "tokens"],
                 )
+        released()
 
     zero = F.lit(0).cast("long")
     schema = docs.select(
@@ -171,6 +172,7 @@ def parted(rows: DataFrame) -> DataFrame:
                     keys.append(found)
             none = [np.zeros(0, dtype=np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (cids, keys)], names=["cid", "key"])
+        released()
 
     return rows.select("cid", "n", "tokens", "nodes").mapInArrow(run, "cid long, key long")
 
@@ -313,6 +315,8 @@ def linked(rows: DataFrame) -> DataFrame:
         if current is not None:
             close(out)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["cid", "root", "links"])
+        group.clear()
+        released()
 
     return rows.mapInArrow(run, "cid long, root long, links long")
 

@@ -9,10 +9,10 @@ the curve share sequences and only the last sequence of all has padding.
 from __future__ import annotations
 
 import gc
+import itertools
 import math
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, slices, stored
+from .common import released, running, slices, stored
 
 DIMS = 4
 CELL_BITS = 10
@@ -30,7 +30,7 @@ SEED = 1
 #: Scale of a projected mean that spreads most documents over the cells.
 SPREAD = 0.35
 #: Words and pieces whose ids a Python worker remembers, and characters that it handles at a time.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 SLICE = 2_000_000
 #: Words that are encoded as one text.
 TOGETHER = 500
@@ -39,6 +39,12 @@ TOGETHER = 500
 #: (lower-cased one by one) and the signs as two pieces.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
+#: A word of ASCII letters and its signs, or any other word.
+PARTS = re.compile(rb"(?:([A-Za-z]+)([.,]*)|([^ ]+))(?: |\Z)")
+
+#: Words by which a vocabulary is tried: cases, letters beyond ASCII, signs.
+PROBES = [w.encode() for w in "The house. naïve, Été É., ÀÉ. word.., straße x Zürich, THE a. información".split()]
+
 END = b"\xff"
 
 _loaded: dict[str, tuple] = {}
@@ -53,58 +59,120 @@ def byte_letters() -> list[str]:
 
 
 def tokenizer(path: str):
-    """The tokenizer of this worker, its remembered words and its remembered pieces of words."""
+    """The tokenizer of this worker, its remembered words and pieces of words, and whether plain words
+    may be put together from pieces: a tokenizer that treats the probes otherwise gets whole words."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {}, {})
+        model, tried = Tokenizer.from_file(path), Remembered()
+        learn(PROBES, model, tried, Remembered(), True)
+        in_order = copied(*tried.table(), np.array([tried.place[w] for w in PROBES]))
+        same = all(map(np.array_equal, in_order, encoded(PROBES, model)))
+        _loaded[path] = (model, Remembered(), Remembered(), same)
     return _loaded[path]
 
 
-def encoded(words: list[bytes], model) -> list[bytes]:
-    """The ids of each word as bytes; many words are one text, whose tokens are told apart by where they start."""
+def encoded(words: list[bytes], model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in a row and how many each has; many words are one text, whose tokens are told
+    apart by where they start."""
     texts = [w.decode("utf-8", "replace") for w in words]
     groups = [texts[a : a + TOGETHER] for a in range(0, len(texts), TOGETHER)]
-    out: list[bytes] = []
+    ids, sizes = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
     for group, found in zip(groups, model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
         starts = np.cumsum([0] + [len(w) + 1 for w in group])
         of_word = np.searchsorted(starts, [o[0] for o in found.offsets], side="right") - 1
-        ends = np.cumsum(np.bincount(of_word, minlength=len(group))) * 4
-        raw = np.array(found.ids, dtype="<u4").tobytes()
-        out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-    return out
+        sizes.append(np.bincount(of_word, minlength=len(group)))
+        ids.append(np.array(found.ids, dtype="<u4"))
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
+class Remembered:
+    """Ids by word or piece: places in one array of ids, so that an entry costs little beside its key."""
 
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids = [np.zeros(0, dtype="<u4")]
+        self.sizes = [np.zeros(0, dtype=np.int64)]
 
-def plain_parts(word: bytes) -> tuple[bytes, bytes] | None:
-    """Letters, lower-cased, and signs of a plain word."""
-    letters = word.rstrip(b".,")
-    if letters.isalpha():
-        return letters.lower(), word[len(letters) :]
-    if letters.isascii():
-        return None
-    found = PLAIN.fullmatch(letters.decode("utf-8", "replace"))
-    return (found[0].lower().encode(), word[len(letters) :]) if found else None
+    def add(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.ids.append(ids)
+        self.sizes.append(sizes)
 
+    def places(self, keys) -> np.ndarray:
+        """Place of each key, -1 if it is new."""
+        return np.fromiter(map(self.place.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
 
-def ids_of(words: list[bytes], model, pieces: dict[bytes, bytes]) -> list[bytes]:
-    """The ids of each word as bytes.
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where each entry begins and how many it has."""
+        for parts in (self.ids, self.sizes):
+            parts[:] = [np.concatenate(parts)]
+        return self.ids[0], np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
 
-    Plain words are looked up piece by piece, and new pieces go to the merges of the vocabulary
+
+def copied(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``codes`` one after another, and how many each has."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.arange(total) + np.repeat(first[codes] - (ends - n), n)], n
+
+
+def plain_parts(words: list[bytes]) -> tuple[list[bytes], list[bytes], list[int]]:
+    """Lower-cased letters and signs of each plain word, and which words are not plain.
+
+    A word that is not plain has itself as letters and no signs.
+    """
+    parts = PARTS.findall(b" ".join(words))
+    signs = [p[1] for p in parts]
+    bases = b" ".join([p[0] or b"-" for p in parts]).lower().split(b" ")
+    odd = []
+    for i, p in enumerate(parts):
+        if not p[2]:
+            continue
+        word = p[2]
+        letters = word.rstrip(b".,")
+        found = None if letters.isascii() else PLAIN.fullmatch(letters.decode("utf-8", "replace"))
+        if found:
+            bases[i], signs[i] = found[0].lower().encode(), word[len(letters) :]
+        else:
+            bases[i] = word
+            odd.append(i)
+    return bases, signs, odd
+
+
+def learn(words: list[bytes], model, known: Remembered, pieces: Remembered, in_pieces: bool) -> None:
+    """Remember the ids of new words.
+
+    Plain words are put together from their pieces, and new pieces go to the merges of the vocabulary
     directly; all other words, and signs, go through the whole tokenizer.
     """
-    parts = [plain_parts(w) for w in words]
-    odd = [w for w, p in zip(words, parts, strict=True) if p is None]
-    signs = sorted({p[1] for p in parts if p and p[1]} - pieces.keys())
-    found = encoded([*odd, *signs], model)
-    pieces.update(zip(signs, found[len(odd) :], strict=True))
-    pieces[b""] = b""
+    if not in_pieces:
+        known.add(words, *encoded(words, model))
+        return
+    bases, signs, odd = plain_parts(words)
+    other = set(odd)
+    plain = [i for i in range(len(words)) if i not in other] if odd else range(len(words))
+    sign_of = [signs[i] for i in plain]
+    base_of = [bases[i] for i in plain]
+    new_signs = sorted(set(sign_of) - pieces.place.keys() - {b""})
+    if b"" not in pieces.place:
+        pieces.add([b""], np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64))
+    pieces.add(new_signs, *encoded(new_signs, model))
     merge, letters = model.model.tokenize, byte_letters()
-    for base in {p[0] for p in parts if p} - pieces.keys():
-        spelt = base.decode() if base.isascii() else "".join(letters[b] for b in base)
-        pieces[base] = array("I", [t.id for t in merge(spelt)]).tobytes()
-    rest = iter(found)
-    return [pieces[p[0]] + pieces[p[1]] if p else next(rest) for p in parts]
+    new_bases = list(set(base_of) - pieces.place.keys())
+    spelt = [w.decode() if w.isascii() else "".join([letters[b] for b in w]) for w in new_bases]
+    merged = [[t.id for t in merge(w)] for w in spelt]
+    sizes = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
+    pieces.add(new_bases, np.fromiter(itertools.chain.from_iterable(merged), dtype="<u4", count=int(sizes.sum())), sizes)
+    table = pieces.table()
+    codes = np.empty(2 * len(base_of), dtype=np.int64)
+    codes[::2], codes[1::2] = pieces.places(base_of), pieces.places(sign_of)
+    ids, n = copied(*table, codes)
+    known.add([words[i] for i in plain], ids, n.reshape(-1, 2).sum(axis=1))
+    rest = [words[i] for i in odd]
+    known.add(rest, *encoded(rest, model))
 
 
 def token_ids(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,28 +182,35 @@ def token_ids(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, n
     ASCII white space is encoded once and its ids are copied wherever it stands.  A byte that no text
     holds stands for the end of a text.
     """
-    model, known, pieces = tokenizer(path)
-    if len(known) + len(pieces) > CACHE_WORDS:
-        known.clear()
-        pieces.clear()
-    known[END] = array("I", [end_id]).tobytes()
+    model, known, pieces, in_pieces = tokenizer(path)
+    if len(known.place) + len(pieces.place) > CACHE_WORDS:
+        known.__init__()
+        pieces.__init__()
     between = b" " + END + b" "
     words = (between.join(texts) + between).split()
     codes, unique = pd.factorize(np.array(words, dtype=object))
     del words
-    own = list(map(known.get, unique))
-    missing = [i for i, x in enumerate(own) if x is None]
-    new = [unique[i] for i in missing]
-    for i, word, ids in zip(missing, new, ids_of(new, model, pieces), strict=True):
-        own[i] = known[word] = ids
-    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-    store = np.frombuffer(b"".join(own), dtype="<u4")
-    first = np.cumsum(sizes) - sizes
-    n = sizes[codes]
-    ends = np.cumsum(n)
-    ids = store[np.arange(int(ends[-1])) + np.repeat(first[codes] - (ends - n), n)]
-    last = ends[codes == np.flatnonzero(unique == END)[0]]
-    return ids, np.diff(last, prepend=0)
+    own = known.places(unique)
+    missing = np.flatnonzero(own < 0)
+    new = [w for w in unique[missing] if w != END]
+    if new:
+        learn(new, model, known, pieces, in_pieces)
+        own[missing] = known.places(unique[missing])
+    ids, first, sizes = known.table()
+    # The end of a text is one more entry.
+    ids, first, sizes = np.append(ids, np.uint32(end_id)), np.append(first, len(ids)), np.append(sizes, 1)
+    end = np.flatnonzero(unique == END)[0]
+    own[end] = len(first) - 1
+    found, n = copied(ids, first, sizes, own[codes])
+    last = np.cumsum(n)[codes == end]
+    return found, np.diff(last, prepend=0)
+
+
+def forget(path: str) -> None:
+    """Leave nothing behind in a worker that other tasks will use."""
+    for held in tokenizer(path)[1:3]:
+        held.__init__()
+    released()
 
 
 def projection() -> np.ndarray:
@@ -179,7 +254,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def tokenised(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, text: str, path: str, end_id: int, remember: bool = True) -> DataFrame:
     """``docs`` with ``_n`` (tokens), ``_curve`` and ``_ids`` (unsigned, little-endian) for ``text``."""
     rest = [c for c in docs.columns if c != text]
 
@@ -203,6 +278,8 @@ def tokenised(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
                         names=[*rest, "_n", "_curve", "_ids"],
                     )
         finally:
+            if not remember:
+                forget(path)
             gc.enable()
 
     schema = docs.select(*rest, F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_curve"), F.lit(b"").alias("_ids")).schema
@@ -210,7 +287,7 @@ def tokenised(docs: DataFrame, text: str, path: str, end_id: int) -> DataFrame:
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, *, text: str = "text", keep: list[str] = ("doc_id",), length: int = 2048, end_id: int = 1
+    docs: DataFrame, tokenizer_path: str, *, text: str = "text", keep: list[str] = ("doc_id",), length: int = 2048, end_id: int = 1, remember: bool = True
 ) -> DataFrame:
     """Cut all documents into sequences of ``length`` tokens, neighbours of the curve together.
 
@@ -219,11 +296,12 @@ def pack(
     ``ids`` (binary, unsigned little-endian 32 bits).  Every document ends with ``end_id``; a null
     text is an empty one and is just that id.  Places of equal rank are told apart by the ``keep``
     columns and the ids, so equal inputs give equal sequences.  Rows that repeat are documents of
-    their own; no rows give no rows; other columns are not read.
+    their own; no rows give no rows; other columns are not read.  A worker remembers words from task
+    to task; without ``remember`` it forgets them, for jobs whose workers do other things besides.
     """
     renamed = [f"k{i}" for i in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(r) for c, r in zip(keep, renamed, strict=True)], text)
-    made = stored(tokenised(rows, text, tokenizer_path, end_id).withColumn("_rid", F.monotonically_increasing_id()))
+    made = stored(tokenised(rows, text, tokenizer_path, end_id, remember).withColumn("_rid", F.monotonically_increasing_id()))
     order = made.select("_rid", "_curve", "_n", F.xxhash64(*renamed, "_ids").alias("_tie"), *renamed)
     placed = running(order, ["_curve", *renamed, "_tie", "_rid"], "_n").select("_rid", "before")
     joined = made.select("_rid", *renamed, "_n", "_ids").join(placed, "_rid").drop("_rid")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import released, slices
 
 BUCKET_BITS = 16
 #: Added to every bucket of both multinomials.
@@ -118,6 +118,7 @@ def counted(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
             good += np.bincount(buckets[marks[a:b][owners]], minlength=len(raw))
     seen = np.flatnonzero(raw)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(good[seen])], names=["bucket", "raw", "good"])
+    released()
 
 
 def scored(texts: list[bytes], ratios: np.ndarray) -> list[np.ndarray]:
@@ -156,6 +157,7 @@ def with_stats(docs: DataFrame, ratios: np.ndarray, text: str = "text") -> DataF
                 arrays = [pa.array(x) for x in scored(texts[a:b], sent.value)]
                 piece = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=[*kept, *STATS.names])
+        released()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *STATS.fields]))
 
