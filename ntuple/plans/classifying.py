@@ -233,19 +233,19 @@ def rank_soft_bleaching(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARGINS = """
 cand AS MATERIALIZED (SELECT DISTINCT row_id, v AS t FROM votes WHERE v > 0 UNION SELECT DISTINCT row_id, 0 FROM votes),
 sc AS MATERIALIZED (SELECT row_id, t, label, count(*) FILTER (v > t) AS s FROM votes JOIN cand USING (row_id) GROUP BY row_id, t, label),
-pv AS MATERIALIZED (SELECT *, coalesce(max(s) OVER (PARTITION BY row_id, t ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc),
-gain AS MATERIALIZED (SELECT row_id, t, max(s) AS top, max(CASE WHEN before > 0 AND s > before THEN s - before ELSE 0 END) AS lead FROM pv GROUP BY row_id, t),
-tie AS MATERIALIZED (SELECT row_id, t, count(*) FILTER (s = top) > 1 AND top > 0 AS tied FROM sc JOIN gain USING (row_id, t) GROUP BY row_id, t, top),
-run AS MATERIALIZED (SELECT row_id, t, lead, coalesce(max(lead) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM gain),
-ok AS MATERIALIZED (SELECT row_id, max(t) AS t FROM run JOIN tie USING (row_id, t) WHERE lead > seen AND NOT tied GROUP BY row_id)"""
+pv AS MATERIALIZED (SELECT *, max(s) OVER (PARTITION BY row_id, t) AS top,
+  coalesce(max(s) OVER (PARTITION BY row_id, t ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sc),
+gain AS MATERIALIZED (SELECT row_id, t, max(CASE WHEN before > 0 AND s > before THEN s - before ELSE 0 END) AS lead,
+  count(*) FILTER (s = top) > 1 AND max(top) > 0 AS tied FROM pv GROUP BY row_id, t),
+run AS MATERIALIZED (SELECT *, coalesce(max(lead) OVER (PARTITION BY row_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM gain),
+ok AS MATERIALIZED (SELECT row_id, max(t) FILTER (lead > seen AND NOT tied) AS t FROM run GROUP BY row_id)"""
 
 
 @query(
     "rank_best_margin_scan",
     sql.chain(
         VECTOR_PREFIX, sql.CLASSIFIER, MARGINS,
-        final="SELECT l.row_id, l.label AS candidate, coalesce(sc.s, 0) AS score FROM (SELECT DISTINCT row_id, label FROM votes) l "
-        "LEFT JOIN ok USING (row_id) LEFT JOIN sc ON sc.row_id = l.row_id AND sc.label = l.label AND sc.t = ok.t",
+        final="SELECT row_id, label AS candidate, coalesce(max(s) FILTER (sc.t = ok.t), 0) AS score FROM sc JOIN ok USING (row_id) GROUP BY row_id, label",
     ),
 )
 def rank_best_margin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
