@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from ntuple.llm import queries as llm
 
-#: Hashes, models or tokenizers that SQL does not have; tested against brute force.
+#: Hashes, models or tokenizers that SQL does not have.
 WITHOUT_SQL = {
     "op1_curve_packing",
     "op2_weighted_fingerprints",
