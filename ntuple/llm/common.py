@@ -6,7 +6,7 @@ import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,6 +88,41 @@ def hex_number(digits: Column, n: int = 7) -> Column:
     return F.conv(F.substring(digits, 1, n), 16, 10).cast("long")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sums_before(values: Column) -> Column:
+    """The sum of the elements before each element of an array of integers.
+
+    The array is summed in runs of about the root of its length, and the runs are shifted by the totals
+    of the runs before them, so n elements cost about n to the power of 1.5, not the square.
+    """
+    none = F.array().cast("array<int>")
+
+    def summed(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("total"), none.alias("sums")),
+            lambda done, n: F.struct(
+                (done["total"] + n).alias("total"), F.concat(done["sums"], F.array(done["total"])).alias("sums")
+            ),
+        )
+
+    def shifted(parts: Column) -> Column:
+        shifts = summed(F.transform(parts, lambda p: p["total"]))["sums"]
+        return F.flatten(F.zip_with(parts, shifts, lambda p, by: F.transform(p["sums"], lambda n: n + by)))
+
+    def of(known: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(known))).cast("int")
+        runs = F.sequence(F.lit(0), F.floor((F.size(known) - 1) / width).cast("int"))
+        parts = F.transform(runs, lambda i: summed(F.slice(known, i * width + 1, width)))
+        return F.when(F.size(known) == 0, none).otherwise(bound(parts, shifted))
+
+    return bound(values, of)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` if it was counted to have at most ``rows`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

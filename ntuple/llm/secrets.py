@@ -16,6 +16,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, sums_before
+
 #: Classes of at most so many letters (case folded), and so many alternatives, are spelt out.
 CLASS_LIMIT = 4
 EXACT_LIMIT = 32
@@ -185,17 +187,20 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
         lambda s, v: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(v).alias("value")),
     )
     empty = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
-    def step(done: Column, s: Column) -> Column:
-        begin = done["at"] + s["gap"]
-        end = begin + F.coalesce(s["size"], F.lit(0))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        good = s["size"].isNotNull() & (s["value"] >= rule.least)
-        return F.struct(end.alias("at"), F.when(good, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
+    def spans(known: Column) -> Column:
+        ahead = sums_before(F.transform(known, lambda s: s["gap"] + F.coalesce(s["size"], F.lit(0))))
+        placed = F.zip_with(known, ahead, lambda s, at: F.struct((at + s["gap"]).alias("start"), s["size"].alias("size"), s["value"].alias("value")))
+        good = F.filter(placed, lambda s: s["size"].isNotNull() & (s["value"] >= rule.least))
+        return F.transform(
+            good,
+            lambda s: F.struct(
+                s["start"].alias("start"), F.lit(rank).alias("rank"), (s["start"] + s["size"]).alias("end"), F.lit(rule.kind).alias("kind")
+            ),
+        ).cast(SPANS)
 
     # Almost all texts have no match; they stop here.
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(steps, start, step, lambda done: done["spans"]))
+    return F.when(F.size(found) == 0, empty).otherwise(bound(steps, spans))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, *, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
