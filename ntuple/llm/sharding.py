@@ -47,7 +47,7 @@ def children_of(rows: DataFrame, keys: list[str], leaves: dict[int, int]) -> dic
         elif not span.get(right, 0):
             part = m - 1
         below[left] = min(max(part, 1), m - 1)
-        below[right] = m - below[left]
+        below[right] = m - below[left] if span.get(right, 0) else 1
     return below
 
 
@@ -133,7 +133,7 @@ def kd_shards(
     of the row in its shard.  ``dims`` are numeric; rows that agree in all dimensions and in
     ``tie`` (a non-negative number) stay together.  A group heavier than an even part of what
     the heavier groups leave has a shard of its own, the last ones, and the others share the rest evenly.
-    Fewer groups than shards leave shards empty.  Null dimensions count as 0, null
+    Fewer groups than shards get a shard each and leave the others empty.  Null dimensions count as 0, null
     weights as 0; rows that repeat all get slots; no rows give no rows.
     """
     names = [f"_d{i}" for i in range(len(dims))]
@@ -159,7 +159,9 @@ def kd_shards(
     rows = base.select(*keep, "weight", "_tie", *keys, F.lit(0).alias("node"))
     # At most as many groups as there are shards.
     largest = rows.groupBy(*key_names).agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), *key_names).limit(shards).collect()
-    alone = largest[: heavy_groups([r["weight"] for r in largest], ends["total"], shards)]
+    # Where the groups are fewer than the shards, these are all of them, and each has a shard.
+    few = len(largest) < shards
+    alone = largest if few else largest[: heavy_groups([r["weight"] for r in largest], ends["total"], shards)]
     own = F.lit(None).cast("int")
     for i, r in enumerate(alone):
         same = F.lit(True)
@@ -168,7 +170,7 @@ def kd_shards(
         own = F.when(same, shards - 1 - i).otherwise(own)
     marked = rows.withColumn("_own", own)
     rows = marked.where("_own IS NULL").drop("_own")
-    leaves = {0: shards - len(alone)}
+    leaves = {0: 1 if few else shards - len(alone)}
     share = (ends["total"] - sum(r["weight"] for r in alone)) / leaves[0]
     while max(leaves.values()) > 1:
         way, cuts = node_cuts(rows, key_names, leaves, share)
