@@ -2,7 +2,9 @@ r"""Chat formatting by schema fingerprints.
 
 Native.  A record is a JSON text in whatever layout its source uses.  The nested field paths of
 the record are hashed; the hash selects a declarative mapping (which fields hold the turns and
-who says them), and the mapping turns the record into canonical ``(role, text)`` turns.  Turns
+who says them), and the mapping turns the record into canonical ``(role, text)`` turns.  Texts of
+any length may stay out of the JSON: an outline has the number of a text in each of its places,
+and the texts stand beside it.  Turns
 are rendered between control strings; control characters in texts are escaped reversibly:
 ``\`` is written ``\b``, ``<`` is ``\l`` and ``>`` is ``\g``, so ``<turn:`` and ``</turn>``
 occur only where a turn begins or ends.
@@ -11,11 +13,14 @@ occur only where a turn begins or ends.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, sums_before
+
 OPEN, SHUT, END = "<turn:", ">", "</turn>"
 TURNS = "array<struct<role:string,text:string>>"
 #: Bytes that Spark lets a variant have, and characters that its JSON reader lets a string have.
@@ -107,19 +112,25 @@ def shapes_of(mapping: Mapping) -> list[str]:
     return [json.dumps(s) for s in samples]
 
 
-def mapped(record: Column, mapping: Mapping) -> Column:
-    """The turns of a record under one mapping; missing and null texts are empty."""
-    blank = F.lit("")
+def mapped(record: Column, mapping: Mapping, texts: Column | None = None) -> Column:
+    """The turns of a record under one mapping; missing and null texts are empty.
+
+    With ``texts`` the record is an outline: its leaves are places in that array.
+    """
+
+    def look(leaf: Column) -> Column:
+        return F.coalesce(leaf if texts is None else F.get(texts, leaf.cast("int")), F.lit(""))
+
     if mapping.turns is None:
         variant = parsed(record)
         turns = F.array(
             *[
-                F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(variant, path, "string"), blank).alias("text"))
+                F.struct(F.lit(role).alias("role"), look(F.try_variant_get(variant, path, "string")).alias("text"))
                 for path, role in mapping.said
             ]
         )
         # An optional field that is empty says nothing.
-        optional = {path for path, _ in mapping.said if path.endswith((".input", ".system"))}
+        optional = {path for path, _ in mapping.said if is_optional(path)}
         if optional:
             kept = [
                 F.when(F.lit(path not in optional) | (turns[i]["text"] != ""), F.array(turns[i])).otherwise(F.array().cast(TURNS))
@@ -129,37 +140,41 @@ def mapped(record: Column, mapping: Mapping) -> Column:
         return turns
     fields = f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>"
     name = mapping.turns.removeprefix("$.")
-    return said(F.from_json(record, f"`{name}` {fields}", LONG)[name], mapping)
-
-
-def said(messages: Column, mapping: Mapping) -> Column:
-    """The turns of the messages of a mapping that lists them; no messages give no turns."""
-    blank = F.lit("")
+    messages = F.from_json(record, f"`{name}` {fields}", LONG)[name]
 
     def turn(m: Column) -> Column:
-        role = F.coalesce(m[mapping.role], blank)
+        role = look(m[mapping.role])
         for old, new in mapping.roles:
-            role = F.when(m[mapping.role] == old, new).otherwise(role)
-        return F.struct(role.alias("role"), F.coalesce(m[mapping.text], blank).alias("text"))
+            role = F.when(look(m[mapping.role]) == old, new).otherwise(role)
+        return F.struct(role.alias("role"), look(m[mapping.text]).alias("text"))
 
     return F.coalesce(F.transform(messages, turn), F.array().cast(TURNS)).cast(TURNS)
 
 
-def canonical_turns(df: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
-    """Add ``layout`` and ``turns`` (array of ``role``, ``text``) to records.
+def is_optional(path: str) -> bool:
+    return path.endswith((".input", ".system"))
+
+
+def canonical_turns(
+    df: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = LAYOUTS, *, texts: str | None = None
+) -> DataFrame:
+    """Add ``layout`` and ``turns`` (array of ``role``, ``text``) to records, or to outlines with ``texts``.
 
     A record that is null, is not JSON or has an unknown layout keeps its row, with null in both.
     Null roles and texts are empty.  The columns ``layout`` and ``turns`` are replaced.  A record
     whose variant has over :data:`VARIANT_BYTES` is an error (see :func:`parsed`).
     """
-    shapes = [(m, s) for m in mappings for s in shapes_of(m)]
     df = df.withColumn("_shape", fingerprint(F.col(record)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for mapping, sample in reversed(shapes):
-        same = F.col("_shape") == fingerprint(F.lit(sample))
+    for mapping in reversed(mappings):
+        same = F.lit(False)
+        for sample in shapes_of(mapping):
+            same = same | (F.col("_shape") == fingerprint(F.lit(sample)))
         layout = F.when(same, mapping.name).otherwise(layout)
-        turns = F.when(same, mapped(F.col(record), mapping)).otherwise(turns)
-    return df.withColumns({"layout": layout, "turns": turns}).drop("_shape")
+        places = None if texts is None else F.col(texts)
+        turns = F.when(F.col("_layout") == mapping.name, mapped(F.col(record), mapping, places)).otherwise(turns)
+    found = df.withColumn("_layout", layout)
+    return found.withColumns({"layout": F.col("_layout"), "turns": turns}).drop("_shape", "_layout")
 
 
 def escape(text: Column) -> Column:
@@ -188,12 +203,7 @@ def render(df: DataFrame, turns: str = "turns", learn: tuple[str, ...] = ("assis
         ),
     )
     lengths = F.transform("_parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + F.lit(len(END)))
-    # Starts of the turns: the sums of the lengths before them.
-    starts = F.aggregate(
-        "_lengths",
-        F.array(F.lit(0).cast("int")),
-        lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)),
-    )
+    starts = sums_before(F.col("_lengths"))
     spans = F.filter(
         F.transform(
             "_parts",
@@ -254,17 +264,72 @@ def conversation_records(rows: DataFrame) -> DataFrame:
     return conversation_messages(rows).select("conv_id", F.to_json(F.struct("messages")).alias("record"))
 
 
-def conversation_turns(rows: DataFrame, mappings: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
+def fitting(messages: Column, mapping: Mapping) -> Column:
+    """Whether a layout can hold these messages so that the same turns come back."""
+    roles = F.transform(messages, lambda m: m["role"])
+    if mapping.turns:
+        return ~F.exists(roles, lambda r: r.isin([old for old, _ in mapping.roles])) if mapping.roles else F.lit(True)
+    fits = roles == F.array(*[F.lit(role) for _, role in mapping.said])
+    for i, (path, _) in enumerate(mapping.said):
+        if is_optional(path):
+            fits = fits & (F.get(messages, F.lit(i))["content"] != "")
+    return fits
+
+
+def dealt_layout(messages: Column, number: Column, mappings: tuple[Mapping, ...] = LAYOUTS) -> Column:
+    """The name of one of the layouts that can hold the messages, dealt by the hash of ``number``."""
+    names = F.array_compact(F.array(*[F.when(fitting(messages, m), m.name) for m in mappings]))
+    return bound(names, lambda n: F.get(n, F.pmod(F.xxhash64(number), F.size(n)).cast("int")))
+
+
+def numbered(messages: Column, mapping: Mapping) -> Column:
+    return F.transform(messages, lambda _, i: F.struct((2 * i).alias(mapping.role), (2 * i + 1).alias(mapping.text)))
+
+
+def outline(messages: Column, layout: Column, mappings: tuple[Mapping, ...] = LAYOUTS) -> Column:
+    """The record of the messages in a layout, with the place of a text (see :func:`placed_texts`) for each."""
+    out = F.lit(None).cast("string")
+    for mapping in mappings:
+        if mapping.turns:
+            record = F.to_json(F.struct(numbered(messages, mapping).alias(mapping.turns.removeprefix("$."))))
+        else:
+            fields: dict = {}
+            for i, (path, _) in enumerate(mapping.said):
+                *above, last = path.removeprefix("$.").split(".")
+                inner = fields
+                for name in above:
+                    inner = inner.setdefault(name, {})
+                inner[last] = 2 * i + 1
+            record = F.lit(json.dumps(fields))
+        out = F.when(layout == mapping.name, record).otherwise(out)
+    return out
+
+
+def placed_texts(messages: Column, layout: Column, mappings: tuple[Mapping, ...] = LAYOUTS) -> Column:
+    """Role and text of each message in turn, roles as the layout writes them."""
+
+    def both(m: Column) -> Column:
+        role = m["role"]
+        for mapping in mappings:
+            for old, new in mapping.roles:
+                role = F.when((layout == mapping.name) & (m["role"] == new), old).otherwise(role)
+        return F.array(role, m["content"])
+
+    return F.flatten(F.transform(messages, both))
+
+
+def conversation_turns(rows: DataFrame, layout: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``conv_id``, ``layout`` and ``turns`` of rows by turn, whatever their size.
 
-    Texts stay out of JSON: messages of a table all have the same fields, so the fingerprint is
-    that of one message without its texts, and the mapping it selects reads the messages.
+    Each conversation becomes an outline in the layout that ``layout`` (of its messages and its
+    ``conv_id``; default: ``messages`` for all) names, and is read back by the fingerprint of that outline.
     """
-    empty = F.transform(F.slice("messages", 1, 1), lambda m: F.struct(F.lit("").alias("role"), F.lit("").alias("content")))
-    df = conversation_messages(rows).withColumn("_shape", fingerprint(F.to_json(F.struct(empty.alias("messages")))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for mapping in reversed([m for m in mappings if (m.turns, m.role, m.text) == ("$.messages", "role", "content")]):
-        same = F.col("_shape").isin([fingerprint(F.lit(s)) for s in shapes_of(mapping)])
-        layout = F.when(same, mapping.name).otherwise(layout)
-        turns = F.when(same, said(F.col("messages"), mapping)).otherwise(turns)
-    return df.select("conv_id", layout.alias("layout"), turns.alias("turns"))
+    messages = conversation_messages(rows)
+    named = F.lit("messages") if layout is None else layout(F.col("messages"), F.col("conv_id"))
+    known = messages.withColumn("_written", named)
+    outlined = known.select(
+        "conv_id",
+        outline(F.col("messages"), F.col("_written")).alias("record"),
+        placed_texts(F.col("messages"), F.col("_written")).alias("texts"),
+    )
+    return canonical_turns(outlined, texts="texts").select("conv_id", "layout", "turns")

@@ -145,7 +145,10 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one with control strings in its texts, read back from the output."""
+    """All conversations and one with control strings in its texts, read back from the output.
+
+    Conversations are records of all layouts that can hold them, dealt by ``conv_id``.
+    """
     hard = r"\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(
@@ -155,7 +158,7 @@ def op9_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(hard).alias("text"),
     )
     rows = rows.unionByName(more)
-    shown = chat.render(chat.conversation_turns(rows))
+    shown = chat.render(chat.conversation_turns(rows, chat.dealt_layout))
     back = shown.withColumns({"back": chat.read_back(F.col("formatted")), "learned": chat.learned()})
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
