@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Native: DataFrame functions only.  The tokens of each source are dealt to shards, laid out in a
-seeded order and cut into blocks of equal size.  Blocks are the seats: sources get them by the
-highest quotients of their targets, the shards of a source by the highest quotients of what
-they hold.  A shard takes every block as often as its quota holds all of them, and the rest by
-a seeded draw.
-
-The last block of a shard is shorter than a seat.  Where that, or the size of a seat, could keep
-a source from its target (small sources, shards of few blocks), the source is dealt out in tokens:
-its target is parted by what its shards hold, its blocks have a size of its own, and the last
-block drawn is taken as far as the quota goes.
+seeded order of the documents and cut into blocks of equal size.  Blocks are the seats: sources get
+them by the highest quotients of their targets, the shards of a source by the highest quotients of
+what they hold.  A shard takes all its blocks as often as its quota holds them, and the rest as a
+run of blocks from a seeded one on; behind the last block, which is shorter, the run goes on at the
+first, until it has as many tokens as the quota asks for.  The order of the documents is seeded too,
+so a run is a seeded choice of whole documents but for its two ends.
+
+The size of a block is the same for all sources: a 2^18th of the input, but small enough for
+every source to be aimed at by 128 blocks, so that rounding to blocks moves no source far from its target.
 """
 
 from __future__ import annotations
@@ -17,17 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_number, running, seeded, stored
+from .common import bound, hex_number, seeded, stored
 
-#: A block holds at least so many tokens, and one more for each 2^18 tokens of the whole input.
+#: A block holds about so many tokens, and one more for each 2^18 tokens of the whole input.
 LEAST_BLOCK = 64
 BLOCKS = 1 << 18
+#: The target of the smallest source is at least so many blocks (or blocks are single tokens).
+SOURCE_BLOCKS = 128
 #: Documents of a shard, about; shards bound the rows that one ordered pass sees.
 SHARD_DOCS = 50_000
-#: Part of its target that a source may miss by whole blocks; else it is dealt out in tokens.
-TOLERANCE = 0.01
-#: Blocks of a shard that is dealt out in tokens, about, at most.
-TOKEN_BLOCKS = 512
 
 
 def cyclic_weights(source: str = "source") -> Column:
@@ -91,35 +89,38 @@ def sainte_lague(df: DataFrame, by: list[str], weight: str, seats: str, tie: lis
     )
 
 
-def dealt_out(shards: DataFrame, seat: int, max_repeats: int) -> DataFrame:
-    """How each shard is taken: ``whole`` times, and ``more`` of its blocks or ``rest`` tokens of them.
+def block_size(total: int, least_target: float | None) -> int:
+    return max(1, min(LEAST_BLOCK + total // BLOCKS, int((least_target or 0) // SOURCE_BLOCKS)))
+
 
-    ``shards``: ``sid``, ``shard``, ``held``, ``quota`` (seats), and ``target``, ``source_size`` and
-    ``shards`` of the source.  ``cut`` is the size of the blocks of the shard.
+def dealt_out(shards: DataFrame, block: int, max_repeats: int, seed: int) -> DataFrame:
+    """How each shard is taken: ``whole`` times, and ``rest`` tokens more from ``first`` on.
+
+    ``shards``: ``sid``, ``shard``, ``held`` (tokens) and ``quota`` (blocks).
     """
-    source = Window.partitionBy("sid")
-    n = F.ceil(F.col("held") / seat)
-    seats = shards.withColumn("quota", F.least("quota", max_repeats * n)).withColumns(
-        {"_whole": F.floor(F.col("quota") / n), "_more": F.col("quota") % n}
-    )
-    # At most what the short last blocks lack, and what the seats are off the target.
-    lack = (F.col("_whole") + (F.col("_more") > 0).cast("int")) * (n * seat - F.col("held"))
-    off = F.sum(lack).over(source) + F.abs(F.sum("quota").over(source) * seat - F.col("target"))
-    upto = F.sum("held").over(source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    share = lambda held: F.floor(F.col("target") * (held / F.col("source_size")) + 0.5)
-    tokens = F.least(share(upto) - share(upto - F.col("held")), max_repeats * F.col("held"))
-    told = seats.withColumns({"_tokens": tokens, "_fine": off > TOLERANCE * F.col("target")})
-    own = LEAST_BLOCK + F.floor(F.col("source_size") / (TOKEN_BLOCKS * F.col("shards")))
-    none = F.lit(0).cast("long")
-    return told.select(
+    tokens = F.least(F.col("quota") * block, max_repeats * F.col("held"))
+    drawn = hex_number(seeded(seed, "sid", "shard"), 13) % F.ceil(F.col("held") / block)
+    return shards.withColumn("_tokens", tokens).select(
         "sid", "shard", "held",
-        F.when(F.col("_fine"), own).otherwise(seat).cast("long").alias("cut"),
-        F.when(F.col("_fine"), F.floor(F.col("_tokens") / F.col("held"))).otherwise(F.col("_whole")).cast("int").alias("whole"),
-        F.when(F.col("_fine"), none).otherwise(F.col("_more")).cast("long").alias("more"),
-        F.when(F.col("_fine"), F.col("_tokens") % F.col("held")).otherwise(none).cast("long").alias("rest"),
+        F.floor(F.col("_tokens") / F.col("held")).cast("int").alias("whole"),
+        (F.col("_tokens") % F.col("held")).alias("rest"),
+        (drawn * block).alias("first"),
     )
 
 
+def run_parts() -> Column:
+    """Which tokens of a document (``start``, ``size``) lie in the run of its shard; at most two pieces."""
+    end = F.col("first") + F.col("rest")
+    upto = F.col("start") + F.col("size")
+    begin = F.greatest("first", "start")
+    pieces = F.array(
+        # Behind the last block the run goes on at the first.
+        F.struct(F.lit(0).cast("long").alias("first"), (F.least(end - F.col("held"), upto) - F.col("start")).alias("length")),
+        F.struct((begin - F.col("start")).alias("first"), (F.least(end, F.col("held"), upto) - begin).alias("length")),
+    )
+    return F.filter(pieces, lambda p: p["length"] > 0)
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -152,9 +153,6 @@ def mix(
             draw.alias("draw"),
         )
     )
-    counted = base.agg(F.sum("size").alias("all")).first()
-    seat = LEAST_BLOCK + (counted["all"] or 0) // BLOCKS
-
     sources = base.groupBy("source").agg(
         F.sum("size").alias("size"), (1 + F.floor(F.count(F.lit(1)) / SHARD_DOCS)).alias("shards")
     ).withColumns(
@@ -163,8 +161,10 @@ def mix(
             "weight": cyclic_weights() if weight is None else weight.cast("double"),
         }
     )
-    aimed = targets(sources, max_repeats)
-    seats = F.floor(F.sum("size").over(Window.partitionBy()) / seat + 0.5).cast("long")
+    aimed = stored(targets(sources, max_repeats))
+    counted = aimed.agg(F.sum("size").alias("all"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
+    block = block_size(counted["all"] or 0, counted["least"])
+    seats = F.floor(F.sum("size").over(Window.partitionBy()) / block + 0.5).cast("long")
     quotas = stored(
         sainte_lague(aimed.withColumn("seats", seats), [], "target", "seats", ["sid"], "blocks")
         .select("sid", "blocks")
@@ -178,87 +178,40 @@ def mix(
     )
     held = stored(placed.groupBy("sid", "shard").agg(F.sum("size").alias("held")).where("held > 0"))
     seated = sainte_lague(held.join(quotas.select("sid", "blocks"), "sid"), ["sid"], "held", "blocks", ["shard"], "quota")
-    dealt = stored(
-        dealt_out(held.join(seated.select("sid", "shard", "quota"), ["sid", "shard"], "left").fillna(0, ["quota"]).join(quotas, "sid"), seat, max_repeats)
-    )
-    order = Window.partitionBy("sid", "shard").orderBy(seeded(seed, "sid", "shard", "block"), "block")
-    real = F.least("cut", F.col("held") - F.col("block") * F.col("cut"))
-    drawn = (
-        dealt.where("more > 0 OR rest > 0")
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("held") / F.col("cut")) - 1)))
-        .withColumns(
-            {
-                "_real": real,
-                "_place": F.row_number().over(order),
-                "_before": F.coalesce(F.sum(real).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            }
-        )
-        .where("_place <= more OR _before < rest")
-        .select("sid", "shard", "block", F.when(F.col("rest") > 0, F.least("_real", F.col("rest") - F.col("_before"))).otherwise(F.col("_real")).alias("upto"))
-    )
+    quota = held.join(seated.select("sid", "shard", "quota"), ["sid", "shard"], "left").fillna(0, ["quota"])
+    dealt = dealt_out(quota, block, max_repeats, seed)
 
     laid = (
         Window.partitionBy("sid", "shard")
         .orderBy("draw", *[f"k_{c}" for c in keep], "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    lined = stored(placed.withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0))))
-    spans = lined.where("size > 0").join(dealt.select("sid", "shard", "cut"), ["sid", "shard"]).select(
-        "sid", "shard", "start", "size", "cut",
-        F.explode(F.sequence(F.floor(F.col("start") / F.col("cut")), F.floor((F.col("start") + F.col("size") - 1) / F.col("cut")))).alias("block"),
-    )
-    first = F.greatest(F.col("block") * F.col("cut") - F.col("start"), F.lit(0))
-    last = F.least(F.col("block") * F.col("cut") + F.col("upto") - F.col("start"), F.col("size"))
-    parts = (
-        spans.join(drawn, ["sid", "shard", "block"])
-        .where(last > first)
-        .groupBy("sid", "shard", "start")
-        .agg(
-            F.sort_array(F.collect_list(F.struct(first.cast("long").alias("first"), (last - first).cast("long").alias("length")))).alias("parts"),
-            F.sum(last - first).alias("extra"),
-        )
-    )
-    # A document without tokens shares its start with the one after it, so only the others are looked up.
-    key = F.when(F.col("size") > 0, F.col("start"))
-    parts = parts.withColumnsRenamed({"sid": "p_sid", "shard": "p_shard", "start": "p_start"})
-    out = (
-        lined.withColumn("_key", key)
-        .join(dealt.select("sid", "shard", "whole"), ["sid", "shard"], "left")
-        .join(parts, (F.col("sid") == F.col("p_sid")) & (F.col("shard") == F.col("p_shard")) & (F.col("_key") == F.col("p_start")), "left")
-    )
+    lined = placed.withColumn("start", F.coalesce(F.sum("size").over(laid), F.lit(0)))
+    # The table of shards is partitioned like the window.
+    out = lined.join(dealt, ["sid", "shard"], "left").withColumn("parts", run_parts())
+    extra = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["length"])
     whole = F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0))).otherwise(0)
     none = F.array().cast("array<struct<first:bigint,length:bigint>>")
     return out.select(
         *[F.col(f"k_{c}").alias(c) for c in keep],
         "size", "source_size", "target",
-        (whole * F.col("size") + F.coalesce("extra", F.lit(0))).cast("long").alias("taken"),
+        (whole * F.col("size") + F.coalesce(extra, F.lit(0).cast("long"))).cast("long").alias("taken"),
         whole.alias("whole"),
         F.coalesce("parts", none).alias("parts"),
     )
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The texts of a mixture: ``whole`` copies of a document and a row for each run of parts.
+    """The texts of a mixture: ``whole`` copies of a document and a row for each of its parts.
 
-    Neighbouring parts make one row.  Words keep the white space behind them.
+    Words keep the white space behind them.
     """
-    joined = F.aggregate(
-        "parts",
-        F.array().cast("array<struct<first:bigint,length:bigint>>"),
-        lambda done, p: F.when(
-            F.size(done) == 0, F.array(p)
-        ).when(
-            F.element_at(done, -1)["first"] + F.element_at(done, -1)["length"] == p["first"],
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), (F.element_at(done, -1)["length"] + p["length"]).alias("length"))),
-            ),
-        ).otherwise(F.concat(done, F.array(p))),
-    )
     words = F.regexp_extract_all(F.col(text), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    cut = F.transform(
-        joined,
-        lambda p: F.array_join(F.slice(words, (p["first"] + 1).cast("int"), p["length"].cast("int")), ""),
+    cut = bound(
+        words,
+        lambda known: F.transform(
+            "parts", lambda p: F.array_join(F.slice(known, (p["first"] + 1).cast("int"), p["length"].cast("int")), "")
+        ),
     )
     rows = F.concat(F.array_repeat(F.col(text), F.col("whole")), F.when(F.size("parts") > 0, cut).otherwise(F.array().cast("array<string>")))
     return mixed.withColumn(text, F.explode(rows)).drop("whole", "parts")

@@ -96,10 +96,8 @@ WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
     md5('10:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS draw
   FROM documents
-), total AS (
-  SELECT CAST(sum(size) AS BIGINT) AS a, CAST(64 + sum(size) // 262144 AS BIGINT) AS b, 1 + count(*) // 50000 AS h FROM base
 ), weighed AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS size, sum(size) * CAST(3 AS DOUBLE) AS cap,
+  SELECT source, CAST(sum(size) AS BIGINT) AS size, sum(size) * CAST(3 AS DOUBLE) AS cap, 1 + count(*) // 50000 AS h,
     row_number() OVER (ORDER BY source NULLS LAST) AS sid,
     CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight
   FROM base GROUP BY source
@@ -109,9 +107,13 @@ WITH base AS (
     sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
   FROM weighed
 ), level AS (
-  SELECT min_by((a - given) / rest, f) AS l FROM levels, total WHERE f >= (a - given) / rest
+  SELECT min_by((a - given) / rest, f) AS l
+  FROM levels, (SELECT CAST(sum(size) AS BIGINT) AS a FROM weighed) WHERE f >= (a - given) / rest
 ), aimed AS (
-  SELECT source, sid, size AS source_size, least(cap, l * weight) AS target FROM weighed, level
+  SELECT source, sid, h, size AS source_size, least(cap, l * weight) AS target FROM weighed, level
+), total AS (
+  SELECT a, greatest(1, least(64 + a // 262144, CAST(floor(least_target / 128) AS BIGINT))) AS b
+  FROM (SELECT CAST(sum(source_size) AS BIGINT) AS a, coalesce(min(target) FILTER (WHERE target > 0), 0) AS least_target FROM aimed)
 ), seats AS (
   SELECT CAST(floor(a / b + 0.5) AS BIGINT) AS s FROM total
 ), quotients AS (
@@ -120,34 +122,29 @@ WITH base AS (
 ), won AS (
   SELECT sid, count(*) AS blocks FROM quotients WHERE r <= s GROUP BY sid
 ), placed AS (
-  SELECT d.doc_id, d.size, d.draw, t.sid, t.target, t.source_size, CAST('0x' || substr(d.draw, 1, 7) AS BIGINT) % h AS shard
-  FROM base d JOIN aimed t ON d.source IS NOT DISTINCT FROM t.source, total
+  SELECT d.doc_id, d.size, d.draw, t.sid, t.target, t.source_size, CAST('0x' || substr(d.draw, 1, 7) AS BIGINT) % t.h AS shard
+  FROM base d JOIN aimed t ON d.source IS NOT DISTINCT FROM t.source
 ), held AS (
   SELECT sid, shard, CAST(sum(size) AS BIGINT) AS held FROM placed GROUP BY sid, shard
 ), shares AS (
   SELECT *, row_number() OVER (PARTITION BY sid ORDER BY held / (2 * k + 1) DESC, shard, k) AS r
   FROM (SELECT sid, shard, held, blocks, unnest(range(blocks)) AS k FROM held JOIN won USING (sid) WHERE held > 0)
+), quotas AS (
+  SELECT sid, shard, any_value(held) AS held, b,
+    least(b * count(*) FILTER (WHERE r <= blocks), 3 * any_value(held)) AS quota
+  FROM shares, total GROUP BY sid, shard, b
 ), dealt AS (
-  SELECT sid, shard, CAST(ceil(any_value(held) / any_value(b)) AS BIGINT) AS n,
-    least(count(*) FILTER (WHERE r <= blocks), 3 * CAST(ceil(any_value(held) / any_value(b)) AS BIGINT)) AS quota
-  FROM shares, total GROUP BY sid, shard
-), drawn AS (
-  SELECT sid, shard, block FROM (
-    SELECT sid, shard, n, quota, block,
-      row_number() OVER (PARTITION BY sid, shard ORDER BY md5('10:' || sid || ':' || shard || ':' || block), block) AS place
-    FROM (SELECT sid, shard, n, quota, unnest(range(n)) AS block FROM dealt))
-  WHERE place <= quota % n
+  SELECT sid, shard, held, quota // held AS whole, quota % held AS rest,
+    b * (CAST('0x' || substr(md5('10:' || sid || ':' || shard), 1, 13) AS BIGINT) % CAST(ceil(held / b) AS BIGINT)) AS f
+  FROM quotas
 ), lined AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY sid, shard ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM placed
-), extra AS (
-  SELECT doc_id, sum(least((block + 1) * b, start + size) - greatest(block * b, start)) AS more
-  FROM (SELECT doc_id, sid, shard, start, size, b, unnest(range(CAST(start // b AS BIGINT), CAST((start + size - 1) // b + 1 AS BIGINT))) AS block FROM lined, total WHERE size > 0)
-  JOIN drawn USING (sid, shard, block) GROUP BY doc_id
 )
 SELECT l.doc_id, l.size, l.source_size, l.target,
-  CAST(CASE WHEN l.size > 0 THEN coalesce(d.quota // d.n, 0) * l.size ELSE 0 END + coalesce(e.more, 0) AS BIGINT) AS taken
-FROM lined l LEFT JOIN dealt d ON d.sid = l.sid AND d.shard = l.shard LEFT JOIN extra e ON e.doc_id = l.doc_id
+  CAST(coalesce(whole * size + greatest(0, least(f + rest, held, start + size) - greatest(f, start))
+    + greatest(0, least(f + rest - held, start + size) - start), 0) AS BIGINT) AS taken
+FROM lined l LEFT JOIN dealt d ON d.sid = l.sid AND d.shard = l.shard
 """
 
 # Every pair of sources over every kept term, one by one.
