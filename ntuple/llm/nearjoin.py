@@ -8,8 +8,13 @@ with few sets are compared pair by pair; larger ones are split again, and after
 compared block by block.  Runs repeat until a pair at the threshold is missed less often than the
 target allows.
 
-A pair that meets in several nodes is counted in the least of them alone, so links are counted
-without listing pairs.  Equal sets are one class from the start.
+What meets in a node is a parity sketch of each set, some twentieth of its shingles: bit i is the
+parity of the number of shingles that fall on i.  Two sketches differ in no more bits than the sets
+differ in shingles, so a pair that differs in too many is certainly no link; the others are
+candidates.  Connected candidates are a group, whose members meet with all their shingles once,
+however many nodes they shared; large groups meet block by block.  Every pair of a group is
+compared exactly there, so links are counted without listing pairs.  Equal sets are one class from
+the start.
 """
 
 from __future__ import annotations
@@ -32,8 +37,12 @@ THRESHOLD = 0.8
 MISS = 1e-5
 #: Chance that a run misses a pair at the threshold where nodes are split once: it may share no child.
 RUN_MISS = 0.42
-#: Sets that one task compares with each other.
+#: Sets whose sketches one task compares with each other.
 LEAF = 2048
+#: Sets and shingles of a block of a group; one task compares two blocks.
+BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
+#: Sets of a node whose sketches are compared as numbers, one by one.
+FEW = 24
 DEPTH = 4
 SLICE = 1_000_000
 #: Columns of a dense block of the overlap matrix.
@@ -119,8 +128,18 @@ def limits_of(n: np.ndarray) -> np.ndarray:
     return ((2.0**64 - 2048) / np.maximum(THRESHOLD * n, 1.0)).astype(np.uint64)
 
 
+def parity_sketches(tokens: np.ndarray, owner: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """A sketch for each set of ``n`` tokens: parities on as many bits as tokens, up to a power of two."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    ends = np.cumsum(bits)
+    place = (ends - bits)[owner] + (tokens & (bits[owner] - 1).astype(np.uint32))
+    parity = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    raw = np.packbits(parity, bitorder="little").tobytes()
+    return [raw[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
 def sketched(docs: DataFrame, text: str, runs: int) -> DataFrame:
-    """``n``, ``s1`` and ``s2`` (which set it is), ``keys`` (nodes after the first split) and ``tokens``."""
+    """``n``, ``s1`` and ``s2`` (which set it is), ``keys`` (nodes after the first split), ``sketch`` and ``tokens``."""
     rest = [c for c in docs.columns if c != text]
     roots = roots_of(0, runs)
 
@@ -145,16 +164,18 @@ def sketched(docs: DataFrame, text: str, runs: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[order]))
                 raw, ends = tokens.tobytes(), np.cumsum(n) * 4
                 blobs = [raw[e - 4 * m : e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                sketch = pa.array(parity_sketches(tokens, d, n), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in others), pa.array(n), *(pa.array(m.view(np.int64)) for m in marks), keys, pa.array(blobs, pa.binary())],
-                    names=[*rest, "n", "s1", "s2", "keys", "tokens"],
+                    [*(c.slice(a, b - a) for c in others), pa.array(n), *(pa.array(m.view(np.int64)) for m in marks), keys, sketch, pa.array(blobs, pa.binary())],
+                    names=[*rest, "n", "s1", "s2", "keys", "sketch", "tokens"],
                 )
         released()
 
     zero = F.lit(0).cast("long")
     schema = docs.select(
-        *rest, zero.alias("n"), zero.alias("s1"), zero.alias("s2"), F.array().cast("array<bigint>").alias("keys"), F.lit(b"").alias("tokens")
-    ).schema
+        *rest, zero.alias("n"), zero.alias("s1"), zero.alias("s2"), F.array().cast("array<bigint>").alias("keys"),
+        F.lit(b"").alias("sketch"), F.lit(b"").alias("tokens"),
+    ).schema
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
@@ -177,14 +198,6 @@ def parted(rows: DataFrame) -> DataFrame:
     return rows.select("cid", "n", "tokens", "nodes").mapInArrow(run, "cid long, key long")
 
 
-def node_sizes(rows: DataFrame) -> DataFrame:
-    """Sets in each node, and a mark that equal memberships share."""
-    mark = F.xxhash64("cid")
-    return rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("m1"), F.sum(F.pmod(mark, F.lit((1 << 31) - 1))).alias("m2")
-    )
-
-
 def leaves_of(first: DataFrame, sets: DataFrame, classes: DataFrame, miss: float) -> DataFrame:
     """``cid``, ``key``, ``size`` for each set and leaf; of leaves with the same sets, one.
 
@@ -197,14 +210,15 @@ def leaves_of(first: DataFrame, sets: DataFrame, classes: DataFrame, miss: float
     def parted_below(members: DataFrame) -> DataFrame:
         members = members.join(classes.select("cid", "_file", "_row"), "cid")
         held = sets.select("_file", "_row", "n", "tokens").join(small(members, BROADCAST_ROWS), ["_file", "_row"])
-        return stored(parted(held).distinct())
+        return stored(parted(held))
 
     while True:
         for depth in range(1, DEPTH + 1):
             deepest = max(deepest, depth)
-            sizes = stored(node_sizes(reached))
+            # Most nodes hold one set and end here.
+            sizes = stored(reached.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
             most = F.col("size") <= LEAF if depth < DEPTH else F.lit(True)
-            leaves.append(reached.join(sizes.where((F.col("size") > 1) & most), "key").select("cid", "key", "size", "m1", "m2"))
+            leaves.append(reached.join(sizes.where(most), "key").select("cid", "key", "size"))
             large = sizes.where(~most).select("key")
             if not large.limit(1).count():
                 break
@@ -218,13 +232,143 @@ def leaves_of(first: DataFrame, sets: DataFrame, classes: DataFrame, miss: float
             break
         roots = F.array(*[F.lit(int(r)) for r in roots_of(runs, more).view(np.int64)])
         reached, runs = parted_below(split.select("cid", roots.alias("nodes"))), more
-    leaves = reduce(DataFrame.unionByName, leaves)
-    leaves = stored(leaves.select("cid", "key", "size", "m1", "m2"))
-    same = leaves.groupBy("size", "m1", "m2").agg(F.min("key").alias("kept"))
-    one = same.select(F.col("kept").alias("key"))
+    leaves = stored(reduce(DataFrame.unionByName, leaves))
+    mark = F.xxhash64("cid")
+    marked = leaves.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("m1"), F.sum(F.pmod(mark, F.lit((1 << 31) - 1))).alias("m2")
+    )
+    one = marked.groupBy("size", "m1", "m2").agg(F.min("key").alias("key")).select("key")
     return leaves.join(one, "key", "left_semi").select("cid", "key", "size")
 
 
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a key into its ``blocks``; a row comes once for each pair of blocks with its own.
+
+    Adds ``bi`` <= ``bj`` (the pair) and ``side``; rows of one pair come together, in order.
+    """
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.withColumns(
+        {"bi": F.least("own", "other"), "bj": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}
+    ).drop("own", "other")
+    return pairs.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
+
+
+def folded(sketch: int, bits: int, to: int) -> int:
+    """The sketch of the same set on fewer bits."""
+    while bits > to:
+        bits >>= 1
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
+def least_labels(near: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The least label of everyone's connected part of a symmetric matrix."""
+    none = np.iinfo(np.int64).max
+    labels = labels.copy()
+    while True:
+        before = labels.copy()
+        for i in range(0, len(labels), STRIP):
+            k = slice(i, i + STRIP)
+            labels[k] = np.minimum(labels[k], np.where(near[k], labels[None, :], none).min(axis=1))
+        if np.array_equal(before, labels):
+            return labels
+
+
+def signs(sketches: list[bytes], to: int) -> np.ndarray:
+    """Rows of sketches of one length as packed bytes of ``to`` bytes each."""
+    packed = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(sketches), -1)
+    while packed.shape[1] > to:
+        half = packed.shape[1] // 2
+        packed = packed[:, :half] ^ packed[:, half:]
+    return packed
+
+
+def candidates(rows: list[tuple], cross: bool) -> list[tuple[int, int]]:
+    """``(cid, root)`` for the sets of a node that may have a link in it: connected ones share a root.
+
+    ``rows``: ``(cid, n, sketch, side)``; with ``cross`` only sets of different sides meet.  A pair may
+    be linked if the lesser set is at least 4 / 5 of the other and the sketches differ in no
+    more than (na + nb) / 9 bits, as many shingles as linked sets differ in at most.
+    """
+    rows = sorted(rows, key=lambda r: r[1])
+    if len(rows) <= FEW:
+        roots = {r[0]: r[0] for r in rows}
+
+        def root(x: int) -> int:
+            while roots[x] != x:
+                x = roots[x]
+            return x
+
+        numbers = [int.from_bytes(r[2], "little") for r in rows]
+        for i, (x, na, sa, side) in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                y, nb, sb, other = rows[j]
+                if 5 * na < 4 * nb:
+                    break
+                if cross and side == other:
+                    continue
+                differ = numbers[i] ^ folded(numbers[j], 8 * len(sb), 8 * len(sa))
+                if 9 * differ.bit_count() <= na + nb:
+                    a, b = root(x), root(y)
+                    roots[max(a, b)] = min(a, b)
+        return [(x, root(x)) for x in roots if root(x) != x]
+    cids, n = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    sides, length = np.array([r[3] for r in rows]), np.array([len(r[2]) for r in rows])
+    near = np.zeros((len(rows), len(rows)), dtype=bool)
+    for wide in np.unique(length):
+        mine = np.flatnonzero(length == wide)
+        for theirs in (mine, np.flatnonzero(length == 2 * wide)):
+            if len(theirs) == 0:
+                continue
+            a, b = (signs([rows[i][2] for i in side], int(wide)) for side in (mine, theirs))
+            same = np.zeros((len(mine), len(theirs)), dtype=np.float32)
+            for k in range(0, int(wide), BLOCK // 8):
+                x, y = (2 * np.unpackbits(m[:, k : k + BLOCK // 8], axis=1).astype(np.float32) - 1 for m in (a, b))
+                same += x @ y.T
+            for i in range(0, len(mine), STRIP):
+                of = mine[i : i + STRIP]
+                na, nb = n[of][:, None], n[theirs][None, :]
+                close = 9 * (8 * wide - same[i : i + STRIP]) <= 2 * (na + nb)
+                close &= 5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)
+                if cross:
+                    close &= sides[of][:, None] != sides[theirs][None, :]
+                near[np.ix_(of, theirs)] |= close
+    near |= near.T
+    roots = least_labels(near, cids)
+    moved = np.flatnonzero(roots != cids)
+    return list(zip(cids[moved].tolist(), roots[moved].tolist(), strict=True))
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """``cid``, ``root`` of the candidates of each node or pair of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, group = None, []
+        out: list[tuple[int, int]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["cid", "root"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            for key, bi, bj, side, cid, n, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, bi, bj) != current:
+                    if len(group) > 1:
+                        out += candidates(group, current[1] != current[2])
+                    current, group = (key, bi, bj), []
+                group.append((cid, n, sketch, side))
+            yield batch_of()
+        if len(group) > 1:
+            out += candidates(group, current[1] != current[2])
+        yield batch_of()
+        released()
+
+    columns = ["key", "bi", "bj", "side", "cid", "n", "sketch"]
+    return rows.select(*columns).mapInArrow(run, "cid long, root long")
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many tokens each set of ``a`` shares with each set of ``b``."""
     if len(a) * len(b) <= 16:
@@ -249,13 +393,13 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def compared(key: int, rows: list[tuple], cross: bool) -> list[tuple[int, int, int]]:
-    """``(cid, root, links)`` for the sets of a leaf that have a partner in it.
+def compared(rows: list[tuple], cross: bool) -> list[tuple[int, int, int]]:
+    """``(cid, root, links)`` for the sets of a group or two of its blocks that have a partner there.
 
-    ``rows``: ``(cid, n, mult, tokens, keys, side)``; with ``cross`` only sets of different sides meet.
+    ``rows``: ``(cid, n, mult, tokens, side)``; with ``cross`` only sets of different sides meet.
     """
-    left = [r for r in rows if r[5] == 0] if cross else rows
-    right = [r for r in rows if r[5] == 1] if cross else rows
+    left = [r for r in rows if r[4] == 0] if cross else rows
+    right = [r for r in rows if r[4] == 1] if cross else rows
     if not left or not right:
         return []
     shared = overlaps([r[3] for r in left], [r[3] for r in right])
@@ -270,12 +414,9 @@ def compared(key: int, rows: list[tuple], cross: bool) -> list[tuple[int, int, i
         np.fill_diagonal(near, False)
     if not near.any():
         return []
-    lower = [np.array([k for k in r[4] if k < key], dtype=np.int64) for r in left]
-    upper = lower if not cross else [np.array([k for k in r[4] if k < key], dtype=np.int64) for r in right]
-    counted = near & ~(overlaps(lower, upper) > 0) if any(map(len, lower)) else near
     mult_a, mult_b = (np.array([r[2] for r in side], dtype=np.float64) for side in (left, right))
-    links_a = np.concatenate([counted[k] @ mult_b for k in strips])
-    links_b = sum(mult_a[k] @ counted[k] for k in strips)
+    links_a = np.concatenate([near[k] @ mult_b for k in strips])
+    links_b = sum(mult_a[k] @ near[k] for k in strips)
     # Everyone takes the least label next to it until nothing changes.
     roots_a, roots_b = (np.array([r[0] for r in side], dtype=np.int64) for side in (left, right))
     none = np.iinfo(np.int64).max
@@ -285,6 +426,8 @@ def compared(key: int, rows: list[tuple], cross: bool) -> list[tuple[int, int, i
             roots_a[k] = np.minimum(roots_a[k], np.where(near[k], roots_b[None, :], none).min(axis=1))
         for k in strips:
             roots_b = np.minimum(roots_b, np.where(near[k], roots_a[k, None], none).min(axis=0))
+        if not cross:
+            roots_a = roots_b = np.minimum(roots_a, roots_b)
         if np.array_equal(before[0], roots_a) and np.array_equal(before[1], roots_b):
             break
     out = [(r[0], int(x), int(round(n))) for r, x, n in zip(left, roots_a, links_a, strict=True)]
@@ -294,31 +437,37 @@ def compared(key: int, rows: list[tuple], cross: bool) -> list[tuple[int, int, i
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """Compare the sets of each leaf or pair of blocks; ``rows`` come together by ``leaf``, in order."""
+    """Compare the sets of each group or pair of its blocks: ``cid``, ``root``, ``links``, ``blocks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, group = None, []
+        out: list[tuple[int, int, int, int]] = []
 
-        def close(out: list) -> None:
+        def close() -> None:
             if len(group) > 1:
-                out += compared(current[0], group, current[1] != current[2])
+                _, bi, bj, blocks = current
+                out.extend((*found, blocks) for found in compared(group, bi != bj))
+
+        def batch_of() -> pa.RecordBatch:
+            names = ["cid", "root", "links", "blocks"]
+            done = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=names)
+            out.clear()
+            return done
 
         for batch in batches:
-            out: list[tuple] = []
-            for key, bi, bj, side, cid, n, mult, blob, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, bi, bj) != current:
-                    close(out)
-                    current, group = (key, bi, bj), []
-                group.append((cid, n, mult, np.frombuffer(blob, dtype=np.uint32), keys, side))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["cid", "root", "links"])
-        out = []
-        if current is not None:
-            close(out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["cid", "root", "links"])
+            for key, bi, bj, blocks, side, cid, n, mult, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, bi, bj, blocks) != current:
+                    close()
+                    current, group = (key, bi, bj, blocks), []
+                group.append((cid, n, mult, np.frombuffer(blob, dtype=np.uint32), side))
+            yield batch_of()
+        close()
+        yield batch_of()
         group.clear()
         released()
 
-    return rows.mapInArrow(run, "cid long, root long, links long")
+    columns = ["component", "bi", "bj", "blocks", "side", "cid", "n", "mult", "tokens"]
+    return rows.select(*columns).mapInArrow(run, "cid long, root long, links long, blocks long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -355,29 +504,25 @@ def near_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     which = ["n", "s1", "s2"]
     classes = stored(
         sets.groupBy(*which)
-        .agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("mult"))
+        .agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
         .withColumn("cid", F.monotonically_increasing_id())
         .withColumns({"_file": F.col("rep._file"), "_row": F.col("rep._row")})
     )
-    first = stored(
-        classes.where("n > 0").select("cid", "_file", "_row").join(sets.select("_file", "_row", "keys"), ["_file", "_row"]).select("cid", F.explode("keys").alias("key")).distinct()
-    )
-    leaves = leaves_of(first, sets, classes, miss)
-    listed = leaves.groupBy("cid").agg(F.collect_list(F.struct("key", "size")).alias("leaves"))
-    wanted = listed.join(classes.select("cid", "_file", "_row", "mult"), "cid")
-    held = sets.select("_file", "_row", "n", "tokens").join(small(wanted, BROADCAST_ROWS), ["_file", "_row"])
-    keys = F.transform("leaves", lambda x: x["key"])
-    spread = held.select("cid", "n", "mult", "tokens", keys.alias("keys"), F.inline("leaves")).withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select(
-        "key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "n", "mult", "tokens", "keys",
-    )
-    met = pairs.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    found = stored(linked(met))
+    first = classes.where("n > 0").select("cid", F.explode("keys").alias("key"))
+    leaves = leaves_of(first, sets, classes, miss).join(classes.select("cid", "n", "sketch"), "cid")
+    nodes = in_blocks(leaves.withColumn("blocks", F.ceil(F.col("size") / LEAF).cast("int")), "key")
+    groups = components(met(nodes))
+    weights = groups.join(classes.select("cid", "n", "mult", "_file", "_row"), "cid")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
+    wanted = weights.drop("n").join(weights.groupBy("component").agg(blocks.alias("blocks")), "component")
+    held = sets.select("_file", "_row", "n", "tokens").join(small(stored(wanted), BROADCAST_ROWS), ["_file", "_row"])
+    found = stored(linked(in_blocks(held, "component")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    joined = components(found.where("cid <> root").select("cid", "root"))
+    moved = found.where("cid <> root")
+    joined = (
+        moved.where("blocks = 1").select("cid", F.col("root").alias("component"))
+        .union(components(moved.where("blocks > 1").select("cid", "root")))
+    )
     whole = classes.select("cid", "mult", "rep", *which).join(links, "cid", "left").join(joined, "cid", "left")
     whole = stored(whole.withColumn("component", F.coalesce("component", "cid")))
     named = whole.groupBy("component").agg(F.min("rep").alias("head"))

@@ -261,8 +261,10 @@ def test_near_classes_equal_brute_force(docs, rows, none):
 
 
 def test_large_groups_of_near_copies(spark, monkeypatch):
-    """Nodes beyond the leaf size are split, and at the last level compared block by block."""
+    """Nodes beyond the leaf size are split, and at the last level compared block by block; so are groups."""
     monkeypatch.setattr(nearjoin, "LEAF", 16)
+    monkeypatch.setattr(nearjoin, "BLOCK_SETS", 16)
+    monkeypatch.setattr(nearjoin, "BLOCK_TOKENS", 1500)
     rng = random.Random(3)
     base, passage, rows = words(rng, 120), words(rng, 60), []
     for i in range(60):
@@ -292,32 +294,54 @@ def test_split_nodes_miss_no_more_than_allowed(spark, monkeypatch):
     assert sum(5 - r["n_links"] for r in got) <= 0.05 * 5 * len(rows)
 
 
-def test_leaves_and_pairs_of_blocks_agree():
-    """Links and roots of one leaf equal those summed over its two blocks and the pair of them."""
+def test_groups_and_pairs_of_blocks_agree():
+    """Links and roots of one group equal those summed over its two blocks and the pair of them."""
     rng = random.Random(11)
     base = np.array(sorted(rng.sample(range(10**6), 60)), dtype=np.uint32)
     rows = []
     for i in range(40):
         keep = np.array([x for x in base if rng.random() < 0.97], dtype=np.uint32)
-        rows.append((i, len(keep), 1 + i % 3, keep, [5, 9] if i % 4 else [3, 5, 9], 0))
-    whole = {c: (r, n) for c, r, n in nearjoin.compared(9, rows, False)}
-    a, b = rows[:20], [(*r[:5], 1) for r in rows[20:]]
-    parts = [*nearjoin.compared(9, a, False), *nearjoin.compared(9, b, False), *nearjoin.compared(9, a + b, True)]
-    sums = Counter()
-    for c, _, n in parts:
-        sums[c] += n
-    # All pairs share the lesser leaf 5, where they count.
-    assert not any(n for _, n in whole.values()) and not any(sums.values())
-    five = {c: n for c, _, n in nearjoin.compared(5, rows, False)}
-    parts = [*nearjoin.compared(5, a, False), *nearjoin.compared(5, b, False), *nearjoin.compared(5, a + b, True)]
+        rows.append((i, len(keep), 1 + i % 3, keep, 0))
+    whole = {c: (r, n) for c, r, n in nearjoin.compared(rows, False)}
+    a, b = rows[:20], [(*r[:4], 1) for r in rows[20:]]
+    parts = [*nearjoin.compared(rows[:20], False), *nearjoin.compared(rows[20:], False), *nearjoin.compared(a + b, True)]
     sums = Counter()
     for c, _, n in parts:
         sums[c] += n
     near = lambda x, y: 9 * len(np.intersect1d(x[3], y[3])) >= 4 * (x[1] + y[1])
     for x in rows:
-        want = sum(y[2] for y in rows if y[0] != x[0] and near(x, y) and not (3 in x[4] and 3 in y[4]))
-        assert five.get(x[0], 0) == sums[x[0]] == want
-    assert {r for _, r, _ in nearjoin.compared(5, rows, False)} == {0}
+        want = sum(y[2] for y in rows if y[0] != x[0] and near(x, y))
+        assert whole.get(x[0], (0, 0))[1] == sums[x[0]] == want
+    assert {r for r, _ in whole.values()} == {0}
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("cross", [False, True])
+def test_sketches_lose_no_link(monkeypatch, few, cross):
+    """Linked sets of sizes about a power of two are connected candidates; sets far apart are none."""
+    monkeypatch.setattr(nearjoin, "FEW", few)
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (20, 60, 130, 500, 540, 2000):
+        base = rng.choice(2**32, size, replace=False).astype(np.uint32)
+        for i in range(8):
+            new = rng.choice(2**32, rng.integers(0, size // 5 + 1), replace=False).astype(np.uint32)
+            sets.append(np.unique(np.concatenate([base[len(new) * (i % 2) :], new])))
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    n = np.array([len(x) for x in sets])
+    sketches = nearjoin.parity_sketches(np.concatenate(sets), owner, n)
+    assert [len(x) * 8 for x in sketches] == [max(64, 1 << (len(x) - 1).bit_length()) for x in sets]
+    rows = [(i, len(x), k, i % 2) for i, (x, k) in enumerate(zip(sets, sketches, strict=True))]
+    roots = dict(nearjoin.candidates(rows, cross))
+    links = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        shared = len(np.intersect1d(sets[i], sets[j]))
+        if 9 * shared >= 4 * (n[i] + n[j]) and not (cross and i % 2 == j % 2):
+            links += 1
+            assert roots.get(i, i) == roots.get(j, j)
+        if i // 8 != j // 8 and min(n[i], n[j]) > 64:
+            assert roots.get(i, i) != roots.get(j, j)
+    assert links > (20 if cross else 50)
 
 
 # Secrets
