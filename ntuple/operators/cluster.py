@@ -16,16 +16,17 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import constant
+from ..functions.expr import constant, let
 from ..functions.scalars import seeded_order
 from ..functions.joins import lookup_join
 from ..session import cut_lineage
 from .address import BitColumn, Mapping, random_mapping, tuple_addresses
-from .count_model import CountModel, Options
+from .count_model import DENSE_CELLS, CountModel, Options
 from .order import order_statistics
 from .regress import RegressionModel
 
@@ -195,11 +196,11 @@ def _scored(
 
 
 def _counted(assigned: DataFrame, tuples: dict, bits: str) -> DataFrame:
-    """Training: assigned rows ``(label, cluster, bits, y)`` to address counts and target sums."""
+    """Training: assigned patterns ``(label, cluster, bits, n, y)`` to address counts and target sums."""
     return (
-        _addressed(assigned, tuples, bits, ["label", "cluster", "y"])
+        _addressed(assigned, tuples, bits, ["label", "cluster", "n", "y"])
         .groupBy("label", "cluster", "ram_id", "address")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("sum_y"))
+        .agg(F.sum("n").alias("cnt"), F.sum("y").alias("sum_y"))
     )
 
 
@@ -233,13 +234,16 @@ def train_rounds(
     Per round every row of the slice is scored against the frozen model.  Similar rows train
     their clusters; of the rest, the first row of each group with room opens a cluster and
     the others are scored again; groups without room train their most similar cluster.
+
+    Rows are read once.  A score depends on group and bits only, so the equal rows of a slice are one
+    pattern with a number; the first row of a pattern may open a cluster, which the others then fit.
     """
     spark = df.sparkSession
     key = F.col(group).cast("string") if group else F.lit("")
     target = F.col(y).cast("double") if y else F.lit(None).cast("double")
-    rows = df.where(key.isNotNull()).select(
+    rows = cut_lineage(df.where(key.isNotNull()).select(
         F.col(order).cast("bigint").alias("_ord"), key.alias("label"), F.col(bits).alias("bits"), target.alias("y")
-    )
+    ))
     total = rows.count()
     ends = []
     size, reach = first_slice, 0
@@ -247,32 +251,193 @@ def train_rounds(
         reach = min(total, reach + size)
         ends.append(reach - 1)
         size *= 2
-    cuts = [int(s.value) for s in order_statistics(rows, [], "_ord", lambda _k, _n: ends)[()]] if total else []
-    tuples = start.tuples if start else cluster_tuples(entry_size, tuple_size, rule.limit, seed)
+    # The last slice has no end but that of the rows.
+    inner = ends[:-1]
+    cuts = [int(s.value) for s in order_statistics(rows, [], "_ord", lambda _k, _n: inner)[()]] if inner else []
+    tuples = cluster_tuples(entry_size, tuple_size, rule.limit, seed) | (start.tuples if start else {})
     table = start.table if start else spark.createDataFrame([], TABLE_SCHEMA)
     counts = start.counts if start else spark.createDataFrame([], COUNT_SCHEMA)
-    low = None
-    for cut in cuts:
-        pending = rows.where(F.col("_ord") <= cut)
-        if low is not None:
-            pending = pending.where(F.col("_ord") > low)
-        low = cut
+    patterns = cut_lineage(_patterns(rows, cuts), "_slice")
+    known = counts.select("label").union(patterns.select("label")).distinct()
+    most = DENSE_CELLS // sum(1 << len(t) for group_ in tuples.values() for t in group_)
+    groups = sorted(r["label"] for r in known.limit(most + 1).collect())
+    if len(groups) <= most:
+        model = DenseClusters(groups, tuples, rule)
+        model.add(table)
+        for number in range(len(ends)):
+            model.train(patterns.where(F.col("_slice") == number).drop("_slice"))
+        return ClusterModel(*model.tables(spark), tuples, entry_size, rule)
+    for number in range(len(ends)):
+        pending = patterns.where(F.col("_slice") == number).drop("_slice")
         while True:
             step = cut_lineage(_round(pending, table, counts, tuples, rule))
             assigned = step.where(F.col("cluster").isNotNull())
-            grown = assigned.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n"))
+            grown = assigned.groupBy("label", "cluster").agg(F.sum("n").alias("n"))
             counts = cut_lineage(
                 counts.unionByName(grown).groupBy("label", "cluster").agg(F.sum("n").alias("n"))
             )
             table = cut_lineage(_merged(table, _counted(assigned, tuples, "bits")))
-            pending = step.where(F.col("cluster").isNull()).select("_ord", "label", "bits", "y")
+            pending = step.where(F.col("cluster").isNull()).drop("cluster")
             if pending.isEmpty():
                 break
     return ClusterModel(table, counts, tuples, entry_size, rule)
 
 
+def _patterns(rows: DataFrame, cuts: list[int]) -> DataFrame:
+    """Equal rows of a slice: ``(_slice, label, bits, _ord, n, y, first_y)``, with the place and target of the
+    first of them.
+
+    Targets that are not finite are patterns of their own, so that a target can be taken off a sum.
+    """
+    number = sum(((F.col("_ord") > c).cast("int") for c in cuts), F.lit(0))
+    odd = F.when(~_finite("y"), F.col("y"))
+    return rows.groupBy(number.alias("_slice"), "label", "bits", odd.alias("_odd")).agg(
+        F.min("_ord").alias("_ord"),
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum("y"), F.lit(0.0)).alias("y"),
+        F.coalesce(F.min_by("y", "_ord"), F.lit(0.0)).alias("first_y"),
+    ).drop("_odd")
+
+
+def _finite(name: str) -> Column:
+    return F.coalesce(~F.isnan(name) & (F.abs(name) < float("inf")), F.lit(True))
+
+
+def _opened(cluster: Column, opens: Column) -> Column:
+    """``array<struct<cluster,n,y>>`` of a pattern without a cluster: its first row opens one, the others wait."""
+    rest = F.when(_finite("first_y"), F.col("y") - F.col("first_y")).otherwise(F.col("y"))
+    waiting = F.lit(None).cast("int")
+    split = F.array(_part(cluster, F.lit(1).cast("bigint"), F.col("first_y")), _part(waiting, F.col("n") - 1, rest))
+    return F.when(opens, F.filter(split, lambda p: p["n"] > 0)).otherwise(
+        F.array(_part(waiting, F.col("n"), F.col("y")))
+    )
+
+
+def _part(cluster: Column, n: Column, y: Column) -> Column:
+    return F.struct(cluster.cast("int").alias("cluster"), n.alias("n"), y.alias("y"))
+
+
+def _divided(rows: DataFrame, count: Column, opens: Column, rule: Rule) -> DataFrame:
+    """Patterns with ``fits`` and ``best`` by cluster; those to be scored again keep a null cluster."""
+    whole = lambda c: _part(c, F.col("n"), F.col("y"))
+    parts = (
+        F.when(F.coalesce(F.size("fits"), F.lit(0)) > 0, F.transform("fits", whole))
+        .when(count >= rule.limit, F.array(whole(F.col("best"))))
+        .otherwise(_opened(count, opens))
+    )
+    return rows.select("_ord", "label", "bits", "first_y", F.explode(parts).alias("_p")).select(
+        "_ord", "label", "bits", "first_y", "_p.cluster", "_p.n", "_p.y"
+    )
+
+
+class DenseClusters:
+    """Clusters of few groups: all cells, whose number follows from groups, limit and tuples, are arrays.
+
+    Patterns meet them by a broadcast; what comes back of a round are sums by cell.
+    """
+
+    def __init__(self, groups: list[str], tuples: dict[str, tuple], rule: Rule):
+        self.groups, self.tuples, self.rule = groups, tuples, rule
+        self.by_number = [group for _, group in sorted(tuples.items(), key=lambda kv: int(kv[0]))]
+        self.first = [np.cumsum([0] + [1 << len(t) for t in group]) for group in self.by_number]
+        shape = (len(groups), len(self.by_number), max((int(f[-1]) for f in self.first), default=0))
+        self.counts, self.sums = np.zeros(shape, np.int64), np.zeros(shape)
+
+    def sizes(self) -> list[list[int]]:
+        """Rows of the clusters of each group: what its first tuple counted."""
+        heads = [[int(self.counts[g, c, : f[1]].sum()) for c, f in enumerate(self.first)] for g in range(len(self.groups))]
+        return [[n for n in own if n] for own in heads]
+
+    def add(self, table: DataFrame) -> None:
+        found = table.select(*[f.split()[0] for f in TABLE_SCHEMA.split(", ")]).toArrow()
+        if not found.num_rows:
+            return
+        place = {lab: g for g, lab in enumerate(self.groups)}
+        group = np.array([place[lab] for lab in found["label"].to_pylist()])
+        cluster, ram, address, cnt, total = (found[i].to_numpy() for i in range(1, 6))
+        width = max(len(f) for f in self.first)
+        first = np.array([np.pad(f, (0, width - len(f))) for f in self.first])
+        np.add.at(self.counts, (group, cluster, first[cluster, ram] + address), cnt)
+        np.add.at(self.sums, (group, cluster, first[cluster, ram] + address), total)
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """Contents and counts, as :class:`ClusterModel` has them."""
+        group, cluster, slot = np.nonzero(self.counts)
+        ram = np.array([np.searchsorted(self.first[c], s, side="right") - 1 for c, s in zip(cluster, slot, strict=True)], np.int32)
+        begin = np.array([self.first[c][r] for c, r in zip(cluster, ram, strict=True)], np.int64)
+        names = pa.array([self.groups[g] for g in group], pa.string())
+        columns = [names, cluster.astype(np.int32), ram, slot - begin, self.counts[group, cluster, slot], self.sums[group, cluster, slot]]
+        table = pa.table(dict(zip([f.split()[0] for f in TABLE_SCHEMA.split(", ")], columns, strict=True)))
+        sizes = [(lab, c, n) for lab, own in zip(self.groups, self.sizes(), strict=True) for c, n in enumerate(own)]
+        made = spark.createDataFrame(table, TABLE_SCHEMA), spark.createDataFrame(sizes, COUNT_SCHEMA)
+        return cut_lineage(made[0]), cut_lineage(made[1])
+
+    def _judged(self, patterns: DataFrame) -> DataFrame:
+        """Add ``fits`` and ``best`` (clusters of the pattern's group) and ``k``, their number."""
+        sizes = self.sizes()
+        cells = [self.counts[g, : len(own)].tolist() for g, own in enumerate(sizes)]
+        types = {"label": pa.string(), "_sizes": pa.list_(pa.int64()), "_cells": pa.list_(pa.list_(pa.int64()))}
+        model = patterns.sparkSession.createDataFrame(
+            pa.table([pa.array(v, t) for v, t in zip((self.groups, sizes, cells), types.values(), strict=True)], names=list(types))
+        )
+        plan = constant(
+            [
+                [{"o": int(o), "p": [{"i": i, "w": 1 << j} for j, i in enumerate(tup)]} for o, tup in zip(first[:-1], group, strict=True)]
+                for first, group in zip(self.first, self.by_number, strict=True)
+            ],
+            "array<array<struct<o:bigint,p:array<struct<i:int,w:bigint>>>>>",
+        )
+
+        def slot(e: Column) -> Column:
+            return F.aggregate(
+                e["p"], e["o"], lambda acc, p: acc + F.coalesce(F.get("bits", p["i"]).cast("bigint") * p["w"], F.lit(0))
+            )
+
+        def score(votes: Column) -> Column:
+            top = F.array_max(votes)
+            total = F.aggregate(votes, F.lit(0).cast("bigint"), lambda a, v: a + v)
+            return F.when(top > 0, total / (top * F.size(votes))).otherwise(F.lit(0.0))
+
+        def judge(n: Column, c: Column) -> Column:
+            votes = let(F.get("_cells", c), lambda own: F.transform(F.get(plan, c), lambda e: F.get(own, slot(e).cast("int"))))
+            return let(
+                let(votes, score),
+                lambda s: F.struct(s.alias("s"), c.alias("c"), (s >= self.rule.needed(n)).alias("fits")),
+            )
+
+        judged = patterns.join(F.broadcast(model), "label").withColumn("_j", F.transform("_sizes", judge))
+        return judged.select(
+            *patterns.columns,
+            F.size("_sizes").alias("k"),
+            let(
+                F.col("_j"),
+                lambda js: F.struct(
+                    F.transform(F.filter(js, lambda j: j["fits"]), lambda j: j["c"]).alias("fits"),
+                    F.array_max(F.transform(js, lambda j: F.struct(j["s"], j["c"])))["c"].alias("best"),
+                ),
+            ).alias("_r"),
+        ).select(*patterns.columns, "k", "_r.fits", "_r.best")
+
+    def train(self, pending: DataFrame) -> None:
+        """All rounds of a slice."""
+        while True:
+            judged = self._judged(pending)
+            count, waiting = F.col("k"), []
+            if any(len(own) < self.rule.limit for own in self.sizes()):
+                judged = cut_lineage(judged)
+                none_fits = judged.where((F.size("fits") == 0) & (count < self.rule.limit))
+                waiting = none_fits.groupBy("label").agg(F.min("_ord").alias("o"), F.sum("n").alias("n")).collect()
+            places = constant([{"l": r["label"], "o": r["o"]} for r in waiting], "array<struct<l:string,o:bigint>>")
+            opens = F.array_contains(places, F.struct(F.col("label").alias("l"), F.col("_ord").alias("o")))
+            step = _divided(judged, count, opens, self.rule)
+            self.add(_counted(step.where(F.col("cluster").isNotNull()), self.tuples, "bits"))
+            if all(r["n"] == 1 for r in waiting):
+                return
+            pending = step.where(F.col("cluster").isNull()).drop("cluster")
+
+
 def _round(pending: DataFrame, table: DataFrame, known: DataFrame, tuples: dict, rule: Rule) -> DataFrame:
-    """Assign pending rows to clusters; rows to be scored again keep a null cluster.
+    """Assign pending patterns to clusters; patterns to be scored again keep a null cluster.
 
     The model and the cluster counts are checkpointed, so measuring them is cheap; they are
     broadcast only when they turn out small.
@@ -296,17 +461,9 @@ def _round(pending: DataFrame, table: DataFrame, known: DataFrame, tuples: dict,
         .groupBy("label")
         .agg(F.min("_ord").alias("_first"))
     )
-    placed = lookup_join(rows, first, ["label"], ["_ord"], measure=False).select(
-        "_ord",
-        "label",
-        "bits",
-        "y",
-        F.when(~none_fits, F.col("fits"))
-        .when(count >= rule.limit, F.array("best"))
-        .when(F.col("_ord") == F.col("_first"), F.array(count))
-        .alias("clusters"),
-    )
-    return placed.select("_ord", "label", "bits", "y", F.explode_outer("clusters").alias("cluster"))
+    placed = lookup_join(rows, first, ["label"], ["_ord"], measure=False)
+    opens = F.coalesce(F.col("_ord") == F.col("_first"), F.lit(False))
+    return _divided(placed, count, opens, rule)
 
 
 # -- row by row --------------------------------------------------------------
@@ -422,9 +579,9 @@ def train_semi_supervised(
         first_slice=first_slice,
     )
     rest = df.where(F.col(label).isNull()).select(order, bits)
-    guessed = model.classify(rest, bits).select(order, F.col("predicted").alias(label))
+    guessed = model.classify(rest, bits).select(order, bits, F.col("predicted").alias(label))
     return train_rounds(
-        rest.join(guessed, order), bits, entry_size, tuple_size, seed, order, label, rule=rule,
+        guessed, bits, entry_size, tuple_size, seed, order, label, rule=rule,
         first_slice=first_slice, start=model,
     )
 

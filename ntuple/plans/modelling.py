@@ -11,6 +11,7 @@ from ..operators import address, cluster, decide, encode, network, regress, tune
 from ..operators.bloom import BloomModel, HashFamily
 from ..operators.count_model import class_counts
 from ..operators.regress import RegressionModel
+from ..session import cut_lineage
 from . import sql, tables
 from .classifying import MODEL_ROWS, SEED, VECTOR_MAPPING, VECTOR_PREFIX, candidate_scores
 from .encoding import VECTOR_BITS
@@ -390,7 +391,7 @@ def train_clusters_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("classify_clusters_semi_supervised")
 def classify_clusters_semi_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the labelled ones train first, the others under the label they are given."""
-    docs = tables.documents(spark, sf_dir, labelled=False)
+    docs = cut_lineage(tables.documents(spark, sf_dir, labelled=False))
     encoder = encode.fit_linear(docs, "x", 8)
     rows = docs.select("row_id", "label", encoder.bits("x").alias("bits"))
     model = cluster.train_semi_supervised(rows, "bits", 32, 4, SEED, "row_id", rule=cluster.Rule(0.3, 200.0, 4), first_slice=250)

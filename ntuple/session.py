@@ -38,8 +38,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/ntuple/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once into the shared folder of the session and read it back."""
+def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` once into the shared folder of the session and read it back.
+
+    Filters on the column ``by`` read only the files that hold its values.
+    """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

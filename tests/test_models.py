@@ -358,3 +358,62 @@ def test_bloom_layer_bounds_and_pruning(spark):
     a = df.select(layer.responses(F.col("bits")).alias("r")).collect()
     b = df.select(small.responses(F.col("bits")).alias("r")).collect()
     assert [[r["r"][f] for f in keep] for r in a] == [r["r"] for r in b]
+
+
+def test_rounds_over_patterns_are_rounds_over_rows(spark, monkeypatch):
+    """Repeated rows are one pattern; arrays and joins give what rounds over single rows give."""
+    rng = random.Random(5)
+    kinds = [[rng.randrange(2) for _ in range(12)] for _ in range(9)]
+    rows = [(i, kinds[rng.randrange(9)], "ab"[rng.randrange(2)], float(rng.randrange(50))) for i in range(90)]
+    rows[3] = (*rows[3][:3], None)
+    rule, tuples = cluster.Rule(0.4, 12.0, 3), cluster.cluster_tuples(12, 4, 3, 2)
+    expected: dict = {}
+    for lab in "ab":
+        clusters: list = []
+        for low, high in ((0, 20), (20, 60), (60, 90)):
+            pending = [r for r in rows[low:high] if r[2] == lab]
+            while pending:
+                frozen = [([dict(cell) for cell in cells], n) for cells, n in clusters]
+                later, opened = [], False
+                for _, bits, _, y in pending:
+                    scores = []
+                    for c, (cells, _n) in enumerate(frozen):
+                        v = [cells[r].get(brute.address(bits, t), (0, 0))[0] for r, t in enumerate(tuples[str(c)])]
+                        scores.append(sum(v) / (max(v) * len(v)) if max(v) else 0.0)
+                    fits = [c for c, s in enumerate(scores) if s >= min(1.0, 0.4 + frozen[c][1] / 12.0)]
+                    if not fits and len(frozen) == rule.limit:
+                        fits = [max(range(rule.limit), key=lambda c: (scores[c], c))]
+                    if not fits and not opened:
+                        opened, fits = True, [len(clusters)]
+                        clusters.append(([{} for _ in tuples["0"]], 0))
+                    for c in fits:
+                        for r, t in enumerate(tuples[str(c)]):
+                            n, total = clusters[c][0][r].get(brute.address(bits, t), (0, 0.0))
+                            clusters[c][0][r][brute.address(bits, t)] = (n + 1, total + (y or 0.0))
+                        clusters[c] = (clusters[c][0], clusters[c][1] + 1)
+                    if not fits:
+                        later.append((0, bits, lab, y))
+                pending = later
+        expected |= {(lab, c): cells for c, (cells, _n) in enumerate(clusters)}
+    cells = {(lab, c, r, a): v for (lab, c), own in expected.items() for r, cell in enumerate(own) for a, v in cell.items()}
+    df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>, label string, y double")
+    for most in (cluster.DENSE_CELLS, 1):
+        monkeypatch.setattr(cluster, "DENSE_CELLS", most)
+        model = cluster.train_rounds(df, "bits", 12, 4, 2, "row_id", "label", "y", rule, 20)
+        got = {(r["label"], r["cluster"], r["ram_id"], r["address"]): (r["cnt"], r["sum_y"]) for r in model.table.collect()}
+        assert got == cells
+
+
+def test_rounds_read_their_rows_once(spark, tmp_path):
+    """However many rounds there are, what the rows come from is computed once."""
+    rows = make_rows(60, 18, 3, ("a", "b"))
+    read = spark.sparkContext.accumulator(0)
+
+    def bits(x):
+        read.add(1)
+        return x
+
+    df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>, label string, y double")
+    counted = df.withColumn("bits", F.udf(bits, "array<tinyint>")("bits"))
+    cluster.train_rounds(counted, "bits", 18, 5, 4, "row_id", "label", rule=RULE, first_slice=10)
+    assert read.value == 60
