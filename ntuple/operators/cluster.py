@@ -15,7 +15,6 @@ from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,6 +34,10 @@ ROW_BYTES = 96
 """Generous size of one row of a cluster table in memory."""
 GROUP_ROWS = 1_000_000
 """Most rows of one group that the row-by-row mode accepts."""
+PATTERNS = 100_000
+"""Patterns of bits that a task of the row-by-row mode remembers."""
+CELLS_AT_ONCE = 100_000
+"""Cells of groups that are done, which it hands on together."""
 
 
 @dataclass(frozen=True)
@@ -478,44 +481,37 @@ class Leaders:
         self.sums: list[dict] = []
         self.sizes: list[int] = []
 
-    def score(self, c: int, addresses: np.ndarray) -> float:
-        votes = [self.counts[c].get((r, int(a)), 0) for r, a in enumerate(addresses[c])]
-        top = max(votes)
-        return sum(votes) / (top * self.n_rams) if top > 0 else 0.0
-
-    def add(self, c: int, addresses: np.ndarray, y: float) -> None:
-        for r, a in enumerate(addresses[c]):
-            key = (r, int(a))
-            self.counts[c][key] = self.counts[c].get(key, 0) + 1
-            self.sums[c][key] = self.sums[c].get(key, 0.0) + y
-        self.sizes[c] += 1
-
     def train(self, addresses: np.ndarray, y: float = 0.0) -> list[int]:
         """``addresses[cluster number][tuple]`` of one row; returns the clusters it trained."""
-        scores = [self.score(c, addresses) for c in range(len(self.sizes))]
-        fits = [
-            c
-            for c, s in enumerate(scores)
-            if s >= min(1.0, self.rule.min_score + self.sizes[c] / self.rule.threshold)
-        ]
-        if not fits and len(self.sizes) < self.rule.limit:
-            fits = [len(self.sizes)]
+        return self.train_cells([[(r, int(a)) for r, a in enumerate(own)] for own in addresses], y)
+
+    def train_cells(self, cells: list[list[tuple[int, int]]], y: float = 0.0) -> list[int]:
+        """The same for ``(tuple, address)`` by cluster number."""
+        rule, sizes = self.rule, self.sizes
+        fits, best, most = [], -1, -1.0
+        for c, own in enumerate(self.counts):
+            votes = [own.get(k, 0) for k in cells[c]]
+            top = max(votes)
+            score = sum(votes) / (top * self.n_rams) if top > 0 else 0.0
+            if score >= min(1.0, rule.min_score + sizes[c] / rule.threshold):
+                fits.append(c)
+            if score >= most:
+                best, most = c, score
+        if not fits and len(sizes) < rule.limit:
+            fits = [len(sizes)]
             self.counts.append({})
             self.sums.append({})
-            self.sizes.append(0)
+            sizes.append(0)
         if not fits:
-            fits = [max(range(len(scores)), key=lambda c: (scores[c], c))]
+            fits = [best]
         for c in fits:
-            self.add(c, addresses, y)
+            counts, sums = self.counts[c], self.sums[c]
+            for k in cells[c]:
+                counts[k] = counts.get(k, 0) + 1
+                sums[k] = sums.get(k, 0.0) + y
+            sizes[c] += 1
         return fits
 
-    def rows(self) -> list[tuple[int, int, int, int, float]]:
-        return [
-            (c, r, a, n, self.sums[c][(r, a)])
-            for c, cells in enumerate(self.counts)
-            for (r, a), n in cells.items()
-        ]
-
 
 def all_addresses(tuples: dict[str, tuple], bits: str) -> Column:
     """Addresses of a row under every cluster number: ``array<array<bigint>>``."""
@@ -524,6 +520,54 @@ def all_addresses(tuples: dict[str, tuple], bits: str) -> Column:
     return F.array(*[tuple_addresses(mapping, BitColumn(bits), g) for g in groups])
 
 
+class PatternCells:
+    """Cells ``(tuple, address)`` of a row under every cluster number, computed once for each pattern of bits."""
+
+    def __init__(self, tuples: dict[str, tuple]):
+        self.groups = [tuples[c] for c in sorted(tuples, key=int)]
+        self.known: dict[bytes, list] = {}
+
+    def of(self, pattern: bytes) -> list[list[tuple[int, int]]]:
+        found = self.known.get(pattern)
+        if found is None:
+            if len(self.known) >= PATTERNS:
+                self.known.clear()
+            bits = np.frombuffer(pattern, np.int32).tolist()
+            if max((i for group in self.groups for tup in group for i in tup), default=-1) >= len(bits):
+                raise ValueError("a row has fewer bits than the mapping refers to")
+            found = [[(r, sum(bits[i] << j for j, i in enumerate(tup))) for r, tup in enumerate(group)] for group in self.groups]
+            self.known[pattern] = found
+        return found
+
+
+CLUSTER_SCHEMA = "label string, cluster int, size bigint, ram_id array<int>, address array<bigint>, cnt array<bigint>, sum_y array<double>"
+
+
+class ClusterRows:
+    """A row for each cluster of the groups that are done, as Arrow batches of :data:`CLUSTER_SCHEMA`."""
+
+    def __init__(self) -> None:
+        self.heads: list[tuple] = []
+        self.ends, self.cells, self.sums = [0], [], []
+
+    def add(self, label: str, leaders: Leaders) -> None:
+        for c, own in enumerate(leaders.counts):
+            self.heads.append((label, c, leaders.sizes[c]))
+            self.cells.extend([(r, a, n) for (r, a), n in own.items()])
+            self.sums.extend([leaders.sums[c][k] for k in own])
+            self.ends.append(len(self.cells))
+
+    def batch(self) -> pa.RecordBatch:
+        heads = list(zip(*self.heads, strict=True)) or [(), (), ()]
+        cells = list(zip(*self.cells, strict=True)) or [(), (), ()]
+        types = (pa.string(), pa.int32(), pa.int64()), (pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        ends = pa.array(self.ends, pa.int32())
+        columns = [pa.array(h, t) for h, t in zip(heads, types[0], strict=True)]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in zip([*cells, self.sums], types[1], strict=True)]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in CLUSTER_SCHEMA.split(", ")])
+
+
 def train_sequential(
     df: DataFrame,
     bits: str,
@@ -537,8 +581,9 @@ def train_sequential(
 ) -> ClusterModel:
     """Row-by-row clusters; parallelism is the number of groups, group sizes are checked.
 
-    Groups stream through their task in order, batch by batch.  Use :func:`train_rounds`
-    for groups beyond ``GROUP_ROWS``.
+    Groups stream through the tasks one after another, in order, batch by batch; a group needs no call of
+    its own, and a pattern of bits is taken apart once.  Use :func:`train_rounds` for groups beyond
+    ``GROUP_ROWS``.
     """
     tuples = cluster_tuples(entry_size, tuple_size, rule.limit, seed)
     n_rams = len(tuples["0"])
@@ -546,27 +591,42 @@ def train_sequential(
     rows = df.where(key.isNotNull()).select(
         key.alias("label"),
         F.col(order).alias("_ord"),
-        all_addresses(tuples, bits).alias("a"),
+        F.col(bits).cast("array<int>").alias("bits"),
         (F.col(y).cast("double") if y else F.lit(0.0)).alias("y"),
     )
     largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     if largest > GROUP_ROWS:
         raise ValueError(f"a group has {largest} rows; use train_rounds")
 
-    def run(keys: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders = Leaders(rule, n_rams)
-        for pdf in batches:
-            for a, target in zip(pdf["a"], pdf["y"], strict=True):
-                leaders.train(a, target)
-        out = pd.DataFrame(leaders.rows(), columns=["cluster", "ram_id", "address", "cnt", "sum_y"])
-        out.insert(0, "label", keys[0])
-        out["size"] = [leaders.sizes[c] for c in out["cluster"]]
-        yield out
-
-    ordered = rows.repartition("label").sortWithinPartitions("label", "_ord")
-    table = cut_lineage(ordered.groupBy("label").applyInPandas(run, TABLE_SCHEMA + ", size bigint"))
-    counts = table.select("label", "cluster", F.col("size").alias("n")).distinct()
-    return ClusterModel(table.drop("size"), counts, tuples, entry_size, rule)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, done, current, leaders = PatternCells(tuples), ClusterRows(), None, None
+        for batch in batches:
+            labels, held = batch.column(0).to_pylist(), batch.column(1)
+            if held.null_count or held.flatten().null_count:
+                raise ValueError("a row has fewer bits than the mapping refers to")
+            ends = held.offsets.to_numpy() * 4
+            raw = held.values.to_numpy().tobytes()
+            targets = batch.column(2).to_numpy(zero_copy_only=False).tolist()
+            for label, begin, end, target in zip(labels, ends[:-1].tolist(), ends[1:].tolist(), targets, strict=True):
+                if label != current:
+                    if leaders is not None:
+                        done.add(current, leaders)
+                    if len(done.cells) >= CELLS_AT_ONCE:
+                        yield done.batch()
+                    current, leaders = label, Leaders(rule, n_rams)
+                leaders.train_cells(cells.of(raw[begin:end]), target)
+        if leaders is not None:
+            done.add(current, leaders)
+            yield done.batch()
+
+    # A given number of partitions is not merged by size: rows are few bytes and much work.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "label").sortWithinPartitions("label", "_ord").select("label", "bits", "y")
+    made = cut_lineage(ordered.mapInArrow(run, CLUSTER_SCHEMA))
+    cells = F.explode(F.arrays_zip("ram_id", "address", "cnt", "sum_y")).alias("_c")
+    table = made.select("label", "cluster", cells).select("label", "cluster", "_c.*")
+    counts = made.select("label", "cluster", F.col("size").alias("n"))
+    return ClusterModel(table, counts, tuples, entry_size, rule)
 
 
 def train_semi_supervised(

@@ -417,3 +417,34 @@ def test_rounds_read_their_rows_once(spark, tmp_path):
     counted = df.withColumn("bits", F.udf(bits, "array<tinyint>")("bits"))
     cluster.train_rounds(counted, "bits", 18, 5, 4, "row_id", "label", rule=RULE, first_slice=10)
     assert read.value == 60
+
+
+def test_sequential_groups_share_their_tasks(spark, monkeypatch):
+    """Many small groups, cut by Arrow batches and by the batches of results, stay apart; no call for each group."""
+    monkeypatch.setattr(cluster, "CELLS_AT_ONCE", 40)
+    monkeypatch.setattr(cluster, "PATTERNS", 3)
+    rows = [(i, bits, f"g{i * 7 % 23}", y) for i, bits, _, y in make_rows(400, 18, 6)]
+    df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>, label string, y double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    model = cluster.train_sequential(df.repartition(3), "bits", 18, 5, 4, "row_id", "label", "y", RULE)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in model.counts._jdf.queryExecution().toString()
+    expected, sizes = {}, {}
+    for lab in {r[2] for r in rows}:
+        mine = [(bits, y) for _, bits, g, y in rows if g == lab]
+        _, clusters = brute.leaders(mine, [model.tuples[str(c)] for c in range(RULE.limit)], RULE)
+        expected |= {(lab, c): (n, cells) for c, (cells, n) in enumerate(clusters)}
+    assert model.sizes == {k: n for k, (n, _) in expected.items()}
+    assert contents(model) == plain(expected)
+    with pytest.raises(Exception, match="fewer bits"):
+        cluster.train_sequential(df.withColumn("bits", F.slice("bits", 1, 9)), "bits", 18, 5, 4, "row_id", "label", "y", RULE).counts.count()
+
+
+def test_sequential_trains_patterns_that_were_taken_apart_before():
+    """A pattern of bits is taken apart once, however many rows have it."""
+    cells = cluster.PatternCells(cluster.cluster_tuples(6, 2, 2, 1))
+    pattern = b"".join(int(b).to_bytes(4, "little") for b in (1, 0, 1, 1, 0, 0))
+    assert cells.of(pattern) is cells.of(pattern)
+    assert [[a for _, a in own] for own in cells.of(pattern)] == [
+        [brute.address((1, 0, 1, 1, 0, 0), t) for t in group] for group in cells.groups
+    ]
