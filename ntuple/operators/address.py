@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import bit, constant, let
 from ..functions.scalars import md5_hex, md5_int, seeded_order
 
+COMPILED_BITS = 64
+"""Most bits of an array that is built without a loop."""
 SHARED = ""
 """Mapping key that stands for every label."""
 
@@ -350,7 +352,9 @@ class ThresholdBits:
         return bit(hit).cast("bigint")
 
     def bits(self) -> Column:
-        """The bit array itself."""
+        """The bit array itself; few bits are compiled comparisons, many a loop over a constant."""
+        if len(self.specs) <= COMPILED_BITS:
+            return F.array(*[self.digit({"f": F.lit(f), "t": F.lit(t)}).cast("tinyint") for f, t in self.specs])
         specs = constant(
             [{"f": f, "t": t} for f, t in self.specs], "array<struct<f:int,t:double>>"
         )

@@ -34,6 +34,8 @@ ROW_BYTES = 96
 """Generous size of one row of a cluster table in memory."""
 GROUP_ROWS = 1_000_000
 """Most rows of one group that the row-by-row mode accepts."""
+GROUP_CELLS = 1 << 12
+"""Most cells of a group that are looked through as one row."""
 PATTERNS = 100_000
 """Patterns of bits that a task of the row-by-row mode remembers."""
 CELLS_AT_ONCE = 100_000
@@ -119,22 +121,73 @@ class ClusterModel:
         ``group`` names the column with the group of a row; without it there is one group.
         """
         key = F.col(group).cast("string") if group else F.lit("")
-        rows = _own_clusters(df.withColumn("label", key), self.counts, [row_id], bits)
-        looked = _looked_up(rows, self.table, self.tuples, bits, [row_id, "label", "cluster"])
-        per = looked.groupBy(row_id, "cluster").agg(
+        rows = df.select(row_id, key.alias("label"), _pattern(bits))
+        patterns = rows.select("label", "_bits").distinct()
+        per = self._votes(patterns).groupBy("label", "_bits", "cluster").agg(
             _similarity().alias("score"), mean(F.col("cnt"), F.col("sum_y")).alias("value")
         )
-        best = per.groupBy(row_id).agg(
+        best = per.groupBy("label", "_bits").agg(
             F.max_by(
                 F.struct("score", "value"), F.struct("score", (-F.col("cluster")).alias("o"))
             ).alias("b")
         )
-        return best.select(
-            row_id,
+        found = cut_lineage(best.select(
+            "label",
+            "_bits",
             F.when(F.col("b.score") > 0, F.col("b.value")).otherwise(F.lit(0.0)).alias("prediction"),
+        ))
+        size = found.count() * (ROW_BYTES + self.entry_size)
+        return lookup_join(rows, found, ["label", "_bits"], [row_id], size, how="inner").select(row_id, "prediction")
+
+    def _votes(self, patterns: DataFrame) -> DataFrame:
+        """``(label, _bits, cluster, ram_id, cnt, sum_y)`` of patterns ``(label, _bits)``, a row for each tuple of
+        their group's clusters.
+
+        If a group has few possible cells, all of them are one row, which patterns meet by their group; else
+        every address is looked up for itself.
+        """
+        cells = sum(1 << len(t) for group in self.tuples.values() for t in group)
+        if cells > GROUP_CELLS:
+            fanned = _own_clusters(patterns, self.counts, ["_bits"], "_bits")
+            return _looked_up(fanned, self.table, self.tuples, "_bits", ["_bits", "label", "cluster"])
+        first, plan = 0, []
+        for c, group in sorted(((int(c), group) for c, group in self.tuples.items())):
+            for r, tup in enumerate(group):
+                plan.append({"c": c, "r": r, "o": first, "p": [{"i": i, "w": 1 << j} for j, i in enumerate(tup)]})
+                first += 1 << len(tup)
+        places = constant(plan, "array<struct<c:int,r:int,o:bigint,p:array<struct<i:int,w:bigint>>>>")
+        n_rams = len(self.tuples["0"])
+        offsets = constant([e["o"] for e in plan], "array<bigint>")
+        slot = F.get(offsets, F.col("cluster") * n_rams + F.col("ram_id")) + F.col("address")
+        packed = self.table.groupBy("label").agg(
+            F.map_from_entries(F.collect_list(F.struct(slot.alias("k"), F.struct("cnt", "sum_y").alias("v")))).alias("_cells"),
+            F.max("cluster").alias("_last"),
+        )
+
+        def vote(e: Column) -> Column:
+            place = F.aggregate(
+                e["p"], e["o"], lambda acc, p: acc + F.coalesce(F.get("_bits", p["i"]).cast("bigint") * p["w"], F.lit(0))
+            )
+            return F.struct(e["c"].alias("cluster"), e["r"].alias("ram_id"), F.element_at("_cells", place).alias("v"))
+
+        met = lookup_join(patterns, packed, ["label"], ["_bits"], how="inner")
+        own = F.filter(places, lambda e: e["c"] <= F.col("_last"))
+        votes = met.select("label", "_bits", F.explode(F.transform(own, vote)).alias("_v"))
+        return votes.select(
+            "label",
+            "_bits",
+            "_v.cluster",
+            "_v.ram_id",
+            F.coalesce("_v.v.cnt", F.lit(0)).alias("cnt"),
+            F.coalesce("_v.v.sum_y", F.lit(0.0)).alias("sum_y"),
         )
 
 
+def _pattern(bits: str) -> Column:
+    """Bits as a join key: a row without any is like one with none."""
+    return F.coalesce(bits, F.array().cast("array<tinyint>")).alias("_bits")
+
+
 def cluster_tuples(entry_size: int, tuple_size: int, limit: int, seed: int) -> dict[str, tuple]:
     """A mapping for every cluster number, shared by the groups."""
     mapping = random_mapping(entry_size, tuple_size, seed, [str(c) for c in range(limit)])
@@ -238,15 +291,15 @@ def train_rounds(
     their clusters; of the rest, the first row of each group with room opens a cluster and
     the others are scored again; groups without room train their most similar cluster.
 
-    Rows are read once.  A score depends on group and bits only, so the equal rows of a slice are one
+    Bits and targets are computed once, order and group before that for the slices.  A score depends on group and bits only, so the equal rows of a slice are one
     pattern with a number; the first row of a pattern may open a cluster, which the others then fit.
     """
     spark = df.sparkSession
     key = F.col(group).cast("string") if group else F.lit("")
     target = F.col(y).cast("double") if y else F.lit(None).cast("double")
-    rows = cut_lineage(df.where(key.isNotNull()).select(
+    rows = df.where(key.isNotNull()).select(
         F.col(order).cast("bigint").alias("_ord"), key.alias("label"), F.col(bits).alias("bits"), target.alias("y")
-    ))
+    )
     total = rows.count()
     ends = []
     size, reach = first_slice, 0
@@ -639,7 +692,7 @@ def train_semi_supervised(
         first_slice=first_slice,
     )
     rest = df.where(F.col(label).isNull()).select(order, bits)
-    guessed = model.classify(rest, bits).select(order, bits, F.col("predicted").alias(label))
+    guessed = cut_lineage(model.classify(rest, bits).select(order, bits, F.col("predicted").alias(label)))
     return train_rounds(
         guessed, bits, entry_size, tuple_size, seed, order, label, rule=rule,
         first_slice=first_slice, start=model,

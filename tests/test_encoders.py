@@ -184,3 +184,16 @@ def test_multi_resolution_cuts(entry, size):
     for i in range(max(-missing, 0)):
         wanted[-1 - i % count] += 1
     assert found == wanted
+
+
+def test_compiled_bits_are_the_bits_of_the_loop(spark, monkeypatch):
+    from ntuple.operators import address
+
+    df = spark.createDataFrame([(i, [x, None, float("nan")]) for i, x in enumerate((-1.0, 0.5, 2.0, None))], "i int, x array<double>")
+    bits = address.ThresholdBits("x", ((0, 0.5), (1, 0.0), (2, 1.0), (0, 1.5), (7, 0.0)))
+    compiled = df.select("i", bits.bits().alias("b"))
+    assert "transform" not in compiled._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(address, "COMPILED_BITS", 0)
+    looped = df.select("i", bits.bits().alias("b"))
+    assert compiled.schema["b"].dataType == looped.schema["b"].dataType
+    assert sorted(compiled.collect()) == sorted(looped.collect())

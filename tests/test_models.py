@@ -448,3 +448,32 @@ def test_sequential_trains_patterns_that_were_taken_apart_before():
     assert [[a for _, a in own] for own in cells.of(pattern)] == [
         [brute.address((1, 0, 1, 1, 0, 0), t) for t in group] for group in cells.groups
     ]
+
+
+def test_predictions_meet_each_pattern_once(spark, monkeypatch):
+    """Equal rows are predicted together, whether a group's cells are one row or looked up singly."""
+    rows = [(i, bits, f"g{i % 3}", y) for i, bits, _, y in make_rows(60, 18, 12)]
+    rows += [(100 + i, *r[1:]) for i, r in enumerate(rows * 3)] + [(900, rows[0][1], "new", 0.0), (901, None, "g0", 0.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>, label string, y double")
+    model = cluster.train_sequential(df.where("row_id < 60"), "bits", 18, 5, 4, "row_id", "label", "y", RULE)
+    tuples = [model.tuples[str(c)] for c in range(RULE.limit)]
+    expected = {}
+    for lab in ("g0", "g1", "g2"):
+        _, clusters = brute.leaders([(b, y) for i, b, g, y in rows if g == lab and i < 60], tuples, RULE)
+        for i, bits, _, _ in (r for r in rows if r[2] == lab):
+            best = None
+            for c, (cells, _n) in enumerate(clusters):
+                v = [cells[r].get(brute.address(bits or [0] * 18, t), (0, 0.0)) for r, t in enumerate(tuples[c])]
+                top, n = max(x for x, _ in v), sum(x for x, _ in v)
+                score = n / (top * len(v)) if top else 0.0
+                if best is None or score > best[0]:
+                    best = (score, sum(s for _, s in v) / n if n else 0.0)
+            expected[i] = pytest.approx(best[1] if best[0] > 0 else 0.0)
+    seen = []
+    votes = cluster.ClusterModel._votes
+    monkeypatch.setattr(cluster.ClusterModel, "_votes", lambda m, p: seen.append(p.count()) or votes(m, p))
+    for most in (cluster.GROUP_CELLS, 1):
+        monkeypatch.setattr(cluster, "GROUP_CELLS", most)
+        found = model.predict(df, "bits", "row_id", regress.ratio_mean, "label").collect()
+        assert len(found) == len(expected) and {r["row_id"]: r["prediction"] for r in found} == expected
+    assert max(seen) <= 62
