@@ -17,7 +17,7 @@ SKETCHED = 10_000
 """Keys that the sketch of frequent keys follows; its counts are off by less than a part."""
 
 
-def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _heavy(rows: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
     """``_h`` (hash of the keys) and ``_copies`` for keys with more than one of :data:`PARTS` parts of the rows.
 
     One pass with a mergeable sketch, nothing is shuffled but the sketches; at most :data:`PARTS` keys result.
@@ -28,7 +28,12 @@ def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     row = found.first()
     part = max(row["n"] / PARTS, 1.0)
     listed = [(t["item"], min(PARTS, math.ceil(t["count"] / part))) for t in row["top"] or []]
-    return rows.sparkSession.createDataFrame([x for x in listed if x[1] > 1], "_h bigint, _copies int")
+    return [x for x in listed if x[1] > 1]
+
+
+def heavy_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``_h`` and ``_copies`` of :func:`_heavy` as a table."""
+    return rows.sparkSession.createDataFrame(_heavy(rows, keys), "_h bigint, _copies int")
 
 
 def lookup_join(
@@ -56,10 +61,19 @@ def lookup_join(
         copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         salted = rows.withColumn("_salt", F.pmod(of_row, F.lit(SALT)).cast("int"))
         return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-    heavy = heavy_keys(rows, keys)
-    if heavy.isEmpty():
-        return rows.join(table, keys, how)
-    heavy = F.broadcast(heavy)
+    salted, copies, salted_keys = dealt(rows, table, keys, row_keys)
+    return salted.join(copies, salted_keys, how).drop("_salt")
+
+
+def dealt(
+    rows: DataFrame, table: DataFrame, keys: list[str], row_keys: list[str] | None = None
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and table with the keys by which they meet, no key of which has many rows: heavy keys get a salt."""
+    of_row = F.xxhash64(*row_keys) if row_keys else F.spark_partition_id()
+    found = _heavy(rows, keys)
+    if not found:
+        return rows, table, keys
+    heavy = F.broadcast(rows.sparkSession.createDataFrame(found, "_h bigint, _copies int"))
     often = F.coalesce(F.col("_copies"), F.lit(1))
     salted = (
         rows.withColumn("_h", F.xxhash64(*keys))
@@ -73,7 +87,7 @@ def lookup_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), often - 1)))
         .drop("_h", "_copies")
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted, copies, [*keys, "_salt"]
 
 
 SMALL_ROWS = 250_000

@@ -10,24 +10,25 @@ the row-by-row rule itself with one ordered task per group and a checked group s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import constant, let
 from ..functions.scalars import seeded_order
-from ..functions.joins import lookup_join
+from ..functions.joins import dealt, lookup_join
 from ..session import cut_lineage
 from .address import BitColumn, Mapping, random_mapping, tuple_addresses
 from .count_model import DENSE_CELLS, CountModel, Options
 from .order import order_statistics
-from .regress import RegressionModel
+from .regress import RegressionModel, by_arrays
 
 SEPARATOR = "::"
 ROW_BYTES = 96
@@ -38,6 +39,12 @@ GROUP_CELLS = 1 << 12
 """Most cells of a group that are looked through as one row."""
 PATTERNS = 100_000
 """Patterns of bits that a task of the row-by-row mode remembers."""
+ROWS_AT_ONCE = 100_000
+"""Rows of whole groups that the row-by-row mode takes at a time."""
+LANES = 8
+"""Fewest groups that are worth a step together."""
+CELLS_IN_STEP = 1 << 22
+"""Cells of the groups that are trained in step."""
 CELLS_AT_ONCE = 100_000
 """Cells of groups that are done, which it hands on together."""
 
@@ -118,10 +125,15 @@ class ClusterModel:
     def predict(self, df: DataFrame, bits: str, row_id: str, mean, group: str | None = None) -> DataFrame:
         """Regression: the prediction of the most similar cluster, 0 when none is similar.
 
-        ``group`` names the column with the group of a row; without it there is one group.
+        ``group`` names the column with the group of a row; without it there is one group.  Rows of many
+        groups seldom repeat: where a group has few possible cells and the mean has a form for arrays, they
+        are sorted to the cells of their group and judged there.  Else equal rows are one pattern.
         """
         key = F.col(group).cast("string") if group else F.lit("")
         rows = df.select(row_id, key.alias("label"), _pattern(bits))
+        of_votes = by_arrays(mean)
+        if group and of_votes and self._cells <= GROUP_CELLS:
+            return self._judged(rows, row_id, of_votes)
         patterns = rows.select("label", "_bits").distinct()
         per = self._votes(patterns).groupBy("label", "_bits", "cluster").agg(
             _similarity().alias("score"), mean(F.col("cnt"), F.col("sum_y")).alias("value")
@@ -139,6 +151,52 @@ class ClusterModel:
         size = found.count() * (ROW_BYTES + self.entry_size)
         return lookup_join(rows, found, ["label", "_bits"], [row_id], size, how="inner").select(row_id, "prediction")
 
+    @property
+    def _cells(self) -> int:
+        """Possible cells of a group."""
+        return sum(1 << len(t) for group in self.tuples.values() for t in group)
+
+    def _places(self) -> tuple[list[list[dict]], Column]:
+        """For each tuple of each cluster the first of its cells among those of a group and the weights of its
+        bits; and the place of a row of the table."""
+        first, plan = 0, []
+        for _, group in sorted(self.tuples.items(), key=lambda kv: int(kv[0])):
+            plan.append([])
+            for tup in group:
+                plan[-1].append({"o": first, "p": [{"i": i, "w": 1 << j} for j, i in enumerate(tup)]})
+                first += 1 << len(tup)
+        offsets = constant([[e["o"] for e in own] for own in plan], "array<array<bigint>>")
+        return plan, F.get(F.get(offsets, F.col("cluster")), F.col("ram_id")) + F.col("address")
+
+    def _judged(self, rows: DataFrame, row_id: str, of_votes) -> DataFrame:
+        """``(row_id, prediction)`` of rows ``(row_id, label, _bits)``, each judged beside the cells of its group.
+
+        The cells of a group are one row, which comes before the rows of the group; those of a heavy group
+        come before each of its parts.
+        """
+        plan, place = self._places()
+        entry = F.struct(place.alias("k"), F.col("cnt").alias("cnt"), F.col("sum_y").alias("sum_y"))
+        packed = self.table.groupBy("label").agg(
+            F.array_sort(F.collect_list(entry)).alias("_e"), (F.max("cluster") + 1).alias("_n")
+        )
+        salted, copies, keys = dealt(rows, packed, ["label"], [row_id])
+        both = copies.select(*keys, "_n", "_e.k", "_e.cnt", "_e.sum_y").unionByName(
+            salted.select(*keys, row_id, F.transform("_bits", lambda b: b.cast("tinyint")).alias("_bits")), True
+        )
+        # A given number of partitions is not merged by size.
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        beside = both.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_n").isNull())
+        judge = GroupJudge(plan, of_votes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = None
+            for batch in batches:
+                known, own, values = judge.of(batch, known)
+                yield pa.RecordBatch.from_arrays([batch.column(row_id).take(own), pa.array(values)], names=[row_id, "prediction"])
+
+        schema = rows.select(row_id, F.lit(0.0).alias("prediction")).schema
+        return beside.select("label", "_n", "k", "cnt", "sum_y", row_id, "_bits").mapInArrow(run, schema)
+
     def _votes(self, patterns: DataFrame) -> DataFrame:
         """``(label, _bits, cluster, ram_id, cnt, sum_y)`` of patterns ``(label, _bits)``, a row for each tuple of
         their group's clusters.
@@ -146,19 +204,14 @@ class ClusterModel:
         If a group has few possible cells, all of them are one row, which patterns meet by their group; else
         every address is looked up for itself.
         """
-        cells = sum(1 << len(t) for group in self.tuples.values() for t in group)
-        if cells > GROUP_CELLS:
+        if self._cells > GROUP_CELLS:
             fanned = _own_clusters(patterns, self.counts, ["_bits"], "_bits")
             return _looked_up(fanned, self.table, self.tuples, "_bits", ["_bits", "label", "cluster"])
-        first, plan = 0, []
-        for c, group in sorted(((int(c), group) for c, group in self.tuples.items())):
-            for r, tup in enumerate(group):
-                plan.append({"c": c, "r": r, "o": first, "p": [{"i": i, "w": 1 << j} for j, i in enumerate(tup)]})
-                first += 1 << len(tup)
-        places = constant(plan, "array<struct<c:int,r:int,o:bigint,p:array<struct<i:int,w:bigint>>>>")
-        n_rams = len(self.tuples["0"])
-        offsets = constant([e["o"] for e in plan], "array<bigint>")
-        slot = F.get(offsets, F.col("cluster") * n_rams + F.col("ram_id")) + F.col("address")
+        plan, slot = self._places()
+        places = constant(
+            [{"c": c, "r": r} | e for c, own in enumerate(plan) for r, e in enumerate(own)],
+            "array<struct<c:int,r:int,o:bigint,p:array<struct<i:int,w:bigint>>>>",
+        )
         packed = self.table.groupBy("label").agg(
             F.map_from_entries(F.collect_list(F.struct(slot.alias("k"), F.struct("cnt", "sum_y").alias("v")))).alias("_cells"),
             F.max("cluster").alias("_last"),
@@ -183,6 +236,73 @@ class ClusterModel:
         )
 
 
+class GroupJudge:
+    """Rows of groups beside the cells of their groups, many at a time (a task-side helper)."""
+
+    def __init__(self, plan: list[list[dict]], of_votes: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.of_votes = of_votes
+        self.tuples = [[(e["o"], [p["i"] for p in e["p"]], [p["w"] for p in e["p"]]) for e in own] for own in plan]
+        self.width = max((i for own in self.tuples for _, at, _ in own for i in at), default=-1) + 1
+        self.cells = max(e["o"] + 2 * max((p["w"] for p in e["p"]), default=1) for own in plan for e in own)
+
+    def of(self, batch: pa.RecordBatch, known: pa.RecordBatch | None) -> tuple[pa.RecordBatch | None, pa.Array, np.ndarray]:
+        """The last group's cells, for the next batch; the places of the rows whose group has cells; their values.
+
+        ``known`` are the cells that the batch before ended with.
+        """
+        is_row = batch.column("_n").is_null().to_numpy(zero_copy_only=False)
+        models = batch.filter(pa.array(~is_row))
+        if known is not None:
+            models = pa.concat_batches([known, models])
+        own = np.flatnonzero(is_row)
+        group = np.cumsum(~is_row)[own] - (known is None)
+        if not models.num_rows:
+            return None, pa.array(own[:0]), np.zeros(0)
+        # A group without cells has none before its rows.
+        own, group = own[group >= 0], group[group >= 0]
+        same = pc.equal(batch.column("label").take(pa.array(own)), models.column("label").take(pa.array(group)))
+        same = same.to_numpy(zero_copy_only=False)
+        own, group = own[same], group[same]
+        values = self._values(models, group, batch.column("_bits").take(pa.array(own)))
+        return models.slice(models.num_rows - 1), pa.array(own), values
+
+    def _values(self, models: pa.RecordBatch, group: np.ndarray, bits: pa.Array) -> np.ndarray:
+        sizes = pc.list_value_length(models.column("k")).to_numpy()
+        place, cnt, total = (models.column(c).flatten().to_numpy() for c in ("k", "cnt", "sum_y"))
+        keys = np.repeat(np.arange(models.num_rows), sizes) * self.cells + place
+        last = models.column("_n").to_numpy()[group]
+        matrix = self._matrix(bits)
+        n, best = len(group), np.full(len(group), -1.0)
+        votes, sums = np.zeros((n, len(self.tuples[0])), np.int64), np.zeros((n, len(self.tuples[0])))
+        for c, own in enumerate(self.tuples):
+            here = np.flatnonzero(last > c)
+            if not len(here):
+                break
+            v, s = np.zeros((len(here), len(own)), np.int64), np.zeros((len(here), len(own)))
+            for r, (first, at, weights) in enumerate(own):
+                wanted = group[here] * self.cells + first + matrix[here][:, at] @ np.array(weights, np.int64)
+                found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[found] == wanted
+                v[:, r], s[:, r] = np.where(hit, cnt[found], 0), np.where(hit, total[found], 0.0)
+            top = v.max(axis=1)
+            score = np.where(top > 0, v.sum(axis=1) / (np.maximum(top, 1) * len(own)), 0.0)
+            better = score > best[here]
+            best[here[better]], votes[here[better]], sums[here[better]] = score[better], v[better], s[better]
+        return np.where(best > 0, self.of_votes(votes, sums), 0.0)
+
+    def _matrix(self, bits: pa.Array) -> np.ndarray:
+        """The bits as rows of equal length; missing ones are zero."""
+        sizes = pc.list_value_length(bits).to_numpy()
+        values = pc.fill_null(bits.flatten(), 0).to_numpy()
+        if (sizes == self.width).all():
+            return values.reshape(len(sizes), self.width)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        column = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = np.zeros((len(sizes), self.width), values.dtype)
+        out[row[column < self.width], column[column < self.width]] = values[column < self.width]
+        return out
+
+
 def _pattern(bits: str) -> Column:
     """Bits as a join key: a row without any is like one with none."""
     return F.coalesce(bits, F.array().cast("array<tinyint>")).alias("_bits")
@@ -593,9 +713,103 @@ class PatternCells:
         return found
 
 
+class StepLeaders:
+    """The row-by-row rule for many groups of few cells in step: the first rows of all groups, then the second ones
+    and so on, so that a step is some array operations (a task-side helper)."""
+
+    def __init__(self, rule: Rule, tuples: dict[str, tuple]):
+        self.rule = rule
+        groups = [tuples[c] for c in sorted(tuples, key=int)]
+        sizes = [1 << len(t) for own in groups for t in own]
+        first = np.cumsum([0, *sizes])
+        self.cells, self.n_rams = int(first[-1]), len(groups[0])
+        place = [(o, list(t), [1 << j for j in range(len(t))]) for o, t in zip(first.tolist(), (t for own in groups for t in own))]
+        self.place = place
+        self.cluster = np.repeat(np.arange(len(sizes)) // self.n_rams, sizes).astype(np.int32)
+        self.ram = np.repeat(np.arange(len(sizes)) % self.n_rams, sizes).astype(np.int32)
+        self.address = np.arange(self.cells) - np.repeat(first[:-1], sizes)
+
+    def of(self, labels: pa.Array, begin: np.ndarray, length: np.ndarray, bits: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Clusters of the groups whose rows begin in ``bits`` (row, bit) and ``y`` at ``begin``."""
+        at_once = max(1, CELLS_IN_STEP // self.cells)
+        by_length = np.argsort(-length, kind="stable")
+        for i in range(0, len(length), at_once):
+            own = by_length[i : i + at_once]
+            yield self._trained(labels.take(pa.array(own)), begin[own], length[own], bits, y)
+
+    def _trained(self, labels: pa.Array, begin: np.ndarray, length: np.ndarray, bits: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        rule, n, limit = self.rule, len(begin), self.rule.limit
+        counts, sums = np.zeros(n * self.cells, np.int64), np.zeros(n * self.cells)
+        sizes, known, numbers = np.zeros((n, limit), np.int64), np.zeros(n, np.int64), np.arange(limit)
+        # Groups stand by falling length, so those with a row left come first.
+        left = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+        for step, some in enumerate(left.tolist()):
+            rows = begin[:some] + step
+            own = bits[rows]
+            cell = np.stack([first + own[:, at] @ np.array(w, np.int64) for first, at, w in self.place], axis=1)
+            cell = (cell + np.arange(some)[:, None] * self.cells).reshape(some, limit, self.n_rams)
+            votes = counts[cell]
+            top = votes.max(axis=2)
+            score = np.where(top > 0, votes.sum(axis=2) / (np.maximum(top, 1) * self.n_rams), 0.0)
+            needed = np.minimum(1.0, rule.min_score + sizes[:some] / rule.threshold)
+            fits = (score >= needed) & (numbers < known[:some, None])
+            alone = np.flatnonzero(~fits.any(axis=1))
+            room = known[alone] < limit
+            opened, full = alone[room], alone[~room]
+            fits[opened, known[opened]] = True
+            known[opened] += 1
+            # Of equal scores the last cluster is trained.
+            fits[full, limit - 1 - np.argmax(score[full][:, ::-1], axis=1)] = True
+            group, cluster = np.nonzero(fits)
+            hit = cell[group, cluster]
+            counts[hit] += 1
+            sums[hit] += y[rows][group][:, None]
+            sizes[group, cluster] += 1
+        found = np.flatnonzero(counts)
+        group, slot = found // self.cells, found % self.cells
+        heads = group * limit + self.cluster[slot]
+        starts = np.flatnonzero(np.diff(heads, prepend=-1))
+        own, cluster = heads[starts] // limit, heads[starts] % limit
+        ends = pa.array(np.append(starts, len(heads)).astype(np.int32))
+        cells = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (self.ram[slot], self.address[slot], counts[found], sums[found])]
+        columns = [labels.take(pa.array(own)), pa.array(cluster.astype(np.int32)), pa.array(sizes[own, cluster]), *cells]
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in CLUSTER_SCHEMA.split(", ")])
+
+
 CLUSTER_SCHEMA = "label string, cluster int, size bigint, ram_id array<int>, address array<bigint>, cnt array<bigint>, sum_y array<double>"
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Labels, first ``width`` bits and targets of the rows of whole groups, many groups at a time."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def joined() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        labels, bits, targets = zip(*held, strict=True)
+        return pa.concat_arrays(labels), np.concatenate(bits), np.concatenate(targets)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = batch.column(1)
+        sizes = pc.list_value_length(bits).to_numpy(zero_copy_only=False)
+        if bits.null_count or bits.flatten().null_count or (sizes < width).any():
+            raise ValueError("a row has fewer bits than the mapping refers to")
+        values = bits.flatten().to_numpy()
+        first = np.cumsum(sizes) - sizes
+        held.append((batch.column(0), values[first[:, None] + np.arange(width)], batch.column(2).to_numpy(zero_copy_only=False)))
+        n += batch.num_rows
+        last = batch.column(0)[batch.num_rows - 1]
+        if n < ROWS_AT_ONCE or held[0][0][0] == last:
+            continue
+        labels, bits, targets = joined()
+        end = int(np.flatnonzero(pc.not_equal(labels, last).to_numpy(zero_copy_only=False))[-1]) + 1
+        yield labels[:end], bits[:end], targets[:end]
+        held, n = [(labels[end:], bits[end:], targets[end:])], len(labels) - end
+    if n:
+        yield joined()
+
+
 class ClusterRows:
     """A row for each cluster of the groups that are done, as Arrow batches of :data:`CLUSTER_SCHEMA`."""
 
@@ -634,8 +848,8 @@ def train_sequential(
 ) -> ClusterModel:
     """Row-by-row clusters; parallelism is the number of groups, group sizes are checked.
 
-    Groups stream through the tasks one after another, in order, batch by batch; a group needs no call of
-    its own, and a pattern of bits is taken apart once.  Use :func:`train_rounds` for groups beyond
+    Groups stream through the tasks in order; a group needs no call of its own.  Groups of few cells are
+    trained in step, the others one after another, where a pattern of bits is taken apart once.  Use :func:`train_rounds` for groups beyond
     ``GROUP_ROWS``.
     """
     tuples = cluster_tuples(entry_size, tuple_size, rule.limit, seed)
@@ -644,33 +858,37 @@ def train_sequential(
     rows = df.where(key.isNotNull()).select(
         key.alias("label"),
         F.col(order).alias("_ord"),
-        F.col(bits).cast("array<int>").alias("bits"),
+        F.col(bits).cast("array<tinyint>").alias("bits"),
         (F.col(y).cast("double") if y else F.lit(0.0)).alias("y"),
     )
     largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     if largest > GROUP_ROWS:
         raise ValueError(f"a group has {largest} rows; use train_rounds")
 
+    width = max((i for group_ in tuples.values() for t in group_ for i in t), default=-1) + 1
+    in_step = sum(1 << len(t) for group_ in tuples.values() for t in group_) <= GROUP_CELLS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, done, current, leaders = PatternCells(tuples), ClusterRows(), None, None
-        for batch in batches:
-            labels, held = batch.column(0).to_pylist(), batch.column(1)
-            if held.null_count or held.flatten().null_count:
-                raise ValueError("a row has fewer bits than the mapping refers to")
-            ends = held.offsets.to_numpy() * 4
-            raw = held.values.to_numpy().tobytes()
-            targets = batch.column(2).to_numpy(zero_copy_only=False).tolist()
-            for label, begin, end, target in zip(labels, ends[:-1].tolist(), ends[1:].tolist(), targets, strict=True):
-                if label != current:
-                    if leaders is not None:
-                        done.add(current, leaders)
-                    if len(done.cells) >= CELLS_AT_ONCE:
-                        yield done.batch()
-                    current, leaders = label, Leaders(rule, n_rams)
-                leaders.train_cells(cells.of(raw[begin:end]), target)
-        if leaders is not None:
-            done.add(current, leaders)
-            yield done.batch()
+        cells, done, steps = PatternCells(tuples), ClusterRows(), StepLeaders(rule, tuples) if in_step else None
+        for labels, matrix, targets in _whole_groups(batches, width):
+            codes = labels.dictionary_encode().indices.to_numpy()
+            begin = np.flatnonzero(np.diff(codes, prepend=-1))
+            length = np.diff(np.append(begin, len(codes)))
+            # Groups that outlast all but a few others go row by row.
+            usual = np.partition(length, -LANES - 1)[-LANES - 1] if len(length) > LANES else 0
+            together = (length <= 4 * usual) & in_step
+            names = labels.take(pa.array(begin))
+            if together.any():
+                own = np.flatnonzero(together)
+                yield from steps.of(names.take(pa.array(own)), begin[own], length[own], matrix, targets)
+            for g in np.flatnonzero(~together).tolist():
+                leaders = Leaders(rule, n_rams)
+                for i in range(begin[g], begin[g] + length[g]):
+                    leaders.train_cells(cells.of(matrix[i].astype(np.int32).tobytes()), float(targets[i]))
+                done.add(names[g].as_py(), leaders)
+                if len(done.cells) >= CELLS_AT_ONCE:
+                    yield done.batch()
+        yield done.batch()
 
     # A given number of partitions is not merged by size: rows are few bytes and much work.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

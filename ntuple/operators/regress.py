@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,16 @@ def ratio_mean(cnt: Column, total: Column) -> Column:
     return F.when(F.sum(cnt) > 0, F.sum(total) / F.sum(cnt)).otherwise(F.lit(0.0))
 
 
+def _ratio_of_arrays(cnt: np.ndarray, total: np.ndarray) -> np.ndarray:
+    n = cnt.sum(axis=1)
+    return np.where(n > 0, total.sum(axis=1) / np.maximum(n, 1), 0.0)
+
+
+def by_arrays(mean: Mean) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+    """The mean over the rows of two arrays ``(row, tuple)``, if it has such a form."""
+    return {ratio_mean: _ratio_of_arrays}.get(mean)
+
+
 def power_mean(p: float) -> Mean:
     def mean(cnt: Column, total: Column) -> Column:
         return F.coalesce(F.pow(F.avg(F.pow(_average(cnt, total), F.lit(p))), F.lit(1.0 / p)), F.lit(0.0))

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -477,3 +479,63 @@ def test_predictions_meet_each_pattern_once(spark, monkeypatch):
         found = model.predict(df, "bits", "row_id", regress.ratio_mean, "label").collect()
         assert len(found) == len(expected) and {r["row_id"]: r["prediction"] for r in found} == expected
     assert max(seen) <= 62
+
+
+def test_groups_in_step_are_groups_row_by_row():
+    """Many groups trained together, long and short ones, give the sums of the rule row by row, bit for bit."""
+    rng, rule = random.Random(8), cluster.Rule(0.4, 6.0, 3)
+    tuples = cluster.cluster_tuples(9, 4, 3, 2)
+    rows = [(f"g{g:02}", [rng.randrange(2) for _ in range(9)], rng.random()) for g in range(30) for _ in range(1 + g % 7 * 4)]
+    begin = np.array([i for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]])
+    length = np.diff(np.append(begin, len(rows)))
+    steps = cluster.StepLeaders(rule, tuples)
+    names = pa.array([rows[b][0] for b in begin])
+    found = steps.of(names, begin, length, np.array([r[1] for r in rows], np.int8), np.array([r[2] for r in rows]))
+    got = {
+        (r["label"], r["cluster"]): (r["size"], dict(zip(zip(r["ram_id"], r["address"]), zip(r["cnt"], r["sum_y"]))))
+        for batch in found for r in batch.to_pylist()
+    }
+    want = {}
+    for lab in names.to_pylist():
+        leaders = cluster.Leaders(rule, len(tuples["0"]))
+        for g, bits, y in rows:
+            if g == lab:
+                leaders.train([[brute.address(bits, t) for t in tuples[str(c)]] for c in range(3)], y)
+        for c, own in enumerate(leaders.counts):
+            want[lab, c] = (leaders.sizes[c], {k: (n, leaders.sums[c][k]) for k, n in own.items()})
+    assert got == want
+
+
+def test_groups_are_handed_on_whole(monkeypatch):
+    monkeypatch.setattr(cluster, "ROWS_AT_ONCE", 4)
+    labels = list("aabbbbbbbbbcddddef")
+    batches = [
+        pa.RecordBatch.from_arrays(
+            [pa.array(labels[i : i + 3]), pa.array([[j % 2, 1, 9] for j in range(i, min(i + 3, len(labels)))], pa.list_(pa.int8())), pa.array([float(j) for j in range(i, min(i + 3, len(labels)))])],
+            names=["label", "bits", "y"],
+        )
+        for i in range(0, len(labels), 3)
+    ]
+    parts = list(cluster._whole_groups([batches[0].slice(0, 0), *batches], 2))
+    assert len(parts) > 1 and [x for p in parts for x in p[0].to_pylist()] == labels
+    assert sum(len(set(p[0].to_pylist())) for p in parts) == len(set(labels))
+    assert np.concatenate([p[1] for p in parts]).tolist() == [[j % 2, 1] for j in range(len(labels))]
+    assert np.concatenate([p[2] for p in parts]).tolist() == list(range(len(labels)))
+
+
+def test_rows_of_groups_are_judged_without_exploding_votes(spark, monkeypatch):
+    """Rows meet the cells of their group in one sorted stream, small batches, hot groups and odd rows included."""
+    rows = [(i, bits, "hot" if i % 2 else f"g{i % 5}", y) for i, bits, _, y in make_rows(300, 18, 12)]
+    rows += [(900, rows[0][1], "a new one", 0.0), (901, None, "g0", 0.0), (902, [1, 0, 1], "hot", 0.0), (903, rows[0][1], None, 0.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, bits array<tinyint>, label string, y double")
+    model = cluster.train_sequential(df.where("row_id < 300"), "bits", 18, 5, 4, "row_id", "label", "y", RULE)
+    monkeypatch.setattr(cluster, "GROUP_CELLS", 1)
+    one_by_one = {r["row_id"]: r["prediction"] for r in model.predict(df, "bits", "row_id", regress.ratio_mean, "label").collect()}
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    found = model.predict(df, "bits", "row_id", regress.ratio_mean, "label")
+    plan = found._jdf.queryExecution().toString()
+    got = {r["row_id"]: r["prediction"] for r in found.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == pytest.approx(one_by_one) and set(got) == {r[0] for r in rows} - {900, 903}
+    assert "Generate" not in plan.split("MapInArrow")[0]
