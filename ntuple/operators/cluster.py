@@ -25,7 +25,7 @@ from ..functions.expr import constant, let
 from ..functions.scalars import seeded_order
 from ..functions.joins import dealt, lookup_join
 from ..session import cut_lineage
-from .address import BitColumn, Mapping, random_mapping, tuple_addresses
+from .address import BitColumn, Mapping, random_mapping, slot_count, slot_offsets, tuple_addresses
 from .count_model import DENSE_CELLS, CountModel, Options
 from .order import order_statistics
 from .regress import RegressionModel, by_arrays
@@ -104,14 +104,35 @@ class ClusterModel:
         return CountModel(table, mapping, trainings, options)
 
     def classify(self, df: DataFrame, bits: str) -> DataFrame:
-        """Add ``predicted`` and ``predicted_cluster``."""
+        """Add ``votes``, ``predicted`` and ``predicted_cluster``.
+
+        Every cluster is a class, so a row has many votes: if all cells fit a constant, it is decided as arrays.
+        """
         model = self.as_count_model()
+        if model.labels and model.is_dense():
+            return self._decided(model, df, bits)
         out = model.classify(df, BitColumn(bits))
         parts = F.split("predicted", SEPARATOR)
         return out.withColumn("predicted_cluster", F.element_at(parts, -1).cast("int")).withColumn(
             "predicted", F.array_join(F.slice(parts, 1, F.size(parts) - 1), SEPARATOR)
         )
 
+    def _decided(self, model: CountModel, df: DataFrame, bits: str) -> DataFrame:
+        judge = VoteJudge(model, self.tuples)
+        rest = [c for c in df.columns if c not in ("votes", "predicted", "predicted_cluster")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                won = judge.winners(batch.column(rest.index(bits)))
+                more = [pa.array(judge.labels, pa.string()).take(won), pa.array(judge.clusters, pa.int32()).take(won)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*rest, "predicted", "predicted_cluster"])
+
+        rows = df.select(*rest)
+        schema = rows.withColumns({"predicted": F.lit(""), "predicted_cluster": F.lit(0)}).schema
+        # The votes are computed only where they are asked for.
+        out = model.votes(rows.mapInArrow(run, schema), BitColumn(bits))
+        return out.select(*rest, "votes", "predicted", "predicted_cluster")
+
     def similarities(self, df: DataFrame, bits: str, row_id: str) -> DataFrame:
         """Score of every cluster for every row: ``(row_id, label, cluster, score)``."""
         fan = constant(
@@ -236,6 +257,78 @@ class ClusterModel:
         )
 
 
+def bit_matrix(bits: pa.Array, width: int, exact: bool = False) -> np.ndarray:
+    """The first ``width`` bits of lists as rows of equal length; missing ones are zero, or with ``exact`` an error."""
+    sizes = pc.fill_null(pc.list_value_length(bits), 0).to_numpy(zero_copy_only=False)
+    values = bits.flatten()
+    if exact and ((sizes < width).any() or values.null_count):
+        raise ValueError("a row has fewer bits than the mapping refers to")
+    values = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+    if (sizes == width).all():
+        return values.reshape(len(sizes), width)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(sizes), width), values.dtype)
+    out[row[column < width], column[column < width]] = values[column < width]
+    return out
+
+
+def bleached(votes: np.ndarray) -> np.ndarray:
+    """Scores ``(row, label)`` of votes ``(row, tuple, label)``: :func:`decide.bleaching` over arrays."""
+
+    def ambiguous(scores: np.ndarray) -> np.ndarray:
+        top = scores.max(axis=1)
+        return (top > 1) & ((scores == top[:, None]).sum(axis=1) > 1)
+
+    out = (votes > 0).sum(axis=1)
+    rows = np.flatnonzero(ambiguous(out))
+    above = np.zeros(len(rows), votes.dtype)
+    while len(rows):
+        own = votes[rows]
+        above = np.where(own > above[:, None, None], own, np.iinfo(votes.dtype).max).min(axis=(1, 2))
+        scores = (own > above[:, None, None]).sum(axis=1)
+        out[rows] = scores
+        left = ambiguous(scores)
+        rows, above = rows[left], above[left]
+    return out
+
+
+class VoteJudge:
+    """Classes by bleached votes from the cells of all clusters (a task-side helper)."""
+
+    VOTES = 1 << 20
+
+    def __init__(self, model: CountModel, tuples: dict[str, tuple]):
+        parts = [name.rsplit(SEPARATOR, 1) for name in model.labels]
+        self.labels, self.clusters = [lab for lab, _ in parts], [int(c) for _, c in parts]
+        self.tuples = {int(c): [(list(t), [1 << j for j in range(len(t))]) for t in own] for c, own in tuples.items()}
+        self.width = max((i for c in set(self.clusters) for at, _ in self.tuples[c] for i in at), default=-1) + 1
+        offsets = slot_offsets(model.mapping, model.labels)
+        n_rams = model.mapping.n_rams
+        self.first = np.array([[offsets[name, r] for r in range(n_rams)] for name in model.labels])
+        self.cells = np.zeros(slot_count(model.mapping, model.labels), np.int64)
+        place = {name: i for i, name in enumerate(model.labels)}
+        found = model.table.where(F.col("label").isin(model.labels)).select("label", "ram_id", "address", "cnt").toArrow()
+        label = np.array([place[name] for name in found["label"].to_pylist()], np.int64)
+        self.cells[self.first[label, found["ram_id"].to_numpy()] + found["address"].to_numpy()] = found["cnt"].to_numpy()
+
+    def winners(self, bits: pa.Array) -> pa.Array:
+        """Place of the class of each row; of equal scores the last one wins."""
+        matrix, n = bit_matrix(bits, self.width, True), len(self.labels)
+        own = [np.zeros(0, np.int64)]
+        at_once = max(1, self.VOTES // self.first.size)
+        for i in range(0, len(matrix), at_once):
+            scores = bleached(self._votes(matrix[i : i + at_once]))
+            own.append(n - 1 - np.argmax(scores[:, ::-1], axis=1))
+        return pa.array(np.concatenate(own))
+
+    def _votes(self, matrix: np.ndarray) -> np.ndarray:
+        address = {
+            c: np.stack([matrix[:, at] @ np.array(w, np.int64) for at, w in self.tuples[c]], axis=1) for c in set(self.clusters)
+        }
+        return np.stack([self.cells[first + address[c]] for first, c in zip(self.first, self.clusters, strict=True)], axis=2)
+
+
 class GroupJudge:
     """Rows of groups beside the cells of their groups, many at a time (a task-side helper)."""
 
@@ -271,7 +364,7 @@ class GroupJudge:
         place, cnt, total = (models.column(c).flatten().to_numpy() for c in ("k", "cnt", "sum_y"))
         keys = np.repeat(np.arange(models.num_rows), sizes) * self.cells + place
         last = models.column("_n").to_numpy()[group]
-        matrix = self._matrix(bits)
+        matrix = bit_matrix(bits, self.width)
         n, best = len(group), np.full(len(group), -1.0)
         votes, sums = np.zeros((n, len(self.tuples[0])), np.int64), np.zeros((n, len(self.tuples[0])))
         for c, own in enumerate(self.tuples):
@@ -290,18 +383,6 @@ class GroupJudge:
             best[here[better]], votes[here[better]], sums[here[better]] = score[better], v[better], s[better]
         return np.where(best > 0, self.of_votes(votes, sums), 0.0)
 
-    def _matrix(self, bits: pa.Array) -> np.ndarray:
-        """The bits as rows of equal length; missing ones are zero."""
-        sizes = pc.list_value_length(bits).to_numpy()
-        values = pc.fill_null(bits.flatten(), 0).to_numpy()
-        if (sizes == self.width).all():
-            return values.reshape(len(sizes), self.width)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        column = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out = np.zeros((len(sizes), self.width), values.dtype)
-        out[row[column < self.width], column[column < self.width]] = values[column < self.width]
-        return out
-
 
 def _pattern(bits: str) -> Column:
     """Bits as a join key: a row without any is like one with none."""

@@ -539,3 +539,31 @@ def test_rows_of_groups_are_judged_without_exploding_votes(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == pytest.approx(one_by_one) and set(got) == {r[0] for r in rows} - {900, 903}
     assert "Generate" not in plan.split("MapInArrow")[0]
+
+
+def test_clusters_are_decided_as_arrays(spark):
+    """Arrays and expressions decide alike, ties and repeated rows included; votes stay a column."""
+    rows = make_rows(150, 18, 9)
+    df = spark.createDataFrame([*rows, *rows[:20]], "row_id bigint, bits array<tinyint>, label string, y double")
+    model = cluster.train_rounds(df, "bits", 18, 5, 4, "row_id", "label", rule=RULE, first_slice=40)
+    out = model.classify(df, "bits")
+    assert out.columns == [*df.columns, "votes", "predicted", "predicted_cluster"]
+    by_rows = model.as_count_model().classify(df, BitColumn("bits"))
+    names = F.concat_ws("::", "predicted", F.col("predicted_cluster").cast("string")).alias("predicted")
+    got, want = (x.collect() for x in (out.select("row_id", "votes", names), by_rows.select("row_id", "votes", "predicted")))
+    assert sorted(got) == sorted(want) and len(got) == 170
+    plan = out.select("predicted")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "votes" not in plan.split("MapInArrow")[0]
+    with pytest.raises(Exception, match="fewer bits"):
+        model.classify(df.withColumn("bits", F.slice("bits", 1, 9)), "bits").select("predicted").collect()
+
+
+def test_bleaching_of_arrays():
+    rng = random.Random(4)
+    votes = np.array([[[rng.choice([0, 0, 1, 2, 5]) for _ in range(4)] for _ in range(5)] for _ in range(300)])
+    for m, scores in zip(votes, cluster.bleached(votes), strict=True):
+        for t in [0, *sorted(set(m.flatten().tolist()) - {0})]:
+            want = [(m[:, c] > t).sum() for c in range(4)]
+            if not (max(want) > 1 and sorted(want)[-1] == sorted(want)[-2]):
+                break
+        assert scores.tolist() == want
