@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import bit, constant, let
 from ..functions.scalars import md5_hex, md5_int, seeded_order
 
-COMPILED_BITS = 64
+COMPILED_BITS = 128
 """Most bits of an array that is built without a loop."""
 SHARED = ""
 """Mapping key that stands for every label."""

@@ -41,6 +41,8 @@ PATTERNS = 100_000
 """Patterns of bits that a task of the row-by-row mode remembers."""
 ROWS_AT_ONCE = 100_000
 """Rows of whole groups that the row-by-row mode takes at a time."""
+SLICE_ROWS = 5_000
+"""Rows of a slice for each task of a round."""
 LANES = 8
 """Fewest groups that are worth a step together."""
 CELLS_IN_STEP = 1 << 22
@@ -473,6 +475,11 @@ COUNT_SCHEMA = "label string, cluster int, n bigint"
 TABLE_SCHEMA = "label string, cluster int, ram_id int, address bigint, cnt bigint, sum_y double"
 
 
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, for which no task starts."""
+    return spark.range(0).select(*[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in schema.split(", ")])
+
+
 def train_rounds(
     df: DataFrame,
     bits: str,
@@ -512,8 +519,8 @@ def train_rounds(
     inner = ends[:-1]
     cuts = [int(s.value) for s in order_statistics(rows, [], "_ord", lambda _k, _n: inner)[()]] if inner else []
     tuples = cluster_tuples(entry_size, tuple_size, rule.limit, seed) | (start.tuples if start else {})
-    table = start.table if start else spark.createDataFrame([], TABLE_SCHEMA)
-    counts = start.counts if start else spark.createDataFrame([], COUNT_SCHEMA)
+    table = start.table if start else _empty(spark, TABLE_SCHEMA)
+    counts = start.counts if start else _empty(spark, COUNT_SCHEMA)
     patterns = cut_lineage(_patterns(rows, cuts), "_slice")
     known = counts.select("label").union(patterns.select("label")).distinct()
     most = DENSE_CELLS // sum(1 << len(t) for group_ in tuples.values() for t in group_)
@@ -521,8 +528,12 @@ def train_rounds(
     if len(groups) <= most:
         model = DenseClusters(groups, tuples, rule)
         model.add(table)
-        for number in range(len(ends)):
-            model.train(patterns.where(F.col("_slice") == number).drop("_slice"))
+        begins = [-1, *ends[:-1]]
+        for number, (begin, end) in enumerate(zip(begins, ends, strict=True)):
+            own = patterns.where(F.col("_slice") == number).drop("_slice")
+            # A slice is written by few tasks, and read by as few.
+            tasks = min((end - begin) // SLICE_ROWS, 4 * spark.sparkContext.defaultParallelism)
+            model.train(own.repartition(tasks) if tasks > 1 else own)
         return ClusterModel(*model.tables(spark), tuples, entry_size, rule)
     for number in range(len(ends)):
         pending = patterns.where(F.col("_slice") == number).drop("_slice")
@@ -631,49 +642,37 @@ class DenseClusters:
 
     def _judged(self, patterns: DataFrame) -> DataFrame:
         """Add ``fits`` and ``best`` (clusters of the pattern's group) and ``k``, their number."""
-        sizes = self.sizes()
-        cells = [self.counts[g, : len(own)].tolist() for g, own in enumerate(sizes)]
-        types = {"label": pa.string(), "_sizes": pa.list_(pa.int64()), "_cells": pa.list_(pa.list_(pa.int64()))}
-        model = patterns.sparkSession.createDataFrame(
-            pa.table([pa.array(v, t) for v, t in zip((self.groups, sizes, cells), types.values(), strict=True)], names=list(types))
-        )
-        plan = constant(
-            [
-                [{"o": int(o), "p": [{"i": i, "w": 1 << j} for j, i in enumerate(tup)]} for o, tup in zip(first[:-1], group, strict=True)]
-                for first, group in zip(self.first, self.by_number, strict=True)
-            ],
-            "array<array<struct<o:bigint,p:array<struct<i:int,w:bigint>>>>>",
-        )
+        names = patterns.columns
+        judge = SliceJudge(self)
 
-        def slot(e: Column) -> Column:
-            return F.aggregate(
-                e["p"], e["o"], lambda acc, p: acc + F.coalesce(F.get("bits", p["i"]).cast("bigint") * p["w"], F.lit(0))
-            )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = judge.of(batch.column(names.index("label")), batch.column(names.index("bits")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*names, "k", "fits", "best"])
 
-        def score(votes: Column) -> Column:
-            top = F.array_max(votes)
-            total = F.aggregate(votes, F.lit(0).cast("bigint"), lambda a, v: a + v)
-            return F.when(top > 0, total / (top * F.size(votes))).otherwise(F.lit(0.0))
+        none = F.lit(None)
+        added = {"k": F.lit(0), "fits": none.cast("array<int>"), "best": none.cast("int")}
+        return patterns.mapInArrow(run, patterns.withColumns(added).schema)
 
-        def judge(n: Column, c: Column) -> Column:
-            votes = let(F.get("_cells", c), lambda own: F.transform(F.get(plan, c), lambda e: F.get(own, slot(e).cast("int"))))
-            return let(
-                let(votes, score),
-                lambda s: F.struct(s.alias("s"), c.alias("c"), (s >= self.rule.needed(n)).alias("fits")),
-            )
+    def _learn(self, assigned: DataFrame) -> None:
+        """Add patterns ``(label, cluster, bits, n, y)``: each task hands on the sums of its cells."""
+        judge = SliceJudge(self)
 
-        judged = patterns.join(F.broadcast(model), "label").withColumn("_j", F.transform("_sizes", judge))
-        return judged.select(
-            *patterns.columns,
-            F.size("_sizes").alias("k"),
-            let(
-                F.col("_j"),
-                lambda js: F.struct(
-                    F.transform(F.filter(js, lambda j: j["fits"]), lambda j: j["c"]).alias("fits"),
-                    F.array_max(F.transform(js, lambda j: F.struct(j["s"], j["c"])))["c"].alias("best"),
-                ),
-            ).alias("_r"),
-        ).select(*patterns.columns, "k", "_r.fits", "_r.best")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, sums = np.zeros(judge.counts.size, np.int64), np.zeros(judge.counts.size)
+            for batch in batches:
+                place = judge.places(batch.column(0), batch.column(1).to_numpy(), batch.column(2))
+                np.add.at(counts, place, batch.column(3).to_numpy()[:, None])
+                np.add.at(sums, place, batch.column(4).to_numpy()[:, None])
+            # Every pattern counts, so a cell without a count has no sum.
+            cell = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell]), pa.array(sums[cell])], names=["cell", "cnt", "sum_y"])
+
+        parts = assigned.select("label", "cluster", "bits", "n", "y").mapInArrow(run, "cell bigint, cnt bigint, sum_y double")
+        found = parts.groupBy("cell").agg(F.sum("cnt").alias("cnt"), F.sum("sum_y").alias("sum_y")).toArrow()
+        cell = found["cell"].to_numpy()
+        self.counts.reshape(-1)[cell] += found["cnt"].to_numpy()
+        self.sums.reshape(-1)[cell] += found["sum_y"].to_numpy()
 
     def train(self, pending: DataFrame) -> None:
         """All rounds of a slice."""
@@ -687,12 +686,63 @@ class DenseClusters:
             places = constant([{"l": r["label"], "o": r["o"]} for r in waiting], "array<struct<l:string,o:bigint>>")
             opens = F.array_contains(places, F.struct(F.col("label").alias("l"), F.col("_ord").alias("o")))
             step = _divided(judged, count, opens, self.rule)
-            self.add(_counted(step.where(F.col("cluster").isNotNull()), self.tuples, "bits"))
+            self._learn(step.where(F.col("cluster").isNotNull()))
             if all(r["n"] == 1 for r in waiting):
                 return
             pending = step.where(F.col("cluster").isNull()).drop("cluster")
 
 
+class SliceJudge:
+    """Patterns against the frozen cells of their groups, as arrays (a task-side helper)."""
+
+    def __init__(self, model: DenseClusters):
+        self.rule, self.counts = model.rule, model.counts
+        self.groups = pa.array(model.groups, pa.string())
+        sizes = model.sizes()
+        self.sizes = np.zeros(self.counts.shape[:2], np.int64)
+        for g, own in enumerate(sizes):
+            self.sizes[g, : len(own)] = own
+        self.known = np.array([len(own) for own in sizes], np.int32)
+        self.tuples = [
+            [(int(o), list(tup), [1 << j for j in range(len(tup))]) for o, tup in zip(first[:-1], group, strict=True)]
+            for first, group in zip(model.first, model.by_number, strict=True)
+        ]
+        self.width = max((i for own in self.tuples for _, at, _ in own for i in at), default=-1) + 1
+
+    def _cells(self, matrix: np.ndarray, cluster: int) -> np.ndarray:
+        """The cell of each tuple among those of a cluster."""
+        return np.stack([o + matrix[:, at] @ np.array(w, np.int64) for o, at, w in self.tuples[cluster]], axis=1)
+
+    def _group(self, labels: pa.Array) -> np.ndarray:
+        return pc.index_in(labels, value_set=self.groups).to_numpy(zero_copy_only=False)
+
+    def of(self, labels: pa.Array, bits: pa.Array) -> list[pa.Array]:
+        """Known clusters of each pattern's group, those that it fits and the best of them, the last of equal ones."""
+        group, matrix, limit = self._group(labels), bit_matrix(bits, self.width), self.counts.shape[1]
+        score = np.full((len(group), limit), -1.0)
+        for c in range(limit):
+            some = np.flatnonzero(self.known[group] > c)
+            votes = self.counts[group[some, None], c, self._cells(matrix[some], c)]
+            top = votes.max(axis=1, initial=0)
+            score[some, c] = np.where(top > 0, votes.sum(axis=1) / (np.maximum(top, 1) * votes.shape[1]), 0.0)
+        needed = np.minimum(1.0, self.rule.min_score + self.sizes / self.rule.threshold)[group]
+        fits = (score >= needed) & (score >= 0)
+        row, cluster = np.nonzero(fits)
+        ends = np.searchsorted(row, np.arange(len(group) + 1)).astype(np.int32)
+        known = self.known[group]
+        best = pa.array((limit - 1 - np.argmax(score[:, ::-1], axis=1)).astype(np.int32), mask=known == 0)
+        return [pa.array(known), pa.ListArray.from_arrays(pa.array(ends), pa.array(cluster.astype(np.int32))), best]
+
+    def places(self, labels: pa.Array, cluster: np.ndarray, bits: pa.Array) -> np.ndarray:
+        """The cells of all groups and clusters that patterns train, ``(pattern, tuple)``."""
+        group, matrix = self._group(labels), bit_matrix(bits, self.width)
+        out = np.zeros((len(group), len(self.tuples[0])), np.int64)
+        for c in range(self.counts.shape[1]):
+            some = np.flatnonzero(cluster == c)
+            out[some] = self._cells(matrix[some], c)
+        return out + ((group * self.counts.shape[1] + cluster) * self.counts.shape[2])[:, None]
+
+
 def _round(pending: DataFrame, table: DataFrame, known: DataFrame, tuples: dict, rule: Rule) -> DataFrame:
     """Assign pending patterns to clusters; patterns to be scored again keep a null cluster.
 

@@ -567,3 +567,16 @@ def test_bleaching_of_arrays():
             if not (max(want) > 1 and sorted(want)[-1] == sorted(want)[-2]):
                 break
         assert scores.tolist() == want
+
+
+def test_long_slices_are_read_by_many_tasks(spark, monkeypatch):
+    """A slice lies in few files; its rounds are dealt by its length, and no pattern is a row for each tuple."""
+    monkeypatch.setattr(cluster, "SLICE_ROWS", 10)
+    tasks, learnt = [], []
+    train, learn = cluster.DenseClusters.train, cluster.DenseClusters._learn
+    monkeypatch.setattr(cluster.DenseClusters, "train", lambda m, p: tasks.append(p.rdd.getNumPartitions()) or train(m, p))
+    monkeypatch.setattr(cluster.DenseClusters, "_learn", lambda m, p: learnt.append(p.count()) or learn(m, p))
+    df = spark.createDataFrame(make_rows(200, 18, 3), "row_id bigint, bits array<tinyint>, label string, y double")
+    model = cluster.train_rounds(df.coalesce(1), "bits", 18, 5, 4, "row_id", "label", rule=RULE, first_slice=20)
+    assert tasks[-2:] == [8, 6]
+    assert sum(learnt) <= sum(model.sizes.values()) >= 200
