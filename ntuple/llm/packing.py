@@ -16,8 +16,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,10 +95,13 @@ class Remembered:
         self.ids = [np.zeros(0, dtype="<u4")]
         self.sizes = [np.zeros(0, dtype=np.int64)]
 
-    def add(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+    def add(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Remember new keys; returns their places."""
+        first = len(self.place)
+        self.place.update(zip(keys, range(first, first + len(keys)), strict=True))
         self.ids.append(ids)
         self.sizes.append(sizes)
+        return np.arange(first, first + len(keys))
 
     def places(self, keys) -> np.ndarray:
         """Place of each key, -1 if it is new."""
@@ -124,14 +127,11 @@ def plain_parts(words: list[bytes]) -> tuple[list[bytes], list[bytes], list[int]
 
     A word that is not plain has itself as letters and no signs.
     """
-    parts = PARTS.findall(b" ".join(words))
-    signs = [p[1] for p in parts]
-    bases = b" ".join([p[0] or b"-" for p in parts]).lower().split(b" ")
+    letters_of, signs, others = map(list, zip(*PARTS.findall(b" ".join(words)), strict=True))
+    bases = b" ".join([p or b"-" for p in letters_of]).lower().split(b" ")
     odd = []
-    for i, p in enumerate(parts):
-        if not p[2]:
-            continue
-        word = p[2]
+    for i in [i for i, p in enumerate(others) if p]:
+        word = others[i]
         letters = word.rstrip(b".,")
         found = None if letters.isascii() else PLAIN.fullmatch(letters.decode("utf-8", "replace"))
         if found:
@@ -142,26 +142,26 @@ def plain_parts(words: list[bytes]) -> tuple[list[bytes], list[bytes], list[int]
     return bases, signs, odd
 
 
-def learn(words: list[bytes], model, known: Remembered, pieces: Remembered, in_pieces: bool) -> None:
-    """Remember the ids of new words.
+def learn(words: list[bytes], model, known: Remembered, pieces: Remembered, in_pieces: bool) -> np.ndarray:
+    """Remember the ids of new words; returns their places.
 
     Plain words are put together from their pieces, and new pieces go to the merges of the vocabulary
     directly; all other words, and signs, go through the whole tokenizer.
     """
     if not in_pieces:
-        known.add(words, *encoded(words, model))
-        return
+        return known.add(words, *encoded(words, model))
     bases, signs, odd = plain_parts(words)
     other = set(odd)
     plain = [i for i in range(len(words)) if i not in other] if odd else range(len(words))
     sign_of = [signs[i] for i in plain]
     base_of = [bases[i] for i in plain]
-    new_signs = sorted(set(sign_of) - pieces.place.keys() - {b""})
+    # Not a difference of sets, which would go through all that is remembered.
+    new_signs = sorted(w for w in set(sign_of) if w and w not in pieces.place)
     if b"" not in pieces.place:
         pieces.add([b""], np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64))
     pieces.add(new_signs, *encoded(new_signs, model))
     merge, letters = model.model.tokenize, byte_letters()
-    new_bases = list(set(base_of) - pieces.place.keys())
+    new_bases = [w for w in set(base_of) if w not in pieces.place]
     spelt = [w.decode() if w.isascii() else "".join([letters[b] for b in w]) for w in new_bases]
     merged = [[t.id for t in merge(w)] for w in spelt]
     sizes = np.fromiter(map(len, merged), dtype=np.int64, count=len(merged))
@@ -170,9 +170,28 @@ def learn(words: list[bytes], model, known: Remembered, pieces: Remembered, in_p
     codes = np.empty(2 * len(base_of), dtype=np.int64)
     codes[::2], codes[1::2] = pieces.places(base_of), pieces.places(sign_of)
     ids, n = copied(*table, codes)
-    known.add([words[i] for i in plain], ids, n.reshape(-1, 2).sum(axis=1))
-    rest = [words[i] for i in odd]
-    known.add(rest, *encoded(rest, model))
+    place = np.empty(len(words), dtype=np.int64)
+    place[plain] = known.add([words[i] for i in plain] if odd else words, ids, n.reshape(-1, 2).sum(axis=1))
+    if odd:
+        rest = [words[i] for i in odd]
+        place[odd] = known.add(rest, *encoded(rest, model))
+    return place
+
+
+def words_of(joined: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The words between ASCII white space, each as its place among the different ones, and those."""
+    ends = pa.py_buffer(np.array([0, len(joined)], dtype=np.int64))
+    # The bytes need not be UTF-8: they are split at ASCII characters and not looked at otherwise.
+    text = pa.LargeStringArray.from_buffers(1, ends, pa.py_buffer(joined))
+    words = pc.ascii_split_whitespace(text).flatten().cast(pa.large_binary()).dictionary_encode()
+    codes, unique = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if b"" in unique:
+        # White space at either end and in runs leaves empty words.
+        empty = unique.index(b"")
+        codes = codes[codes != empty]
+        codes -= codes > empty
+        del unique[empty]
+    return codes, unique
 
 
 def token_ids(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,19 +206,16 @@ def token_ids(texts: list[bytes], path: str, end_id: int) -> tuple[np.ndarray, n
         known.__init__()
         pieces.__init__()
     between = b" " + END + b" "
-    words = (between.join(texts) + between).split()
-    codes, unique = pd.factorize(np.array(words, dtype=object))
-    del words
+    codes, unique = words_of(between.join(texts) + between)
     own = known.places(unique)
+    end = unique.index(END)
     missing = np.flatnonzero(own < 0)
-    new = [w for w in unique[missing] if w != END]
-    if new:
-        learn(new, model, known, pieces, in_pieces)
-        own[missing] = known.places(unique[missing])
+    missing = missing[missing != end]
+    if len(missing):
+        own[missing] = learn([unique[i] for i in missing.tolist()], model, known, pieces, in_pieces)
     ids, first, sizes = known.table()
     # The end of a text is one more entry.
     ids, first, sizes = np.append(ids, np.uint32(end_id)), np.append(first, len(ids)), np.append(sizes, 1)
-    end = np.flatnonzero(unique == END)[0]
     own[end] = len(first) - 1
     found, n = copied(ids, first, sizes, own[codes])
     last = np.cumsum(n)[codes == end]

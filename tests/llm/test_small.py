@@ -582,3 +582,13 @@ def test_small_sources_reach_their_targets(spark, monkeypatch):
         target[r["source"]] = r["target"]
         assert r["taken"] == r["whole"] * r["size"] + sum(p["length"] for p in r["parts"]) <= 3 * r["size"]
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 1 for s in target), (taken, target)
+
+
+def test_words_are_numbered_as_by_splitting():
+    """Places of words between ASCII white space, at ends and in runs, and of bytes that are no UTF-8."""
+    rng = random.Random(3)
+    texts = [b"".join(rng.choice([b"a", b"bc", b"\xc3\xa9", b"\xff", b" ", b" ", b"\t", b"\r\n", b"\x0b\x0c", b"\x1c", b"\xc2\x85", b"\x00"]) for _ in range(n)) for n in range(60)]
+    for text in [*texts, b"a", b" \n", b"  a a  b\t"]:
+        codes, unique = packing.words_of(text)
+        assert [unique[c] for c in codes.tolist()] == text.split() and len(set(unique)) == len(unique)
+        assert all(type(w) is bytes for w in unique)
