@@ -28,6 +28,12 @@ def bit(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles, which nothing ends: over zero it is infinite, zero over zero NaN."""
+    over_zero = F.when(a == 0, F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, over_zero).otherwise(F.try_divide(a, b))
+
+
 def truncate(value: Column) -> Column:
     """Drop the fraction, towards zero."""
     return value.cast("bigint")

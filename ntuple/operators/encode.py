@@ -85,6 +85,11 @@ def long_features(df: DataFrame, features: str, keep: list[str] | None = None) -
     )
 
 
+def finite(features: Column | str) -> Column:
+    """Features with null for NaN and infinite values; fits leave nulls out."""
+    return F.transform(features, lambda x: F.when(F.abs(x) < F.lit(float("inf")), x))
+
+
 def feature_statistics(df: DataFrame, features: str) -> list:
     """Mean, sample deviation, minimum, maximum and count of every feature, in one pass."""
     return (

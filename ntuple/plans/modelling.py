@@ -392,7 +392,8 @@ def train_clusters_unsupervised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_clusters_semi_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: the labelled ones train first, the others under the label they are given."""
     docs = cut_lineage(tables.documents(spark, sf_dir, labelled=False))
-    encoder = encode.fit_linear(docs, "x", 8)
+    # Documents without a letter share are coded, but no limit of the grid.
+    encoder = encode.fit_linear(docs.select(encode.finite("x").alias("x")), "x", 8)
     rows = docs.select("row_id", "label", encoder.bits("x").alias("bits"))
     model = cluster.train_semi_supervised(rows, "bits", 32, 4, SEED, "row_id", rule=cluster.Rule(0.3, 200.0, 4), first_slice=250)
     return model.classify(rows, "bits").select("row_id", "predicted", "predicted_cluster")

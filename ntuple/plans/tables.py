@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
+from ..functions.expr import let, quotient
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
-    """``(row_id, label, x)``: length, letter share, distinct-word share, words; label = quality."""
+    """``(row_id, label, x)``: length, letter share, distinct-word share, words; label = quality.
+
+    An empty text has no letter share: it is NaN, above every threshold.
+    """
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     joined = docs.join(labels, "doc_id", "inner" if labelled else "left")
@@ -44,7 +47,7 @@ def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFr
             words,
             lambda w: F.array(
                 F.col("n_chars").cast("double"),
-                F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.col("n_chars"),
+                quotient(F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.col("n_chars")),
                 F.size(F.array_distinct(w)) / F.size(w),
                 F.size(w).cast("double"),
             ),
