@@ -246,8 +246,8 @@ def classify_tuned_bloom_held_out(spark: SparkSession, sf_dir: str) -> DataFrame
 @query("search_thermometer")
 def search_thermometer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordinate search over two thresholds per document feature, six candidates each."""
-    docs = tables.documents(spark, sf_dir)
-    start = encode.fit_percentile(docs, "x", 2)
+    docs = cut_lineage(tables.documents(spark, sf_dir))
+    start = encode.fit_percentile(docs.select(encode.finite("x").alias("x")), "x", 2)
     found, accuracy = tune.search_thermometer(
         docs, "x", "label", "row_id", start, 4, SEED, rounds=1, steps=6
     )

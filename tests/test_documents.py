@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ntuple.operators import encode
+from ntuple.operators import address, count_model, encode, tune
 from ntuple.plans import catalog, tables
 
 from .compare import compare
@@ -66,3 +66,25 @@ def test_semi_supervised_clusters_take_every_document(spark, documents_unlabelle
     found = catalog.QUERIES["classify_clusters_semi_supervised"](spark, documents_unlabelled)
     rows = found.where(F.col("predicted").isin("0", "1") & (F.col("predicted_cluster") >= 0)).collect()
     assert sorted(r["row_id"] for r in rows) == list(range(64))
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), 1.5e308])
+def test_candidates_of_values_above_every_threshold(spark, odd):
+    rng = random.Random(4)
+    rows = [(i, "a" if i % 3 == 0 else "b", [odd if i % 3 == 0 else rng.random() / 2, rng.random()]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id bigint, label string, x array<double>")
+    train, check = df.where("row_id < 30"), df.where("row_id >= 30")
+    encoder = encode.fixed_thermometer(2, 3)
+    mapping = address.explicit_mapping(6, ((1, 3), (1, 4), (1, 5)))
+    candidates = [0.2, 0.6]
+    found = tune.candidate_accuracy(train, check, encoder, mapping, ["a", "b"], "x", "label", "row_id", (0, 1), candidates)
+    for c, t in enumerate(candidates):
+        bits = encoder.replaced(0, 1, t).on("x")
+        model = count_model.CountModel.train(train, mapping, bits)
+        assert found[c] == model.classify(check, bits).where("predicted = label").count()
+
+
+def test_threshold_search_over_documents(spark, documents_some_labelled):
+    found = catalog.QUERIES["search_thermometer"](spark, documents_some_labelled).collect()
+    assert sorted((r["feature"], r["k"]) for r in found) == [(f, k) for f in range(4) for k in range(2)]
+    assert all(math.isfinite(r["threshold"]) and 0 <= r["accuracy"] <= 1 for r in found)
