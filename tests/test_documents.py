@@ -88,3 +88,8 @@ def test_threshold_search_over_documents(spark, documents_some_labelled):
     found = catalog.QUERIES["search_thermometer"](spark, documents_some_labelled).collect()
     assert sorted((r["feature"], r["k"]) for r in found) == [(f, k) for f in range(4) for k in range(2)]
     assert all(math.isfinite(r["threshold"]) and 0 <= r["accuracy"] <= 1 for r in found)
+
+
+def test_pseudo_labels_of_documents_without_text(spark, documents_unlabelled, documents_some_labelled):
+    for folder in (documents_unlabelled, documents_some_labelled):
+        same_as_sql(spark, folder, "pseudo_labels")
