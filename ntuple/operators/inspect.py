@@ -88,17 +88,21 @@ def deployed_bytes(model: CountModel) -> DataFrame:
     return model.table.join(table, keys).groupBy("label").agg(F.sum("width").alias("bytes"))
 
 
-def fired(model: CountModel, df: DataFrame, bits: BitSource, label: str = "label") -> DataFrame:
-    """Per discriminator, tuple and row label: rows whose vote is positive.
+def fired(
+    model: CountModel, df: DataFrame, bits: BitSource, label: str = "label", unlabelled: bool = False
+) -> DataFrame:
+    """Per discriminator, tuple and row label: rows whose vote is positive; ``unlabelled`` rows have a null label.
 
     Equal address patterns are counted first; the fan-out per pattern is tuples x labels,
     combined map-side to at most that many counters per row label.
     """
-    labelled = df.where(F.col(label).isNotNull()).withColumn("sample", F.col(label).cast("string"))
-    votes = model.votes_by_pattern(labelled, bits, ["sample"])
+    # The outer forms give the same cells.  For the others Spark filters empty votes, and computes the
+    # votes' inputs for it, down at the scan: for all rows, before a join has chosen the labelled ones.
+    rows = df if unlabelled else df.where(F.col(label).isNotNull())
+    votes = model.votes_by_pattern(rows.withColumn("sample", F.col(label).cast("string")), bits, ["sample"])
     names = constant(model.labels, "array<string>")
-    per_ram = votes.select("sample", "n", F.posexplode("votes").alias("ram_id", "row"))
-    cells = per_ram.select("sample", "n", "ram_id", F.posexplode("row").alias("c", "vote"))
+    per_ram = votes.select("sample", "n", F.posexplode_outer("votes").alias("ram_id", "row"))
+    cells = per_ram.select("sample", "n", "ram_id", F.posexplode_outer("row").alias("c", "vote"))
     return (
         cells.where(F.col("vote") > 0)
         .groupBy(F.get(names, F.col("c")).alias("label"), "ram_id", "sample")
@@ -107,15 +111,17 @@ def fired(model: CountModel, df: DataFrame, bits: BitSource, label: str = "label
 
 
 def ram_weights(
-    model: CountModel, df: DataFrame, bits: BitSource, metric: str = "entropy", label: str = "label"
+    model: CountModel, df: DataFrame, bits: BitSource, metric: str = "entropy", label: str = "label",
+    unlabelled: bool = False,
 ) -> DataFrame:
     """Weight of every tuple of every label in [0, 1]: ``(label, ram_id, weight)``.
 
     ``entropy`` is 1 minus the normalised entropy of the classes it fires for,
     ``information_gain`` the information of firing about the class (over the classes that
     fired), ``purity`` the share of its own class.  Divided by the best tuple of the label.
+    With ``unlabelled`` rows without a label count as rows of one more class.
     """
-    counts = fired(model, df, bits, label)
+    counts = fired(model, df, bits, label, unlabelled)
     by_ram = W.partitionBy("label", "ram_id")
     n, total = F.col("n"), F.sum("n").over(by_ram)
     classes = (

@@ -490,7 +490,7 @@ def _weights(metric: str) -> None:
         docs = tables.documents(spark, sf_dir)
         bits = DOC_BITS.on("x")
         model = CountModel.train(docs, address.random_mapping(32, 4, SEED), bits)
-        found = inspect.ram_weights(model, docs, bits, metric)
+        found = inspect.ram_weights(model, docs, bits, metric, unlabelled=True)
         return found.withColumn("weight", F.round("weight", 6))
 
 
@@ -510,7 +510,7 @@ def tuple_weights_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.documents(spark, sf_dir)
     bits = DOC_BITS.on("x")
     model = CountModel.train(docs, address.random_mapping(32, 4, SEED), bits)
-    found = inspect.ram_weights(model, docs, bits, "purity").withColumn("weight", F.round("weight", 6))
+    found = inspect.ram_weights(model, docs, bits, "purity", unlabelled=True).withColumn("weight", F.round("weight", 6))
     return inspect.prune_weights(found, 0.9)
 
 

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ntuple.operators import address, count_model, encode, tune
+from ntuple.operators import address, count_model, encode, inspect, tune
 from ntuple.plans import catalog, tables
 
 from .compare import compare
@@ -19,11 +19,11 @@ EMPTY = (60, 61, 62)
 NO_TEXT = 63
 
 
-def write(spark, folder: str, labelled_empty: bool) -> str:
+def write(spark, folder: str, more_labels: list[tuple]) -> str:
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["ab", "c1", "def", "7", "gh!"]) for _ in range(rng.randrange(1, 900))) for _ in range(60)]
     docs = [(i, t, len(t)) for i, t in enumerate(texts)] + [(i, "", 0) for i in EMPTY] + [(NO_TEXT, None, None)]
-    labels = [(i, int(len(texts[i]) > 1500), 0) for i in range(0, 60, 2)] + [(EMPTY[0], 1, 0)] * labelled_empty
+    labels = [(i, int(len(texts[i]) > 1500), 0) for i in range(0, 60, 2)] + more_labels
     spark.createDataFrame(docs, "doc_id bigint, text string, n_chars bigint").coalesce(1).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
     return folder
@@ -31,12 +31,17 @@ def write(spark, folder: str, labelled_empty: bool) -> str:
 
 @pytest.fixture(scope="module")
 def documents_unlabelled(spark, tmp_path_factory):
-    return write(spark, str(tmp_path_factory.mktemp("unlabelled")), False)
+    return write(spark, str(tmp_path_factory.mktemp("unlabelled")), [])
 
 
 @pytest.fixture(scope="module")
 def documents_some_labelled(spark, tmp_path_factory):
-    return write(spark, str(tmp_path_factory.mktemp("some")), True)
+    return write(spark, str(tmp_path_factory.mktemp("some")), [(EMPTY[0], 1, 0)])
+
+
+@pytest.fixture(scope="module")
+def documents_null_label(spark, tmp_path_factory):
+    return write(spark, str(tmp_path_factory.mktemp("null")), [(1, None, None)])
 
 
 def same_as_sql(spark, folder: str, name: str) -> None:
@@ -93,3 +98,20 @@ def test_threshold_search_over_documents(spark, documents_some_labelled):
 def test_pseudo_labels_of_documents_without_text(spark, documents_unlabelled, documents_some_labelled):
     for folder in (documents_unlabelled, documents_some_labelled):
         same_as_sql(spark, folder, "pseudo_labels")
+
+
+@pytest.mark.parametrize("metric", ["entropy"])
+def test_tuple_weights_of_documents_without_text(
+    spark, documents_unlabelled, documents_some_labelled, documents_null_label, metric
+):
+    for folder in (documents_unlabelled, documents_some_labelled, documents_null_label):
+        same_as_sql(spark, folder, f"tuple_weights_{metric}")
+
+
+def test_weights_read_the_features_of_labelled_rows_only(spark, documents_unlabelled):
+    docs = tables.documents(spark, documents_unlabelled)
+    bits = encode.fixed_thermometer(4, 2).on("x")
+    model = count_model.CountModel.train(docs, address.random_mapping(8, 4, 1), bits)
+    plan = inspect.fired(model, docs, bits)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and not any("transform" in line for line in scans)
