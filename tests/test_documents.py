@@ -100,7 +100,7 @@ def test_pseudo_labels_of_documents_without_text(spark, documents_unlabelled, do
         same_as_sql(spark, folder, "pseudo_labels")
 
 
-@pytest.mark.parametrize("metric", ["entropy", "information_gain", "pruned"])
+@pytest.mark.parametrize("metric", ["entropy", "information_gain", "pruned", "purity"])
 def test_tuple_weights_of_documents_without_text(
     spark, documents_unlabelled, documents_some_labelled, documents_null_label, metric
 ):
