@@ -97,7 +97,7 @@ def fired(
     combined map-side to at most that many counters per row label.
     """
     # The outer forms give the same cells.  For the others Spark filters empty votes, and computes the
-    # votes' inputs for it, down at the scan: for all rows, before a join has chosen the labelled ones.
+    # votes' inputs once more for it, down at the scan.
     rows = df if unlabelled else df.where(F.col(label).isNotNull())
     votes = model.votes_by_pattern(rows.withColumn("sample", F.col(label).cast("string")), bits, ["sample"])
     names = constant(model.labels, "array<string>")

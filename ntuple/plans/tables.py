@@ -38,11 +38,10 @@ def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFr
     """
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    joined = docs.join(labels, "doc_id", "inner" if labelled else "left")
     words = F.split("text", " ")
-    return joined.select(
-        F.col("doc_id").alias("row_id"),
-        F.col("quality").cast("string").alias("label"),
+    # Features before the join, which may shuffle its rows: texts stay where they are read.
+    features = docs.select(
+        "doc_id",
         let(
             words,
             lambda w: F.array(
@@ -53,6 +52,9 @@ def documents(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFr
             ),
         ).alias("x"),
     )
+    return features.join(labels, "doc_id", "inner" if labelled else "left").select(
+        F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("label"), "x"
+    )
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
